@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skeinwork.llm import bpe, common, exact_dedup, mixing
+from skeinwork.llm import bpe, common, exact_dedup, mixing, near_dedup, quality
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from the labels of those given, does not reject."""
+    model = quality.learn(docs, common.read_table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where(F.col("score") >= 0.5).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,6 +19,11 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.drop_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five words to a shingle, similarity 0.8."""
+    return near_dedup.drop_near_copies(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as the mix takes them; a row taken twice is there twice."""
     return mixing.mix(docs)
@@ -23,7 +35,9 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", good_quality),
     ("exact_dedup", exact_copies),
+    ("near_dedup", near_copies),
     ("mixing", mixed),
     ("bpe", encoded),
 ]

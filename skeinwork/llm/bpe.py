@@ -325,7 +325,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", keep:
                     cols.append(pa.ListArray.from_arrays(pa.array(id_off, pa.int32()), pa.array(ids.astype(np.int32), pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return common.map_batches(docs.select(*keep, F.col(text_col).alias("__text")), run, schema)
 
 
 def default_vocabulary() -> str:

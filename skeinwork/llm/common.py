@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +116,27 @@ class Words:
         return ByteHasher(self.lowered).ranges(self.starts, self.ends)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context, so that workers need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_skein_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    target = Path(tempfile.mkdtemp()) / "skeinwork_package.zip"
+    target.write_bytes(packed.getvalue())
+    sc.addPyFile(str(target))
+    sc._skein_shipped = True
+
+
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder in the shared place that spark.checkpoint.dir names; set to /tmp/checkpoints only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, secrets, sharding
+from . import bpe, exact_dedup, mixing, near_dedup, quality, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": quality.op1_quality,
+        "op4_minhash_near_dedup": near_dedup.op4_minhash_near_dedup,
         "op6_bpe": bpe.op6_bpe,
         "op7_mixing": mixing.op7_mixing,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
