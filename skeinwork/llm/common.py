@@ -137,6 +137,24 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(f, schema)
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.Table]:
+    """Tables in which no value of the column, by which the rows are sorted, goes on in the next one."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        end = batch.column(column)[batch.num_rows - 1].as_py()
+        if held[0].column(column)[0].as_py() == end:
+            continue
+        rows = pa.Table.from_batches(held)
+        keep = int((rows.column(column).to_numpy() == end).sum())
+        yield rows.slice(0, rows.num_rows - keep)
+        held = rows.slice(rows.num_rows - keep).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder in the shared place that spark.checkpoint.dir names; set to /tmp/checkpoints only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

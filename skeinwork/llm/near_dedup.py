@@ -208,31 +208,13 @@ def _asked(tiles: DataFrame, most: int, s: Settings) -> DataFrame:
         return np.maximum(both[0], both[1]), np.minimum(both[0], both[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        for rows in common.whole_runs(batches):
             tile = rows.column("tile").to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]]))
             cols = [rows.column(c).to_numpy() for c in ("side", "rep", "comp", "n")]
             odd = rows.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(tile), s.words)
             got = [pairs_of(*[c[a:b] for c in cols], odd[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[0] for g in got]), pa.int64()), pa.array(np.concatenate([g[1] for g in got]), pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            tile = batch.column(0)
-            end = tile[batch.num_rows - 1].as_py()
-            if held[0].column(0)[0].as_py() == end:
-                continue
-            rows = pa.Table.from_batches(held)
-            keep = int((rows.column("tile").to_numpy() == end).sum())
-            yield from done(rows.slice(0, rows.num_rows - keep))
-            held = rows.slice(rows.num_rows - keep).combine_chunks().to_batches()
-        if held:
-            yield from done(pa.Table.from_batches(held))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[k] for g in got]), pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     ordered = tiles.select("tile", "side", "rep", "comp", "n", "odd").repartition("tile").sortWithinPartitions("tile")
     return common.map_batches(ordered, run, "a long, b long").distinct()

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, near_dedup, quality, secrets, sharding
+from . import bpe, embedding_dedup, exact_dedup, mixing, near_dedup, pitman_yor, quality, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
+        "op3_embedding_near_dedup": embedding_dedup.op3_embedding_near_dedup,
         "op4_minhash_near_dedup": near_dedup.op4_minhash_near_dedup,
+        "op5_pitman_yor": pitman_yor.op5_pitman_yor,
         "op6_bpe": bpe.op6_bpe,
         "op7_mixing": mixing.op7_mixing,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
