@@ -265,26 +265,18 @@ class Bpe:
             ids_pool = np.concatenate([self.word_ids, extra])
         else:
             ids_pool = self.word_ids
-        ids = ids_pool[_ragged(begin, count)]
+        ids = ids_pool[common.ragged(begin, count)]
         sums = np.concatenate([[0], np.cumsum(count)])
         return ids, np.diff(sums[np.searchsorted(starts, off)])
 
     def decode_block(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all rows end to end, offsets of the rows)."""
         size = self.lengths[ids]
-        out = self.pool[_ragged(self.piece_start[ids], size)]
+        out = self.pool[common.ragged(self.piece_start[ids], size)]
         sums = np.concatenate([[0], np.cumsum(size)])
         return out, sums[np.concatenate([[0], np.cumsum(counts)])]
 
 
-def _ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... (count[0] of them), then those of start[1], and so on."""
-    total = np.cumsum(count)
-    if not len(total) or not total[-1]:
-        return np.zeros(0, dtype=np.int64)
-    return np.arange(total[-1]) + np.repeat(start - (total - count), count)
-
-
 _loaded: dict[str, Bpe] = {}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import tempfile
 import uuid
@@ -14,7 +15,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 U64 = np.uint64
 #: Odd multiplier of the polynomial byte hash and its inverse modulo 2**64.
@@ -61,20 +61,38 @@ class ByteHasher:
         return mix64(raw ^ ((ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)))
 
 
-def text_blocks(batch: pa.RecordBatch, column: str, block_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a text column, null as empty; no copy is made of a column without nulls."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    if col.null_count:
+        col = pc.fill_null(col, "")
+    col = col.cast(pa.large_string())
+    _, off_buf, data_buf = col.buffers()
+    if not len(col):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    off = np.frombuffer(off_buf, dtype=np.int64)[col.offset : col.offset + len(col) + 1]
+    data = np.frombuffer(data_buf, dtype=np.uint8) if data_buf is not None and data_buf.size else np.zeros(0, np.uint8)
+    return data[off[0] : off[-1]], off - off[0]
+
+
+def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (count[0] of them), then those of start[1], and so on."""
+    total = np.cumsum(count)
+    if not len(total) or not total[-1]:
+        return np.zeros(0, dtype=np.int64)
+    return np.arange(total[-1]) + np.repeat(start - (total - count), count)
+
+
+def text_blocks(batch: pa.RecordBatch, column: str, block_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, past last row, bytes, offsets) of pieces of a text column; null counts as empty.
 
     Rows stay whole, so a piece is longer than block_bytes only if one text is."""
     col = batch.column(batch.schema.get_field_index(column))
-    if col.null_count:
-        col = pc.fill_null(col, "")
-    col = col.cast(pa.large_string())
     n = len(col)
     if not n:
         return
-    _, off_buf, data_buf = col.buffers()
-    off = np.frombuffer(off_buf, dtype=np.int64)[col.offset : col.offset + n + 1]
-    data = np.frombuffer(data_buf, dtype=np.uint8) if data_buf is not None and data_buf.size else np.zeros(0, np.uint8)
+    data, off = bytes_of(col)
     lo = 0
     while lo < n:
         hi = int(np.searchsorted(off, off[lo] + block_bytes, side="right")) - 1
@@ -206,12 +224,10 @@ def components(edges: DataFrame, path: str, name: str = "cc") -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def size_of(df: DataFrame, *exprs) -> tuple:
-    return tuple(df.agg(*exprs).first())
-
-
-def long_type() -> T.DataType:
-    return T.LongType()
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that nothing refers to any more; otherwise they wait for the next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, exact_dedup, mixing, near_dedup, pitman_yor, quality, secrets, sharding
+from . import bpe, embedding_dedup, exact_dedup, mixing, near_dedup, pitman_yor, quality, secrets, sharding, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_embedding_near_dedup": embedding_dedup.op3_embedding_near_dedup,
         "op4_minhash_near_dedup": near_dedup.op4_minhash_near_dedup,
         "op5_pitman_yor": pitman_yor.op5_pitman_yor,
