@@ -174,6 +174,13 @@ def block_rarest_two(spark, sf):
     return blocking.rarest_overlap(left_postings(spark, sf), right_postings(spark, sf), 2)
 
 
+@query("block_company", "SELECT s_suppkey AS left_id, c_custkey AS right_id FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_nationkey < 5")
+def block_company(spark, sf):
+    s = table(spark, sf, "supplier").where("s_nationkey < 5").select(F.col("s_suppkey").alias("left_id"), F.array(F.struct(F.concat(F.lit("Firm, No. "), F.col("s_nationkey").cast("string")).alias("name"))).alias("manufacturers"))
+    left = s.select("left_id", F.explode(normalize.company_names(s)).alias("key"))
+    return blocking.exact_key(left, table(spark, sf, "customer").select(F.col("c_custkey").alias("right_id"), t.normalize_lower(F.concat(F.lit("firm no-"), F.col("c_nationkey").cast("string"))).alias("key")))
+
+
 @query("phrase_containment", r"WITH ph AS (SELECT p_name AS left_id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS phrase FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS p_name FROM part)), tx AS (SELECT p_partkey AS right_id, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS text FROM part) SELECT left_id, right_id FROM ph JOIN tx ON contains(text, phrase)")
 def phrase_containment(spark, sf):
     p = table(spark, sf, "part")
@@ -229,6 +236,12 @@ for _conv, _at in (("ceil", "greatest(1, ceil(p * n))"), ("floor", "greatest(1,
     )
 
 
+@query("category_profile", "SELECT lang, min(n) AS least, max(n) AS largest, count(*) AS groups FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1")
+def category_profile(spark, sf):
+    per = profile.bucket_sizes(table(spark, sf, "documents"), ["lang", "source"])
+    return ranking.distribution(per, "candidates", ["lang"]).select("lang", "least", "largest", "groups")
+
+
 # ---------------------------------------------------------------- time
 
 
@@ -467,6 +480,20 @@ def normalized_recalls(spark, sf):
     return r.select("source_record_id", "recall_number", "recall_date", "title", "description", F.col("products")[0]["name"].alias("product"), F.col("products")[0]["number_of_units"].alias("units"), F.col("hazards")[0]["name"].alias("hazard"), F.col("product_upcs")[0].alias("upc"), "valid")
 
 
+@query("record_codes", "SELECT p_partkey, p_size::VARCHAR || ',' || p_partkey AS codes FROM part WHERE p_size <> p_partkey UNION ALL SELECT p_partkey, p_size::VARCHAR FROM part WHERE p_size = p_partkey")
+def record_codes(spark, sf):
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    as_list = F.to_json(F.struct(F.array(size).alias("product_upcs"), F.array(F.struct(key.alias("upc"))).alias("products")))
+    as_objects = F.to_json(F.struct(F.array(F.struct(size.alias("code")), F.struct(key.alias("code"))).alias("ProductUPCs")))
+    p = table(spark, sf, "part").select("p_partkey", F.when(key.cast("long") % 2 == 0, as_list).otherwise(as_objects).alias("body"))
+    return p.select("p_partkey", F.array_join(normalize.codes(), ",").alias("codes"))
+
+
+@query("identity_text", r"SELECT p_partkey, trim(regexp_replace(lower(p_brand || ' ' || p_type || ' ' || p_name), '[^a-z0-9]+', ' ', 'g')) AS identity FROM part")
+def identity_text(spark, sf):
+    return table(spark, sf, "part").withColumn("blank", F.lit(" ")).select("p_partkey", normalize.identity_text("p_brand", "blank", "p_type", "p_name").alias("identity"))
+
+
 @query("mentions_explode", "SELECT p_partkey::VARCHAR AS source_record_id, p_name AS name, p_brand AS model, 'pm_' || substr(sha256('recalls::' || p_partkey || '::0::' || p_name || '::' || p_brand), 1, 20) AS mention_id, 2 AS n_identifiers FROM part")
 def mentions_explode(spark, sf):
     m = evidence.mentions(normalize.recalls(_recall_json(spark, sf)))
@@ -590,6 +617,33 @@ def round_robin_sample(spark, sf):
     return review.round_robin_sample(d, ["doc_id"], ["lang", "source"], F.lit(False), 150, [F.col("n_chars").desc()]).select("doc_id", "lang", "source")
 
 
+@query("numbered_reviews", "SELECT doc_id, 'ER-' || lpad(row_number() OVER (ORDER BY doc_id)::VARCHAR, greatest(4, length(row_number() OVER (ORDER BY doc_id)::VARCHAR))::INTEGER, '0') AS review_id FROM labels WHERE quality = 0")
+def numbered_reviews(spark, sf):
+    return ranking.numbered(table(spark, sf, "labels").where("quality = 0").select("doc_id"), [F.col("doc_id")], "ER-", "review_id")
+
+
+@query("latest_reviews", "SELECT user_id, arg_max(event_type, event_id) AS decision FROM events GROUP BY 1")
+def latest_reviews(spark, sf):
+    return review.latest(table(spark, sf, "events").select("user_id", "event_id", F.col("event_type").alias("decision")), ["user_id"], "event_id").select("user_id", "decision")
+
+
+@query("working_labels", "SELECT doc_id, quality AS target FROM labels WHERE quality IN (0, 1)")
+def working_labels(spark, sf):
+    lab = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "MATCH").when(F.col("quality") == 0, "NON_MATCH").otherwise("UNCERTAIN").alias("review_label"))
+    return review.working_labels(lab).select("doc_id", "target")
+
+
+@query("evidence_lookup", "SELECT 'E-REC-7' AS evidence_id, 'recalls' AS source, o_orderpriority AS title FROM orders WHERE o_orderkey = 7")
+def evidence_lookup(spark, sf):
+    return evidence.evidence_by_id(_cases(spark, sf), "E-REC-7").select("evidence_id", "source", "title")
+
+
+@query("deduped_incidents", f"WITH {_INCIDENTS}, f AS (SELECT DISTINCT recall_id, line FROM inc) SELECT recall_id, least(count(*), 20)::INTEGER AS n FROM f GROUP BY 1")
+def deduped_incidents(spark, sf):
+    inc = incidents(spark, sf).select("recall_id", F.col("line").alias("source_record_id"), "incident_date", "publication_date")
+    return evidence.dedupe_incidents(inc, "recall_id").groupBy("recall_id").agg(F.count("*").cast("int").alias("n"))
+
+
 @query("permissions", "SELECT role, action FROM (VALUES ('reviewer'), ('investigator'), ('agent')) r(role), (VALUES ('review'), ('read')) a(action) WHERE role = 'reviewer' OR (role = 'investigator' AND action = 'read')")
 def permissions(spark, sf):
     asked = spark.createDataFrame([(r, a) for r in ("reviewer", "investigator", "agent") for a in ("review", "read")], "role string, action string")

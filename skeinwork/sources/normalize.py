@@ -138,3 +138,32 @@ def products(raw: DataFrame, body: str = "body", category: Column | None = None)
         F.get_json_object(body, "$.rating_number").try_cast("bigint").alias("rating_number"), F.get_json_object(body, "$.price").alias("price"), "details",
     )
     return out.where("parent_asin <> '' and title <> ''")
+
+
+def company_names(recall_rows: DataFrame) -> Column:
+    """Distinct normalised names of manufacturers, importers and distributors of canonical recall rows."""
+    have = [c for c in ("manufacturers", "importers", "distributors") if c in recall_rows.columns]
+    every = F.concat(*[F.transform(F.coalesce(F.col(c), F.array().cast(dict(recall_rows.dtypes)[c])), lambda x: t.normalize_lower(x["name"])) for c in have])
+    return F.array_distinct(F.filter(every, lambda n: n != ""))
+
+
+def brand(recall_rows: DataFrame) -> Column:
+    """The first manufacturer's name, else the first importer's."""
+    return F.coalesce(F.try_element_at("manufacturers", F.lit(1))["name"], F.try_element_at("importers", F.lit(1))["name"])
+
+
+def first_product(column: str = "products") -> Column:
+    return F.try_element_at(column, F.lit(1))
+
+
+def codes(body: str = "body") -> Column:
+    """Product codes of a raw record: one text, a list of texts, a list of objects that name theirs, and the products' own."""
+    one = "case when {v} like '[%' then transform(from_json({v}, 'array<string>'), x -> case when x like '{{%' then coalesce(get_json_object(x, '$.upc'), get_json_object(x, '$.UPC'), get_json_object(x, '$.value'), get_json_object(x, '$.code')) else x end) when {v} is null then cast(array() as array<string>) else array({v}) end"
+    listed = [one.format(v=f"get_json_object({body}, '$.{k}')") for k in ("product_upcs", "ProductUPCs")]
+    own = f"transform({_items(body, 'products', 'product')}, x -> coalesce(get_json_object(x, '$.upc'), get_json_object(x, '$.UPC')))"
+    return F.expr(f"array_distinct(filter(transform(concat({listed[0]}, {listed[1]}, {own}), x -> trim(x)), x -> x <> ''))")
+
+
+def identity_text(*fields: str) -> Column:
+    """The normalised text of all identity fields of an incident, blanks left out."""
+    return t.normalize_text(F.concat_ws(" ", *[F.nullif(F.trim(f), F.lit("")) for f in fields]))
