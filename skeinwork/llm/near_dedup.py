@@ -163,6 +163,39 @@ def _whole_sets(docs: DataFrame, s: Settings) -> DataFrame:
     return common.map_batches(docs, run, "rep long, members binary, digest long")
 
 
+def _recurring(members: DataFrame, s: Settings, n_buckets: int) -> DataFrame:
+    """(rep, common): how many of each row's shingles some other row has too.
+
+    Two sets share no more than the smaller of these numbers, which bounds their similarity from above exactly."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps = batch.column(0).to_numpy()
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            for lo in range(0, len(sets), 256):
+                part = sets[lo : lo + 256]
+                h = np.concatenate(part)
+                owner = np.repeat(reps[lo : lo + 256], [len(x) for x in part])
+                b = (h >> np.uint64(16)) % np.uint64(n_buckets)
+                order = np.argsort(b, kind="stable")
+                h, owner, b = h[order], owner[order], b[order]
+                cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]])) if len(b) else [0]
+                for i, j in zip(cut[:-1], cut[1:]):
+                    yield pa.RecordBatch.from_arrays([pa.array([int(b[i])], pa.int32()), pa.array([h[i:j].tobytes()], pa.binary()), pa.array([owner[i:j].tobytes()], pa.binary())], names=["bucket", "h", "owner"])
+
+    def count(table: pa.Table) -> pa.Table:
+        h = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("h").combine_chunks()])
+        owner = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("owner").combine_chunks()])
+        order = np.argsort(h, kind="stable")
+        same = np.zeros(len(h) + 1, dtype=bool)
+        same[1:-1] = h[order][1:] == h[order][:-1]
+        reps, times = np.unique(owner[order][same[1:] | same[:-1]], return_counts=True)
+        return pa.table({"rep": pa.array(reps, pa.int64()), "common": pa.array(times, pa.int64())})
+
+    dealt = common.map_batches(members.select("rep", "members"), deal, "bucket int, h binary, owner binary")
+    return dealt.groupBy("bucket").applyInArrow(count, "rep long, common long").groupBy("rep").agg(F.sum("common").alias("common"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Pairs (a, b) with whether their whole sets are similar enough."""
     sized = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
@@ -183,11 +216,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
 def _asked(tiles: DataFrame, most: int, s: Settings) -> DataFrame:
     """(a, b) for which members of different components ask in their tiles, at most `most` for each member.
 
-    tiles: (tile, side, rep, comp, n, odd). A tile with one side is a bucket's part against itself, one with both a part
+    Pairs are left out whose sizes or numbers of recurring shingles rule a link out, or whose sketches differ too much.
+    tiles: (tile, side, rep, comp, n, common, odd). A tile with one side is a bucket's part against itself, one with both a part
     against another; either has a bounded number of rows, and all rows of a tile are in one partition, one after another."""
     limit = s.most_bits
 
-    def pairs_of(side, rep, comp, n, odd):
+    def pairs_of(side, rep, comp, n, common_, odd):
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1)
         if not len(right):
@@ -197,8 +231,9 @@ def _asked(tiles: DataFrame, most: int, s: Settings) -> DataFrame:
         for p in range(0, len(left), step):
             i = left[p : p + step]
             bits = np.bitwise_count(odd[i][:, None, :] ^ odd[right][None, :, :]).sum(2, dtype=np.int32)
-            small, large = np.minimum(n[i][:, None], n[right][None, :]), np.maximum(n[i][:, None], n[right][None, :])
-            bits = np.where((comp[i][:, None] != comp[right][None, :]) & (s.den * small >= s.num * large) & (bits <= limit), bits, 1 << 20)
+            most_shared = np.minimum(common_[i][:, None], common_[right][None, :])
+            possible = s.den * most_shared >= s.num * (n[i][:, None] + n[right][None, :] - most_shared)
+            bits = np.where((comp[i][:, None] != comp[right][None, :]) & possible & (bits <= limit), bits, 1 << 20)
             k = min(most, len(right))
             best = np.argpartition(bits, k - 1, axis=1)[:, :k] if k < len(right) else np.broadcast_to(np.arange(len(right)), bits.shape)
             ok = np.take_along_axis(bits, best, axis=1) < 1 << 20
@@ -211,12 +246,12 @@ def _asked(tiles: DataFrame, most: int, s: Settings) -> DataFrame:
         for rows in common.whole_runs(batches):
             tile = rows.column("tile").to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]]))
-            cols = [rows.column(c).to_numpy() for c in ("side", "rep", "comp", "n")]
+            cols = [rows.column(c).to_numpy() for c in ("side", "rep", "comp", "n", "common")]
             odd = rows.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(tile), s.words)
             got = [pairs_of(*[c[a:b] for c in cols], odd[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[k] for g in got]), pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    ordered = tiles.select("tile", "side", "rep", "comp", "n", "odd").repartition("tile").sortWithinPartitions("tile")
+    ordered = tiles.select("tile", "side", "rep", "comp", "n", "common", "odd").repartition("tile").sortWithinPartitions("tile")
     return common.map_batches(ordered, run, "a long, b long").distinct()
 
 
@@ -251,28 +286,35 @@ def near_groups(docs: DataFrame, settings: Settings = Settings(), id_col: str =
     paths = [tested]
     links = tested.where("linked").select("a", "b")
     comp = common.components(links, path, "cc1_")
-    several = [1, 16, 256, 1 << 30]
-    for k, most in enumerate(several):
-        at = info.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "odd", F.coalesce("root", "rep").alias("comp"))
+    def unsettled(extra):
+        """Rows (bucket, rep, comp, parts) of buckets that hold several components."""
+        at = extra.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
         slim = met.select("bucket", "rep").join(at.select("rep", "comp"), "rep")
         mixed = slim.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", F.ceil(F.col("size") / s.tile).cast("int").alias("parts"))
-        part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+        return at, slim.join(mixed, "bucket")
+
+    _, open_rows = unsettled(info)
+    # only classes in such buckets can still link, so only their shingles count as recurring
+    open_sets = sets.join(open_rows.select("rep").distinct(), "rep", "left_semi")
+    n_buckets = max(4, -(-int(open_sets.agg(F.sum(F.length("members"))).first()[0] or 0) // (8 << 20)))
+    open_info = common.stored(info.join(_recurring(open_sets, s, n_buckets), "rep").where(f"{s.den} * common >= {s.num} * n").drop("set_a"), path, "open")
+    for k, most in enumerate([1, 16, 256, 1 << 30]):
+        at, placed = unsettled(open_info)
         # a bucket of several parts is compared part by part: each row goes to one tile for every part
-        placed = slim.join(mixed, "bucket").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        placed = placed.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         tiles = placed.select(
             F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("tile"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "rep",
         ).join(at, "rep")
-        ask = _asked(tiles, most, s)
+        ask = common.stored(_asked(tiles, most, s), path, f"asked{k + 2}")
+        if not ask.take(1):
+            break
         for old in paths:
             ask = ask.join(old.select("a", "b"), ["a", "b"], "left_anti")
         new = common.stored(_confirmed(ask, sets, s), path, f"tested{k + 2}")
         paths.append(new)
-        found = new.agg(F.count("*"), F.sum(F.col("linked").cast("int"))).first()
-        if found[1]:
+        if new.where("linked").take(1):
             links = links.union(new.where("linked").select("a", "b"))
             comp = common.components(links, path, f"cc{k + 2}_")
-        elif most > 1 and not found[0]:
-            break
     # rows of one id but different sets tie their classes together
     ties = classes.groupBy("doc_id").agg(F.min("rep").alias("b"), F.collect_set("rep").alias("reps")).where("size(reps) > 1").select(F.explode("reps").alias("a"), "b")
     if ties.take(1):
