@@ -182,11 +182,23 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/skein-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str, name: str) -> DataFrame:
-    """Write df as Parquet under path and read it back: lineage is cut and any executor can go."""
-    target = f"{path}/{name}"
-    df.write.mode("overwrite").parquet(target)
-    return df.sparkSession.read.schema(df.schema).parquet(target)
+#: Spark's own setting by which a finished query's shuffle files go at once instead of with a later garbage collection.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, path: str, name: str, drop_shuffle: bool = False) -> DataFrame:
+    """Write df as Parquet under path and read it back: lineage is cut and any executor can go.
+
+    drop_shuffle: the shuffle files that the writing needed go as soon as it is done."""
+    spark, target = df.sparkSession, f"{path}/{name}"
+    before = spark.conf.get(_CLEANUP, "false")
+    if drop_shuffle:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(target)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(target)
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
