@@ -224,21 +224,27 @@ def _asked(tiles: DataFrame, most: int, s: Settings) -> DataFrame:
     def pairs_of(side, rep, comp, n, common_, odd):
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1)
+        # pairs inside the tile's largest component are settled, so one of the two is always outside it
+        names, times = np.unique(comp, return_counts=True)
+        outside = comp != names[times.argmax()]
         if not len(right):
-            right = left
+            work = [(left[outside[left]], left)]
+        else:
+            work = [(left[outside[left]], right), (left[~outside[left]], right[outside[right]])]
         out = []
-        step = max(1, (1 << 21) // max(1, len(right) * s.words))
-        for p in range(0, len(left), step):
-            i = left[p : p + step]
-            bits = np.bitwise_count(odd[i][:, None, :] ^ odd[right][None, :, :]).sum(2, dtype=np.int32)
-            most_shared = np.minimum(common_[i][:, None], common_[right][None, :])
-            possible = s.den * most_shared >= s.num * (n[i][:, None] + n[right][None, :] - most_shared)
-            bits = np.where((comp[i][:, None] != comp[right][None, :]) & possible & (bits <= limit), bits, 1 << 20)
-            k = min(most, len(right))
-            best = np.argpartition(bits, k - 1, axis=1)[:, :k] if k < len(right) else np.broadcast_to(np.arange(len(right)), bits.shape)
-            ok = np.take_along_axis(bits, best, axis=1) < 1 << 20
-            r, c = np.nonzero(ok)
-            out.append(np.stack([rep[i[r]], rep[right[best[r, c]]]]))
+        for rows, others in work:
+            step = max(1, (1 << 21) // max(1, len(others) * s.words))
+            for p in range(0, len(rows) if len(others) else 0, step):
+                i = rows[p : p + step]
+                bits = np.bitwise_count(odd[i][:, None, :] ^ odd[others][None, :, :]).sum(2, dtype=np.int32)
+                most_shared = np.minimum(common_[i][:, None], common_[others][None, :])
+                possible = s.den * most_shared >= s.num * (n[i][:, None] + n[others][None, :] - most_shared)
+                bits = np.where((comp[i][:, None] != comp[others][None, :]) & possible & (bits <= limit), bits, 1 << 20)
+                k = min(most, len(others))
+                best = np.argpartition(bits, k - 1, axis=1)[:, :k] if k < len(others) else np.broadcast_to(np.arange(len(others)), bits.shape)
+                ok = np.take_along_axis(bits, best, axis=1) < 1 << 20
+                r, c = np.nonzero(ok)
+                out.append(np.stack([rep[i[r]], rep[others[best[r, c]]]]))
         both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         return np.maximum(both[0], both[1]), np.minimum(both[0], both[1])
 
