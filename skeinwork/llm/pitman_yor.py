@@ -12,7 +12,8 @@ the end. A null id is never held out. Repeated rows count and score separately.
 unknown and the parent is all new-table mass. An empty table gives an empty result. Other columns are ignored.
 
 Execution: texts are cut into chunks of `chunks.CHUNK_BYTES` in order of the input's partitions. Chunks send their distinct
-words and word pairs, with counts, to buckets of words and of contexts; the contexts of a word with more than
+words and word pairs, with counts, to buckets of words and of contexts; a bucket of contexts asks the buckets of words
+for corpus counts before it seats (pairs are sent twice for that, which is cheaper on disk than keeping them); the contexts of a word with more than
 `HOT_SHARE` of all tokens are spread over many buckets. Buckets answer each chunk, and chunks are scored with their
 answers. Everything that grows with the corpus is shuffled or written, nothing of it goes to the driver but sums and
 the at most 1 / HOT_SHARE hot words.
@@ -38,6 +39,7 @@ BURN_IN, SAMPLES = 3, 3
 #: Customers of one dish that a sweep reseats; of a dish with more, as many random ones.
 RESEATED = 16
 END, START = np.uint64(1), np.uint64(2)
+UNSTEADY = "the input's partitions changed between reads; write it to files first"
 
 
 class Tokens:
@@ -201,6 +203,14 @@ def _array(x, kind) -> np.ndarray:
     return np.frombuffer(x.as_buffer(), dtype=kind)
 
 
+def _places(names: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Where the words are among the sorted names, which have them all unless the input changed."""
+    where = np.searchsorted(names, words)
+    if where.size and (where.max() >= len(names) or not (names[where] == words).all()):
+        raise ValueError(UNSTEADY)
+    return where
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 5, path: str | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of docs.
 
@@ -256,52 +266,74 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
     # pairs: chunk -> bucket of the context -> seating -> answers to chunks, and tables for each word
     def pairs_of(held: list[pa.RecordBatch]):
         h, ctx, at, train = _tokens(held)
-        names, inv, counts = _words(h, train)
-        return names, inv, counts, at, Pairs(names, inv, ctx, train, n_buckets, hot, parts)
+        names, inv, _ = _words(h, train)
+        return names, inv, at, Pairs(names, inv, ctx, train, n_buckets, hot, parts)
 
     def pairs_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, held in chunks.chunks(batches):
-            names, _, counts, _, p = pairs_of(held)
+            names, _, _, p = pairs_of(held)
             for lo, hi in zip(p.cut[:-1], p.cut[1:]):
                 vocabulary, index = np.unique(p.word[lo:hi], return_inverse=True)
                 ctx = p.context[lo:hi]
                 run = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1], [True]]))
-                blobs = [ctx[run[:-1]].tobytes(), _small(np.diff(run)), _small(index), _small(p.count[lo:hi]), names[vocabulary].tobytes(), _small(counts[vocabulary])]
+                blobs = [ctx[run[:-1]].tobytes(), _small(np.diff(run)), _small(index), _small(p.count[lo:hi]), names[vocabulary].tobytes()]
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(p.bucket[lo])], pa.int32()), "key": pa.array([key], pa.int64())} | {f"b{i}": pa.array([x], pa.binary()) for i, x in enumerate(blobs)})
 
-    def pairs_in(table: pa.Table) -> pa.Table:
+    def dishes_of(table: pa.Table):
+        """(words, contexts, restaurant, word and customers of each dish, each pair's dish, where chunks' pairs begin) of a bucket."""
         col = lambda i: table.column(f"b{i}").combine_chunks()
         ctx, vocab = [_array(x, np.uint64) for x in col(0)], [_array(x, np.uint64) for x in col(4)]
         runs = [_sized(x, len(c)).astype(np.int64) for x, c in zip(col(1), ctx)]
         n_pairs = [int(r.sum()) for r in runs]
         index, count = ([_sized(x, n) for x, n in zip(col(i), n_pairs)] for i in (2, 3))
-        seen = [_sized(x, len(v)) for x, v in zip(col(5), vocab)]
-        bucket = table.column("bucket")[0].as_py()
-        rng = np.random.default_rng([seed, bucket])
-        cut = np.cumsum([0] + [len(x) for x in index])
         names, vinv = np.unique(np.concatenate(vocab), return_inverse=True)
-        seen_all = np.bincount(vinv, weights=np.concatenate(seen), minlength=len(names))
-        base = np.maximum(seen_all, 1) / max(n_train, 1)
         vstart = np.cumsum([0] + [len(x) for x in vocab])
         word = np.concatenate([vinv[vstart[i] + x] for i, x in enumerate(index)])
         cnames, cinv = np.unique(np.concatenate(ctx), return_inverse=True)
         context = np.repeat(cinv, np.concatenate(runs))
         uniq, inv = np.unique(context.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64), return_inverse=True)
         c = np.bincount(inv, weights=np.concatenate(count), minlength=len(uniq)).astype(np.int64)
-        trained = np.flatnonzero(c > 0)
         g, w = (uniq >> np.uint64(32)).astype(np.int64), (uniq & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        return names, cnames, g, w, c, inv, np.cumsum([0] + n_pairs)
+
+    # the corpus frequency of words: only a dish of several customers has a choice of tables, and asks for its word's
+    def wanted(table: pa.Table) -> pa.Table:
+        names, _, _, w, c, _, _ = dishes_of(table)
+        ask = names[np.unique(w[c > 1])]
+        to = _bucket(ask, n_buckets).astype(np.int64)
+        which = np.unique(to)
+        return pa.table({"to": pa.array(which, pa.int32()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(which), pa.int32()), "w": pa.array(_bytes(*[ask[to == k] for k in which]), pa.binary())})
+
+    def counted(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"bucket": pa.array([], pa.int32()), "w": pa.array([], pa.binary()), "c": pa.array([], pa.binary())})
+        if not right.num_rows:
+            raise ValueError(UNSTEADY)
+        names, first = np.unique(np.concatenate([_array(x, np.uint64) for x in right.column("w").combine_chunks()]), return_index=True)
+        counts = np.concatenate([_array(x, np.int64) for x in right.column("c").combine_chunks()])[first]
+        return pa.table({"bucket": left.column("bucket"), "w": left.column("w"), "c": pa.array(_bytes(*[counts[_places(names, _array(x, np.uint64))] for x in left.column("w").combine_chunks()]), pa.binary())})
+
+    def pairs_in(table: pa.Table, right: pa.Table) -> pa.Table:
+        names, cnames, g, w, c, inv, cut = dishes_of(table)
+        bucket = table.column("bucket")[0].as_py()
+        rng = np.random.default_rng([seed, bucket])
+        seen = np.ones(len(names), dtype=np.int64)
+        for x, y in zip(right.column("w").combine_chunks(), right.column("c").combine_chunks()):
+            seen[_places(names, _array(x, np.uint64))] = _array(y, np.int64)
+        base = np.maximum(seen, 1) / max(n_train, 1)
+        trained = np.flatnonzero(c > 0)
         scale = np.ones(len(cnames))
         if len(hot):
             at = np.minimum(np.searchsorted(hot, cnames), len(hot) - 1)
             scale = np.where(hot[at] == cnames, parts[at], 1).astype(np.float64)
-        t = np.zeros(len(uniq))
+        t = np.zeros(len(c))
         if len(trained):
             t[trained], _ = _reseat(c[trained], g[trained], base[w[trained]], scale[g[trained]], rng)
         numer = (c - DISCOUNT * t).astype(np.float32)[inv]
         # tables by word for the parent, customers and tables by context for the restaurants' totals
         tw = np.bincount(w, weights=t, minlength=len(names))
         cg, tg = np.bincount(g, weights=c, minlength=len(cnames)), np.bincount(g, weights=t, minlength=len(cnames))
-        own = [pa.table({"to": pa.array([-1], pa.int32()), "key": table.column("key")[i : i + 1].combine_chunks(), "bucket": pa.array([bucket], pa.int32()), "x": pa.array([numer[cut[i] : cut[i + 1]].tobytes()], pa.binary()), "y": pa.array([None], pa.binary())}) for i in range(len(index))]
+        own = [pa.table({"to": pa.array([-1], pa.int32()), "key": table.column("key")[i : i + 1].combine_chunks(), "bucket": pa.array([bucket], pa.int32()), "x": pa.array([numer[cut[i] : cut[i + 1]].tobytes()], pa.binary()), "y": pa.array([None], pa.binary())}) for i in range(len(cut) - 1)]
         both = np.union1d(names[tw > 0], cnames[cg > 0])
         values = np.zeros((len(both), 3))
         for k, (who, v) in enumerate(((names, tw), (cnames, cg), (cnames, tg))):
@@ -315,8 +347,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
             own.append(pa.table({"to": pa.array([int(to[at[0]])], pa.int32()), "key": pa.array([-1], pa.int64()), "bucket": pa.array([bucket], pa.int32()), "x": pa.array([both[at].tobytes()], pa.binary()), "y": pa.array([values[at].astype(np.float32).tobytes()], pa.binary())}))
         return pa.concat_tables(own)
 
-    sent = common.map_batches(rows, pairs_out, "bucket int, key long, " + ", ".join(f"b{i} binary" for i in range(6)))
-    seated = common.stored(sent.groupBy("bucket").applyInArrow(pairs_in, "to int, key long, bucket int, x binary, y binary"), path, "seated", drop_shuffle=True)
+    sent = common.map_batches(rows, pairs_out, "bucket int, key long, " + ", ".join(f"b{i} binary" for i in range(5)))
+    asked = sent.groupBy("bucket").applyInArrow(wanted, "to int, bucket int, w binary")
+    counts = asked.groupBy("to").cogroup(words.select("bucket", "w", "c").groupBy("bucket")).applyInArrow(counted, "bucket int, w binary, c binary")
+    counts = common.stored(counts, path, "counts", drop_shuffle=True)
+    seated = common.stored(sent.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(pairs_in, "to int, key long, bucket int, x binary, y binary"), path, "seated", drop_shuffle=True)
 
 
     def customers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +390,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
 
     def scored(key, left: pa.Table, right: pa.Table) -> pa.Table:
         held = left.select(["doc_id", "text", "train"]).combine_chunks().to_batches()
-        names, inv, _, at, p = pairs_of(held)
+        names, inv, at, p = pairs_of(held)
         value = np.zeros((len(names), 4))
         value[:, 2:] = 1.0
         numer = np.zeros(len(p.word), dtype=np.float32)
@@ -364,17 +399,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
         for b, w, v in zip(right.column("bucket").to_pylist(), right.column("w").combine_chunks(), right.column("v").combine_chunks()):
             if b < 0:
                 w = _array(w, np.uint64)
-                where = np.searchsorted(names, w)
-                if where.size and (where.max() >= len(names) or not (names[where] == w).all()):
-                    raise ValueError("the input's partitions changed between reads; write it to files first")
-                value[where] = _array(v, np.float64).reshape(-1, 4)
+                value[_places(names, w)] = _array(v, np.float64).reshape(-1, 4)
                 found += len(w)
             else:
                 lo, hi = begin[b]
                 numer[lo:hi] = _array(v, np.float32)
                 found += hi - lo
         if found != len(names) + len(numer):
-            raise ValueError("the input's partitions changed between reads; write it to files first")
+            raise ValueError(UNSTEADY)
         ctx_at = np.minimum(np.searchsorted(names, p.context), len(names) - 1)
         known = names[ctx_at] == p.context
         # the start of a text is a context, not a word: its totals came with the words only if asked for

@@ -163,6 +163,26 @@ def test_language_model(docs, rows):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_every_bucket_seats_against_the_corpus_frequency(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, "y x z" if i < 150 else "z x x", "s", "k", None) for i in range(300)], DOCS).repartitionByRange(2, "doc_id").write.parquet(str(tmp_path / "d"))
+    small = spark.read.parquet(str(tmp_path / "d"))
+    seen = str(tmp_path / "seen")
+    real = pitman_yor._reseat
+
+    def spy(count, group, base, scale, rng):
+        with open(seen, "a") as f:
+            f.write("".join(f"{x!r}\n" for x in base.tolist()))
+        return real(count, group, base, scale, rng)
+
+    monkeypatch.setattr(pitman_yor, "_reseat", spy)
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 64)
+    pitman_yor.score(small).collect()
+    train = [r.text.split() + ["$"] for r in small.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 1]
+    counts = Counter(w for ws in train for w in ws)
+    pairs = {(a, b) for ws in train for a, b in zip(["^", *ws], ws)}
+    assert sorted(float(x) for x in open(seen)) == pytest.approx(sorted(counts[b] / sum(counts.values()) for _, b in pairs))
+
+
 def test_seating_has_a_table_for_each_dish_at_least():
     rng = np.random.default_rng(0)
     count = rng.integers(1, 60, 300)
