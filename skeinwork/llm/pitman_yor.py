@@ -1,9 +1,9 @@
 """Language-model scores by a hierarchical Pitman-Yor model of word pairs.
 
 Every word is a restaurant for the words that follow it, and all of these share one parent. Seating in the restaurants
-is sampled by Gibbs: customers are taken out one by one and seated again, at a table of their dish with weight
-(customers - discount) or at a new one with weight (strength + discount * tables) times the parent's probability of the
-dish. Each table sends one customer to the parent, whose base is continuous, so that each word has one table there and
+is sampled by Gibbs: a customer sits at a table of their dish with weight (customers - discount) or at a new one with
+weight (strength + discount * tables) times the parent's probability of the dish; all customers of a dish are reseated
+together, by drawing its number of tables. Each table sends one customer to the parent, whose base is continuous, so that each word has one table there and
 the parent's new-table mass is the probability of all unknown words together. Predictive probabilities are averaged
 over the samples after burn-in.
 
@@ -21,6 +21,7 @@ the at most 1 / HOT_SHARE hot words.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,8 @@ HOT_SHARE = 0.002
 STRENGTH, DISCOUNT = 1.0, 0.8
 PARENT_STRENGTH, PARENT_DISCOUNT = 1.0, 0.6
 BURN_IN, SAMPLES = 3, 3
-#: Customers of one dish that a sweep reseats; of a dish with more, as many random ones.
-RESEATED = 16
+#: Customers up to which all numbers of tables of a dish are weighed; with more, GRID of them at a time.
+ROW, GRID = 1000, 64
 END, START = np.uint64(1), np.uint64(2)
 UNSTEADY = "the input's partitions changed between reads; write it to files first"
 
@@ -110,11 +111,115 @@ class Pairs:
         self.cut = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1], [True]])) if len(order) else np.zeros(1, np.int64)
 
 
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """Of arguments above 100."""
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3)
+
+
+_rows: list[np.ndarray] = [np.zeros(0), np.zeros(1)]
+
+
+def _log_ways(c: int) -> np.ndarray:
+    """Of 1 .. c tables: log of the weight of all seatings of c customers, where a table of s has rising((1 - discount), s - 1).
+
+    By w(c + 1, t) = w(c, t - 1) + (c - discount * t) * w(c, t); rows are kept for later calls of the same worker."""
+    while len(_rows) <= c:
+        n, last = len(_rows) - 1, _rows[-1]
+        stay = np.log(n - DISCOUNT * np.arange(1, n + 1)) + last
+        _rows.append(np.logaddexp(np.append(stay, -np.inf), np.append(-np.inf, last)))
+    return _rows[c]
+
+
+#: Terms of the alternating series, used up to SERIES * c ** discount tables, where it loses no more than three digits.
+TERMS, SERIES = 120, 2.0
+_J = np.arange(1, TERMS + 1)
+_SIGN = -np.sin(np.pi * DISCOUNT * _J) / np.pi * np.where(_J % 2, -1, 1)
+_LOG_J = np.array([math.lgamma(DISCOUNT * j + 1) - math.lgamma(j + 1) for j in _J])
+
+
+def _log_ways_at(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """_log_ways of many customers at some numbers of tables, without a row of them all."""
+    c, t = c.astype(np.float64), t.astype(np.float64)
+    out = np.empty(len(c))
+    t_factorial = np.where(t > 100, _lgamma(np.maximum(t, 100) + 1), np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 101)))])[np.minimum(t, 100).astype(np.int64)])
+    few = t <= SERIES * c**DISCOUNT
+    for part in np.array_split(np.flatnonzero(few), max(1, int(few.sum()) // 4096)):
+        left = np.maximum(t[part, None] - _J + 1, 0)
+        falling = np.cumsum(np.where(left > 0, np.log(np.maximum(left, 1)), -np.inf), axis=1)
+        log = falling + _LOG_J + _lgamma(c[part, None] - DISCOUNT * _J) - _lgamma(c[part, None])
+        top = log.max(axis=1)
+        out[part] = top + np.log(np.maximum((_SIGN * np.exp(log - top[:, None])).sum(axis=1), 1e-300)) + _lgamma(c[part]) - t[part] * np.log(DISCOUNT) - t_factorial[part]
+    rest = np.flatnonzero(~few)
+    if len(rest):
+        # coefficient of x ** c in u ** t, u = 1 - (1 - x) ** discount, by its saddle point; y = -log(1 - x)
+        n, k = c[rest], t[rest]
+        k = np.minimum(k, n - 1e-3)
+        lo, hi = np.full(len(rest), -25.0), np.full(len(rest), 5.0)
+        mean = lambda y: np.expm1(y) * DISCOUNT * np.exp(-DISCOUNT * y) / -np.expm1(-DISCOUNT * y)
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            low = k * mean(np.exp(mid)) < n
+            lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
+        y = np.exp((lo + hi) / 2)
+        x, u = -np.expm1(-y), -np.expm1(-DISCOUNT * y)
+        m = mean(y)
+        spread = k * m * (1 + x / (1 - x) * (1 - DISCOUNT) - m)
+        out[rest] = k * np.log(u) - n * np.log(x) - 0.5 * np.log(2 * np.pi * np.maximum(spread, 1e-12)) + _lgamma(n + 1) - k * np.log(DISCOUNT) - t_factorial[rest]
+    out[t >= c] = 0.0
+    return out
+
+
+def _draw_tables(c: np.ndarray, log_weight: np.ndarray, order: list[tuple[int, np.ndarray]], rng) -> np.ndarray:
+    """Numbers of tables of dishes of c customers, each drawn in proportion to its ways * exp(tables * log_weight).
+
+    order: (customers, dishes) of up to ROW customers; 0 and the dishes of more."""
+    t = np.ones(len(c), dtype=np.int64)
+    for n, dishes in order:
+        if n:
+            ways, of = _log_ways(n), np.arange(1, n + 1)
+            for part in np.array_split(dishes, -(-len(dishes) * n // (1 << 20))):
+                log = ways + of * log_weight[part, None]
+                sums = np.cumsum(np.exp(log - log.max(axis=1)[:, None]), axis=1)
+                t[part] = 1 + (sums < (rng.random(len(part)) * sums[:, -1])[:, None]).sum(axis=1)
+        else:
+            for part in np.array_split(dishes, -(-len(dishes) // 512)):
+                t[part] = _draw_many(c[part], log_weight[part], rng)
+    return np.minimum(t, c)
+
+
+def _draw_many(c: np.ndarray, log_weight: np.ndarray, rng) -> np.ndarray:
+    """The same for dishes of more than ROW customers: on a grid that closes in on where the weight lies."""
+    lo, hi = np.ones(len(c)), c.astype(np.float64)
+    for step in range(4):
+        share = np.linspace(0, 1, GRID)
+        at = lo[:, None] * (hi / lo)[:, None] ** share if step == 0 else lo[:, None] + (hi - lo)[:, None] * share
+        at = np.clip(np.round(at), 1, c[:, None])
+        log = _log_ways_at(np.repeat(c, GRID), at.ravel()).reshape(at.shape) + at * log_weight[:, None]
+        log -= log.max(axis=1)[:, None]
+        if step < 3:
+            far = log > -40
+            first, last = far.argmax(axis=1), GRID - 1 - far[:, ::-1].argmax(axis=1)
+            every = np.arange(len(c))
+            lo, hi = at[every, np.maximum(first - 1, 0)], at[every, np.minimum(last + 1, GRID - 1)]
+    # whole numbers, or strides where there are too many; between grid points the logarithm is taken as a line
+    stride = np.maximum(1, (hi - lo) / (16 * GRID - 1))
+    fine = lo[:, None] + stride[:, None] * np.arange(16 * GRID)
+    log = np.stack([np.interp(f, a, x, right=-np.inf) for f, a, x in zip(fine, at, log)])
+    sums = np.cumsum(np.exp(log), axis=1)
+    k = (sums < (rng.random(len(c)) * sums[:, -1])[:, None]).sum(axis=1)
+    spot = fine[np.arange(len(c)), k] + np.where(stride > 1, (rng.random(len(c)) - 0.5) * stride, 0)
+    return np.clip(np.round(spot), 1, c).astype(np.int64)
+
+
 def _reseat(count, group, base, scale, rng) -> tuple[np.ndarray, np.ndarray]:
     """Mean numbers of tables of each dish and of each restaurant.
 
     count: customers of each dish; group: its restaurant; base: the parent's probability of it; scale: parts over which
-    a restaurant is spread, all taken to be alike."""
+    a restaurant is spread, all taken to be alike.
+
+    A sweep reseats all customers. The product of (strength + discount * j) over a restaurant's tables is a gamma
+    integral; given its variable, the restaurant's dishes are independent, and the number of tables of a dish has weight
+    (its ways) * (discount * variable * base) ** tables, from which it is drawn as a whole."""
     n_groups = int(group.max()) + 1 if len(group) else 0
     tables = np.minimum(count, 1).astype(np.int64)
     many = np.flatnonzero(count > 1)
@@ -122,59 +227,29 @@ def _reseat(count, group, base, scale, rng) -> tuple[np.ndarray, np.ndarray]:
     if not len(many):
         return tables.astype(np.float64), fixed
     c, g, p = count[many], group[many], base[many]
-    f = scale[many]
-    start = np.cumsum(c) - c
-    # start: about as many tables as seating one after another gives on average, customers spread over them
+    parts = np.ones(n_groups)
+    parts[g] = scale[many]
+    # start: about as many tables as seating one after another gives on average
     t, done = np.ones(len(c)), np.ones(len(c))
     total = fixed.copy()
     for _ in range(12):
-        weight = (STRENGTH + DISCOUNT * f * total[g]) * p
+        weight = (STRENGTH + DISCOUNT * parts[g] * total[g]) * p
         step = np.minimum(c - done, np.maximum(1, done * 0.8))
         t = np.minimum(t + step * weight / (weight + np.maximum(done - DISCOUNT * t, 0.1)), c)
         done = done + step
-    t = np.clip(np.round(t), 1, c).astype(np.int64)
-    owner = np.repeat(np.arange(len(c)), c)
-    index = np.arange(len(owner)) - start[owner]
-    seat = np.where(index < t[owner], index, (rng.random(len(owner)) * t[owner]).astype(np.int64))
-    size = np.bincount(start[owner] + seat, minlength=len(owner))
-    total = fixed + np.bincount(g, weights=t - 1, minlength=n_groups)
+    total = fixed + np.bincount(g, weights=np.clip(np.round(t), 1, c) - 1, minlength=n_groups)
+    by_count = np.argsort(c, kind="stable")
+    by_count = by_count[: np.searchsorted(c[by_count], ROW, side="right")]
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(c[by_count]) != 0, [True]])) if len(by_count) else np.zeros(1, np.int64)
+    order = [(int(c[by_count[lo]]), by_count[lo:hi]) for lo, hi in zip(edge[:-1], edge[1:])]
+    large = np.flatnonzero(c > ROW)
+    if len(large):
+        order.append((0, large))
     sum_t, sum_total = np.zeros(len(c)), np.zeros(n_groups)
     for sweep in range(BURN_IN + SAMPLES):
-        for j in range(RESEATED):
-            a = np.flatnonzero(c > j)
-            if not len(a):
-                break
-            s0, ca = start[a], c[a]
-            who = np.where(ca <= RESEATED, j, (rng.random(len(a)) * ca).astype(np.int64))
-            old = seat[s0 + who]
-            size[s0 + old] -= 1
-            gone = size[s0 + old] == 0
-            t[a] -= gone
-            np.subtract.at(total, g[a[gone]], 1)
-            weight = (STRENGTH + DISCOUNT * f[a] * total[g[a]]) * p[a]
-            new = rng.random(len(a)) * (weight + (ca - 1) - DISCOUNT * t[a]) < weight
-            chosen = np.full(len(a), -1, dtype=np.int64)
-            # an old table with weight size - discount: a random other customer's, accepted in that proportion
-            todo = np.flatnonzero(~new)
-            while len(todo):
-                other = (rng.random(len(todo)) * (ca[todo] - 1)).astype(np.int64)
-                other += other >= who[todo]
-                k = seat[s0[todo] + other]
-                ok = rng.random(len(todo)) * size[s0[todo] + k] < size[s0[todo] + k] - DISCOUNT
-                chosen[todo[ok]] = k[ok]
-                todo = todo[~ok]
-            # a new table: any free one; there are as many places as customers
-            todo = np.flatnonzero(new)
-            k = old[todo]
-            while len(todo):
-                ok = size[s0[todo] + k] == 0
-                chosen[todo[ok]] = k[ok]
-                todo = todo[~ok]
-                k = (rng.random(len(todo)) * ca[todo]).astype(np.int64)
-            seat[s0 + who] = chosen
-            size[s0 + chosen] += 1
-            t[a] += new
-            np.add.at(total, g[a[new]], 1)
+        variable = rng.gamma(STRENGTH / DISCOUNT + parts * total)
+        t = _draw_tables(c, np.log(np.maximum(DISCOUNT * variable[g] * p, 1e-300)), order, rng)
+        total = fixed + np.bincount(g, weights=t - 1, minlength=n_groups)
         if sweep >= BURN_IN:
             sum_t += t
             sum_total += total

@@ -192,6 +192,40 @@ def test_seating_has_a_table_for_each_dish_at_least():
     assert np.allclose(np.bincount(group, weights=mean, minlength=20), total)
 
 
+def partitions(n):
+    """Table sizes of every seating of n customers."""
+    if not n:
+        yield []
+        return
+    for sizes in partitions(n - 1):
+        for i in range(len(sizes)):
+            yield sizes[:i] + [sizes[i] + 1] + sizes[i + 1 :]
+        yield sizes + [1]
+
+
+def test_ways_of_seating():
+    d = pitman_yor.DISCOUNT
+    want = np.zeros(7)
+    for sizes in partitions(7):
+        want[len(sizes) - 1] += math.prod(i - d for s in sizes for i in range(1, s))
+    assert np.allclose(pitman_yor._log_ways(7), np.log(want))
+    t = np.array([1, 2, 5, 40, 200, 400, 600, 900, 1500, 2500])
+    assert np.allclose(pitman_yor._log_ways_at(np.full(len(t), 3000), t), pitman_yor._log_ways(3000)[t - 1], atol=0.03)
+
+
+@pytest.mark.parametrize("count, base", [(3, 0.2), (2500, 1e-4), (2500, 0.3), (2500, 0.9)])
+def test_all_customers_of_a_dish_are_reseated(count, base):
+    t = np.arange(1, count + 1)
+    log = pitman_yor._log_ways(count) + t * math.log(base) + np.cumsum(np.log(pitman_yor.STRENGTH + pitman_yor.DISCOUNT * (t - 1)))
+    weight = np.exp(log - log.max())
+    mean = (weight * t).sum() / weight.sum()
+    spread = math.sqrt((weight * (t - mean) ** 2).sum() / weight.sum())
+    n = 400
+    got, _ = pitman_yor._reseat(np.full(n, count), np.arange(n), np.full(n, base), np.ones(n), np.random.default_rng(2))
+    assert abs(got.mean() - mean) < 5 * spread / math.sqrt(n) + 0.01 * mean
+    assert 0.5 * spread < got.std() < 1.2 * spread
+
+
 VOCABULARY = bpe.default_vocabulary()
 
 
