@@ -176,7 +176,7 @@ def block_rarest_two(spark, sf):
 
 @query("block_company", "SELECT s_suppkey AS left_id, c_custkey AS right_id FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_nationkey < 5")
 def block_company(spark, sf):
-    s = table(spark, sf, "supplier").where("s_nationkey < 5").select(F.col("s_suppkey").alias("left_id"), F.array(F.struct(F.concat(F.lit("Firm, No. "), F.col("s_nationkey").cast("string")).alias("name"))).alias("manufacturers"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("left_id"), F.array(F.struct(F.concat(F.lit("Firm, No. "), F.col("s_nationkey").cast("string")).alias("name"))).alias("manufacturers"))
     left = s.select("left_id", F.explode(normalize.company_names(s)).alias("key"))
     return blocking.exact_key(left, table(spark, sf, "customer").select(F.col("c_custkey").alias("right_id"), t.normalize_lower(F.concat(F.lit("firm no-"), F.col("c_nationkey").cast("string"))).alias("key")))
 
