@@ -147,7 +147,7 @@ def block_brand_model(spark, sf):
 
 @query("block_rare_category", f"WITH {_POSTINGS}, df AS (SELECT lang, token, count(*) AS df FROM rp GROUP BY 1, 2), lg AS (SELECT doc_id AS right_id, lang FROM documents), hit AS (SELECT DISTINCT m.left_id, m.right_id FROM met m JOIN lg USING (right_id) JOIN df ON df.token = m.token AND df.lang = lg.lang WHERE df.df <= 5) SELECT left_id, right_id, shared FROM pairs JOIN hit USING (left_id, right_id) WHERE shared >= 2")
 def block_rare_category(spark, sf):
-    return blocking.rare_token_overlap(left_postings(spark, sf), right_postings_by(spark, sf), 5, 2, ["lang"])
+    return blocking.rare_token_overlap(left_postings(spark, sf), right_postings_by(spark, sf), 250, 2, ["lang"])
 
 
 @query("block_rare_global", f"WITH {_POSTINGS}, df AS (SELECT token, count(*) AS df FROM rp GROUP BY 1), hit AS (SELECT DISTINCT left_id, right_id FROM met JOIN df USING (token) WHERE df.df <= 10) SELECT left_id, right_id, shared FROM pairs JOIN hit USING (left_id, right_id) WHERE shared >= 2")
@@ -158,7 +158,7 @@ def block_rare_global(spark, sf):
 @query("block_rare_sweep", f"""WITH {_POSTINGS}, df AS (SELECT token, count(*) AS df FROM rp GROUP BY 1), r AS (SELECT left_id, right_id, count(*) AS shared, min(df) AS rarest FROM met JOIN df USING (token) GROUP BY 1, 2 HAVING count(*) >= 2),
   x AS (SELECT lim AS df_limit, left_id, count(*) AS n FROM r, (VALUES (2), (5), (10), (25), (50), (100), (250), (500)) v(lim) WHERE rarest <= lim GROUP BY 1, 2) SELECT df_limit, count(*) AS left_rows, sum(n)::BIGINT AS pairs, max(n) AS largest FROM x GROUP BY 1""")
 def block_rare_sweep(spark, sf):
-    return blocking.sensitivity(left_postings(spark, sf), right_postings(spark, sf), [2, 5, 10, 25, 50, 100, 250, 500])
+    return blocking.sensitivity(left_postings(spark, sf), right_postings(spark, sf), [50, 100, 250, 500, 1000, 2500, 5000, 10000])
 
 
 _RAREST = "df AS (SELECT token, count(*) AS df FROM rp GROUP BY 1), rk AS (SELECT left_id, token, df, row_number() OVER (PARTITION BY left_id ORDER BY df, token) AS rank FROM lp JOIN df USING (token))"
