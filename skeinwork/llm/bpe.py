@@ -92,6 +92,9 @@ class Bpe:
         self.word_start = np.zeros(0, dtype=np.int64)
         self.word_count = np.zeros(0, dtype=np.int64)
         self.word_ids = np.zeros(0, dtype=np.uint32)
+        self.word_bytes = np.zeros(0, dtype=np.uint8)
+        self.word_at = np.zeros(0, dtype=np.int64)
+        self.word_size = np.zeros(0, dtype=np.int64)
 
     def merged(self, word: bytes) -> list[int]:
         """Exact merging: the leftmost of the pairs of lowest rank first, kept in a heap over a linked list."""
@@ -177,6 +180,21 @@ class Bpe:
         self.word_key = all_keys[order]
         self.word_start = np.concatenate([self.word_start, start])[order]
         self.word_count = np.concatenate([self.word_count, counts])[order]
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        at = len(self.word_bytes) + np.cumsum(sizes) - sizes
+        self.word_bytes = np.concatenate([self.word_bytes, np.frombuffer(b"".join(words), dtype=np.uint8)])
+        self.word_at = np.concatenate([self.word_at, at])[order]
+        self.word_size = np.concatenate([self.word_size, sizes])[order]
+
+    def _misread(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Words of a block whose bytes differ from those of the kept word that their hash points to."""
+        size = ends - starts
+        bad = self.word_size[word] != size
+        size = np.where(bad, 0, size)
+        differ = data[common.ragged(starts, size)] != self.word_bytes[common.ragged(self.word_at[word], size)]
+        if differ.any():
+            bad[np.repeat(np.arange(len(size)), size)[differ]] = True
+        return np.flatnonzero(bad)
 
     def _word_starts(self, data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """Byte positions at which words begin. cuts: positions that no word crosses, the block's begin and end among them."""
@@ -244,7 +262,7 @@ class Bpe:
                 drop[a + 1 : b] = True
             starts = starts[~drop[starts]]
         ends = np.append(starts[1:], len(data))
-        keys = common.ByteHasher(data).ranges(starts, ends)
+        keys = common.range_hashes(data, starts, ends)
         uniq, first, inv = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.word_key) > KEPT_WORDS:
             self._forget_words()
@@ -256,15 +274,19 @@ class Bpe:
             new = np.flatnonzero(~known)
             self._learn(uniq[new], [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
             at = np.searchsorted(self.word_key, uniq)
-        count, begin = self.word_count[at][inv], self.word_start[at][inv]
+        word = at[inv]
+        count, begin = self.word_count[word], self.word_start[word]
+        # special tokens, and words that share another word's hash, have ids of their own
+        own = {i: self.merged(raw[starts[i] : ends[i]]) for i in self._misread(data, starts, ends, word).tolist()}
         if marks:
             token_at = {a: t for a, _, t in marks}
-            special = np.flatnonzero(np.isin(starts, list(token_at)))
-            extra = np.array([token_at[int(starts[i])] for i in special], dtype=np.uint32)
-            count[special], begin[special] = 1, len(self.word_ids) + np.arange(len(special))
-            ids_pool = np.concatenate([self.word_ids, extra])
-        else:
-            ids_pool = self.word_ids
+            own |= {i: [token_at[int(starts[i])]] for i in np.flatnonzero(np.isin(starts, list(token_at))).tolist()}
+        ids_pool = self.word_ids
+        if own:
+            which = np.array(list(own))
+            count[which] = [len(x) for x in own.values()]
+            begin[which] = len(ids_pool) + np.cumsum(count[which]) - count[which]
+            ids_pool = np.concatenate([ids_pool, np.array([t for x in own.values() for t in x], dtype=np.uint32)])
         ids = ids_pool[common.ragged(begin, count)]
         sums = np.concatenate([[0], np.cumsum(count)])
         return ids, np.diff(sums[np.searchsorted(starts, off)])

@@ -245,6 +245,39 @@ def test_bpe_agrees_with_the_library(spark):
         assert got[i].decoded_sha256 == hashlib.sha256(back.encode()).hexdigest() and got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
+def self_similar():
+    """Two different words of 1,024 letters that any polynomial hash modulo 2**64 takes for one."""
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_self_similar_words_stay_apart(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    a, b = self_similar()
+    d = spark.createDataFrame([(i, x, "s", "k", None) for i, x in enumerate([a, b, a])], DOCS).coalesce(1)
+    library = Tokenizer.from_file(VOCABULARY)
+    assert [r.ids for r in bpe.encode(d, VOCABULARY).orderBy("doc_id").collect()] == [library.encode(x, add_special_tokens=False).ids for x in (a, b, a)]
+    assert [r.component_id for r in near_dedup.near_groups(d, near_dedup.CONTRACT).orderBy("doc_id").collect()] == [0, 1, 0]
+    d.write.parquet(str(tmp_path / "d"))
+    got = pitman_yor.score(spark.read.parquet(str(tmp_path / "d"))).orderBy("doc_id").collect()
+    train = Counter(w for i, x in enumerate([a, b, a]) if zlib.crc32(str(i).encode()) % 5 != 1 for w in (x, "$"))
+    assert [r.n_known for r in got] == [(train[x] > 0) + (train["$"] > 0) for x in (a, b, a)]
+
+
+def test_words_of_one_hash_are_told_apart_by_their_bytes(monkeypatch):
+    from tokenizers import Tokenizer
+
+    real = bpe.common.range_hashes
+    monkeypatch.setattr(bpe.common, "range_hashes", lambda *x: real(*x) % np.uint64(5))
+    text = "the river ran quietly past the old mill and nobody knew why"
+    encoder = bpe.Bpe(open(VOCABULARY, encoding="utf-8").read())
+    ids, _ = encoder.encode_block(np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text)]))
+    assert ids.tolist() == Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("f", [
     lambda d: suffix_dedup.remove_repeats(d), lambda d: near_dedup.near_groups(d), lambda d: pitman_yor.score(d), lambda d: bpe.encode(d, VOCABULARY),
     lambda d: quality.score(d, quality.learn(d, d.select("doc_id", F.lit(1).alias("quality")))),
