@@ -5,14 +5,16 @@ folded into an odd sketch, a bitmap in which every (position, sample) flips one
 of two sketches estimates how many samples differ, most precisely at high similarity. Candidates that pass that
 estimate are confirmed on their whole sets.
 
-Documents of equal sets are one class from the start and stand for each other. Then rounds follow. In the first each
-class asks for one link, to the partner of least id with which it shares most bands. In the next ones only classes that are not yet
-connected ask: in tiles of a bucket each asks for its best 1, 16, ... and at last for all partners in other components whose
-sketches pass. A pair is confirmed once at most. So no list of all pairs of a group is ever made, and no link that would
-join two components is left out, whatever the size of a bucket.
-
-Null texts and texts without words have an empty set and link with nothing. Rows of one id count as one node. Null ids
-are left out of linking and kept. An empty table gives an empty result. Other columns pass through `drop_near_copies`.
+Documents of equal sets are one class from the start and stand for each other. In a first round each class asks for one
+link, to the partner of least id with which it shares most bands. Then the buckets that still hold several components are
+cut into tiles of bounded rows and shingles. A tile looks at the pairs that meet in its bucket first, leaves out those in one
+component and those that sizes, recurring shingles or sketches rule out, compares whole sets of the others, and gives no
+more than the edges that join its components. So no list of pairs is ever made, and no link that would join two
+components is left out, whatever the size of a bucket.
+
+Null texts and texts without words have an empty set and link with nothing. Rows of one id count as one node, whatever
+their texts. Null ids are left out of linking and kept. An empty table gives an empty result. Other columns pass through
+`drop_near_copies`.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
@@ -41,6 +42,7 @@ class Settings:
     words: int = 16  # 64-bit words of an odd sketch
     seed: int = 11
     tile: int = 1024  # rows of a tile's side
+    tile_shingles: int = 1 << 19  # shingles of a tile's side, unless one row has more
     slack: float = 4.5  # standard deviations by which an estimate may fall short
 
     @property
@@ -213,52 +215,117 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return common.map_batches(sized, run, "a long, b long, linked boolean")
 
 
-def _asked(tiles: DataFrame, most: int, s: Settings) -> DataFrame:
-    """(a, b) for which members of different components ask in their tiles, at most `most` for each member.
-
-    Pairs are left out whose sizes or numbers of recurring shingles rule a link out, or whose sketches differ too much.
-    tiles: (tile, side, rep, comp, n, common, odd). A tile with one side is a bucket's part against itself, one with both a part
-    against another; either has a bounded number of rows, and all rows of a tile are in one partition, one after another."""
-    limit = s.most_bits
-
-    def pairs_of(side, rep, comp, n, common_, odd):
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1)
-        # pairs inside the tile's largest component are settled, so one of the two is always outside it
-        names, times = np.unique(comp, return_counts=True)
-        outside = comp != names[times.argmax()]
-        if not len(right):
-            work = [(left[outside[left]], left)]
-        else:
-            work = [(left[outside[left]], right), (left[~outside[left]], right[outside[right]])]
-        out = []
-        for rows, others in work:
-            step = max(1, (1 << 21) // max(1, len(others) * s.words))
-            for p in range(0, len(rows) if len(others) else 0, step):
-                i = rows[p : p + step]
-                bits = np.bitwise_count(odd[i][:, None, :] ^ odd[others][None, :, :]).sum(2, dtype=np.int32)
-                most_shared = np.minimum(common_[i][:, None], common_[others][None, :])
-                possible = s.den * most_shared >= s.num * (n[i][:, None] + n[others][None, :] - most_shared)
-                bits = np.where((comp[i][:, None] != comp[others][None, :]) & possible & (bits <= limit), bits, 1 << 20)
-                k = min(most, len(others))
-                best = np.argpartition(bits, k - 1, axis=1)[:, :k] if k < len(others) else np.broadcast_to(np.arange(len(others)), bits.shape)
-                ok = np.take_along_axis(bits, best, axis=1) < 1 << 20
-                r, c = np.nonzero(ok)
-                out.append(np.stack([rep[i[r]], rep[others[best[r, c]]]]))
-        both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return np.maximum(both[0], both[1]), np.minimum(both[0], both[1])
+#: Columns of a tile's rows; `members` only where whole sets are compared.
+TILE_COLUMNS = ["tile", "side", "band", "node", "comp", "n", "common", "bands", "odd"]
+
+
+def _candidates(rows: pa.Table, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows of one tile that may be linked, in blocks: of different components, meeting in this band first,
+    with sizes, numbers of recurring shingles and sketches that allow a link.
+
+    A tile with one side is a bucket's part against itself, one with both a part against another."""
+    side, comp, n, common_ = (rows.column(c).to_numpy() for c in ("side", "comp", "n", "common"))
+    band = rows.column("band")[0].as_py()
+    bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(side), s.bands)
+    odd = rows.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(side), s.words)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    one = not len(right)
+    right = left if one else right
+    for p in range(0, len(left), step := max(1, (1 << 19) // max(1, len(right)))):
+        i = left[p : p + step]
+        most = np.minimum(common_[i][:, None], common_[right][None, :])
+        ok = (comp[i][:, None] != comp[right][None, :]) & (s.den * most >= s.num * (n[i][:, None] + n[right][None, :] - most))
+        if one:
+            ok &= i[:, None] < right[None, :]
+        a, b = np.nonzero(ok)
+        a, b = i[a], right[b]
+        for q in range(0, len(a), 1 << 16):
+            x, y = a[q : q + (1 << 16)], b[q : q + (1 << 16)]
+            near = np.bitwise_count(odd[x] ^ odd[y]).sum(1, dtype=np.int32) <= s.most_bits
+            x, y = x[near], y[near]
+            first = (bands[x] == bands[y]).argmax(1) == band
+            if first.any():
+                yield x[first], y[first]
+
+
+def _tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The tiles, one after another, of rows sorted by tile."""
+    for rows in common.whole_runs(batches):
+        tile = rows.column("tile").to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield rows.slice(a, b - a)
+
+
+def _hopeful(tiles: DataFrame, s: Settings) -> DataFrame:
+    """(tile, side, band, node) of the rows that have a candidate in their tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in common.whole_runs(batches):
-            tile = rows.column("tile").to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]]))
-            cols = [rows.column(c).to_numpy() for c in ("side", "rep", "comp", "n", "common")]
-            odd = rows.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(tile), s.words)
-            got = [pairs_of(*[c[a:b] for c in cols], odd[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[k] for g in got]), pa.int64()) for k in (0, 1)], names=["a", "b"])
+        for rows in _tiles_of(batches):
+            hit = np.zeros(rows.num_rows, dtype=bool)
+            for i, j in _candidates(rows, s):
+                hit[i] = hit[j] = True
+            if hit.any():
+                yield from rows.select(["tile", "side", "band", "node"]).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    ordered = tiles.select(*TILE_COLUMNS).repartition("tile").sortWithinPartitions("tile")
+    return common.map_batches(ordered, run, "tile long, side int, band int, node long")
+
+
+def _shared(sets: list[np.ndarray], width: int = 1 << 16) -> Iterator[np.ndarray]:
+    """Bitmaps of the shingles that several sets hold, rows x uint64, `width` shingles at a time."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    name = np.cumsum(new) - 1
+    several = np.bincount(name) > 1
+    name, owner = (np.cumsum(several) - 1)[name], owner[several[name]]
+    name = name[several[np.cumsum(new) - 1]]
+    for lo in range(0, int(name[-1]) + 1 if len(name) else 0, width):
+        a, b = np.searchsorted(name, [lo, lo + width])
+        bits = np.zeros((len(sets), min(width, int(name[-1]) + 1 - lo) + 63 >> 6), dtype=np.uint64)
+        at = name[a:b] - lo
+        np.bitwise_or.at(bits, (owner[a:b], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        yield bits
+
+
+def _joined(tiles: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): edges between components that links confirmed on whole sets join, no more of them than a tile has components."""
+
+    def edges(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        pairs = list(_candidates(rows, s))
+        i, j = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
+        n, comp = rows.column("n").to_numpy(), rows.column("comp").to_numpy()
+        both = np.zeros(len(i), dtype=np.int64)
+        if len(i):
+            for bits in _shared([np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("members").combine_chunks()]):
+                step = max(1, (1 << 21) // bits.shape[1])
+                for p in range(0, len(i), step):
+                    both[p : p + step] += np.bitwise_count(bits[i[p : p + step]] & bits[j[p : p + step]]).sum(1, dtype=np.int64)
+        ok = s.den * both >= s.num * (n[i] + n[j] - both)
+        a, b = comp[i[ok]], comp[j[ok]]
+        # only edges that span what they join
+        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = at[: len(a)], at[len(a) :]
+        low = np.arange(len(names))
+        while len(x):
+            least = np.minimum(low[x], low[y])
+            if (low[x] == least).all() and (low[y] == least).all():
+                break
+            np.minimum.at(low, x, least)
+            np.minimum.at(low, y, least)
+        return names, names[low]
 
-    ordered = tiles.select("tile", "side", "rep", "comp", "n", "common", "odd").repartition("tile").sortWithinPartitions("tile")
-    return common.map_batches(ordered, run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _tiles_of(batches):
+            a, b = edges(rows)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a[a != b], pa.int64()), pa.array(b[a != b], pa.int64())], names=["a", "b"])
+
+    ordered = tiles.select(*TILE_COLUMNS, "members").repartition("tile").sortWithinPartitions("tile")
+    return common.map_batches(ordered, run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -268,71 +335,70 @@ def near_groups(docs: DataFrame, settings: Settings = Settings(), id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sk = common.stored(sketches(rows, s), path, "sketches")
     linkable = sk.where("n_shingles > 0 and doc_id is not null")
+    # ids with several sets: their classes have nodes of their own, tied to the id
+    several = common.stored(linkable.groupBy("doc_id").agg(F.min("set_a").alias("lo"), F.max("set_a").alias("hi")).where("lo <> hi").select("doc_id"), path, "several")
     # classes of equal sets; the smallest id stands for each
-    reps = linkable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    classes = common.stored(linkable.select("doc_id", "set_a", "set_b").distinct().join(reps, ["set_a", "set_b"]).select("doc_id", "rep", "set_a", "set_b"), path, "classes")
-    heads = classes.where("doc_id = rep").select("rep", "set_a", "set_b").dropDuplicates(["set_a", "set_b"])
-    head_rows = linkable.join(heads, (linkable["doc_id"] == heads["rep"]) & (linkable["set_a"] == heads["set_a"]) & (linkable["set_b"] == heads["set_b"])).select("rep", F.col("n_shingles").alias("n"), linkable["set_a"].alias("set_a"), "bands", "odd").dropDuplicates(["rep"])
-    postings = head_rows.select("rep", F.explode("bands").alias("bucket"))
-    shared = postings.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("least")).where("size > 1")
-    met = common.stored(postings.join(shared, "bucket"), path, "met")
-    # round 1: each class asks for the partner of least id with which it shares most bands
+    heads = linkable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "odd")])
+    own = F.xxhash64("set_a", "set_b").bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)
+    heads = heads.join(several.withColumn("many", F.lit(True)), "doc_id", "left").withColumn("node", F.when(F.col("many"), own).otherwise(F.col("doc_id"))).drop("many")
+    heads = common.stored(heads.withColumnRenamed("n_shingles", "n"), path, "heads")
+    postings = heads.select("node", F.posexplode("bands").alias("band", "bucket"))
+    shared = postings.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1")
+    met = common.stored(postings.join(shared.drop("size"), "bucket"), path, "met", drop_shuffle=True)
+    info = common.stored(heads.join(met.select("node").distinct(), "node", "left_semi"), path, "info")
+    # first round: each class asks for the partner of least id with which it shares most bands
     bits = F.expr("aggregate(zip_with(p, q, (u, v) -> bit_count(u ^ v)), 0, (t, u) -> t + u)")
-    info = head_rows.select("rep", "n", "set_a", "odd").join(met.select("rep").distinct(), "rep", "left_semi")
-    info = common.stored(info, path, "info")
-    star = met.where("least < rep").groupBy("rep", "least").agg(F.count("*").alias("times")).groupBy("rep").agg(F.max_by("least", F.struct("times", -F.col("least"))).alias("b")).select(F.col("rep").alias("a"), "b")
+    star = met.where("least < node").groupBy("node", "least").agg(F.count("*").alias("times")).groupBy("node").agg(F.max_by("least", F.struct("times", -F.col("least"))).alias("b")).select(F.col("node").alias("a"), "b")
     fits = (
-        star.join(info.select(F.col("rep").alias("a"), F.col("odd").alias("p"), F.col("n").alias("m")), "a").join(info.select(F.col("rep").alias("b"), F.col("odd").alias("q"), "n"), "b")
+        star.join(info.select(F.col("node").alias("a"), F.col("odd").alias("p"), F.col("n").alias("m")), "a").join(info.select(F.col("node").alias("b"), F.col("odd").alias("q"), "n"), "b")
         .where(bits <= s.most_bits).where(f"{s.den} * least(m, n) >= {s.num} * greatest(m, n)").select("a", "b")
     )
-    texts = rows.join(info.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     # rows of one id can have several sets; the one whose digest heads the class is meant
-    sets = common.stored(_whole_sets(texts.select("doc_id", "text"), s).join(info.select("rep", "set_a"), "rep").where(F.col("digest") == F.col("set_a")).select("rep", "members").dropDuplicates(["rep"]), path, "sets")
-    tested = common.stored(_confirmed(fits, sets, s), path, "tested1")
-    paths = [tested]
-    links = tested.where("linked").select("a", "b")
-    comp = common.components(links, path, "cc1_")
+    texts = rows.join(info.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = _whole_sets(texts, s).join(info.select("node", F.col("doc_id").alias("rep"), F.col("set_a").alias("digest")), ["rep", "digest"])
+    sets = common.stored(sets.groupBy("node").agg(F.first("members").alias("members")), path, "sets", drop_shuffle=True)
+    links = common.stored(_confirmed(fits, sets.withColumnRenamed("node", "rep"), s).where("linked").select("a", "b"), path, "links1", drop_shuffle=True)
+    ties = linkable.join(several, "doc_id", "left_semi").join(heads.select("set_a", "set_b", "node"), ["set_a", "set_b"]).select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    comp = common.components(links.union(ties), path, "first")
+
     def unsettled(extra):
-        """Rows (bucket, rep, comp, parts) of buckets that hold several components."""
-        at = extra.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
-        slim = met.select("bucket", "rep").join(at.select("rep", "comp"), "rep")
-        mixed = slim.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", F.ceil(F.col("size") / s.tile).cast("int").alias("parts"))
-        return at, slim.join(mixed, "bucket")
+        """Rows (bucket, band, node, parts) of the buckets that hold several components, and extra with its components."""
+        at = extra.join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        slim = met.select("bucket", "band", "node").join(at.select("node", "comp", "n"), "node")
+        parts = F.ceil(F.greatest(F.count("*") / s.tile, F.sum("n") / s.tile_shingles)).cast("int")
+        mixed = slim.groupBy("bucket").agg(parts.alias("parts"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "parts")
+        return at, slim.select("bucket", "band", "node").join(mixed, "bucket")
 
-    _, open_rows = unsettled(info)
     # only classes in such buckets can still link, so only their shingles count as recurring
-    open_sets = sets.join(open_rows.select("rep").distinct(), "rep", "left_semi")
+    _, open_rows = unsettled(info)
+    open_sets = common.stored(sets.join(open_rows.select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "rep"), path, "open_sets")
     n_buckets = max(4, -(-int(open_sets.agg(F.sum(F.length("members"))).first()[0] or 0) // (8 << 20)))
-    open_info = common.stored(info.join(_recurring(open_sets, s, n_buckets), "rep").where(f"{s.den} * common >= {s.num} * n").drop("set_a"), path, "open")
-    for k, most in enumerate([1, 16, 256, 1 << 30]):
-        at, placed = unsettled(open_info)
-        # a bucket of several parts is compared part by part: each row goes to one tile for every part
-        placed = placed.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        tiles = placed.select(
-            F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("tile"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "rep",
-        ).join(at, "rep")
-        ask = common.stored(_asked(tiles, most, s), path, f"asked{k + 2}")
-        if not ask.take(1):
-            break
-        for old in paths:
-            ask = ask.join(old.select("a", "b"), ["a", "b"], "left_anti")
-        new = common.stored(_confirmed(ask, sets, s), path, f"tested{k + 2}")
-        paths.append(new)
-        if new.where("linked").take(1):
-            links = links.union(new.where("linked").select("a", "b"))
-            comp = common.components(links, path, f"cc{k + 2}_")
-    # rows of one id but different sets tie their classes together
-    ties = classes.groupBy("doc_id").agg(F.min("rep").alias("b"), F.collect_set("rep").alias("reps")).where("size(reps) > 1").select(F.explode("reps").alias("a"), "b")
-    if ties.take(1):
-        comp = common.components(links.union(ties.where("a <> b")), path, "ccx_")
-    root = classes.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
-    out = sk.select("doc_id", "n_shingles").join(root, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    recurring = _recurring(open_sets, s, n_buckets).withColumnRenamed("rep", "node")
+    open_info = common.stored(info.join(recurring, "node").where(f"{s.den} * common >= {s.num} * n").select("node", "n", "common", "bands", "odd"), path, "open")
+    at, placed = unsettled(open_info)
+    # a bucket of several parts is compared part by part: each row goes to one tile for every part
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = placed.select(
+        F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("tile"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "band", "node",
+    )
+    hopeful = common.stored(_hopeful(tiles.join(at, "node"), s), path, "hopeful", drop_shuffle=True)
+    if hopeful.take(1):
+        whole = hopeful.join(at, "node").join(sets, "node")
+        again = common.components(common.stored(_joined(whole, s), path, "links2", drop_shuffle=True), path, "second")
+    else:
+        again = comp.limit(0)
+    first = heads.select("set_a", "set_b", "node").join(comp, "node", "left").select("set_a", "set_b", F.coalesce("root", "node").alias("node"))
+    root = common.stored(first.join(again, "node", "left").select("set_a", "set_b", F.coalesce("root", "node").alias("root")), path, "roots")
+    out = sk.select("doc_id", "n_shingles", "set_a", "set_b").join(root, ["set_a", "set_b"], "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component; all columns stay."""
-    gone = near_groups(docs, settings, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"))
+    """docs with one document of each component, the one of least id; all columns stay.
+
+    Rows of one id are one document: they stay or go together."""
+    gone = near_groups(docs, settings, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
 
 

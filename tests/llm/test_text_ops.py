@@ -119,6 +119,50 @@ def test_near_groups_agree_with_brute_force(docs, rows):
     assert sum(not r.kept for r in got.values()) > 20
 
 
+def brute_components(sets, num, den):
+    """Smallest id reachable over links of whole sets, by comparing all pairs."""
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both = len(sets[a] & sets[b])
+            if both and den * both >= num * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("tile, shingles", [(1024, 1 << 19), (7, 1 << 19), (1024, 500)])
+def test_large_near_group_in_tiles(spark, tile, shingles):
+    rng = random.Random(8)
+    base = prose(rng, 100).split()
+    rows = []
+    for i in range(150):  # edits of one text, most pairs of them close to the threshold
+        w = list(base)
+        for k in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = "edit%d" % rng.randrange(6)
+        rows.append((i, " ".join(w), "s", "k", None))
+    rows += [(200, " ".join(base * 60), "s", "k", None), (201, " ".join(base * 61), "s", "k", None)]
+    s = near_dedup.Settings(shingle=3, num=85, den=100, tile=tile, tile_shingles=shingles)
+    sets = {i: {tuple(x.split()[k : k + 3]) for k in range(len(x.split()) - 2)} for i, x, *_ in rows}
+    want = brute_components(sets, 85, 100)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(spark.createDataFrame(rows, DOCS), s).collect()}
+    assert got == want and 1 < len(set(want.values())) < 150
+
+
+def test_one_id_with_several_texts_ties_their_classes(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "pq")
+    d = spark.createDataFrame([(5, a, "", "", ""), (5, b, "", "", ""), (6, a + " x", "", "", ""), (7, b + " y", "", "", ""), (4, b, "", "", ""), (8, "alone", "", "", "")], DOCS)
+    got = sorted((r.doc_id, r.component_id) for r in near_dedup.near_groups(d, near_dedup.CONTRACT).collect())
+    assert got == [(4, 4), (5, 4), (5, 4), (6, 4), (7, 4), (8, 8)]
+
+
 def test_drop_near_copies_keeps_columns(docs):
     out = near_dedup.drop_near_copies(docs, near_dedup.CONTRACT)
     assert out.columns == docs.columns and 0 < out.count() < docs.count()
