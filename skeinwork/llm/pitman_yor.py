@@ -11,10 +11,14 @@ Texts are lower-cased (A-Z) and cut into words `[^\\x20\\x09-\\x0D]+`, then one
 the end. A null id is never held out. Repeated rows count and score separately. With no training rows every word is
 unknown and the parent is all new-table mass. An empty table gives an empty result. Other columns are ignored.
 
+While contexts are seated, the parent has one table for each dish of theirs, so that a word's probability goes by the
+number of contexts that serve it, counted over all training texts; the final parent is made of all sampled tables.
+
 Execution: texts are cut into chunks of `chunks.CHUNK_BYTES` in order of the input's partitions. Chunks send their distinct
-words and word pairs, with counts, to buckets of words and of contexts; a bucket of contexts asks the buckets of words
-for corpus counts before it seats (pairs are sent twice for that, which is cheaper on disk than keeping them); the contexts of a word with more than
-`HOT_SHARE` of all tokens are spread over many buckets. Buckets answer each chunk, and chunks are scored with their
+words and word pairs, with counts, to buckets of words and of contexts. A bucket of contexts tells the buckets of words
+how many contexts serve each word and gets the corpus-wide sums before it seats (pairs are sent twice for that, which is
+cheaper on disk than keeping them); the contexts of a word with more than `HOT_SHARE` of all tokens are spread over many
+buckets. Buckets answer each chunk in the chunk's own order, with narrow numbers, and chunks are scored with their
 answers. Everything that grows with the corpus is shuffled or written, nothing of it goes to the driver but sums and
 the at most 1 / HOT_SHARE hot words.
 """
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import chunks, common
 
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 HOT_SHARE = 0.002
 #: Strength and discount of the contexts' restaurants and of the parent.
 STRENGTH, DISCOUNT = 1.0, 0.8
@@ -211,11 +215,11 @@ def _draw_many(c: np.ndarray, log_weight: np.ndarray, rng) -> np.ndarray:
     return np.clip(np.round(spot), 1, c).astype(np.int64)
 
 
-def _reseat(count, group, base, scale, rng) -> tuple[np.ndarray, np.ndarray]:
+def _reseat(count, group, base, scale, rng, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
     """Mean numbers of tables of each dish and of each restaurant.
 
-    count: customers of each dish; group: its restaurant; base: the parent's probability of it; scale: parts over which
-    a restaurant is spread, all taken to be alike.
+    count: customers of each dish; group: its restaurant; base: the parent's probability of it; scale: by how much the
+    whole restaurant exceeds the piece that is here, if it is spread over buckets.
 
     A sweep reseats all customers. The product of (strength + discount * j) over a restaurant's tables is a gamma
     integral; given its variable, the restaurant's dishes are independent, and the number of tables of a dish has weight
@@ -246,38 +250,50 @@ def _reseat(count, group, base, scale, rng) -> tuple[np.ndarray, np.ndarray]:
     if len(large):
         order.append((0, large))
     sum_t, sum_total = np.zeros(len(c)), np.zeros(n_groups)
-    for sweep in range(BURN_IN + SAMPLES):
+    for sweep in range(burn_in + samples):
         variable = rng.gamma(STRENGTH / DISCOUNT + parts * total)
         t = _draw_tables(c, np.log(np.maximum(DISCOUNT * variable[g] * p, 1e-300)), order, rng)
         total = fixed + np.bincount(g, weights=t - 1, minlength=n_groups)
-        if sweep >= BURN_IN:
+        if sweep >= burn_in:
             sum_t += t
             sum_total += total
     mean = tables.astype(np.float64)
-    mean[many] = sum_t / SAMPLES
-    return mean, sum_total / SAMPLES
-
-
-def _bytes(*arrays: np.ndarray) -> list[bytes]:
-    return [a.tobytes() for a in arrays]
+    mean[many] = sum_t / samples
+    return mean, sum_total / samples
 
 
 def _small(a: np.ndarray) -> bytes:
-    """Whole numbers in the least of 1, 2 or 4 bytes that holds them all."""
+    """Whole numbers in the least of 1, 2, 4 or 8 bytes that holds them all; the last byte says in how many."""
     top = int(a.max(initial=0))
-    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return a.astype(f"<u{width}").tobytes() + bytes([width])
 
 
-def _sized(x, n: int) -> np.ndarray:
-    """n whole numbers of whatever size."""
+def _sized(x) -> np.ndarray:
+    """What `_small` has packed."""
     raw = np.frombuffer(x.as_buffer(), dtype=np.uint8)
-    return raw.view({0: np.uint8, 1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // max(n, 1)])
+    return raw[:-1].view(f"<u{raw[-1]}")
+
+
+def _coded(values: np.ndarray) -> tuple[bytes, bytes]:
+    """Numbers, of which many are equal, as their distinct values and the place of each among them."""
+    names, place = np.unique(values.astype(np.float32), return_inverse=True)
+    return names.tobytes(), _small(place)
+
+
+def _decoded(names, place) -> np.ndarray:
+    return _array(names, np.float32)[_sized(place)]
 
 
 def _array(x, kind) -> np.ndarray:
     return np.frombuffer(x.as_buffer(), dtype=kind)
 
 
+def _digest(words: np.ndarray) -> int:
+    """By which a receiver sees that it has the same words as the sender."""
+    return int(np.bitwise_xor.reduce(words).view(np.int64)) if len(words) else 0
+
+
 def _places(names: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Where the words are among the sorted names, which have them all unless the input changed."""
     where = np.searchsorted(names, words)
@@ -286,7 +302,15 @@ def _places(names: np.ndarray, words: np.ndarray) -> np.ndarray:
     return where
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 5, path: str | None = None) -> DataFrame:
+def _dealt(words: np.ndarray, n_buckets: int) -> dict[int, np.ndarray]:
+    """Bucket -> places of its words, in order."""
+    b = _bucket(words, n_buckets).astype(np.int64)
+    order = np.argsort(b, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], np.diff(b[order]) != 0, [True]])) if len(b) else [0]
+    return {int(b[order[lo]]): order[lo:hi] for lo, hi in zip(cut[:-1], cut[1:])}
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 5, path: str | None = None, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of docs.
 
     docs must give the same rows in the same partitions each time it is read, as files do; otherwise it fails."""
@@ -294,35 +318,34 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
     path = path or common.scratch(spark)
     held_out = F.coalesce(F.pmod(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")), F.lit(5)) == 1, F.lit(False))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (~held_out).alias("train"))
-    size = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
+    size, n_starts = (int(x or 0) for x in rows.select(F.sum(F.octet_length("text")), F.sum(F.col("train").cast("long"))).first())
     n_buckets = max(4, -(-size // BUCKET_BYTES))
 
-    # words: chunk -> bucket of the word -> counts over all training texts
+    # words: chunk -> bucket of the word -> counts over all training texts, and each chunk's places among the bucket's words
     def words_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, held in chunks.chunks(batches):
             h, _, _, train = _tokens(held)
             words, _, counts = _words(h, train)
-            b = _bucket(words, n_buckets)
-            order = np.argsort(b, kind="stable")
-            words, counts, b = words[order], counts[order], b[order]
-            cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
-            for lo, hi in zip(cut[:-1], cut[1:]):
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(b[lo])], pa.int32()), "key": pa.array([key], pa.int64()), "w": pa.array(_bytes(words[lo:hi]), pa.binary()), "c": pa.array(_bytes(counts[lo:hi].astype(np.uint32)), pa.binary())})
+            dealt = _dealt(words, n_buckets)
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(list(dealt), pa.int32()), "key": pa.array([key] * len(dealt), pa.int64()), "w": pa.array([words[at].tobytes() for at in dealt.values()], pa.binary()), "c": pa.array([_small(counts[at]) for at in dealt.values()], pa.binary())})
 
     def words_in(table: pa.Table) -> pa.Table:
         w = [_array(x, np.uint64) for x in table.column("w").combine_chunks()]
-        c = [_array(x, np.uint32) for x in table.column("c").combine_chunks()]
         names, inv = np.unique(np.concatenate(w), return_inverse=True)
         sums = np.zeros(len(names), np.int64)
-        np.add.at(sums, inv, np.concatenate(c).astype(np.int64))
+        np.add.at(sums, inv, np.concatenate([_sized(x) for x in table.column("c").combine_chunks()]).astype(np.int64))
         cut = np.cumsum([0] + [len(x) for x in w])
-        mine = sums[inv]
-        return pa.table({"bucket": table.column("bucket"), "key": table.column("key"), "w": table.column("w"), "c": pa.array(_bytes(*[mine[a:b] for a, b in zip(cut[:-1], cut[1:])]), pa.binary()), "tokens": pa.array([int(sums.sum())] + [0] * (len(w) - 1), pa.int64()), "types": pa.array([int((sums > 0).sum())] + [0] * (len(w) - 1), pa.int64()), "top": pa.array(_bytes(*[names[sums >= max(1, HOT_SHARE * sums.sum())], *[names[:0]] * (len(w) - 1)]), pa.binary()), "top_c": pa.array(_bytes(*[sums[sums >= max(1, HOT_SHARE * sums.sum())], *[sums[:0]] * (len(w) - 1)]), pa.binary())})
+        hottest = sums >= max(1, HOT_SHARE * sums.sum())
+        n, none = len(w), [None] * len(w)
+        return pa.table({
+            "bucket": pa.array([table.column("bucket")[0].as_py()] * (n + 1), pa.int32()), "key": pa.array([-1, *table.column("key").to_pylist()], pa.int64()), "w": pa.array([names.tobytes(), *none], pa.binary()),
+            "c": pa.array([_small(sums), *[_small(inv[a:b]) for a, b in zip(cut[:-1], cut[1:])]], pa.binary()), "tokens": pa.array([int(sums.sum()), *none], pa.int64()), "types": pa.array([int((sums > 0).sum()), *none], pa.int64()),
+            "top": pa.array([names[hottest].tobytes(), *none], pa.binary()), "top_c": pa.array([sums[hottest].tobytes(), *none], pa.binary()),
+        })
 
     sent = common.map_batches(rows, words_out, "bucket int, key long, w binary, c binary")
     words = common.stored(sent.groupBy("bucket").applyInArrow(words_in, "bucket int, key long, w binary, c binary, tokens long, types long, top binary, top_c binary"), path, "words", drop_shuffle=True)
-    totals = words.agg(F.sum("tokens"), F.sum("types")).first()
-    n_train, n_types = int(totals[0] or 0), int(totals[1] or 0)
+    n_train, n_types = (int(x or 0) for x in words.agg(F.sum("tokens"), F.sum("types")).first())
     # a bucket's words with HOT_SHARE of its own tokens, of which only those with HOT_SHARE of all are taken
     tops = words.where(F.length("top") > 0).select("top", "top_c")
 
@@ -347,165 +370,196 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
     def pairs_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, held in chunks.chunks(batches):
             names, _, _, p = pairs_of(held)
+            blobs: list[list[bytes]] = [[], [], [], [], []]
             for lo, hi in zip(p.cut[:-1], p.cut[1:]):
                 vocabulary, index = np.unique(p.word[lo:hi], return_inverse=True)
                 ctx = p.context[lo:hi]
                 run = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1], [True]]))
-                blobs = [ctx[run[:-1]].tobytes(), _small(np.diff(run)), _small(index), _small(p.count[lo:hi]), names[vocabulary].tobytes()]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(p.bucket[lo])], pa.int32()), "key": pa.array([key], pa.int64())} | {f"b{i}": pa.array([x], pa.binary()) for i, x in enumerate(blobs)})
+                for b, x in zip(blobs, (ctx[run[:-1]].tobytes(), _small(np.diff(run)), _small(index), _small(p.count[lo:hi]), names[vocabulary].tobytes())):
+                    b.append(x)
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(p.bucket[p.cut[:-1]].astype(np.int32), pa.int32()), "key": pa.array([key] * len(blobs[0]), pa.int64())} | {f"b{i}": pa.array(x, pa.binary()) for i, x in enumerate(blobs)})
 
     def dishes_of(table: pa.Table):
         """(words, contexts, restaurant, word and customers of each dish, each pair's dish, where chunks' pairs begin) of a bucket."""
         col = lambda i: table.column(f"b{i}").combine_chunks()
         ctx, vocab = [_array(x, np.uint64) for x in col(0)], [_array(x, np.uint64) for x in col(4)]
-        runs = [_sized(x, len(c)).astype(np.int64) for x, c in zip(col(1), ctx)]
-        n_pairs = [int(r.sum()) for r in runs]
-        index, count = ([_sized(x, n) for x, n in zip(col(i), n_pairs)] for i in (2, 3))
+        runs, index, count = ([_sized(x) for x in col(i)] for i in (1, 2, 3))
         names, vinv = np.unique(np.concatenate(vocab), return_inverse=True)
         vstart = np.cumsum([0] + [len(x) for x in vocab])
-        word = np.concatenate([vinv[vstart[i] + x] for i, x in enumerate(index)])
+        word = np.concatenate([vinv[vstart[i] : vstart[i + 1]].astype(np.uint32)[x] for i, x in enumerate(index)])
         cnames, cinv = np.unique(np.concatenate(ctx), return_inverse=True)
-        context = np.repeat(cinv, np.concatenate(runs))
-        uniq, inv = np.unique(context.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64), return_inverse=True)
+        dish = np.repeat(cinv.astype(np.uint64) << np.uint64(32), np.concatenate(runs)) | word
+        del word
+        uniq, inv = np.unique(dish, return_inverse=True)
+        del dish
         c = np.bincount(inv, weights=np.concatenate(count), minlength=len(uniq)).astype(np.int64)
         g, w = (uniq >> np.uint64(32)).astype(np.int64), (uniq & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        return names, cnames, g, w, c, inv, np.cumsum([0] + n_pairs)
-
-    # the corpus frequency of words: only a dish of several customers has a choice of tables, and asks for its word's
-    def wanted(table: pa.Table) -> pa.Table:
-        names, _, _, w, c, _, _ = dishes_of(table)
-        ask = names[np.unique(w[c > 1])]
-        to = _bucket(ask, n_buckets).astype(np.int64)
-        which = np.unique(to)
-        return pa.table({"to": pa.array(which, pa.int32()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(which), pa.int32()), "w": pa.array(_bytes(*[ask[to == k] for k in which]), pa.binary())})
-
-    def counted(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({"bucket": pa.array([], pa.int32()), "w": pa.array([], pa.binary()), "c": pa.array([], pa.binary())})
-        if not right.num_rows:
-            raise ValueError(UNSTEADY)
-        names, first = np.unique(np.concatenate([_array(x, np.uint64) for x in right.column("w").combine_chunks()]), return_index=True)
-        counts = np.concatenate([_array(x, np.int64) for x in right.column("c").combine_chunks()])[first]
-        return pa.table({"bucket": left.column("bucket"), "w": left.column("w"), "c": pa.array(_bytes(*[counts[_places(names, _array(x, np.uint64))] for x in left.column("w").combine_chunks()]), pa.binary())})
+        return names, cnames, g, w, c, inv, np.cumsum([0] + [len(x) for x in index])
+
+    def burden(cnames: np.ndarray, g: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """By which the tables of a spread restaurant's pieces compare: customers of a dish to the power at which tables grow."""
+        return np.bincount(g, weights=np.where(c > 0, c, 0) ** DISCOUNT, minlength=len(cnames))
+
+    # the parent with one table for each dish: buckets tell how many of their restaurants serve a word, and get the sum of all
+    def told(table: pa.Table) -> pa.Table:
+        names, cnames, g, w, c, _, _ = dishes_of(table)
+        bucket = table.column("bucket")[0].as_py()
+        spread = [(int(np.searchsorted(hot, cnames[i])), x) for i, x in zip(np.flatnonzero(np.isin(cnames, hot)).tolist(), burden(cnames, g, c)[np.isin(cnames, hot)].tolist())]
+        serving = np.bincount(w[c > 0], minlength=len(names))
+        names, serving = names[serving > 0], serving[serving > 0]
+        dealt = _dealt(names, n_buckets)
+        to = [*dealt, *[-1 - i for i, _ in spread]]
+        return pa.table({
+            "to": pa.array(to, pa.int32()), "bucket": pa.array([bucket] * len(to), pa.int32()), "w": pa.array([*[names[at].tobytes() for at in dealt.values()], *[b""] * len(spread)], pa.binary()),
+            "n": pa.array([*[_small(serving[at]) for at in dealt.values()], *[b""] * len(spread)], pa.binary()), "burden": pa.array([*[0.0] * len(dealt), *[x for _, x in spread]], pa.float64()),
+        })
+
+    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"bucket": [], "to": [], "digest": [], "n": [], "total": [], "burden": []}
+        if left.num_rows and (to := left.column("to")[0].as_py()) < 0:
+            out = {"bucket": [-1], "to": [to], "digest": [0], "n": [b""], "total": [0], "burden": [float(np.sort(left.column("burden").to_numpy()).sum())]}
+        elif left.num_rows:
+            if not right.num_rows:
+                raise ValueError(UNSTEADY)
+            names = _array(right.column("w").combine_chunks()[0], np.uint64)
+            sums = np.zeros(len(names), dtype=np.int64)
+            asked = [_places(names, _array(x, np.uint64)) for x in left.column("w").combine_chunks()]
+            for at, n in zip(asked, left.column("n").combine_chunks()):
+                sums[at] += _sized(n).astype(np.int64)
+            out = {"bucket": left.column("bucket").to_pylist(), "to": left.column("to").to_pylist(), "digest": [_digest(names[at]) for at in asked], "n": [_small(sums[at]) for at in asked], "total": [int(sums.sum())] + [0] * (len(asked) - 1), "burden": [0.0] * len(asked)}
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.float64())
+        return pa.table({name: pa.array(v, kind) for (name, v), kind in zip(out.items(), kinds)})
+
+    sent = common.map_batches(rows, pairs_out, "bucket int, key long, " + ", ".join(f"b{i} binary" for i in range(5)))
+    asked = sent.groupBy("bucket").applyInArrow(told, "to int, bucket int, w binary, n binary, burden double")
+    serving = asked.groupBy("to").cogroup(words.where("key < 0").select("bucket", "w").groupBy("bucket")).applyInArrow(summed, "bucket int, to int, digest long, n binary, total long, burden double")
+    serving = common.stored(serving, path, "serving", drop_shuffle=True)
+    n_dishes = int(serving.agg(F.sum("total")).first()[0] or 0)
+    whole = np.zeros(len(hot))
+    for r in serving.where("bucket < 0").select("to", "burden").collect():  # a row for each hot word
+        whole[-1 - r["to"]] = r["burden"]
 
     def pairs_in(table: pa.Table, right: pa.Table) -> pa.Table:
         names, cnames, g, w, c, inv, cut = dishes_of(table)
         bucket = table.column("bucket")[0].as_py()
         rng = np.random.default_rng([seed, bucket])
-        seen = np.ones(len(names), dtype=np.int64)
-        for x, y in zip(right.column("w").combine_chunks(), right.column("c").combine_chunks()):
-            seen[_places(names, _array(x, np.uint64))] = _array(y, np.int64)
-        base = np.maximum(seen, 1) / max(n_train, 1)
+        mine = np.flatnonzero(np.bincount(w[c > 0], minlength=len(names)))
+        dealt = _dealt(names[mine], n_buckets)
+        everywhere = np.ones(len(names), dtype=np.int64)
+        for to, digest, n in zip(right.column("to").to_pylist(), right.column("digest").to_pylist(), right.column("n").combine_chunks()):
+            at = mine[dealt.pop(to, mine[:0])]
+            if digest != _digest(names[at]):
+                raise ValueError(UNSTEADY)
+            everywhere[at] = _sized(n)
+        if dealt:
+            raise ValueError(UNSTEADY)
+        base = (everywhere - PARENT_DISCOUNT) / (PARENT_STRENGTH + n_dishes)
         trained = np.flatnonzero(c > 0)
         scale = np.ones(len(cnames))
         if len(hot):
             at = np.minimum(np.searchsorted(hot, cnames), len(hot) - 1)
-            scale = np.where(hot[at] == cnames, parts[at], 1).astype(np.float64)
+            scale = np.where(hot[at] == cnames, whole[at] / np.maximum(burden(cnames, g, c), 1e-9), 1.0)
         t = np.zeros(len(c))
         if len(trained):
-            t[trained], _ = _reseat(c[trained], g[trained], base[w[trained]], scale[g[trained]], rng)
+            t[trained], _ = _reseat(c[trained], g[trained], base[w[trained]], scale[g[trained]], rng, burn_in, samples)
         numer = (c - DISCOUNT * t).astype(np.float32)[inv]
-        # tables by word for the parent, customers and tables by context for the restaurants' totals
-        tw = np.bincount(w, weights=t, minlength=len(names))
-        cg, tg = np.bincount(g, weights=c, minlength=len(cnames)), np.bincount(g, weights=t, minlength=len(cnames))
-        own = [pa.table({"to": pa.array([-1], pa.int32()), "key": table.column("key")[i : i + 1].combine_chunks(), "bucket": pa.array([bucket], pa.int32()), "x": pa.array([numer[cut[i] : cut[i + 1]].tobytes()], pa.binary()), "y": pa.array([None], pa.binary())}) for i in range(len(cut) - 1)]
-        both = np.union1d(names[tw > 0], cnames[cg > 0])
-        values = np.zeros((len(both), 3))
-        for k, (who, v) in enumerate(((names, tw), (cnames, cg), (cnames, tg))):
-            some = v > 0
-            values[np.searchsorted(both, who[some]), k] = v[some]
-        to = _bucket(both, n_buckets).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        edges = np.flatnonzero(np.concatenate([[True], np.diff(to[order]) != 0, [True]])) if len(both) else np.zeros(1, np.int64)
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            at = order[lo:hi]
-            own.append(pa.table({"to": pa.array([int(to[at[0]])], pa.int32()), "key": pa.array([-1], pa.int64()), "bucket": pa.array([bucket], pa.int32()), "x": pa.array([both[at].tobytes()], pa.binary()), "y": pa.array([values[at].astype(np.float32).tobytes()], pa.binary())}))
-        return pa.concat_tables(own)
-
-    sent = common.map_batches(rows, pairs_out, "bucket int, key long, " + ", ".join(f"b{i} binary" for i in range(5)))
-    asked = sent.groupBy("bucket").applyInArrow(wanted, "to int, bucket int, w binary")
-    counts = asked.groupBy("to").cogroup(words.select("bucket", "w", "c").groupBy("bucket")).applyInArrow(counted, "bucket int, w binary, c binary")
-    counts = common.stored(counts, path, "counts", drop_shuffle=True)
-    seated = common.stored(sent.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(pairs_in, "to int, key long, bucket int, x binary, y binary"), path, "seated", drop_shuffle=True)
-
-
-    def customers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = {"to": [], "key": [], "x": [], "y": []}
+
+        def put(to: int, key: int, x: bytes, y: bytes) -> None:
+            for k, v in zip(out, (to, key, x, y)):
+                out[k].append(v)
+
+        for i, key in enumerate(table.column("key").to_pylist()):
+            put(-1, key, *_coded(numer[cut[i] : cut[i + 1]]))
+        # tables of each word for the parent (key -1), tables of each context for its restaurant's total (key -2)
+        for key, who, of in ((-1, names, w), (-2, cnames, g)):
+            tables = np.bincount(of, weights=t, minlength=len(who)).astype(np.float32)
+            who, tables = who[tables > 0], tables[tables > 0]
+            for to, at in _dealt(who, n_buckets).items():
+                put(to, key, who[at].tobytes(), tables[at].tobytes())
+        return pa.table({"to": pa.array(out["to"], pa.int32()), "key": pa.array(out["key"], pa.int64()), "bucket": pa.array([bucket] * len(out["to"]), pa.int32()), "x": pa.array(out["x"], pa.binary()), "y": pa.array(out["y"], pa.binary())})
+
+    seated = common.stored(sent.groupBy("bucket").cogroup(serving.where("bucket >= 0").select("bucket", "to", "digest", "n").groupBy("bucket")).applyInArrow(pairs_in, "to int, key long, bucket int, x binary, y binary"), path, "seated", drop_shuffle=True)
+    common.remove(spark, f"{path}/serving")
+
+    # all tables, and those of the restaurant of first words
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([sum(float(_array(y, np.float32).reshape(-1, 3)[:, 0].sum(dtype=np.float64)) for y in batch.column(0))])})
+            all_, first = 0.0, 0.0
+            for key, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if key == -1:
+                    all_ += float(_array(y, np.float32).sum(dtype=np.float64))
+                else:
+                    first += float(_array(y, np.float32)[_array(x, np.uint64) == START].sum(dtype=np.float64))
+            yield pa.RecordBatch.from_pydict({"all": pa.array([all_]), "first": pa.array([first])})
 
-    served = common.map_batches(seated.where("`to` >= 0").select("y"), customers, "n double").agg(F.sum("n")).first()[0] or 0.0
+    tables = seated.where("`to` >= 0").select(F.col("to").alias("bucket"), "key", "x", "y")
+    served, first_tables = (float(x or 0) for x in common.map_batches(tables.select("key", "x", "y"), totals, "all double, first double").agg(F.sum("all"), F.sum("first")).first())
 
     # the parent: tables of all contexts are its customers; each word has one table there
     def parent(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"key": [], "bucket": [], "w": [], "v": []}
-        if right.num_rows:
-            x = np.concatenate([_array(b, np.uint64) for b in right.column("x").combine_chunks()])
-            y = np.concatenate([_array(b, np.float32).reshape(-1, 3) for b in right.column("y").combine_chunks()]).astype(np.float64)
-            names, inv = np.unique(x, return_inverse=True)
-            sums = np.stack([np.bincount(inv, weights=y[:, k], minlength=len(names)) for k in range(3)], axis=1)
-        else:
-            names, sums = np.zeros(0, np.uint64), np.zeros((0, 3))
+        out = {"key": [], "bucket": [], "digest": [], "c": [], "p": [], "pi": [], "t": [], "ti": []}
+        # a bucket without words can still have the restaurant of first words
+        names, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if left.num_rows:
+            at_names = left.column("key").to_pylist().index(-1)
+            names, counts = _array(left.column("w")[at_names], np.uint64), _sized(left.column("c")[at_names]).astype(np.int64)
+        customers, restaurant = np.zeros(len(names)), np.zeros(len(names))
+        for kind, x, y in zip(right.column("key").to_pylist(), right.column("x").combine_chunks(), right.column("y").combine_chunks()):
+            x, y = _array(x, np.uint64), _array(y, np.float32)
+            if kind == -1:
+                customers[_places(names, x)] += y
+            else:
+                restaurant[_places(names, x[x != START])] += y[x != START]
         unknown = (PARENT_STRENGTH + PARENT_DISCOUNT * n_types) / (PARENT_STRENGTH + served)
-        for k, w, c in zip(left.column("key").to_pylist(), left.column("w").combine_chunks(), left.column("c").combine_chunks()):
-            w, c = _array(w, np.uint64), _array(c, np.int64)
-            at = np.minimum(np.searchsorted(names, w), max(0, len(names) - 1))
-            mine = np.where((names[at] == w)[:, None], sums[at], 0.0) if len(names) else np.zeros((len(w), 3))
-            p = np.where(c > 0, (np.maximum(mine[:, 0], 1) - PARENT_DISCOUNT) / (PARENT_STRENGTH + served), unknown)
-            total = STRENGTH + mine[:, 1]
-            alpha = (STRENGTH + DISCOUNT * mine[:, 2]) / total
-            out["key"].append(k)
-            out["bucket"].append(-1)
-            out["w"].append(w.tobytes())
-            out["v"].append(np.stack([c.astype(np.float64), p, alpha, total], axis=1).tobytes())
-        return pa.table({"key": pa.array(out["key"], pa.int64()), "bucket": pa.array(out["bucket"], pa.int32()), "w": pa.array(out["w"], pa.binary()), "v": pa.array(out["v"], pa.binary())})
-
-    tables = seated.where("`to` >= 0").select(F.col("to").alias("bucket"), "x", "y")
-    answers = words.select("bucket", "key", "w", "c").groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(parent, "key long, bucket int, w binary, v binary")
-    answers = answers.unionByName(seated.where("`to` < 0").select("key", "bucket", F.lit(None).cast("binary").alias("w"), F.col("x").alias("v")))
+        p = np.where(counts > 0, (np.maximum(customers, 1) - PARENT_DISCOUNT) / (PARENT_STRENGTH + served), unknown)
+        for k, c in zip(left.column("key").to_pylist(), left.column("c")):
+            if k >= 0:
+                at = _sized(c)
+                for name, v in zip(out, (k, key[0].as_py(), _digest(names[at]), _small(counts[at]), *_coded(p[at]), *_coded(restaurant[at]))):
+                    out[name].append(v)
+        kinds = (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
+        return pa.table({name: pa.array(v, kind) for (name, v), kind in zip(out.items(), kinds)})
+
+    answers = words.select("bucket", "key", "w", "c").groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(parent, "key long, bucket int, digest long, c binary, p binary, pi binary, t binary, ti binary")
+    answers = answers.unionByName(seated.where("`to` < 0").select("key", "bucket", F.col("x").alias("p"), F.col("y").alias("pi")), allowMissingColumns=True)
+    first_total = STRENGTH + n_starts
+    first_alpha = (STRENGTH + DISCOUNT * first_tables) / first_total
 
     def scored(key, left: pa.Table, right: pa.Table) -> pa.Table:
         held = left.select(["doc_id", "text", "train"]).combine_chunks().to_batches()
         names, inv, at, p = pairs_of(held)
-        value = np.zeros((len(names), 4))
-        value[:, 2:] = 1.0
+        count, chance, restaurant = np.zeros(len(names), np.int64), np.zeros(len(names)), np.zeros(len(names))
         numer = np.zeros(len(p.word), dtype=np.float32)
+        dealt = _dealt(names, n_buckets)
         begin = {int(p.bucket[lo]): (lo, hi) for lo, hi in zip(p.cut[:-1], p.cut[1:])}
-        found = 0
-        for b, w, v in zip(right.column("bucket").to_pylist(), right.column("w").combine_chunks(), right.column("v").combine_chunks()):
-            if b < 0:
-                w = _array(w, np.uint64)
-                value[_places(names, w)] = _array(v, np.float64).reshape(-1, 4)
-                found += len(w)
+        for b, digest, *cells in zip(right.column("bucket").to_pylist(), right.column("digest").to_pylist(), *[right.column(k).combine_chunks() for k in ("c", "p", "pi", "t", "ti")]):
+            c, v, vi, t, ti = cells
+            if c.is_valid:
+                place = dealt.pop(b, None)
+                if place is None or digest != _digest(names[place]):
+                    raise ValueError(UNSTEADY)
+                count[place], chance[place], restaurant[place] = _sized(c), _decoded(v, vi), _decoded(t, ti)
             else:
-                lo, hi = begin[b]
-                numer[lo:hi] = _array(v, np.float32)
-                found += hi - lo
-        if found != len(names) + len(numer):
+                lo, hi = begin.pop(b, (0, 0))
+                if len(_sized(vi)) != hi - lo:
+                    raise ValueError(UNSTEADY)
+                numer[lo:hi] = _decoded(v, vi)
+        if dealt or begin:
             raise ValueError(UNSTEADY)
+        # a word's restaurant has as many customers as the word has training tokens, since each is followed by a token
+        total = STRENGTH + count
+        alpha = (STRENGTH + DISCOUNT * restaurant) / total
         ctx_at = np.minimum(np.searchsorted(names, p.context), len(names) - 1)
-        known = names[ctx_at] == p.context
-        # the start of a text is a context, not a word: its totals came with the words only if asked for
-        alpha = np.where(known, value[ctx_at, 2], START_ALPHA)
-        total = np.where(known, value[ctx_at, 3], START_TOTAL)
-        prob = numer / total + alpha * value[p.word, 1]
+        inner = p.context != START
+        prob = numer / np.where(inner, total[ctx_at], first_total) + np.where(inner, alpha[ctx_at], first_alpha) * chance[p.word]
         logs = np.log10(np.maximum(prob, 1e-300))[p.of_token]
-        c = value[inv, 0]
+        c = count[inv]
         base = np.log10((c + 0.5) / (n_train + 0.5 * (n_types + 1)))
         n = sum(b.num_rows for b in held)
         add = lambda x=None: np.bincount(at, weights=x, minlength=n)
         return pa.table({"doc_id": left.column("doc_id"), "train": left.column("train"), "n_tokens": pa.array(add().astype(np.int64)), "n_known": pa.array(add((c > 0).astype(float)).astype(np.int64)), "base_score": pa.array(add(base)), "score": pa.array(add(logs))})
 
-    # totals of the context before first words
-    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1)):
-                v = _array(y, np.float32).reshape(-1, 3)[_array(x, np.uint64) == START]
-                if len(v):
-                    yield pa.RecordBatch.from_pydict({"c": pa.array([float(v[:, 1].sum())]), "t": pa.array([float(v[:, 2].sum())])})
-
-    first = common.map_batches(seated.where("`to` >= 0").select("x", "y"), starts, "c double, t double").agg(F.sum("c"), F.sum("t")).first()
-    START_TOTAL = STRENGTH + (first[0] or 0.0)
-    START_ALPHA = (STRENGTH + DISCOUNT * (first[1] or 0.0)) / START_TOTAL
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, train boolean, n_tokens long, n_known long, base_score double, score double"
     keyed = common.map_batches(rows, chunks.tagged, f"key long, doc_id {docs.schema[id_col].dataType.simpleString()}, text string, train boolean")
     out = keyed.groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(scored, schema)

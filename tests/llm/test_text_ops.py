@@ -207,24 +207,66 @@ def test_language_model(docs, rows):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_every_bucket_seats_against_the_corpus_frequency(spark, tmp_path, monkeypatch):
-    spark.createDataFrame([(i, "y x z" if i < 150 else "z x x", "s", "k", None) for i in range(300)], DOCS).repartitionByRange(2, "doc_id").write.parquet(str(tmp_path / "d"))
-    small = spark.read.parquet(str(tmp_path / "d"))
-    seen = str(tmp_path / "seen")
-    real = pitman_yor._reseat
-
-    def spy(count, group, base, scale, rng):
-        with open(seen, "a") as f:
-            f.write("".join(f"{x!r}\n" for x in base.tolist()))
-        return real(count, group, base, scale, rng)
-
-    monkeypatch.setattr(pitman_yor, "_reseat", spy)
-    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 64)
-    pitman_yor.score(small).collect()
-    train = [r.text.split() + ["$"] for r in small.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 1]
-    counts = Counter(w for ws in train for w in ws)
-    pairs = {(a, b) for ws in train for a, b in zip(["^", *ws], ws)}
-    assert sorted(float(x) for x in open(seen)) == pytest.approx(sorted(counts[b] / sum(counts.values()) for _, b in pairs))
+def gibbs_by_customer(train, sweeps, rng):
+    """Mean tables of each dish, reseating one customer after another; the parent has a table for each dish."""
+    d, strength = pitman_yor.DISCOUNT, pitman_yor.STRENGTH
+    dishes = {}
+    for ws in train:
+        for a, b in zip(["^", *ws], ws):
+            dishes[a, b] = dishes.get((a, b), 0) + 1
+    serving = Counter(b for _, b in dishes)
+    base = {w: (n - pitman_yor.PARENT_DISCOUNT) / (pitman_yor.PARENT_STRENGTH + len(dishes)) for w, n in serving.items()}
+    seats = {k: [1] * n for k, n in dishes.items()}
+    total = Counter()
+    for (a, _), t in seats.items():
+        total[a] += len(t)
+    sums = Counter()
+    for sweep in range(2 * sweeps):
+        for (a, b), t in seats.items():
+            for _ in range(dishes[a, b]):
+                i = rng.choices(range(len(t)), weights=t)[0]
+                t[i] -= 1
+                if not t[i]:
+                    t.pop(i)
+                    total[a] -= 1
+                weights = [x - d for x in t] + [(strength + d * total[a]) * base[b]]
+                i = rng.choices(range(len(weights)), weights=weights)[0]
+                if i == len(t):
+                    t.append(1)
+                    total[a] += 1
+                else:
+                    t[i] += 1
+            if sweep >= sweeps:
+                sums[a, b] += len(t) / sweeps
+    return dishes, sums
+
+
+@pytest.mark.parametrize("hot_share, off", [(2.0, 0.012), (0.05, 0.04)])  # no restaurant is spread over buckets, or most are
+def test_scores_agree_with_a_sampler_of_single_customers(spark, tmp_path, monkeypatch, hot_share, off):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("u v w x y".split()) + rng.choice(["", "", "1"]) for _ in range(rng.randint(0, 9))) for _ in range(120)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(2, "doc_id").write.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 200)
+    monkeypatch.setattr(pitman_yor, "HOT_SHARE", hot_share)
+    got = pitman_yor.score(spark.read.parquet(str(tmp_path / "d")), burn_in=50, samples=400).collect()
+    train = [x.split() + ["$"] for i, x in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    dishes, tables = gibbs_by_customer(train, 400, rng)
+    d, strength, pd, ps = pitman_yor.DISCOUNT, pitman_yor.STRENGTH, pitman_yor.PARENT_DISCOUNT, pitman_yor.PARENT_STRENGTH
+    customers, by_context, by_word = Counter(), Counter(), Counter()
+    for (a, b), n in dishes.items():
+        customers[a] += n
+        by_context[a] += tables[a, b]
+        by_word[b] += tables[a, b]
+    served = sum(by_word.values())
+    unknown = (ps + pd * len(by_word)) / (ps + served)
+    parent = lambda w: (by_word[w] - pd) / (ps + served) if w in by_word else unknown
+    chance = lambda a, w: (dishes.get((a, w), 0) - d * tables[a, w] + (strength + d * by_context[a]) * parent(w)) / (strength + customers[a])
+    for a in ["^", "u", "w1", "never"]:  # probabilities of all words and of any unknown one sum to one
+        assert math.isclose(sum(chance(a, w) for w in by_word) + chance(a, "never"), 1)
+    for r in got:
+        ws = texts[r.doc_id].split() + ["$"]
+        want = sum(math.log10(chance(a, w)) for a, w in zip(["^", *ws], ws))
+        assert abs(r.score - want) < off * len(ws), (r, want)
 
 
 def test_seating_has_a_table_for_each_dish_at_least():
@@ -322,6 +364,14 @@ def test_words_of_one_hash_are_told_apart_by_their_bytes(monkeypatch):
     assert ids.tolist() == Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids
 
 
+def test_language_model_on_awkward_rows(spark, tmp_path):
+    rows = [(None, "a b", "s", "k", None), (1, None, "s", "k", None), (1, None, "s", "k", None), (2, "", "s", "k", None), (2, "a b", "s", "k", None), (3, "x" * 200000, "s", "k", None)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "d"))
+    got = sorted((r.doc_id or 0, r.n_tokens, r.held_out) for r in pitman_yor.score(spark.read.parquet(str(tmp_path / "d"))).collect())
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    assert got == [(0, 3, False), (1, 1, held(1)), (1, 1, held(1)), (2, 1, held(2)), (2, 3, held(2)), (3, 2, held(3))]
+
+
 @pytest.mark.parametrize("f", [
     lambda d: suffix_dedup.remove_repeats(d), lambda d: near_dedup.near_groups(d), lambda d: pitman_yor.score(d), lambda d: bpe.encode(d, VOCABULARY),
     lambda d: quality.score(d, quality.learn(d, d.select("doc_id", F.lit(1).alias("quality")))),
