@@ -7,6 +7,7 @@ import pytest
 
 from skeinwork.llm import exact_dedup, mixing, secrets, sharding
 
+REAL_MD5 = exact_dedup.F.md5
 DOCS = "doc_id long, text string, source string, kept string, size long"
 
 
@@ -35,6 +36,18 @@ def test_drop_copies_keeps_columns(spark):
     assert out.columns == d.columns and sorted(r.doc_id for r in out.where("doc_id is not null").collect()) == [1, 2, 5, 6, 7, 7]
 
 
+def test_drop_copies_keeps_another_text_of_a_dropped_id(spark):
+    d = docs(spark, [(1, "a", "s", "x", 1), (5, "a", "s", "x", 1), (5, "unique text", "s", "x", 1)])
+    assert sorted((r.doc_id, r.text) for r in exact_dedup.drop_copies(d).collect()) == [(1, "a"), (5, "unique text")]
+
+
+def test_texts_that_share_a_hash_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup.F, "md5", lambda c: REAL_MD5(exact_dedup.F.length(c).cast("string")))
+    d = docs(spark, [(4, "ab", "s", "x", 1), (2, "cd", "s", "x", 1), (3, "ab", "s", "x", 1), (9, "cd", "s", "x", 1), (1, "abc", "s", "x", 1), (None, "ab", "s", "x", 1)])
+    got = sorted((r.doc_id or 0, r.keep_id, r.group_size) for r in exact_dedup.exact_groups(d).collect())
+    assert got == [(0, None, 1), (1, 1, 1), (2, 2, 2), (3, 3, 2), (4, 3, 2), (9, 2, 2)]
+
+
 @pytest.mark.parametrize("f", [exact_dedup.exact_groups, mixing.mix_plan, secrets.scan, sharding.shard])
 def test_empty_table(spark, f):
     assert f(docs(spark, [])).count() == 0
