@@ -108,10 +108,10 @@ def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total[-1]) + np.repeat(start - (total - count), count)
 
 
-def text_blocks(batch: pa.RecordBatch, column: str, block_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(batch: pa.RecordBatch, column: str, block_bytes: int = 1 << 20, block_rows: int = 1 << 14) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, past last row, bytes, offsets) of pieces of a text column; null counts as empty.
 
-    Rows stay whole, so a piece is longer than block_bytes only if one text is."""
+    Rows stay whole, so a piece is longer than block_bytes only if one text is; it has block_rows at most."""
     col = batch.column(batch.schema.get_field_index(column))
     n = len(col)
     if not n:
@@ -120,7 +120,7 @@ def text_blocks(batch: pa.RecordBatch, column: str, block_bytes: int = 1 << 20)
     lo = 0
     while lo < n:
         hi = int(np.searchsorted(off, off[lo] + block_bytes, side="right")) - 1
-        hi = min(n, max(hi, lo + 1))
+        hi = min(n, lo + block_rows, max(hi, lo + 1))
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
 

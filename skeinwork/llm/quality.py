@@ -12,6 +12,7 @@ pass through untouched. Labels that are null are not used; of contradicting labe
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +30,8 @@ DIMENSIONS = 48
 NEIGHBOURS = 25
 #: Similarities count with this power.
 SHARPNESS = 8
+#: Texts described at a time, each by a row of N_TERMS numbers.
+BLOCK_ROWS = 256
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -127,7 +130,8 @@ def fit(x: np.ndarray, y: np.ndarray, prior: float, dimensions: int = DIMENSIONS
     basis = vt[:d].T.astype(np.float32)
     share = np.where(y == 1, prior / max((y == 1).mean(), 1e-9), (1 - prior) / max((y == 0).mean(), 1e-9))
     model = Model(weights, basis, np.zeros((0, d), np.float32), y.astype(np.float64), share, prior)
-    model.vectors = model.project(x)
+    vectors = a @ basis
+    model.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     return model
 
 
@@ -136,46 +140,54 @@ def is_held_out(id_col: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_per_label: int = SAMPLE_PER_LABEL) -> Model:
-    """Model from labelled rows that are not held out: of each label the `sample_per_label` ids of least digest."""
+    """Model from labelled rows that are not held out: of each label the `sample_per_label` ids of least digest.
+
+    Of an id with several texts the least one counts. The sample has a fixed bound, so one task fits the model; the driver
+    gets the chosen ids and the model."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~is_held_out(F.col(id_col))).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__y"))
     share = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     prior = share.get(1, 0) / sum(share.values()) if share else 1.0
     order = F.md5(F.col("__id").cast("string"))
-    chosen = [r for v in (0, 1) for r in known.where(F.col("__y") == v).orderBy(order, "__id").limit(sample_per_label).collect()]
+    chosen = [(r["__id"], int(r["__y"])) for v in (0, 1) for r in known.where(F.col("__y") == v).orderBy(order, "__id").limit(sample_per_label).collect()]
     if not chosen:
         return fit(np.zeros((0, N_TERMS), np.float32), np.zeros(0), prior)
-    y = {r["__id"]: r["__y"] for r in chosen}
-    wanted = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in y], T.StructType([T.StructField("__id", docs.schema[id_col].dataType)])))
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("__id", docs.schema[id_col].dataType), T.StructField("__y", T.IntegerType())])))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, off in common.text_blocks(batch, "__text"):
+            for lo, hi, data, off in common.text_blocks(batch, "__text", block_rows=BLOCK_ROWS):
                 x = features(data, off).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], names=["__id", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(lo, hi - lo) for k in (0, 1)] + [pa.array([r.tobytes() for r in x], pa.binary())], names=["digest", "y", "x"])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((d, y, x.as_py()) for batch in batches for d, y, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)))
+        x = np.empty((len(rows), N_TERMS), dtype=np.float32)
+        for i, r in enumerate(rows):
+            x[i] = np.frombuffer(r[2], dtype=np.float16)
+        y = np.array([r[1] for r in rows])
+        del rows
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(x, y, prior))], pa.binary())})
 
-    schema = T.StructType([T.StructField("__id", docs.schema[id_col].dataType), T.StructField("x", T.BinaryType())])
-    picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(wanted, "__id")
-    rows = common.map_batches(picked, run, schema).collect()
-    rows = sorted(rows, key=lambda r: (r[0], bytes(r[1])))[: 2 * len(y)]  # repeated ids cannot make it longer
-    x = np.stack([np.frombuffer(r[1], dtype=np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, N_TERMS), np.float32)
-    return fit(x, np.array([y[r[0]] for r in rows]), prior)
+    picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(wanted, "__id").groupBy("__id", "__y").agg(F.min(F.coalesce("__text", F.lit(""))).alias("__text"))
+    sample = common.map_batches(picked.select(order.alias("digest"), F.col("__y").alias("y"), "__text"), described, "digest string, y int, x binary")
+    return pickle.loads(common.map_batches(sample.repartition(1), fitted, "model binary").first()[0])
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (all by default) of docs, then `score`; a column of that name in docs is replaced."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """Columns `keep` (all by default) of docs, then the score as column `name`; a column of that name in docs is replaced."""
     spark = docs.sparkSession
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c != name]
     shared = spark.sparkContext.broadcast(model)
     inner = T.StructType([T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)] + [T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for lo, hi, data, off in common.text_blocks(batch, "__text"):
+            for lo, hi, data, off in common.text_blocks(batch, "__text", block_rows=BLOCK_ROWS):
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in range(len(keep))] + [pa.array(m.score(features(data, off)), pa.float64())], names=inner.names)
 
     out = common.map_batches(docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs[text_col].alias("__text")), run, inner)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "score")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(name))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,6 +188,32 @@ def test_classifier_learns_from_its_fold_only(spark):
     assert all(0 <= r["score"] <= 1 for r in quality.score(awkward, model).collect())
 
 
+def test_classifier_agrees_with_plain_neighbours(spark):
+    """The same votes from cosines with all sampled vectors, one document at a time."""
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.randint(0, 40)) if i % 3 else prose(rng, 12).upper(), "s", "k", None) for i in range(200)] + [(7, "another text of seven", "s", "k", None), (3, None, "s", "k", None)]
+    d = spark.createDataFrame(rows, DOCS)
+    model = quality.learn(d, spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)], "doc_id long, quality int"))
+    assert len(model.vectors) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(200))
+    got = quality.score(d, model).collect()
+    for r in got:
+        data = np.frombuffer((r.text or "").encode(), dtype=np.uint8)
+        x = quality.features(data, np.array([0, len(data)]))[0]
+        z = (x * model.weights) @ model.basis
+        if not np.linalg.norm(z):
+            assert r["score"] == model.prior
+            continue
+        cosine = sorted(((float(v @ (z / np.linalg.norm(z))), i) for i, v in enumerate(model.vectors)), reverse=True)[: quality.NEIGHBOURS]
+        votes = [(max(c, 0) ** quality.SHARPNESS * model.votes[i], model.labels[i]) for c, i in cosine]
+        assert abs(r["score"] - sum(w * y for w, y in votes) / sum(w for w, _ in votes)) < 0.02
+
+
+def test_classifier_on_the_given_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    got = quality.op1_quality(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("score", "predicted", "quality").collect()
+    assert len(got) > 30 and sum(r.predicted == r.quality for r in got) >= 0.95 * len(got)
+
+
 def test_classifier_without_labels(spark, docs):
     model = quality.learn(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert {r["score"] for r in quality.score(docs, model).collect()} == {1.0}
