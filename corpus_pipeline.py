@@ -11,7 +11,7 @@ from skeinwork.llm import bpe, common, exact_dedup, mixing, near_dedup, quality
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from the labels of those given, does not reject."""
     model = quality.learn(docs, common.read_table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= 0.5).select(*docs.columns)
+    return quality.score(docs, model, name="__score").where(F.col("__score") >= 0.5).drop("__score")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
