@@ -56,14 +56,17 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: in
     return level.select("source", "source_size", F.when(F.col("ratio") < F.col("final"), F.col("cap")).otherwise(F.col("final") * F.col("weight")).alias("target"))
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, parts: int = PARTS) -> DataFrame:
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, parts: int = PARTS, path: str | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken), one row per row of docs; reruns agree.
 
+    Texts are read once: ids, sources and sizes are written and used from there.
+
     Queue order is md5 of the id and the copy's number. Running sums go by (source, part of the hash range) and
     by part of the virtual time, so that no task holds a whole source and the sums joined back are
     sources * parts rows."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    goal = targets(rows, weights, share, repeats)
+    path = path or common.scratch(docs.sparkSession)
+    rows = common.stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), path, "sizes")
+    goal = common.stored(targets(rows, weights, share, repeats), path, "targets")
     same = lambda a, b, *keys: [a[k].eqNullSafe(b[k]) for k in keys]
     digest = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("copy").cast("string")))
     queue = (
@@ -85,14 +88,12 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         .withColumn("slice", F.floor(F.col("finish") * F.lit(parts)))
     )
     slices = timed.groupBy("slice").agg(F.sum("size").alias("slice_size"))
-    budget = goal.agg(F.sum("target").alias("budget"))
-    edge = (
-        slices.withColumn("before", F.sum("slice_size").over(Window.orderBy("slice")) - F.col("slice_size")).crossJoin(F.broadcast(budget))
-    )
+    budget = goal.agg(F.sum("target")).first()[0] or 0.0
+    edge = slices.withColumn("before", F.sum("slice_size").over(Window.orderBy("slice")) - F.col("slice_size"))
     merged = Window.partitionBy("slice").orderBy("finish", F.col("source").asc_nulls_last(), "copy", "key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     taken = (
         timed.join(edge, "slice").withColumn("upto", F.col("before") + F.sum("size").over(merged))
-        .where(F.col("upto") <= F.col("budget"))
+        .where(F.col("upto") <= F.lit(float(budget)))
         .groupBy("source", "doc_id").agg(F.count("*").alias("copies")).alias("t")
     )
     r = rows.alias("r")
