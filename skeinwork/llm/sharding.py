@@ -5,7 +5,8 @@ gives quantile boundaries of key ranges; the exact size of every range follows f
 key form a group, which stays together. Groups over `large` of a shard's size (at most shards / large of them) are
 placed first, largest first, into the emptiest shard. The others are laid end to end in range and key order, and each
 goes to the shard in whose remaining room its middle falls. A group that fits no shard is overfull: it is subdivided
-by id digest into pieces, which are laid like groups.
+by id digest into pieces, which are laid like groups. Large groups that stay whole are numbered in pieces too, so that
+no task orders more than a small part of a shard.
 
 Null text has only the one extra byte. Repeated rows are separate rows. Null ids are dealt as a key of their own.
 An empty table gives an empty result. Other columns are ignored.
@@ -22,9 +23,11 @@ SHARDS = 16
 #: Key ranges for each shard, and sampled keys for each range.
 RANGES_PER_SHARD = 64
 SAMPLES_PER_RANGE = 8
-#: Pieces into which a group larger than a shard is cut; part of a shard's size from which a group is placed by itself.
+#: Pieces into which a group larger than a shard is cut, and those in which a whole large group is numbered.
 PIECES = 4096
-LARGE = 1 / 16
+NUMBERED = 256
+#: Part of a shard's size from which a group is placed by itself.
+LARGE = 1 / 640
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int = RANGES_PER_SHARD, samples_per_range: int = SAMPLES_PER_RANGE, pieces: int = PIECES, large: float = LARGE) -> DataFrame:
@@ -60,7 +63,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     bounds = [sum(room[: i + 1]) for i in range(shards - 1)]
     spark = docs.sparkSession
     fixed = F.broadcast(spark.createDataFrame([(k, v, False) for k, v in at.items()] + [(k, None, True) for k in overfull], "key string, fixed int, overfull boolean"))
-    piece = F.when(F.col("overfull"), F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(pieces))).otherwise(F.lit(0)).cast("int")
+    dealt = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)))
+    piece = F.when(F.col("overfull"), F.pmod(dealt, F.lit(pieces))).when(F.col("fixed").isNotNull(), F.pmod(dealt, F.lit(NUMBERED))).otherwise(F.lit(0)).cast("int")
     pieced = rows.join(fixed, "key", "left").withColumn("piece", piece).drop("overfull").withColumn("range", in_range)
     units = pieced.groupBy("range", "key", "piece", "fixed").agg(F.sum("size").alias("unit_bytes"), F.count("*").alias("unit_rows"))
     units = units.withColumn("unit_size", F.when(F.col("fixed").isNull(), F.col("unit_bytes")).otherwise(F.lit(0)))
