@@ -5,8 +5,9 @@ balanced bits of small quantisation error. Several such rotations, from differen
 cut into substrings, one table for each. Vectors of one label that agree in a whole substring meet in its table; those
 close enough in the whole code are compared by their original components in double precision.
 
-The number of tables follows from the sample: each sampled vector gets a partner at exactly the least cosine, and
-tables are added until `RECALL` of these pairs meet. Equal vectors stand for each other. Large buckets are compared in
+The bits of a table's key grow with the logarithm of the largest label. The number of tables follows from the sample:
+sampled vectors get partners at exactly the least cosine, and tables are added until `RECALL` of these pairs meet. If
+`MOST_TABLES` do not reach it, one more table takes all vectors of a label, so that every pair is compared. Equal vectors stand for each other. Large buckets are compared in
 tiles of bounded size; a tile gives counts for each vector and the edges of a spanning forest, never its list of pairs.
 A pair that meets in several tables counts in the first.
 
@@ -30,10 +31,12 @@ from . import common
 LEAST = 0.93
 #: Vectors that the rotations are learnt from, at most.
 SAMPLE = 4096
-#: Bits of a table's key, part of simulated pairs that must meet, tables at most.
-KEY_BITS = 12
+#: Least and most bits of a table's key, vectors of a label that a key is to have on average.
+KEY_BITS, MOST_KEY_BITS, PER_KEY = 12, 24, 16
+#: Part of simulated pairs that must meet, simulated pairs at least, tables at most.
 RECALL = 0.9995
-MOST_TABLES = 160
+PAIRS = 4096
+MOST_TABLES = 256
 ITERATIONS = 30
 TILE = 1024
 
@@ -41,20 +44,23 @@ TILE = 1024
 @dataclass
 class Quantiser:
     mean: np.ndarray
-    projection: np.ndarray  # components x bits, a multiple of KEY_BITS
+    projection: np.ndarray  # components x bits, a multiple of key_bits
     most_bits: int  # codes of vectors at the least cosine differ in no more bits
+    key_bits: int = KEY_BITS
+    exact: bool = False  # one more table, in which all vectors meet
 
     @property
     def tables(self) -> int:
-        return self.projection.shape[1] // KEY_BITS
+        return self.projection.shape[1] // self.key_bits + self.exact
 
     def bits(self, unit: np.ndarray) -> np.ndarray:
         return (unit - self.mean) @ self.projection > 0
 
     def keys(self, bits: np.ndarray) -> np.ndarray:
         """rows x tables: the number that each substring of a code spells."""
-        cut = bits.reshape(len(bits), self.tables, KEY_BITS)
-        return cut @ (1 << np.arange(KEY_BITS))
+        cut = bits.reshape(len(bits), -1, self.key_bits)
+        keys = cut @ (1 << np.arange(self.key_bits))
+        return np.concatenate([keys, np.zeros((len(bits), 1), keys.dtype)], axis=1) if self.exact else keys
 
 
 def rotation(v: np.ndarray, rng: np.random.Generator, iterations: int = ITERATIONS) -> np.ndarray:
@@ -68,35 +74,38 @@ def rotation(v: np.ndarray, rng: np.random.Generator, iterations: int = ITERATIO
     return r
 
 
-def fit(sample: np.ndarray, least: float = LEAST, seed: int = 3) -> Quantiser:
-    """Quantiser from unit vectors; as many tables as the simulated pairs need."""
+def key_bits(largest: int) -> int:
+    """Bits of a key for labels of so many vectors."""
+    return min(MOST_KEY_BITS, max(KEY_BITS, (max(1, largest) // PER_KEY).bit_length()))
+
+
+def fit(sample: np.ndarray, least: float = LEAST, seed: int = 3, width: int = KEY_BITS, most_tables: int = MOST_TABLES) -> Quantiser:
+    """Quantiser from unit vectors; as many tables of `width` bits as the simulated pairs need."""
     rng = np.random.default_rng(seed)
     n, d = sample.shape
     mean = sample.mean(0)
     v = sample - mean
-    noise = rng.standard_normal((n, d))
-    noise -= (noise * sample).sum(1, keepdims=True) * sample
+    first = sample[np.arange(max(n, -(-PAIRS // n) * n)) % n]
+    noise = rng.standard_normal(first.shape)
+    noise -= (noise * first).sum(1, keepdims=True) * first
     noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
-    partner = least * sample + (1 - least * least) ** 0.5 * noise
+    partner = least * first + (1 - least * least) ** 0.5 * noise
     pca = np.linalg.svd(v, full_matrices=False)[2].T if n >= d else np.eye(d)
     parts: list[np.ndarray] = []
-    wanted = 8 * KEY_BITS
-    while True:
-        while sum(p.shape[1] for p in parts) < wanted:
+    met, apart, tables = np.zeros(len(first), dtype=bool), np.zeros(len(first), dtype=np.int64), 0
+    while tables < most_tables:
+        while sum(p.shape[1] for p in parts) < (tables + 1) * width:
             parts.append(pca @ rotation(v @ pca, rng))  # each rotation starts elsewhere
-        whole = np.concatenate(parts, axis=1)
-        tables = whole.shape[1] // KEY_BITS
-        q = Quantiser(mean, whole[:, : tables * KEY_BITS], 0)
-        a, b = q.bits(sample), q.bits(partner)
-        met = (q.keys(a) == q.keys(b)).cumsum(1) > 0
-        enough = np.flatnonzero(met.mean(0) >= RECALL)
-        if len(enough) or tables >= MOST_TABLES:
-            use = (int(enough[0]) + 1 if len(enough) else min(tables, MOST_TABLES)) * KEY_BITS
-            apart = (a[:, :use] != b[:, :use]).sum(1)
-            q.projection = whole[:, :use]
-            q.most_bits = int(apart.max() + 3 * apart.std() + 1)
-            return q
-        wanted = whole.shape[1] + 1
+        one = np.concatenate(parts, axis=1)[:, tables * width : (tables + 1) * width]
+        differ = ((first - mean) @ one > 0) != ((partner - mean) @ one > 0)
+        met |= ~differ.any(axis=1)
+        apart += differ.sum(1)
+        tables += 1
+        if met.mean() >= RECALL:
+            break
+    whole = np.concatenate(parts, axis=1)[:, : tables * width]
+    exact = bool(met.mean() < RECALL)
+    return Quantiser(mean, whole, whole.shape[1] if exact else int(apart.max() + 3 * apart.std() + 1), width, exact)
 
 
 def _clean(rows: DataFrame) -> DataFrame:
@@ -178,7 +187,8 @@ def _links(reps: DataFrame, dim: int, least: float, path: str) -> DataFrame:
     """(node, links, root): for classes of one vector length, links to other classes' members and edges that span them."""
     spark = reps.sparkSession
     picked = reps.orderBy(F.md5(F.concat_ws(":", "label", "rep")), "rep").select("v").limit(SAMPLE).collect()
-    q = fit(_unit(np.array([r["v"] for r in picked], dtype=np.float64)), least)
+    largest = reps.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    q = fit(_unit(np.array([r["v"] for r in picked], dtype=np.float64)), least, width=key_bits(largest))
     shared = spark.sparkContext.broadcast(q)
     words = -(-q.projection.shape[1] // 64)
 

@@ -49,10 +49,52 @@ def test_links_and_components(spark):
     assert got[906] == (1, 906) and got[907] == (1, 906) and got[900] == (0, 900)
 
 
+@pytest.mark.parametrize("most", [embedding_dedup.MOST_TABLES, 2])
+def test_planted_partners_near_the_least_cosine(spark, monkeypatch, most):
+    """Partners at 0.932 are found, with as many tables as they need or, where tables are too few, by comparing all."""
+    monkeypatch.setattr(embedding_dedup, "MOST_TABLES", most)
+    monkeypatch.setattr(embedding_dedup.fit, "__defaults__", (embedding_dedup.LEAST, 3, embedding_dedup.KEY_BITS, most))
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((600, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.standard_normal(x.shape)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    y = 0.932 * x + (1 - 0.932**2) ** 0.5 * noise
+    rows = [(i, [float(a) for a in v], 0, "x") for i, v in enumerate(np.concatenate([x, y]))] + [(3, [float(a) for a in x[3]], 0, "x"), (None, [1.0] * 32, 0, "x")]
+    got = [(r.vec_id, r.n_links) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == 1202 and sum(n > 0 for i, n in got if i is not None) >= 1199
+
+
+def test_keys_grow_with_the_largest_label():
+    assert [embedding_dedup.key_bits(n) for n in (0, 100, 1 << 17, 1 << 30)] == [12, 12, 14, 24]
+
+
 def test_no_vectors(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+AWKWARD = [(1, "the  same", "en", "a", 8, 0.5), (2, "the same", "en", "a", 8, 0.5), (2, "another text of that id", "en", None, 8, None), (3, None, None, None, None, None), (4, "", "en", "b", 0, 0.1), (None, "the same", "en", "b", 8, 0.2), (5, "long " * 100000, "en", "b", 8, 0.3)]
+
+
+@pytest.mark.parametrize("rows", [[], AWKWARD])
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path, rows):
+    """A score column of the documents stays as it is; a row goes only if its own text has an earlier copy."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    after = {}
+    for name, stage in corpus_pipeline.STAGES:
+        d = stage(spark, d, str(tmp_path)).cache()
+        after[name] = d.collect()
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert [tuple(r) for r in sorted(after["quality"], key=key)] == sorted(rows, key=key)
+    kept = sorted((r for r in rows if r[:2] not in ((2, "the same"), (4, ""))), key=key)
+    assert [tuple(r) for r in sorted(after["exact_dedup"], key=key)] == kept == [tuple(r) for r in sorted(after["near_dedup"], key=key)]
+    assert set(r[:2] for r in map(tuple, after["mixing"])) <= set(r[:2] for r in kept) and len(after["bpe"]) == len(after["mixing"])
+
+
 def test_pipeline_stages(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
