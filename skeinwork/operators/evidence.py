@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions import text as t
 
+# Prefixes of evidence ids, names of sources, types of references and the patterns they are found by.
+EVIDENCE_IDS = {"recall": "E-CPSC-", "incident": "E-SP-", "candidate": "E-AMZ-"}
+SOURCES = {"recall": "CPSC", "incident": "SaferProducts.gov", "candidate": "Amazon Reviews 2023 metadata"}
+REFERENCE_TYPES = {"id": "amazon_asin", "url": "marketplace_url"}
+CATALOGUE_ID = r"(?i)(?:/dp/|/gp/product/)([A-Z0-9]{10})"
+ADDRESS = r"""(?i)https?://[^\s\]")>]+"""
+CATALOGUE_ADDRESS = "https://www.amazon.com/dp/"
+#: Incidents and candidates of a case, at most.
+MOST_INCIDENTS, MOST_CANDIDATES = 40, 20
+
 
 def mentions(recalls: DataFrame) -> DataFrame:
     """One row for each product of each record, with its identifiers: the record's id and every code of it."""
@@ -57,7 +67,12 @@ def cases(recalls: DataFrame, incidents: DataFrame, candidates: DataFrame, key:
     """One nested row for each record: incidents, candidates, evidence, timeline, findings and derived signals.
 
     incidents: (key, source_record_id, incident_date, publication_date, title); candidates: (key, parent_asin, title,
-    evidence_score, review_label). Both sides are aggregated before they are joined."""
+    evidence_score, review_label). A case has its earliest incidents and its best candidates, so that what is collected for
+    it is bounded; both sides are aggregated before they are joined."""
+    from . import ranking
+
+    incidents = ranking.top_k(incidents, [key], [F.col("publication_date").asc_nulls_first(), F.col("source_record_id")], MOST_INCIDENTS, "__n").drop("__n")
+    candidates = ranking.top_k(candidates, [key], [F.col("evidence_score").desc(), F.col("parent_asin")], MOST_CANDIDATES, "__n").drop("__n")
     inc = incidents.join(recalls.select(key, "recall_date"), key).withColumn("pre_recall", dates.pre_recall_public(F.col("incident_date"), F.col("publication_date"), F.col("recall_date")))
     inc_rows = F.array_sort(F.collect_list(F.struct("publication_date", "incident_date", "source_record_id", "title", "pre_recall")))
     per_inc = inc.groupBy(key).agg(inc_rows.alias("incidents"), F.count_if("pre_recall").alias("n_pre"), F.min(F.when(F.col("pre_recall"), F.col("publication_date"))).alias("earliest_publication_date"))
@@ -68,14 +83,14 @@ def cases(recalls: DataFrame, incidents: DataFrame, candidates: DataFrame, key:
     rid = F.col(key).cast("string")
     item = lambda i, s, k, r, title, d: F.struct(i.alias("evidence_id"), F.lit(s).alias("source"), F.lit(k).alias("kind"), r.alias("record_id"), title.alias("title"), d.cast("string").alias("date"))
     evidence = F.concat(
-        F.array(item(F.concat(F.lit("E-REC-"), rid), "recalls", "official_recall", rid, F.col("title"), F.col("recall_date"))),
-        F.transform("incidents", lambda x, i: item(F.concat(F.lit("E-INC-"), rid, F.lit("-"), (i + 1).cast("string")), "incidents", "consumer_incident", x["source_record_id"].cast("string"), x["title"], F.coalesce(x["publication_date"], x["incident_date"]))),
-        F.transform(F.slice("candidates", 1, shown), lambda x, i: item(F.concat(F.lit("E-CAT-"), rid, F.lit("-"), (i + 1).cast("string")), "catalogue", "marketplace_identity", x["parent_asin"].cast("string"), x["title"], F.lit(None))),
+        F.array(item(F.concat(F.lit(EVIDENCE_IDS["recall"]), rid), SOURCES["recall"], "official_recall", rid, F.col("title"), F.col("recall_date"))),
+        F.transform("incidents", lambda x, i: item(F.concat(F.lit(EVIDENCE_IDS["incident"]), rid, F.lit("-"), (i + 1).cast("string")), SOURCES["incident"], "consumer_incident", x["source_record_id"].cast("string"), x["title"], F.coalesce(x["publication_date"], x["incident_date"]))),
+        F.transform(F.slice("candidates", 1, shown), lambda x, i: item(F.concat(F.lit(EVIDENCE_IDS["candidate"]), rid, F.lit("-"), (i + 1).cast("string")), SOURCES["candidate"], "marketplace_identity", x["parent_asin"].cast("string"), x["title"], F.lit(None))),
     )
     point = lambda d, k, e, p: F.struct(F.coalesce(d.cast("string"), F.lit("9999-99-99")).alias("sort"), F.lit(k).alias("type"), d.cast("string").alias("date"), e.alias("evidence_id"), p.alias("pre_recall"))
     timeline = F.array_sort(F.concat(
-        F.transform("incidents", lambda x, i: point(F.coalesce(x["publication_date"], x["incident_date"]), "consumer_incident", F.concat(F.lit("E-INC-"), rid, F.lit("-"), (i + 1).cast("string")), x["pre_recall"])),
-        F.array(point(F.col("recall_date"), "official_recall", F.concat(F.lit("E-REC-"), rid), F.lit(False))),
+        F.transform("incidents", lambda x, i: point(F.coalesce(x["publication_date"], x["incident_date"]), "consumer_incident", F.concat(F.lit(EVIDENCE_IDS["incident"]), rid, F.lit("-"), (i + 1).cast("string")), x["pre_recall"])),
+        F.array(point(F.col("recall_date"), "official_recall", F.concat(F.lit(EVIDENCE_IDS["recall"]), rid), F.lit(False))),
     ))
     top = F.try_element_at("candidates", F.lit(1))
     lead = dates.lead_days(F.col("recall_date"), F.col("earliest_publication_date"))
@@ -115,8 +130,8 @@ def export_rows(case_rows: DataFrame, key: str = "recall_id") -> DataFrame:
 def narrative_references(incidents: DataFrame, id_col: str, text: Column, host: str = "amazon.") -> DataFrame:
     """(source_record_id, type, value, url): catalogue ids and market addresses named in narratives, each value once."""
     rows = incidents.select(F.col(id_col).alias("source_record_id"), text.alias("t"))
-    ids = F.transform(F.regexp_extract_all("t", F.lit(r"(?i)(?:/dp/|/gp/product/)([A-Z0-9]{10})"), F.lit(1)), lambda v: F.struct(F.lit("catalogue_id").alias("type"), F.upper(v).alias("value"), F.concat(F.lit("https://www.amazon.com/dp/"), F.upper(v)).alias("url")))
-    urls = F.transform(F.filter(F.regexp_extract_all("t", F.lit(r"""(?i)https?://[^\s\]")>]+"""), F.lit(0)), lambda u: F.contains(F.lower(F.regexp_extract(u, r"^[A-Za-z]+://([^/?#]*)", 1)), F.lit(host))), lambda u: F.struct(F.lit("market_url").alias("type"), u.alias("value"), u.alias("url")))
+    ids = F.transform(F.regexp_extract_all("t", F.lit(CATALOGUE_ID), F.lit(1)), lambda v: F.struct(F.lit(REFERENCE_TYPES["id"]).alias("type"), F.upper(v).alias("value"), F.concat(F.lit(CATALOGUE_ADDRESS), F.upper(v)).alias("url")))
+    urls = F.transform(F.filter(F.regexp_extract_all("t", F.lit(ADDRESS), F.lit(0)), lambda u: F.contains(F.lower(F.regexp_extract(u, r"^[A-Za-z]+://([^/?#]*)", 1)), F.lit(host))), lambda u: F.struct(F.lit(REFERENCE_TYPES["url"]).alias("type"), u.alias("value"), u.alias("url")))
     named = F.when(F.contains(F.lower("t"), F.lit(host.rstrip("."))), urls).otherwise(F.array().cast("array<struct<type:string,value:string,url:string>>"))
     found = rows.select("source_record_id", F.explode(F.concat(ids, named)).alias("r")).select("source_record_id", "r.*")
     return found.groupBy("type", "value").agg(F.min("source_record_id").alias("source_record_id"), F.min("url").alias("url"))

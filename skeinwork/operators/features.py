@@ -64,18 +64,33 @@ def supplied_score(shared: Column, left_tokens: Column, jaccard: Column, sequenc
 
 def generated_score(exact: Column, shared: Column, left_tokens: Column, jaccard: Column, similarity: Column, brand: Column, model: Column) -> Column:
     """Rank of a candidate found by search; below 1 unless the key is exact."""
-    s = 0.25 * F.least(shared / F.greatest(left_tokens, F.lit(1)), F.lit(1.0)) + 0.18 * jaccard + 0.08 * similarity + 0.04 * brand.cast("double") + 0.03 * model.cast("double")
+    s = 0.45 * exact.cast("double") + 0.25 * F.least(shared / F.greatest(left_tokens, F.lit(1)), F.lit(1.0)) + 0.18 * jaccard + 0.08 * similarity + 0.04 * brand.cast("double") + 0.03 * model.cast("double")
     return F.when(exact, 1.0).otherwise(F.least(s, F.lit(0.99)))
 
 
-def evidence_strings(exact: Column, brand: Column, shared: Column, similarity: Column, model: Column, high: float = 0.7) -> Column:
-    """array<string> of the reasons that hold, in a fixed order."""
-    reasons = [
-        F.when(exact, "Exact UPC agreement"), F.when(brand, "Brand aligns with the product"),
-        F.when(shared >= 2, F.concat(shared.cast("string"), F.lit(" shared product-name tokens"))),
-        F.when(similarity >= high, "High title similarity"), F.when(model, "Model identifier available"),
-    ]
-    return F.array_compact(F.array(*reasons))
+# The wording of reasons; a candidate that came with its features and one found by search differ.
+EXACT_REASON = "Exact UPC agreement"
+SHARED_REASON = " shared product-name tokens"
+SUPPLIED_REASONS = {"brand": "Brand aligns with recall product", "similarity": "High title similarity", "model": "Marketplace model identifier available"}
+GENERATED_REASONS = {"brand": "Brand agreement", "model": "Model agreement", "similarity": "Strong title similarity"}
+#: Title similarities from which they are a reason.
+SUPPLIED_SIMILARITY, GENERATED_SIMILARITY = 0.7, 0.72
+
+
+def _several(shared: Column) -> Column:
+    return F.when(shared >= 2, F.concat(shared.cast("string"), F.lit(SHARED_REASON)))
+
+
+def supplied_reasons(exact: Column, brand: Column, shared: Column, similarity: Column, model: Column) -> Column:
+    """array<string> of what speaks for a candidate that came with its features, in a fixed order."""
+    r = SUPPLIED_REASONS
+    return F.array_compact(F.array(F.when(exact, EXACT_REASON), F.when(brand, r["brand"]), _several(shared), F.when(similarity >= SUPPLIED_SIMILARITY, r["similarity"]), F.when(model, r["model"])))
+
+
+def generated_reasons(exact: Column, brand: Column, model: Column, shared: Column, similarity: Column) -> Column:
+    """array<string> of what speaks for a candidate found by search, in a fixed order."""
+    r = GENERATED_REASONS
+    return F.array_compact(F.array(F.when(exact, EXACT_REASON), F.when(brand, r["brand"]), F.when(model, r["model"]), _several(shared), F.when(similarity >= GENERATED_SIMILARITY, r["similarity"])))
 
 
 def acceptable(shared: Column, similarity: Column, brand: Column) -> Column:

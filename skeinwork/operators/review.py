@@ -99,4 +99,4 @@ def allowed(decisions: DataFrame, permissions: DataFrame) -> DataFrame:
 
 
 # Who may do what.
-PERMISSIONS = [(r, a) for r, acts in {"reviewer": "review read investigate export", "investigator": "read investigate export"}.items() for a in acts.split()]
+PERMISSIONS = [(r, a) for r, acts in {"reviewer": ("review_identity", "read", "investigate", "export"), "investigator": ("read", "investigate", "export")}.items() for a in acts]

@@ -145,7 +145,7 @@ def block_brand_model(spark, sf):
     return blocking.composite_key(left, p.withColumnRenamed("p_partkey", "right_id"), ["brand", "model"])
 
 
-@query("block_rare_category", f"WITH {_POSTINGS}, df AS (SELECT lang, token, count(*) AS df FROM rp GROUP BY 1, 2), lg AS (SELECT doc_id AS right_id, lang FROM documents), hit AS (SELECT DISTINCT m.left_id, m.right_id FROM met m JOIN lg USING (right_id) JOIN df ON df.token = m.token AND df.lang = lg.lang WHERE df.df <= 5) SELECT left_id, right_id, shared FROM pairs JOIN hit USING (left_id, right_id) WHERE shared >= 2")
+@query("block_rare_category", f"WITH {_POSTINGS}, df AS (SELECT lang, token, count(*) AS df FROM rp GROUP BY 1, 2), lg AS (SELECT doc_id AS right_id, lang FROM documents), hit AS (SELECT DISTINCT m.left_id, m.right_id FROM met m JOIN lg USING (right_id) JOIN df ON df.token = m.token AND df.lang = lg.lang WHERE df.df <= 250) SELECT left_id, right_id, shared FROM pairs JOIN hit USING (left_id, right_id) WHERE shared >= 2")
 def block_rare_category(spark, sf):
     return blocking.rare_token_overlap(left_postings(spark, sf), right_postings_by(spark, sf), 250, 2, ["lang"])
 
@@ -156,7 +156,7 @@ def block_rare_global(spark, sf):
 
 
 @query("block_rare_sweep", f"""WITH {_POSTINGS}, df AS (SELECT token, count(*) AS df FROM rp GROUP BY 1), r AS (SELECT left_id, right_id, count(*) AS shared, min(df) AS rarest FROM met JOIN df USING (token) GROUP BY 1, 2 HAVING count(*) >= 2),
-  x AS (SELECT lim AS df_limit, left_id, count(*) AS n FROM r, (VALUES (2), (5), (10), (25), (50), (100), (250), (500)) v(lim) WHERE rarest <= lim GROUP BY 1, 2) SELECT df_limit, count(*) AS left_rows, sum(n)::BIGINT AS pairs, max(n) AS largest FROM x GROUP BY 1""")
+  x AS (SELECT lim AS df_limit, left_id, count(*) AS n FROM r, (VALUES (50), (100), (250), (500), (1000), (2500), (5000), (10000)) v(lim) WHERE rarest <= lim GROUP BY 1, 2) SELECT df_limit, count(*) AS left_rows, sum(n)::BIGINT AS pairs, max(n) AS largest FROM x GROUP BY 1""")
 def block_rare_sweep(spark, sf):
     return blocking.sensitivity(left_postings(spark, sf), right_postings(spark, sf), [50, 100, 250, 500, 1000, 2500, 5000, 10000])
 
@@ -174,7 +174,7 @@ def block_rarest_two(spark, sf):
     return blocking.rarest_overlap(left_postings(spark, sf), right_postings(spark, sf), 2)
 
 
-@query("block_company", "SELECT s_suppkey AS left_id, c_custkey AS right_id FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_nationkey < 5")
+@query("block_company", "SELECT s_suppkey AS left_id, c_custkey AS right_id FROM supplier JOIN customer ON s_nationkey = c_nationkey")
 def block_company(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("left_id"), F.array(F.struct(F.concat(F.lit("Firm, No. "), F.col("s_nationkey").cast("string")).alias("name"))).alias("manufacturers"))
     left = s.select("left_id", F.explode(normalize.company_names(s)).alias("key"))
@@ -302,19 +302,31 @@ def pair_similarity(spark, sf):
     return p.select("left_id", "right_id", t.shared(lt, rt).cast("long").alias("shared"), F.round(t.jaccard(lt, rt), 9).alias("jaccard"), F.round(t.coverage(lt, rt), 9).alias("left_coverage"), F.round(t.coverage(rt, lt), 9).alias("right_coverage"))
 
 
-@query("linkage_score", f"{_PAIRED}, s AS (SELECT left_id, right_id, least(greatest(0.58 * least(shared::DOUBLE / nl, 1.0) + 0.22 * (shared::DOUBLE / (nl + nr - shared)), 0.0), 1.0) AS score, shared::DOUBLE / (nl + nr - shared) AS j FROM rare) SELECT left_id, right_id, round(score, 6) AS score, CASE WHEN j >= 0.05 THEN 'high' WHEN j >= 0.02 THEN 'medium' ELSE 'low' END AS band FROM s")
+#: Stand-ins for what the tables lack: exact key, brand, model and title similarity of a pair follow from its ids.
+_STAND_INS = "s AS (SELECT left_id, right_id, shared, nl, shared::DOUBLE / (nl + nr - shared) AS j, right_id % 50 = 0 AS ex, right_id % 3 = 0 AS br, left_id % 2 = 0 AS md, (right_id % 100)::DOUBLE / 100 AS sq FROM rare)"
+_REASONS = "array_to_string(list_filter([{}], lambda x: x IS NOT NULL), '; ') AS evidence"
+
+
+def _stand_ins(p: DataFrame) -> DataFrame:
+    return p.withColumns({"ex": F.col("right_id") % 50 == 0, "br": F.col("right_id") % 3 == 0, "md": F.col("left_id") % 2 == 0, "sq": (F.col("right_id") % 100).cast("double") / 100, "j": t.jaccard(F.col("lt"), F.col("rt"))})
+
+
+@query("linkage_score", f"""{_PAIRED}, {_STAND_INS} SELECT left_id, right_id, round(CASE WHEN ex THEN 1.0::DOUBLE ELSE least(greatest(0.58::DOUBLE * least(shared::DOUBLE / nl, 1.0::DOUBLE) + 0.22::DOUBLE * j + 0.12::DOUBLE * sq + 0.08::DOUBLE * br::INTEGER, 0.0::DOUBLE), 1.0::DOUBLE) END, 6) AS score,
+  CASE WHEN j >= 0.05 THEN 'high' WHEN j >= 0.02 THEN 'medium' ELSE 'low' END AS band,
+  {_REASONS.format("CASE WHEN ex THEN 'Exact UPC agreement' END, CASE WHEN br THEN 'Brand aligns with recall product' END, CASE WHEN shared >= 2 THEN shared || ' shared product-name tokens' END, CASE WHEN sq >= 0.7 THEN 'High title similarity' END, CASE WHEN md THEN 'Marketplace model identifier available' END")} FROM s""")
 def linkage_score(spark, sf):
-    p = rare_pairs(spark, sf)
-    j = t.jaccard(F.col("lt"), F.col("rt"))
-    s = features.supplied_score(F.col("shared"), F.size("lt"), j, F.lit(0.0), F.lit(False), F.lit(False))
-    return p.select("left_id", "right_id", F.round(s, 6).alias("score"), features.band(j, 0.02, 0.05).alias("band"))
+    p = _stand_ins(rare_pairs(spark, sf))
+    s = features.supplied_score(F.col("shared"), F.size("lt"), F.col("j"), F.col("sq"), F.col("br"), F.col("ex"))
+    why = features.supplied_reasons(F.col("ex"), F.col("br"), F.col("shared"), F.col("sq"), F.col("md"))
+    return p.select("left_id", "right_id", F.round(s, 6).alias("score"), features.band(F.col("j"), 0.02, 0.05).alias("band"), F.array_join(why, "; ").alias("evidence"))
 
 
-@query("generated_score", f"{_PAIRED} SELECT left_id, right_id, round(least(0.25 * least(shared::DOUBLE / nl, 1.0) + 0.18 * (shared::DOUBLE / (nl + nr - shared)) + 0.04, 0.99), 6) AS score, array_to_string(list_filter(['Brand aligns with the product', CASE WHEN shared >= 2 THEN shared || ' shared product-name tokens' END], lambda x: x IS NOT NULL), '; ') AS evidence FROM rare")
+@query("generated_score", f"""{_PAIRED}, {_STAND_INS} SELECT left_id, right_id, round(CASE WHEN ex THEN 1.0::DOUBLE ELSE least(0.25::DOUBLE * least(shared::DOUBLE / nl, 1.0::DOUBLE) + 0.18::DOUBLE * j + 0.08::DOUBLE * sq + 0.04::DOUBLE * br::INTEGER + 0.03::DOUBLE * md::INTEGER, 0.99::DOUBLE) END, 6) AS score,
+  {_REASONS.format("CASE WHEN ex THEN 'Exact UPC agreement' END, CASE WHEN br THEN 'Brand agreement' END, CASE WHEN md THEN 'Model agreement' END, CASE WHEN shared >= 2 THEN shared || ' shared product-name tokens' END, CASE WHEN sq >= 0.72 THEN 'Strong title similarity' END")} FROM s""")
 def generated_score(spark, sf):
-    p = rare_pairs(spark, sf)
-    s = features.generated_score(F.lit(False), F.col("shared"), F.size("lt"), t.jaccard(F.col("lt"), F.col("rt")), F.lit(0.0), F.lit(True), F.lit(False))
-    why = features.evidence_strings(F.lit(False), F.lit(True), F.col("shared"), F.lit(0.0), F.lit(False))
+    p = _stand_ins(rare_pairs(spark, sf))
+    s = features.generated_score(F.col("ex"), F.col("shared"), F.size("lt"), F.col("j"), F.col("sq"), F.col("br"), F.col("md"))
+    why = features.generated_reasons(F.col("ex"), F.col("br"), F.col("md"), F.col("shared"), F.col("sq"))
     return p.select("left_id", "right_id", F.round(s, 6).alias("score"), F.array_join(why, "; ").alias("evidence"))
 
 
@@ -371,11 +383,14 @@ _BM = """sc AS (SELECT q.query_id, tf.doc_id, sum(greatest(ln((n_docs - df.n + 0
 
 
 def _query_terms(spark, sf) -> DataFrame:
-    """The eight rarest words of each benchmark item as its query."""
-    return blocking.rarest_tokens(left_postings(spark, sf), right_postings(spark, sf), 8).select(F.col("left_id").alias("query_id"), "token")
+    """The first twelve terms of three characters or more of each benchmark item as its query."""
+    from ..operators import workspace
+
+    return workspace.search_terms(table(spark, sf, "benchmark"), "item_id", F.col("text"), *workspace.INCIDENT_TERMS)
 
 
-@query("bm25_search", f"WITH {_POSTINGS}, dfq AS (SELECT token, count(*) AS df FROM rp GROUP BY 1), q AS (SELECT left_id AS query_id, token FROM (SELECT left_id, token, row_number() OVER (PARTITION BY left_id ORDER BY df, token) AS rank FROM lp JOIN dfq USING (token)) WHERE rank <= 8), {_IDX}, {_BM} SELECT query_id, doc_id, round(score, 6) AS score FROM sc")
+@query("bm25_search", f"""WITH q0 AS (SELECT item_id, unnest(list_filter(string_split(translate(lower(text), '/-', '  '), ' '), lambda x: length(x) >= 3)[1:12]) AS term FROM (SELECT item_id, regexp_replace(text, '\\s+', ' ', 'g') AS text FROM benchmark)),
+  q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(term, '[a-z0-9]+')) AS token FROM q0), {_IDX}, {_BM} SELECT query_id, doc_id, round(score, 6) AS score FROM sc""")
 def bm25_search(spark, sf):
     return search.bm25(_query_terms(spark, sf), table(spark, sf, "documents"), "doc_id", ["text"]).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
@@ -443,10 +458,11 @@ def reject_split(spark, sf):
     return sinks.counted(table(spark, sf, "events").withColumn("valid", F.col("value") >= 20), ["user_id"])
 
 
-@query("upsert_last_wins", "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
+@query("upsert_last_wins", "WITH x AS (SELECT user_id, event_type, event_id, value, (event_type = 'click')::INTEGER AS new FROM events) SELECT user_id, arg_max(event_type, {'n': new, 'e': event_id}) AS event_type, arg_max(event_id, {'n': new, 'e': event_id}) AS event_id, arg_max(value, {'n': new, 'e': event_id}) AS value FROM x GROUP BY 1")
 def upsert_last_wins(spark, sf):
+    """Clicks arrive on top of all other events: a click of a user replaces even a later event that was there."""
     e = table(spark, sf, "events").select("user_id", "event_type", "event_id", "value")
-    return sinks.upserted(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1 or event_id >= 0"), ["user_id", "event_type"], "event_id")
+    return sinks.upserted(e.where("event_type <> 'click'"), e.where("event_type = 'click'"), ["user_id"], "event_id")
 
 
 @query("dedupe_first", "SELECT min(doc_id) AS doc_id, md5(text) AS digest FROM documents GROUP BY 2")
@@ -547,9 +563,9 @@ def semi_slice(spark, sf):
     return kept.select("p_partkey", "p_name")
 
 
-@query("anti_missing", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("anti_missing", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def anti_missing(spark, sf):
-    return review.missing(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct(), ["c_custkey"])
+    return review.missing(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id"), ["doc_id"])
 
 
 @query("key_overlap", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
@@ -581,18 +597,21 @@ def case_export(spark, sf):
     return evidence.export_rows(_cases(spark, sf)).groupBy("recall_id", "section").agg(F.count("*").alias("n_rows"))
 
 
-@query("timeline", f"WITH {_INCIDENTS} SELECT recall_id, 'consumer_incident' AS type, publication_date::VARCHAR AS date FROM inc UNION ALL SELECT o_orderkey, 'official_recall', o_orderdate::DATE::VARCHAR FROM orders")
+@query("timeline", f"""WITH {_INCIDENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY recall_id ORDER BY publication_date, incident_date, line) AS i FROM inc),
+  p AS (SELECT recall_id, 'consumer_incident' AS type, publication_date::VARCHAR AS date, 'E-SP-' || recall_id || '-' || i AS evidence_id, incident_date < recall_date AND publication_date < recall_date AS pre_recall FROM n UNION ALL SELECT o_orderkey, 'official_recall', o_orderdate::DATE::VARCHAR, 'E-CPSC-' || o_orderkey, false FROM orders)
+  SELECT recall_id, (row_number() OVER (PARTITION BY recall_id ORDER BY date, type, evidence_id) - 1)::INTEGER AS n, type, date, evidence_id, pre_recall FROM p""")
 def timeline(spark, sf):
-    return _cases(spark, sf).select("recall_id", F.explode("timeline").alias("e")).select("recall_id", "e.type", "e.date")
+    return _cases(spark, sf).select("recall_id", F.posexplode("timeline").alias("n", "e")).select("recall_id", "n", "e.type", "e.date", "e.evidence_id", "e.pre_recall")
 
 
-@query("url_refs", r"SELECT page_id, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS host, contains(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), 'example.') AS named FROM pages")
+@query("url_refs", "SELECT 'amazon_asin' AS type, 'B' || lpad((page_id % 500)::VARCHAR, 9, '0') AS value, min(page_id) AS source_record_id, 'https://www.amazon.com/dp/B' || lpad((page_id % 500)::VARCHAR, 9, '0') AS url FROM pages GROUP BY 2, 4")
 def url_refs(spark, sf):
-    host = F.regexp_extract("url", r"^[A-Za-z]+://([^/?#]*)", 1)
-    return table(spark, sf, "pages").select("page_id", host.alias("host"), F.contains(F.lower(host), F.lit("example.")).alias("named"))
+    """Catalogue ids in narratives that spell them in lower case."""
+    body = F.concat(F.lit("bought at shop.test/gp/product/b"), F.lpad((F.col("page_id") % 500).cast("string"), 9, "0"), F.lit("?x=1"))
+    return evidence.narrative_references(table(spark, sf, "pages"), "page_id", body).select("type", "value", "source_record_id", "url")
 
 
-@query("narrative_references", r"WITH u AS (SELECT page_id, url FROM pages WHERE contains(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), 'example.')) SELECT 'market_url' AS type, regexp_extract(url, '(?i)https?://[^\s\]"")>]+') AS value, min(page_id) AS source_record_id FROM u GROUP BY 2".replace('""', '"'))
+@query("narrative_references", r"WITH u AS (SELECT page_id, url FROM pages WHERE contains(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), 'example.')) SELECT 'marketplace_url' AS type, regexp_extract(url, '(?i)https?://[^\s\]"")>]+') AS value, min(page_id) AS source_record_id FROM u GROUP BY 2".replace('""', '"'))
 def narrative_references(spark, sf):
     return evidence.narrative_references(table(spark, sf, "pages"), "page_id", F.concat(F.lit("see example "), F.col("url")), "example.").select("type", "value", "source_record_id")
 
@@ -633,9 +652,9 @@ def working_labels(spark, sf):
     return review.working_labels(lab).select("doc_id", "target")
 
 
-@query("evidence_lookup", "SELECT 'E-REC-7' AS evidence_id, 'recalls' AS source, o_orderpriority AS title FROM orders WHERE o_orderkey = 7")
+@query("evidence_lookup", "SELECT 'E-CPSC-7' AS evidence_id, 'CPSC' AS source, o_orderpriority AS title FROM orders WHERE o_orderkey = 7")
 def evidence_lookup(spark, sf):
-    return evidence.evidence_by_id(_cases(spark, sf), "E-REC-7").select("evidence_id", "source", "title")
+    return evidence.evidence_by_id(_cases(spark, sf), "E-CPSC-7").select("evidence_id", "source", "title")
 
 
 @query("deduped_incidents", f"WITH {_INCIDENTS}, f AS (SELECT DISTINCT recall_id, line FROM inc) SELECT recall_id, least(count(*), 20)::INTEGER AS n FROM f GROUP BY 1")
@@ -644,9 +663,9 @@ def deduped_incidents(spark, sf):
     return evidence.dedupe_incidents(inc, "recall_id").groupBy("recall_id").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("permissions", "SELECT role, action FROM (VALUES ('reviewer'), ('investigator'), ('agent')) r(role), (VALUES ('review'), ('read')) a(action) WHERE role = 'reviewer' OR (role = 'investigator' AND action = 'read')")
+@query("permissions", "SELECT role, action FROM (VALUES ('reviewer'), ('investigator'), ('agent')) r(role), (VALUES ('review_identity'), ('read')) a(action) WHERE role = 'reviewer' OR (role = 'investigator' AND action = 'read')")
 def permissions(spark, sf):
-    asked = spark.createDataFrame([(r, a) for r in ("reviewer", "investigator", "agent") for a in ("review", "read")], "role string, action string")
+    asked = spark.createDataFrame([(r, a) for r in ("reviewer", "investigator", "agent") for a in ("review_identity", "read")], "role string, action string")
     return review.allowed(asked, spark.createDataFrame(review.PERMISSIONS, "role string, action string"))
 
 
@@ -760,3 +779,6 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 @query("ranked_candidates", f"WITH {_POSTINGS}, {_CANDIDATES}, {_INCIDENTS}, k AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY exact_key DESC, shared_count DESC, jaccard DESC, right_id DESC) AS review_rank, row_number() OVER (PARTITION BY left_id, exact_key ORDER BY shared_count DESC, jaccard DESC, right_id DESC) AS rk FROM cand), pre AS (SELECT recall_id AS left_id, max((incident_date < recall_date AND publication_date < recall_date)::INTEGER) AS pre_recall FROM inc GROUP BY 1) SELECT k.left_id, k.right_id, review_rank, exact_key, shared_count, round(jaccard, 9) AS jaccard, coalesce(pre_recall, 0) AS pre_recall FROM k LEFT JOIN pre USING (left_id) WHERE exact_key OR rk <= 5")
 def ranked_candidates(spark, sf):
     return flagship(spark, sf).withColumn("shared_count", F.col("shared_count").cast("long"))
+
+
+from . import workspace_queries  # noqa: E402, F401 - registers its queries here

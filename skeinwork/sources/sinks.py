@@ -39,7 +39,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def without_dataset(df: DataFrame, dataset_id: str) -> DataFrame:
-    return df.where(F.col("dataset_id") != dataset_id)
+    """Rows of other data sets; rows of none stay."""
+    return df.where(F.coalesce(F.col("dataset_id") != dataset_id, F.lit(True)))
 
 
 def new_files(found: DataFrame, registry: DataFrame) -> DataFrame:
@@ -47,17 +48,51 @@ def new_files(found: DataFrame, registry: DataFrame) -> DataFrame:
     return found.dropDuplicates(["sha256"]).join(registry, "sha256", "left_anti")
 
 
+_POINTER = "version string, number long"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def point_to(spark: SparkSession, root: str, version: str, number: int) -> None:
+    """Name a written version as the one of this number; the greatest number is the current one."""
+    spark.createDataFrame([(version, number)], _POINTER).coalesce(1).write.mode("append").json(f"{root}/_pointers")
+
+
+def _last_pointer(spark: SparkSession, root: str, before: int | None = None):
+    if not exists(spark, f"{root}/_pointers"):
+        return None
+    named = spark.read.schema(_POINTER).json(f"{root}/_pointers")
+    if before is not None:
+        named = named.where(F.col("number") < before)
+    last = named.agg(F.max("number").alias("number"), F.max_by("version", F.struct("number", "version")).alias("version")).first()
+    return last if last["number"] is not None else None
+
+
 def publish(df: DataFrame, root: str, version: str) -> None:
-    """Write an immutable version, then name it as the current one; readers see either the old or the new."""
+    """Write an immutable version, then name it as the current one; readers see either the old or the new.
+
+    Pointers are numbered, since the names of versions need not sort by age."""
     spark = df.sparkSession
     df.write.mode("errorifexists").parquet(f"{root}/version={version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{root}/_pointers")
+    last = _last_pointer(spark, root)
+    point_to(spark, root, version, 1 + (last["number"] if last else 0))
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The version named last."""
-    named = spark.read.schema("version string").json(f"{root}/_pointers").agg(F.max("version").alias("v")).first()
-    return spark.read.parquet(f"{root}/version={named['v']}")
+    last = _last_pointer(spark, root)
+    if last is None:
+        raise FileNotFoundError(f"no version under {root}")
+    return spark.read.parquet(f"{root}/version={last['version']}")
+
+
+def version_before(spark: SparkSession, root: str, number: int) -> DataFrame | None:
+    """The last version of a smaller number, if there is one."""
+    last = _last_pointer(spark, root, number)
+    return spark.read.parquet(f"{root}/version={last['version']}") if last else None
 
 
 def manifest(df: DataFrame, **fields) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,20 +18,15 @@ def stream(spark: SparkSession, path: str, schema: T.StructType | str, files_per
 def upsert_into(target: str, key: list[str], seq: str):
     """A foreachBatch function that keeps the last row of each key under target.
 
-    Each batch writes a whole new version and then moves the pointer, so a batch that is run again changes nothing."""
+    Each batch writes a whole new version under a name of its own and then points to it by the batch's number. A batch that
+    is run again starts from the version of the batches before it, so it changes nothing and writes over nothing."""
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        try:
-            before = sinks.current(spark, target)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            before = None
-        version = f"{number:012d}"
-        after = sinks.upserted(before, df, key, seq)
-        after.write.mode("overwrite").parquet(f"{target}/version={version}")
-        spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{target}/_pointers")
+        before = sinks.version_before(spark, target, number)
+        version = f"{number:012d}-{uuid.uuid4().hex}"
+        sinks.upserted(before, df, key, seq).write.mode("errorifexists").parquet(f"{target}/version={version}")
+        sinks.point_to(spark, target, version, number)
 
     return batch
 

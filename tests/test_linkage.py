@@ -55,7 +55,7 @@ def test_scores_and_bands(spark):
     r = spark.range(1).select(
         features.supplied_score(L(5), L(2), L(0.5), L(0.5), L(True), L(False)).alias("a"), features.supplied_score(L(0), L(0), L(0.0), L(0.0), L(False), L(True)).alias("b"),
         features.generated_score(L(False), L(9), L(3), L(1.0), L(1.0), L(True), L(True)).alias("c"), features.band(L(0.3), 0.15, 0.4).alias("d"), features.bucket_band(L(50)).alias("e"),
-        features.evidence_strings(L(True), L(False), L(2), L(0.9), L(False)).alias("f"), features.brand_relation(L("Acme "), L("the acme grill")).alias("g"),
+        features.supplied_reasons(L(True), L(False), L(2), L(0.9), L(False)).alias("f"), features.brand_relation(L("Acme "), L("the acme grill")).alias("g"),
     ).first()
     assert abs(r.a - (0.58 + 0.11 + 0.06 + 0.08)) < 1e-12 and r.b == 1.0 and abs(r.c - 0.58) < 1e-9
     assert (r.d, r.e, r.g) == ("medium", "medium_bucket", "brand_in_name") and len(r.f) == 3
@@ -137,7 +137,7 @@ def test_strict_join_fails_on_a_miss(spark):
 def test_narrative_references(spark):
     d = spark.createDataFrame([("i1", "bought at https://www.amazon.com/dp/B08FTL2RMH today"), ("i2", "see /dp/b08ftl2rmh")], "id string, body string")
     got = {(r.type, r.value) for r in evidence.narrative_references(d, "id", F.col("body")).collect()}
-    assert ("catalogue_id", "B08FTL2RMH") in got and len(got) == 2
+    assert ("amazon_asin", "B08FTL2RMH") in got and len(got) == 2
 
 
 def test_profile(spark):

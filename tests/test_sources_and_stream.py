@@ -52,3 +52,14 @@ def test_landing_stream(spark, tmp_path):
     rows([("a", 1, "z"), ("b", 1, "w")])
     start()
     assert {(r.key, r.v) for r in sinks.current(spark, out).collect()} == {("a", "z"), ("b", "w")}
+
+
+def test_a_batch_run_again_changes_nothing(spark, tmp_path):
+    out = str(tmp_path / "out")
+    batch = landing.upsert_into(out, ["key"], "seq")
+    rows = lambda *x: spark.createDataFrame(list(x), "key string, seq int, v string")
+    batch(rows(("a", 1, "x")), 0)
+    batch(rows(("a", 1, "y"), ("b", 1, "w")), 1)
+    batch(rows(("a", 1, "y"), ("b", 1, "w")), 1)
+    batch(rows(("a", 1, "z")), 2)
+    assert {(r.key, r.v) for r in sinks.current(spark, out).collect()} == {("a", "z"), ("b", "w")}
