@@ -82,12 +82,14 @@ def phrase_containment(left: DataFrame, right: DataFrame, gram: int = 3) -> Data
     """(left_id, right_id) where the right `text` has the left `phrase`, which is not empty.
 
     Instead of looking at all pairs, a phrase's first characters are joined with the distinct substrings of that
-    length of each text; only those pairs are compared whole."""
+    length of each text. Substrings travel with ids alone and only if some phrase begins so; texts are fetched for the
+    pairs that are left, and only those are compared whole."""
     head = left.where("phrase <> ''").withColumn("gram", F.substring("phrase", 1, gram))
     lengths = F.sequence(F.lit(1), F.lit(gram))
     pieces = F.flatten(F.transform(lengths, lambda k: F.when(F.length("text") >= k, F.transform(F.sequence(F.lit(1), F.length("text") - k + 1), lambda i: F.substr("text", i, k))).otherwise(F.array().cast("array<string>"))))
-    grams = right.select("right_id", "text", F.explode(F.array_distinct(pieces)).alias("gram"))
-    return grams.join(head, "gram").where(F.contains("text", F.col("phrase"))).select("left_id", "right_id").distinct()
+    grams = right.select("right_id", F.explode(F.array_distinct(pieces)).alias("gram")).join(head.select("gram").distinct(), "gram", "left_semi")
+    pairs = grams.join(head.select("left_id", "gram", "phrase"), "gram").select("left_id", "right_id", "phrase").distinct()
+    return pairs.join(right.select("right_id", "text"), "right_id").where(F.contains("text", F.col("phrase"))).select("left_id", "right_id").distinct()
 
 
 def union_with_provenance(**sources: DataFrame) -> DataFrame:
@@ -99,29 +101,40 @@ def union_with_provenance(**sources: DataFrame) -> DataFrame:
     return every.groupBy("left_id", "right_id").agg(F.array_sort(F.collect_set("source")).alias("blocking_sources"))
 
 
-def linked_candidates(left: DataFrame, right: DataFrame, least: int = 2) -> DataFrame:
+def linked_candidates(left: DataFrame, right: DataFrame, least: int = 2, with_tokens: bool = False) -> DataFrame:
     """Union of exact key and token overlap with what pairs share.
 
-    left: (left_id, tokens, keys array), right: (right_id, tokens, key)."""
-    lp, rp = postings(left, "left_id", F.col("tokens"), "left_id"), postings(right, "right_id", F.col("tokens"), "right_id")
+    left: (left_id, tokens, keys array), right: (right_id, tokens, key). Postings carry the sizes of their sets, so counts
+    and similarities come out of the one aggregation by pair; the exact keys join in its partitioning. The shared tokens
+    themselves are fetched only if asked for."""
+    def sized(d, i, n):
+        # the size is a column before tokens are exploded; beside the explosion it would be taken anew for each token
+        return d.select(i, F.array_distinct("tokens").alias("tokens")).withColumn(n, F.size("tokens")).select(i, n, F.explode("tokens").alias("token"))
+
+    lp, rp = sized(left, "left_id", "nl"), sized(right, "right_id", "nr")
+    counts = relevant(rp, lp).join(lp, "token").groupBy("left_id", "right_id").agg(F.count("*").cast("int").alias("n"), F.max("nl").alias("nl"), F.max("nr").alias("nr"))
     keyed = exact_key(left.select("left_id", F.explode("keys").alias("key")), right.select("right_id", "key"))
-    pairs = union_with_provenance(exact_key=keyed, tokens=token_overlap(lp, rp, least))
-    both = pairs.join(left.select("left_id", F.col("tokens").alias("lt")), "left_id").join(right.select("right_id", F.col("tokens").alias("rt")), "right_id")
-    common = F.array_sort(F.array_intersect("lt", "rt"))
-    union = F.size(F.array_union("lt", "rt"))
-    return both.select(
-        "left_id", "right_id", "blocking_sources", F.array_contains("blocking_sources", "exact_key").alias("exact_key"),
-        common.alias("shared_tokens"), F.size(common).alias("shared_count"), F.when(union > 0, F.size(common) / union).otherwise(0.0).alias("jaccard"),
-    )
+    size = lambda d, i, n: d.select(F.col(i), F.size(F.array_distinct("tokens")).alias(n)).join(keyed.select(i).distinct(), i, "left_semi").distinct()
+    keyed = keyed.join(size(left, "left_id", "kl"), "left_id").join(size(right, "right_id", "kr"), "right_id")
+    both = counts.join(keyed, ["left_id", "right_id"], "full").withColumn("exact_key", F.col("kl").isNotNull()).withColumn("shared_count", F.coalesce("n", F.lit(0)))
+    both = both.where(F.col("exact_key") | (F.col("shared_count") >= least))
+    union = F.coalesce("nl", "kl") + F.coalesce("nr", "kr") - F.col("shared_count")
+    sources = F.array_compact(F.array(F.when(F.col("exact_key"), "exact_key"), F.when(F.col("shared_count") >= least, "tokens")))
+    out = both.select("left_id", "right_id", sources.alias("blocking_sources"), "exact_key", "shared_count", F.when(union > 0, F.col("shared_count") / union).otherwise(0.0).alias("jaccard"))
+    if not with_tokens:
+        return out
+    out = out.join(left.select("left_id", F.col("tokens").alias("lt")), "left_id").join(right.select("right_id", F.col("tokens").alias("rt")), "right_id")
+    return out.withColumn("shared_tokens", F.array_sort(F.array_intersect("lt", "rt"))).drop("lt", "rt")
 
 
 def sensitivity(left: DataFrame, right: DataFrame, limits: list[int], least: int = 2) -> DataFrame:
     """(df_limit, left_rows, pairs, largest): pairs with `least` shared tokens, one of them of frequency at most the limit.
 
-    One pass: each pair is counted once with its rarest shared token, and limits are compared afterwards."""
+    One pass: each pair is counted once with its rarest shared token, and limits are compared afterwards. Frequencies join
+    the short side of the postings before they meet."""
     own = relevant(right, left)
-    met = own.join(left, "token").join(document_frequency(own), "token")
-    pairs = met.groupBy("left_id", "right_id").agg(F.count("*").alias("shared"), F.min("df").alias("rarest")).where(F.col("shared") >= least)
+    asked = left.join(document_frequency(own), "token")
+    pairs = own.join(asked, "token").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"), F.min("df").alias("rarest")).where((F.col("shared") >= least) & (F.col("rarest") <= max(limits)))
     at = pairs.select("left_id", F.explode(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: F.col("rarest") <= x)).alias("df_limit"))
     per = at.groupBy("df_limit", "left_id").agg(F.count("*").alias("n"))
     return per.groupBy("df_limit").agg(F.count("*").alias("left_rows"), F.sum("n").alias("pairs"), F.max("n").alias("largest"))

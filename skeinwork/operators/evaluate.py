@@ -34,20 +34,40 @@ def _by_score(df: DataFrame, target: str, score: str) -> DataFrame:
     return df.groupBy(F.col(score).alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
 
 
+#: Parts into which distinct scores are cut for running sums.
+PARTS = 64
+
+
+def _running(s: DataFrame, names: list[str]) -> DataFrame:
+    """s with the sums of the named columns over all lower scores, as `<name>_below`.
+
+    Scores are cut into parts at approximate quantiles; windows run inside parts, and the sums of the parts below, at most
+    PARTS + 1 rows, are added. So no task holds all scores."""
+    bounds = s.select(F.percentile_approx("score", [i / PARTS for i in range(1, PARTS)], 1000)).first()[0] or []
+    cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
+    s = s.withColumn("__part", F.size(F.filter(cuts, lambda b: b <= F.col("score"))))
+    sums = s.groupBy("__part").agg(*[F.sum(n).alias(n) for n in names])
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("__part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__{n}") for n in names])
+    inside = Window.partitionBy("__part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    out = s.join(F.broadcast(starts), "__part")
+    return out.withColumns({f"{n}_below": F.col(f"__{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in names}).drop("__part", *[f"__{n}" for n in names])
+
+
 def roc_auc(df: DataFrame, target: str, score: str) -> DataFrame:
     """Area under the ROC curve: the part of positive-negative pairs in the right order, ties counting half."""
-    s = _by_score(df, target, score)
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    won = s.withColumn("lower", F.coalesce(F.sum("neg").over(below), F.lit(0))).agg(F.sum(F.col("pos") * (F.col("lower") + F.col("neg") / 2)).alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    s = _running(_by_score(df, target, score), ["neg"])
+    won = s.agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return won.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n"))).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, target: str, score: str) -> DataFrame:
     """Sum over distinct scores of precision times the gain in recall."""
-    s = _by_score(df, target, score)
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    c = s.withColumn("tp", F.sum("pos").over(down)).withColumn("all", F.sum(F.col("pos") + F.col("neg")).over(down))
-    return c.agg((F.sum(F.col("pos") * F.col("tp") / F.col("all")) / F.sum("pos")).alias("average_precision"))
+    by = _by_score(df, target, score)
+    whole = by.agg(F.sum("pos").alias("all_pos"), F.sum(F.col("pos") + F.col("neg")).alias("everything"))
+    c = _running(by.withColumn("both", F.col("pos") + F.col("neg")), ["pos", "both"]).join(F.broadcast(whole))
+    tp, every = F.col("all_pos") - F.col("pos_below"), F.col("everything") - F.col("both_below")
+    return c.agg((F.sum(F.col("pos") * tp / every) / F.max("all_pos")).alias("average_precision"))
 
 
 def top_k_hit_rate(df: DataFrame, group: str, target: str, score: str, tie: str, ks: list[int]) -> DataFrame:

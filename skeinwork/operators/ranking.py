@@ -41,22 +41,44 @@ def numbered(df: DataFrame, order: list[Column], prefix: str, name: str, width:
     return df.withColumn(name, F.concat(F.lit(prefix), F.when(F.length(n.cast("string")) < width, F.lpad(n.cast("string"), width, "0")).otherwise(n.cast("string"))))
 
 
-def quantile(sorted_values: Column, p: float, convention: str) -> Column:
-    """Element of a sorted array. ceil: index ceil(p n); floor: floor(p n), at least 1; nearest: (n - 1) p, ties to even."""
-    n = F.size(sorted_values)
-    at = {
+def _place(n: Column, p: float, convention: str) -> Column:
+    """Place of a quantile among n sorted values, from 1. ceil: p n; floor: p n, at least 1; nearest: (n - 1) p, ties to even."""
+    return {
         "ceil": F.greatest(F.lit(1), F.ceil(n * p)),
         "floor": F.greatest(F.lit(1), F.floor(n * p)),
         "nearest": F.bround((n - 1) * F.lit(p)) + 1,
         "upper_median": F.floor(n / 2) + 1,
-    }[convention]
-    return F.try_element_at(sorted_values, at.cast("int"))
+    }[convention].cast("long")
+
+
+def quantile(sorted_values: Column, p: float, convention: str) -> Column:
+    """Element of a sorted array, for short arrays."""
+    return F.try_element_at(sorted_values, _place(F.size(sorted_values), p, convention).cast("int"))
+
+
+def value_counts(df: DataFrame, value: str, by: list[str] = []) -> DataFrame:
+    """(by, value, n, upto, total): how often each value occurs, how many are up to it, and how many there are.
+
+    Windows run over distinct values, not over rows."""
+    c = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*(by or [F.lit(1)]))
+    return c.withColumn("upto", F.sum("n").over(w.orderBy("value"))).withColumn("total", F.sum("n").over(w))
+
+
+def _at(p: float, convention: str) -> Column:
+    return F.min(F.when(F.col("upto") >= _place(F.col("total"), p, convention), F.col("value")))
+
+
+def quantiles(df: DataFrame, value: str, ps: list[float], convention: str, by: list[str] = []) -> DataFrame:
+    """(by, p, v): quantiles of a column by one of the conventions."""
+    one = value_counts(df, value, by).groupBy(*by).agg(F.array(*[F.struct(F.lit(p).alias("p"), _at(p, convention).alias("v")) for p in ps]).alias("q"))
+    return one.select(*by, F.explode("q").alias("q")).select(*by, "q.p", "q.v")
 
 
 def distribution(counts: DataFrame, value: str, by: list[str] = [], convention: str = "nearest") -> DataFrame:
     """least, median, mean, p90, largest and number of groups with any, over one count for each group."""
-    agg = counts.groupBy(*by).agg(
-        F.count("*").alias("groups"), F.count_if(F.col(value) > 0).alias("with_any"), F.min(value).alias("least"),
-        F.median(value).alias("median"), F.avg(value).alias("mean"), F.max(value).alias("largest"), F.array_sort(F.collect_list(value)).alias("__v"),
+    n, v = F.col("n"), F.col("value")
+    return value_counts(counts, value, by).groupBy(*by).agg(
+        F.sum("n").alias("groups"), F.coalesce(F.sum(F.when(v > 0, n)), F.lit(0)).alias("with_any"), F.min("value").alias("least"),
+        F.percentile("value", F.lit(0.5), F.col("n")).alias("median"), (F.sum(v * n) / F.sum("n")).alias("mean"), F.max("value").alias("largest"), _at(0.9, convention).alias("p90"),
     )
-    return agg.withColumn("p90", quantile(F.col("__v"), 0.9, convention)).drop("__v")

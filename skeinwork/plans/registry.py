@@ -232,14 +232,14 @@ def bucket_bands(spark, sf):
 
 for _conv, _at in (("ceil", "greatest(1, ceil(p * n))"), ("floor", "greatest(1, floor(p * n))"), ("nearest", "1 + round_even((n - 1) * p, 0)")):
     query(f"quantiles_{_conv}", f"WITH c AS (SELECT o_custkey AS k, count(*) AS v FROM orders GROUP BY 1), s AS (SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n FROM c) SELECT p::DOUBLE AS p, v FROM s, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)) q(p) WHERE i = ({_at})::BIGINT")(
-        lambda spark, sf, conv=_conv: table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("v")).agg(F.array_sort(F.collect_list("v")).alias("s")).select(F.explode(F.array(*[F.struct(F.lit(p).alias("p"), ranking.quantile(F.col("s"), p, conv).alias("v")) for p in (0.5, 0.9, 0.99)])).alias("q")).select("q.*")
+        lambda spark, sf, conv=_conv: ranking.quantiles(table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("v")), "v", [0.5, 0.9, 0.99], conv)
     )
 
 
-@query("category_profile", "SELECT lang, min(n) AS least, max(n) AS largest, count(*) AS groups FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1")
+@query("category_profile", "WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2), r AS (SELECT lang, n, row_number() OVER (PARTITION BY lang ORDER BY n) AS i, count(*) OVER (PARTITION BY lang) AS m FROM c) SELECT lang, min(n) AS least, max(n) AS largest, max(m) AS groups, max(n) FILTER (i = 1 + round_even((m - 1) * 0.9::DOUBLE, 0)::BIGINT) AS p90 FROM r GROUP BY 1")
 def category_profile(spark, sf):
     per = profile.bucket_sizes(table(spark, sf, "documents"), ["lang", "source"])
-    return ranking.distribution(per, "candidates", ["lang"]).select("lang", "least", "largest", "groups")
+    return ranking.distribution(per, "candidates", ["lang"]).select("lang", "least", "largest", "groups", "p90")
 
 
 # ---------------------------------------------------------------- time
@@ -568,9 +568,11 @@ def anti_missing(spark, sf):
     return review.missing(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id"), ["doc_id"])
 
 
-@query("key_overlap", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+@query("key_overlap", "SELECT DISTINCT lpad(p_partkey::VARCHAR, 12, '0') AS k FROM part WHERE p_partkey IN (SELECT o_custkey FROM orders)")
 def key_overlap(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, sf, "supplier").select("s_nationkey"))
+    """Digit codes that two sides write differently."""
+    left = table(spark, sf, "part").select(t.digits(F.concat(F.lit("UPC "), F.lpad(F.col("p_partkey").cast("string"), 12, "0"))).alias("k"))
+    return left.intersect(table(spark, sf, "orders").select(t.digits(F.concat_ws("-", F.lit("000000"), F.lpad(F.col("o_custkey").cast("string"), 6, "0"))).alias("k")))
 
 
 def _cases(spark, sf) -> DataFrame:

@@ -13,7 +13,7 @@ def sides(spark):
 
 def test_candidates(spark):
     left, right = sides(spark)
-    got = {r.right_id: r for r in blocking.linked_candidates(left, right).collect()}
+    got = {r.right_id: r for r in blocking.linked_candidates(left, right, with_tokens=True).collect()}
     assert set(got) == {"I1", "I2"} and got["I1"].exact_key and not got["I2"].exact_key
     assert got["I1"].blocking_sources == ["exact_key", "tokens"] and got["I2"].shared_tokens == ["acme", "electric"]
     first = ranking.review_rank(blocking.linked_candidates(left, right), 1).orderBy("review_rank").first()
