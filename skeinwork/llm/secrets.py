@@ -2,13 +2,15 @@
 
 Three fixed kinds (assign, access, hex) are matched leftmost and without overlap, each kind by itself; a match that
 fails its length rule is used up and dropped. Beside them every run of token characters of 20 or more with a digit
-in it is a candidate. Its encoding is inferred from its characters, and it is tested for
-- uniformity over that alphabet (chi-squared, Wilson-Hilferty),
-- serial correlation of neighbouring symbols,
-- the number of runs of digits, lower-case and upper-case letters against what words and identifiers show.
-The first two must not speak against random symbols (Bonferroni, level `alpha`). The third gives the p-value of
-"made of words"; Benjamini-Hochberg at level `q`, within classes of length over the whole corpus, decides which are
-reported as kind random. Base spans always stay; a candidate that overlaps one is left out.
+and a letter in it is a candidate. Its encoding is inferred from its characters, and three tests look at it:
+- chi-squared over that alphabet: how much more even it is than words and identifiers are,
+- runs of digits, lower-case and upper-case letters, against what words and identifiers show: a change of kind counts
+  unless a capital begins a word or a separator stands between,
+- serial correlation of neighbouring symbols: how near it is to none.
+Each gives a p-value of "an ordinary token"; Fisher's method joins the three, and Benjamini-Hochberg at level `q`, within
+classes of length over the whole corpus, decides which are reported as kind random. A candidate whose symbols speak
+against randomness itself (chi-squared or serial correlation, Bonferroni, level `alpha`) is never reported. Base spans
+always stay; a candidate that overlaps one is left out.
 
 Null text counts as empty and has no spans. Positions are code points, ends exclusive. Repeated rows give repeated
 results; an empty table gives an empty result; other columns are ignored.
@@ -29,8 +31,10 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 ALPHA = 1e-4
 Q = 0.01
-#: Odds that neighbours in words and identifiers differ in kind (digit, lower, upper), set high on purpose.
-WORDLIKE_CHANGE = 0.12
+#: Odds of a change of kind in words and identifiers, and that two of their symbols are equal; the first set high and the
+#: second low on purpose, so that ordinary tokens look more random than they are.
+WORDLIKE_CHANGE = 0.2
+WORDLIKE_EQUAL = 0.05
 #: Lower ends of the classes of length.
 LENGTH_CLASSES = (20, 32, 48, 96)
 STEPS = 4  # bins of -ln p for each unit
@@ -73,7 +77,7 @@ def _tail(z: str) -> str:
 def _battery(alpha: float) -> str:
     """SQL on y (a candidate span with its string y.x): struct of span, class of length, bin of -ln p, consistent."""
     alphabets = [
-        ("^[0-9]+$", "0123456789"), ("^[0-9a-f]+$", "0123456789abcdef"), ("^[0-9A-F]+$", "0123456789ABCDEF"),
+        ("^[0-9a-f]+$", "0123456789abcdef"), ("^[0-9A-F]+$", "0123456789ABCDEF"),
         ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
         ("^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ]
@@ -82,7 +86,8 @@ def _battery(alpha: float) -> str:
     alphabet = "case " + " ".join(f"when {body} rlike '{p}' then '{a}'" for p, a in alphabets) + f" else '{rest}' end"
     size_ = "cast(length(c.a) as double)"
     n = "cast(length(c.x) as double)"
-    squares = "aggregate(c.ch, 0.0D, (s, h) -> s + length(c.x) - length(replace(c.x, h, '')))"
+    # counts go by the alphabet, not by the candidate's characters, so that long candidates cost in proportion
+    squares = "aggregate(split(c.a, ''), 0.0D, (s, h) -> s + power(cast(length(c.x) - length(replace(c.x, h, '')) as double), 2))"
     chi = f"({size_} / {n} * {squares} - {n})"
     df = f"({size_} - 1)"
     z_chi = f"((power(greatest({chi}, 0) / {df}, 1.0D / 3) - (1 - 2 / (9 * {df}))) / sqrt(2 / (9 * {df})))"
@@ -90,17 +95,21 @@ def _battery(alpha: float) -> str:
     cross = f"aggregate(sequence(1, size(c.v) - 1), 0.0D, (s, i) -> s + (c.v[i - 1] - {mid}) * (c.v[i] - {mid}))"
     z_serial = f"({cross} / ({n} * ({size_} * {size_} - 1) / 12) * sqrt({n}))"
     kind = "translate(c.x, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', concat(repeat('a', 26), repeat('A', 26), repeat('0', 10)))"
-    changes = "aggregate(sequence(1, size(c.kd) - 1), 0.0D, (s, i) -> s + if(c.kd[i] = c.kd[i - 1], 0, 1))"
+    changes = "aggregate(sequence(1, size(c.kd) - 1), 0.0D, (s, i) -> s + if(c.kd[i] = c.kd[i - 1] or c.kd[i] not in ('a', 'A', '0') or c.kd[i - 1] not in ('a', 'A', '0') or (c.kd[i - 1] = 'A' and c.kd[i] = 'a'), 0, 1))"
     w = WORDLIKE_CHANGE
     z_runs = f"(({changes} - 0.5D - ({n} - 1) * {w}D) / sqrt(({n} - 1) * {w * (1 - w)}D))"
     length_class = "case " + " ".join(f"when y.n >= {lo} then {i}" for i, lo in reversed(list(enumerate(LENGTH_CLASSES)))) + " else 0 end"
     c1 = f"named_struct('x', {body}, 'a', {alphabet})"
-    c2 = "named_struct('x', b.x, 'a', b.a, 'ch', split(b.x, ''), 'kd', split(" + kind.replace("c.x", "b.x") + ", ''), 'v', transform(split(b.x, ''), h -> instr(b.a, h) - 1.0D))"
-    tests = f"named_struct('zc', {z_chi}, 'zs', {z_serial}, 'zr', {z_runs})"
+    c2 = "named_struct('x', b.x, 'a', b.a, 'kd', split(" + kind.replace("c.x", "b.x") + ", ''), 'v', transform(split(b.x, ''), h -> instr(b.a, h) - 1.0D))"
+    uneven = f"greatest(0.5D, {WORDLIKE_EQUAL}D * {size_} - 1)"
+    z_even = f"(({df} + {n} * {uneven} - {chi}) / sqrt(2 * {df} + 4 * {n} * {uneven}))"
+    tests = f"named_struct('zc', {z_chi}, 'zs', {z_serial}, 'zr', {z_runs}, 'ze', {z_even})"
+    # Fisher's sum of three, whose upper tail has a closed form
+    joined = f"(- ln({_tail('q.ze')}) - ln({_tail('q.zr')}) - ln(greatest(1e-6D, 1 - 2 * {_tail('abs(q.zs)')})))"
     consistent = f"2 * least({_tail('q.zc')}, 2 * {_tail('abs(q.zs)')}) >= {alpha}D"
     return (
-        f"transform(transform(transform(array({c1}), b -> {c2}), c -> {tests}), q -> "
-        f"named_struct('s', y.s, 'e', y.e, 'cl', {length_class}, 'bin', cast(floor(-ln({_tail('q.zr')}) * {STEPS}) as int), 'ok', {consistent}))[0]"
+        f"transform(transform(transform(transform(array({c1}), b -> {c2}), c -> {tests}), q -> named_struct('j', {joined}, 'ok', {consistent})), q -> "
+        f"named_struct('s', y.s, 'e', y.e, 'cl', {length_class}, 'bin', cast(floor((q.j - ln(1 + q.j + q.j * q.j / 2)) * {STEPS}) as int), 'ok', q.ok))[0]"
     )
 
 

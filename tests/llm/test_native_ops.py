@@ -1,6 +1,8 @@
 """Exact dedup, mixing, secret scans and sharding on small and awkward tables."""
 
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -115,6 +117,61 @@ def test_battery_finds_random_tokens_and_leaves_words(spark):
     assert found == {60, 61, 62}
 
 
+def tail(z):
+    return max(1e-300, 0.5 * math.erfc(z / math.sqrt(2)))
+
+
+def plain_battery(x):
+    """-ln p of an ordinary token by Fisher's sum of three tests, and whether symbols may be random; one candidate at a time."""
+    x = x.rstrip("=")
+    digits, low, up = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabet = next((a for a in (digits + "abcdef", digits + "ABCDEF", up + "234567", digits + low, digits + up + low) if set(x) <= set(a)), up + low + digits + "+/-_")
+    n, size = len(x), len(alphabet)
+    chi = size / n * sum(x.count(c) ** 2 for c in alphabet) - n
+    df = size - 1
+    z_chi = ((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    v = [alphabet.index(c) - df / 2 for c in x]
+    z_serial = sum(a * b for a, b in zip(v, v[1:])) / (n * (size * size - 1) / 12) * math.sqrt(n)
+    kind = [("0" if c in digits else "a" if c in low else "A" if c in up else c) for c in x]
+    w = secrets.WORDLIKE_CHANGE
+    z_runs = (sum(a != b and a in "aA0" and b in "aA0" and (a, b) != ("A", "a") for a, b in zip(kind, kind[1:])) - 0.5 - (n - 1) * w) / math.sqrt((n - 1) * w * (1 - w))
+    uneven = max(0.5, secrets.WORDLIKE_EQUAL * size - 1)
+    z_even = (df + n * uneven - chi) / math.sqrt(2 * df + 4 * n * uneven)
+    y = -math.log(tail(z_even)) - math.log(tail(z_runs)) - math.log(max(1e-6, 1 - 2 * tail(abs(z_serial))))
+    return y - math.log(1 + y + y * y / 2), 2 * min(tail(z_chi), 2 * tail(abs(z_serial))) >= secrets.ALPHA
+
+
+def planted(rng):
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["A1" + "".join(rng.choice(symbols) for _ in range(rng.choice([26, 34, 46, 70]))) for _ in range(120)]
+    nouns = "user account river mill build report summer garden value index table folder server window letter".split()
+    plain = ["_".join(rng.choice(nouns) for _ in range(5)) + str(rng.randrange(100)) for _ in range(500)]
+    plain += ["".join(rng.choice(nouns).capitalize() for _ in range(5)) + "2" for _ in range(200)]
+    plain += ["-".join(rng.choice(nouns).capitalize() for _ in range(4)) + "-v%d" % rng.randrange(9) for _ in range(300)]
+    return plain, keys
+
+
+def test_battery_agrees_with_a_plain_one(spark):
+    plain, keys = planted(random.Random(7))
+    d = spark.createDataFrame(list(enumerate(plain + keys)), "doc_id long, text string")
+    scores = {x: plain_battery(x) for x in plain + keys}
+    cls = lambda x: sum(len(x) >= lo for lo in secrets.LENGTH_CLASSES)
+    want = set()
+    for k in range(1, len(secrets.LENGTH_CLASSES) + 1):
+        own = sorted((math.floor(scores[x][0] * secrets.STEPS) for x in plain + keys if cls(x) == k), reverse=True)
+        limit = min((b for i, b in enumerate(own) if math.exp(-b / secrets.STEPS) <= secrets.Q * sum(o >= b for o in own) / len(own)), default=None)
+        want |= {x for x in plain + keys if limit is not None and cls(x) == k and scores[x][1] and math.floor(scores[x][0] * secrets.STEPS) >= limit}
+    got = {(plain + keys)[r.doc_id] for r in secrets.scan(d).collect() if r.found}
+    assert len(got ^ want) <= 2  # the normal tail is an approximation, so a value can fall into the next bin
+    assert len(got & set(keys)) >= 0.95 * len(keys) and len(got & set(plain)) <= 2 * secrets.Q * len(got), got & set(plain)
+
+
+def test_secrets_of_awkward_rows(spark):
+    d = docs(spark, [(None, "token=abcdefgh", "s", "x", 1), (1, "token=abcdefgh", "s", "x", 1), (1, "token=abcdefgh", "s", "x", 1), (2, None, "s", "x", 1), (3, "x1" * 50000, "s", "x", 1)])
+    got = sorted((r.doc_id or 0, len(r.base), len(r.found)) for r in secrets.scan(d).collect())
+    assert got == [(0, 1, 0), (1, 1, 0), (1, 1, 0), (2, 0, 0), (3, 0, 0)]
+
+
 def test_shards_are_near_equal_and_keep_equal_texts(spark):
     rows = [(i, "t%d " % (i % 400) + "z" * (i % 90), "s", "x", 1) for i in range(4000)] + [(9000 + i, "copy " * 30, "s", "x", 1) for i in range(80)]
     got = sharding.shard(docs(spark, rows)).toPandas()
