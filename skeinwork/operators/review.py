@@ -51,8 +51,11 @@ def _digest(seed: int, *keys: str) -> Column:
 def stratified_sample(rows: DataFrame, keys: list[str], group: str, seeds: Column, strata: dict[str, tuple[Column, int]], size: int, cap: int, strength: list[Column], seed: int = 17) -> DataFrame:
     """All seeds, then each stratum in turn up to its target, strongest first, at most `cap` rows of a group; at last any rows.
 
-    The choice is made on the strongest rows of each stratum and group: no more than cap of a group can be taken, and a
-    stratum gives no more than its target, so what reaches the driver is bounded by the sample's size."""
+    Before a stratum is ranked, rows already taken are left out and a group offers no more rows than it may still give, so
+    that exactly the wanted number reaches the driver; all in all that is the sample's size. Rows that repeat a key count as
+    one and are all returned."""
+    spark = rows.sparkSession
+    types = dict(rows.dtypes)
     order = [*strength, _digest(seed, *keys)]
     picked = {tuple(r[k] for k in keys): r for r in rows.where(seeds).orderBy(*keys).limit(size + 1).collect()}
     if len(picked) > size:
@@ -60,24 +63,21 @@ def stratified_sample(rows: DataFrame, keys: list[str], group: str, seeds: Colum
     used: dict = {}
     for r in picked.values():
         used[r[group]] = used.get(r[group], 0) + 1
+    key_schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
     rest = rows.where(~seeds)
-    for name, (cond, target) in [*strata.items(), ("any", (F.lit(True), size))]:
+    for cond, target in [*strata.values(), (F.lit(True), size)]:
         want = min(target, size - len(picked))
         if want <= 0:
             continue
-        pool = rest.where(cond).withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("__n") <= cap + size)
-        for r in pool.orderBy(*order).limit(want + len(picked) + cap * max(1, len(used)) + size).collect():
-            k = tuple(r[x] for x in keys)
-            if want <= 0:
-                break
-            if k in picked or used.get(r[group], 0) >= cap:
-                continue
-            picked[k] = r
+        taken = F.broadcast(spark.createDataFrame(list(picked), key_schema))
+        given = F.broadcast(spark.createDataFrame([(g, n) for g, n in used.items() if g is not None], f"`{group}` {types[group]}, __used int"))
+        pool = rest.where(cond).join(taken, keys, "left_anti").withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").join(given, group, "left")
+        pool = pool.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("__n") <= cap - F.coalesce("__used", F.lit(0)))
+        for r in pool.orderBy(*order).limit(want).collect():
+            picked[tuple(r[k] for k in keys)] = r
             used[r[group]] = used.get(r[group], 0) + 1
-            want -= 1
     chosen = [tuple(k) for k in picked]
-    schema = ", ".join(f"`{k}` {dict(rows.dtypes)[k]}" for k in keys)
-    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(chosen, schema)), keys, "left_semi")
+    return rows.join(F.broadcast(spark.createDataFrame(chosen, key_schema)), keys, "left_semi")
 
 
 def round_robin_sample(rows: DataFrame, keys: list[str], stratum: list[str], seeds: Column, size: int, prefer: list[Column], seed: int = 17) -> DataFrame:

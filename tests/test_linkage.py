@@ -126,6 +126,12 @@ def test_review_sample_keeps_seeds_and_cap(spark):
     assert len(got) == 10 and {(0, 0), (1, 0)} <= {(r.g, r.i) for r in got} and max(sum(r.g == g for r in got) for g in range(5)) == 2
 
 
+def test_review_sample_looks_past_groups_that_are_full(spark):
+    rows = spark.createDataFrame([(g, i, False, 1.0 - g / 10) for g in range(12) for i in range(60)], "g int, i int, seed boolean, s double")
+    got = review.stratified_sample(rows, ["g", "i"], "g", F.col("seed"), {"all": (F.col("s") > -1, 20)}, 24, 2, [F.col("s").desc()]).collect()
+    assert len(got) == 24 and all(sum(r.g == g for r in got) == 2 for g in range(12))
+
+
 def test_strict_join_fails_on_a_miss(spark):
     import pytest
 
