@@ -127,6 +127,30 @@ def linked_candidates(left: DataFrame, right: DataFrame, least: int = 2, with_to
     return out.withColumn("shared_tokens", F.array_sort(F.array_intersect("lt", "rt"))).drop("lt", "rt")
 
 
+# Names of the two ways in which a catalogue candidate is found.
+EXACT_SOURCE, LEXICAL_SOURCE = "exact_upc", "two_tokens_plus_category_rare_token"
+
+
+def category_candidates(left: DataFrame, right: DataFrame, most: int = 250, least: int = 2) -> DataFrame:
+    """Candidate rows of every product of a record: equal digit keys, or `least` shared tokens one of which is rare in the
+    candidate's category (a null category is one of its own).
+
+    left: (left_id, tokens, keys array), right: (right_id, category, tokens, key). Gives left_id, right_id, blocking_sources,
+    exact_upc (0 or 1), shared_product_token_count and product_token_jaccard; sets are fetched for pairs that were found."""
+    named = right.withColumn("category", F.coalesce("category", F.lit("")))
+    rare = named.select("right_id", "category", F.explode(F.array_distinct("tokens")).alias("token"))
+    lexical = rare_token_overlap(postings(left, "left_id", F.col("tokens"), "left_id"), rare, most, least, ["category"])
+    exact = exact_key(left.select("left_id", F.explode("keys").alias("key")), right.select("right_id", "key"))
+    found = union_with_provenance(**{EXACT_SOURCE: exact, LEXICAL_SOURCE: lexical})
+    sets = lambda d, i, n: d.select(i, F.array_distinct("tokens").alias(n))
+    both = found.join(sets(left, "left_id", "lt"), "left_id").join(sets(right, "right_id", "rt"), "right_id").withColumn("n", F.size(F.array_intersect("lt", "rt")))
+    union = F.size("lt") + F.size("rt") - F.col("n")
+    return both.select(
+        "left_id", "right_id", "blocking_sources", F.array_contains("blocking_sources", EXACT_SOURCE).cast("int").alias("exact_upc"),
+        F.col("n").alias("shared_product_token_count"), F.when(union > 0, F.col("n") / union).otherwise(0.0).alias("product_token_jaccard"),
+    )
+
+
 def sensitivity(left: DataFrame, right: DataFrame, limits: list[int], least: int = 2) -> DataFrame:
     """(df_limit, left_rows, pairs, largest): pairs with `least` shared tokens, one of them of frequency at most the limit.
 

@@ -87,8 +87,15 @@ def group_folds(df: DataFrame, group: str, target: str, k: int = 5) -> DataFrame
     return df.join(folds, group)
 
 
+# Rounds and step of the boosted trees.
+BOOSTING_ROUNDS, BOOSTING_STEP = 150, 0.05
+
+
 def out_of_fold(df: DataFrame, features: list[str], target: str, kind: str = "logistic", k: int = 5) -> DataFrame:
-    """df (with a fold column) with out-of-fold probabilities of a learned model; k fits, each a distributed job."""
+    """df (with a fold column) with out-of-fold probabilities of a learned model; k fits, each a distributed job.
+
+    `logistic` standardises the features and gives both classes the same weight, its penalty that of one row; any other kind
+    is boosted trees of depth 3 over the rows as they are."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -97,15 +104,15 @@ def out_of_fold(df: DataFrame, features: list[str], target: str, kind: str = "lo
     out = None
     for fold in range(k):
         train, test = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
-        share = train.agg(F.avg(F.col(target).cast("double"))).first()[0]
+        share, n = train.agg(F.avg(F.col(target).cast("double")), F.count("*")).first()
         if share is None:
             continue
         weigh = F.when(F.col(target) == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9))
         stages = [VectorAssembler(inputCols=features, outputCol="__raw", handleInvalid="keep")]
         if kind == "logistic":
-            stages += [StandardScaler(inputCol="__raw", outputCol="__x", withMean=True), LogisticRegression(featuresCol="__x", labelCol=target, weightCol="__w", maxIter=100, regParam=1e-3)]
+            stages += [StandardScaler(inputCol="__raw", outputCol="__x", withMean=True), LogisticRegression(featuresCol="__x", labelCol=target, weightCol="__w", maxIter=100, regParam=1 / n)]
         else:
-            stages += [GBTClassifier(featuresCol="__raw", labelCol=target, weightCol="__w", maxIter=20, maxDepth=3, stepSize=0.1, seed=7)]
+            stages += [GBTClassifier(featuresCol="__raw", labelCol=target, maxIter=BOOSTING_ROUNDS, maxDepth=3, stepSize=BOOSTING_STEP, seed=7)]
         model = Pipeline(stages=stages).fit(train.withColumn("__w", weigh))
         got = model.transform(test).withColumn("oof_probability", vector_to_array("probability")[1]).select(*df.columns, "oof_probability")
         out = got if out is None else out.unionByName(got)

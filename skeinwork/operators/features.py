@@ -68,6 +68,18 @@ def generated_score(exact: Column, shared: Column, left_tokens: Column, jaccard:
     return F.when(exact, 1.0).otherwise(F.least(s, F.lit(0.99)))
 
 
+#: Name tokens that the score of a shown candidate counts shared ones against, and the relation that counts as a brand's.
+SHOWN_TOKENS, BRAND_IN_NAME = 8, "brand_in_cpsc_name"
+
+
+def shown(candidates: DataFrame) -> DataFrame:
+    """Candidate views with evidence_score, to three places, and evidence, the reasons for it."""
+    exact, brand = F.col("exact_upc") == 1, F.col("brand_relation") == BRAND_IN_NAME
+    shared, sequence = F.col("shared_product_token_count"), F.col("product_name_sequence_similarity")
+    score = supplied_score(shared, F.lit(SHOWN_TOKENS), F.col("product_token_jaccard"), sequence, brand, exact)
+    return candidates.withColumns({"evidence_score": F.round(score, 3), "evidence": supplied_reasons(exact, brand, shared, sequence, F.lit(False))})
+
+
 # The wording of reasons; a candidate that came with its features and one found by search differ.
 EXACT_REASON = "Exact UPC agreement"
 SHARED_REASON = " shared product-name tokens"

@@ -369,11 +369,11 @@ def folded_tokens(spark, sf):
     return d.select("doc_id", *[F.size(t.tokens(F.col("text"), k)).alias(f"n_{k}") for k in t.STOP_WORDS])
 
 
-@query("rule_predictions", f"{_PAIRED}, j AS (SELECT left_id, right_id, shared, shared::DOUBLE / (nl + nr - shared) AS j FROM rare) SELECT left_id, right_id, 0 AS upc_only, (shared >= 3 AND j >= 0.20)::INTEGER AS token_similarity, 0 AS strict_title, (shared >= 2)::INTEGER AS accepted FROM j")
+@query("rule_predictions", f"{_PAIRED}, {_STAND_INS} SELECT left_id, right_id, ex::INTEGER AS upc_only, ((shared >= 3 AND j >= 0.20) OR ex)::INTEGER AS token_similarity, ((j >= 0.30 AND sq >= 0.45) OR ex)::INTEGER AS strict_title, (shared >= 2 OR sq >= 0.72 OR br)::INTEGER AS accepted FROM s")
 def rule_predictions(spark, sf):
-    p = rare_pairs(spark, sf)
-    r = features.rules(F.lit(False), F.col("shared"), t.jaccard(F.col("lt"), F.col("rt")), F.lit(0.0))
-    return p.select("left_id", "right_id", *[c.alias(n) for n, c in r.items()], features.acceptable(F.col("shared"), F.lit(0.0), F.lit(False)).cast("int").alias("accepted"))
+    p = _stand_ins(rare_pairs(spark, sf))
+    r = features.rules(F.col("ex"), F.col("shared"), F.col("j"), F.col("sq"))
+    return p.select("left_id", "right_id", *[c.alias(n) for n, c in r.items()], features.acceptable(F.col("shared"), F.col("sq"), F.col("br")).cast("int").alias("accepted"))
 
 
 # ---------------------------------------------------------------- search
@@ -589,14 +589,26 @@ def case_documents(spark, sf):
     return c.select("recall_id", F.size("incidents").alias("n_incidents"), F.size("candidates").alias("n_candidates"), s["pre_recall_public_incident_count"].alias("n_pre"), s["earliest_publication_date"].alias("earliest"), s["lead_time_days"].alias("lead_days"), s["identity_status"].alias("status"), F.size("evidence").alias("n_evidence"), F.size("timeline").alias("n_timeline"))
 
 
-@query("case_briefs")
+_CASE_CANDIDATES = "k AS (SELECT *, row_number() OVER (PARTITION BY recall_id ORDER BY score DESC, part) AS i FROM (SELECT l_orderkey AS recall_id, l_partkey AS part, max(l_quantity) / 50 AS score FROM lineitem GROUP BY 1, 2))"
+
+
+@query("case_briefs", f"""WITH {_INCIDENTS}, {_CASE_CANDIDATES}, a AS (SELECT recall_id, count(*) AS n, min(publication_date) AS first FROM inc WHERE incident_date < recall_date AND publication_date < recall_date GROUP BY 1)
+  SELECT o_orderkey AS recall_id, concat('Case ', o_orderkey, ': ', o_orderpriority,
+    CASE WHEN k.part IS NOT NULL THEN chr(10) || '- part ' || k.part || ' is the best available candidate (linkage score ' || format('{{:.3f}}', k.score) || '); the score is no probability.' ELSE '' END,
+    chr(10), CASE WHEN n > 0 THEN '- ' || n || ' incident record(s) were published before the recall; the earliest precedes it by ' || date_diff('day', first, o_orderdate::DATE) || ' days.' ELSE '- The linked records do not establish a signal before the recall.' END,
+    chr(10), '- Linkage and temporal association establish no cause.') AS brief
+  FROM orders LEFT JOIN k ON k.recall_id = o_orderkey AND i = 1 LEFT JOIN a ON a.recall_id = o_orderkey""")
 def case_briefs(spark, sf):
     return evidence.brief(_cases(spark, sf))
 
 
-@query("case_export", f"WITH {_INCIDENTS}, c AS (SELECT recall_id, count(*) AS n, count(DISTINCT part) AS p FROM inc GROUP BY 1) SELECT o_orderkey AS recall_id, 'evidence' AS section, 1 + coalesce(n, 0) + least(coalesce(p, 0), 5) AS n_rows FROM orders LEFT JOIN c ON recall_id = o_orderkey UNION ALL SELECT recall_id, 'candidate', p FROM c")
+@query("case_export", f"""WITH {_INCIDENTS}, {_CASE_CANDIDATES}, n AS (SELECT *, row_number() OVER (PARTITION BY recall_id ORDER BY publication_date, incident_date, line) AS i FROM inc)
+  SELECT o_orderkey AS recall_id, 'evidence' AS section, 'E-CPSC-' || o_orderkey AS id, 'CPSC' AS source, o_orderpriority AS title, o_orderdate::DATE::VARCHAR AS date, '' AS status, 'official_recall' AS details FROM orders
+  UNION ALL SELECT recall_id, 'evidence', 'E-SP-' || recall_id || '-' || i, 'SaferProducts.gov', 'line', publication_date::VARCHAR, '', 'consumer_incident' FROM n
+  UNION ALL SELECT recall_id, 'evidence', 'E-AMZ-' || recall_id || '-' || i, 'Amazon Reviews 2023 metadata', 'part ' || part, NULL, '', 'marketplace_identity' FROM k WHERE i <= 5
+  UNION ALL SELECT recall_id, 'candidate', part::VARCHAR, 'catalogue', 'part ' || part, '', '', 'score=' || score FROM k""")
 def case_export(spark, sf):
-    return evidence.export_rows(_cases(spark, sf)).groupBy("recall_id", "section").agg(F.count("*").alias("n_rows"))
+    return evidence.export_rows(_cases(spark, sf))
 
 
 @query("timeline", f"""WITH {_INCIDENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY recall_id ORDER BY publication_date, incident_date, line) AS i FROM inc),
@@ -698,7 +710,7 @@ def threshold_sweep(spark, sf):
     return _rounded(evaluate.threshold_sweep(_scored(spark, sf), "target", "score", list(range(10, 100, 5))))
 
 
-@query("best_f1")
+@query("best_f1", f"WITH {_SCORED}, c AS (SELECT source, percent, {_CONF} FROM (SELECT *, score >= percent / 100.0::DOUBLE AS hit FROM s, (SELECT unnest(generate_series(10, 95, 5))::INTEGER AS percent)) GROUP BY 1, 2), m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END AS r FROM c), f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM m) SELECT source, arg_max(percent, {{'f': f, 'p': p, 'r': r, 'percent': percent}}) AS percent, round(max(f), 9) AS f1 FROM f GROUP BY 1")
 def best_f1(spark, sf):
     sweep = evaluate.threshold_sweep(_scored(spark, sf), "target", "score", list(range(10, 100, 5)), ["source"])
     return _rounded(evaluate.best_f1(sweep, ["source"]))
@@ -719,7 +731,7 @@ def topk_hit_rate(spark, sf):
     return _rounded(evaluate.top_k_hit_rate(_scored(spark, sf), "source", "target", "score", "doc_id", [1, 3, 5, 10]))
 
 
-@query("group_folds")
+@query("group_folds", f"WITH {_SCORED}, per AS (SELECT source, floor(avg(target::DOUBLE) * 4) AS stratum, count(*) AS n FROM s GROUP BY 1), f AS (SELECT source, ((row_number() OVER (PARTITION BY stratum ORDER BY n DESC, md5(source)) - 1) % 5)::INTEGER AS fold FROM per) SELECT doc_id, source, fold FROM s JOIN f USING (source)")
 def group_folds(spark, sf):
     return evaluate.group_folds(_scored(spark, sf), "source", "target").select("doc_id", "source", "fold")
 

@@ -6,8 +6,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blocking, review, workspace
-from .registry import _BM, _IDX, _INCIDENTS, _POSTINGS, _STATUS, _status, incidents, left_postings, query, right_postings, table
+from ..operators import blocking, features, review, workspace
+from ..sources import normalize
+from .registry import _BM, _CANDIDATES, _IDX, _INCIDENTS, _POSTINGS, _STATUS, _status, incidents, left_postings, left_side, query, right_postings, right_side, table
 
 _OWNED = f"{_INCIDENTS}, own AS (SELECT o_custkey AS recall_id, inc.recall_id * 10 + line AS id, publication_date, incident_date FROM inc JOIN orders ON o_orderkey = inc.recall_id)"
 _CAND = "cand AS (SELECT l_suppkey AS recall_id, l_partkey AS parent_asin, max(l_quantity) / 50 AS evidence_score FROM lineitem GROUP BY 1, 2)"
@@ -208,3 +209,37 @@ def decisions_allowed(spark, sf):
     grants = spark.createDataFrame([("0", "view"), ("0", "click"), ("1", "view")], "role string, action string")
     e = table(spark, sf, "events").select("user_id", "event_type", (F.col("user_id") % 2).cast("string").alias("role"), F.col("event_type").alias("action"))
     return review.allowed(e, grants).select("user_id", "event_type")
+
+
+@query("category_candidates", f"""WITH {_POSTINGS}, {_CANDIDATES}, df AS (SELECT lang, token, count(*) AS df FROM rp GROUP BY 1, 2), hit AS (SELECT DISTINCT left_id, right_id FROM met JOIN rp USING (right_id, token) JOIN df USING (lang, token) WHERE df <= 250),
+  u AS (SELECT left_id, right_id, 1 AS e, 0 AS l FROM keyed UNION ALL SELECT left_id, right_id, 0, 1 FROM pairs JOIN hit USING (left_id, right_id) WHERE shared >= 2), g AS (SELECT left_id, right_id, max(e) AS e, max(l) AS l FROM u GROUP BY 1, 2)
+  SELECT g.left_id, g.right_id, concat_ws(',', CASE WHEN e = 1 THEN 'exact_upc' END, CASE WHEN l = 1 THEN 'two_tokens_plus_category_rare_token' END) AS blocking_sources, e AS exact_upc, coalesce(shared, 0)::INTEGER AS shared_product_token_count,
+    round(coalesce(shared::DOUBLE / (nl.n + nr.n - shared), 0.0), 9) AS product_token_jaccard FROM g LEFT JOIN pairs USING (left_id, right_id) LEFT JOIN nl USING (left_id) LEFT JOIN nr USING (right_id)""")
+def category_candidates(spark, sf):
+    left = left_side(spark, sf).select("left_id", "tokens", F.array(F.md5("text")).alias("keys"))
+    right = right_side(spark, sf).select("right_id", F.col("lang").alias("category"), "tokens", F.md5("text").alias("key"))
+    out = blocking.category_candidates(left, right)
+    return out.select("left_id", "right_id", F.array_join("blocking_sources", ",").alias("blocking_sources"), "exact_upc", "shared_product_token_count", F.round("product_token_jaccard", 9).alias("product_token_jaccard"))
+
+
+_SHOWN = "x AS (SELECT p_partkey::VARCHAR AS parent_asin, CASE WHEN p_size % 2 = 0 THEN trim(p_name) ELSE trim(p_type) END AS title, (p_size % 10 = 0)::INTEGER AS ex, (p_size % 5) * 2 AS sh, (p_size % 20)::DOUBLE / 20 AS j, (p_partkey % 100)::DOUBLE / 100 AS sq, p_size % 3 = 0 AS br FROM part)"
+
+
+@query("shown_candidates", f"""WITH {_SHOWN}, y AS (SELECT *, CASE WHEN ex = 1 THEN 1.0::DOUBLE ELSE least(0.58::DOUBLE * least(sh::DOUBLE / 8, 1.0::DOUBLE) + 0.22::DOUBLE * j + 0.12::DOUBLE * sq + 0.08::DOUBLE * br::INTEGER, 1.0::DOUBLE) END AS score FROM x)
+  SELECT parent_asin, title, '' AS brand, round(score, 3) AS score, concat_ws('; ', CASE WHEN ex = 1 THEN 'Exact UPC agreement' END, CASE WHEN br THEN 'Brand aligns with recall product' END, CASE WHEN sh >= 2 THEN sh || ' shared product-name tokens' END, CASE WHEN sq >= 0.7 THEN 'High title similarity' END) AS evidence FROM y""")
+def shown_candidates(spark, sf):
+    """Rows of two artifacts, one naming its columns in full: titles come from the full name first."""
+    p = table(spark, sf, "part")
+    raw = p.select(
+        F.col("p_partkey").cast("string").alias("asin"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise("").alias("amazon_title"), F.col("p_type").alias("title"),
+        F.when(F.col("p_size") % 10 == 0, "1.0").otherwise("").alias("exact_upc"), (F.col("p_size") % 5 * 2).cast("string").alias("shared_product_token_count"), ((F.col("p_size") % 20) / 20).alias("product_token_jaccard"),
+        ((F.col("p_partkey") % 100) / 100).alias("product_name_sequence_similarity"), F.when(F.col("p_size") % 3 == 0, features.BRAND_IN_NAME).otherwise("other").alias("brand_relation"),
+    )
+    out = features.shown(normalize.view(raw, "candidate"))
+    return out.select("parent_asin", "title", "brand", F.col("evidence_score").alias("score"), F.array_join("evidence", "; ").alias("evidence"))
+
+
+@query("artifact_incidents", "SELECT event_id::VARCHAR AS source_record_id, strftime(ts, '%Y-%m-%d') AS incident_date, event_type AS brand, '' AS model FROM events")
+def artifact_incidents(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_id").alias("source_record_id"), F.date_format("ts", "yyyy-MM-dd").alias("incident_date"), F.concat(F.lit(" "), "event_type").alias("product_brand"))
+    return normalize.view(e, "incident").select("source_record_id", "incident_date", "brand", "model")

@@ -47,6 +47,46 @@ def _first(df: DataFrame, names: str) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
+# Fields of the views of stored artifacts, each with the columns that may hold it, in order of trial.
+VIEWS = {
+    "candidate": {
+        "parent_asin": ("amazon_parent_asin", "parent_asin", "asin"), "title": ("amazon_title", "title"), "brand": ("amazon_brand", "brand"),
+        "manufacturer": ("amazon_manufacturer", "manufacturer"), "model": ("amazon_model", "model"), "upc": ("amazon_upc", "upc"), "category": ("amazon_category", "category"),
+        "exact_upc": ("exact_upc",), "shared_product_token_count": ("shared_product_token_count",), "product_token_jaccard": ("product_token_jaccard",),
+        "product_name_sequence_similarity": ("product_name_sequence_similarity",), "brand_relation": ("brand_relation",), "blocking_sources": ("blocking_sources",),
+        "candidate_bucket_size": ("candidate_bucket_size",),
+    },
+    "recall": {
+        "recall_number": ("recall_number", "cpsc_recall_number"), "source_record_id": ("source_record_id", "cpsc_source_record_id"), "recall_date": ("recall_date", "cpsc_recall_date"),
+        "product_name": ("product_name", "cpsc_product_name"), "title": ("title", "cpsc_title"), "hazards": ("hazards", "cpsc_hazards"),
+        "description": ("description", "cpsc_description"), "url": ("url", "cpsc_url"),
+    },
+    "incident": {
+        "source_record_id": ("saferproducts_source_record_id", "source_record_id"), "incident_date": ("incident_date",), "publication_date": ("publication_date",),
+        "brand": ("incident_brand", "product_brand"), "model": ("incident_model", "product_model"), "upc": ("incident_upc", "product_upc"),
+        "product_description": ("incident_product_description", "product_description"), "description": ("incident_description", "description"),
+        "manufacturer": ("incident_manufacturer", "manufacturer_name"), "retailer": ("incident_retailer", "retailer_name"),
+    },
+}
+
+
+def view(df: DataFrame, kind: str) -> DataFrame:
+    """The fields of an artifact's rows under their common names. Texts are trimmed and never null; numbers that are missing
+    or unreadable are 0; nested values become JSON."""
+    flat = df.select([F.to_json(f"`{c}`").alias(c) if k.startswith(("array", "struct", "map")) else F.col(f"`{c}`") for c, k in df.dtypes])
+    out = []
+    for field, names in VIEWS[kind].items():
+        c = _first(flat, " ".join(names))
+        if field in (*WHOLE, "candidate_bucket_size"):
+            c = F.coalesce(c.try_cast("double").try_cast("int"), F.lit(0))
+        elif field in REAL:
+            c = F.coalesce(c.try_cast("double"), F.lit(0.0))
+        else:
+            c = F.trim(F.coalesce(c, F.lit("")))
+        out.append(c.alias(field))
+    return flat.select(*out)
+
+
 def canonical(df: DataFrame, source: str) -> DataFrame:
     """Canonical columns and `valid`, from whatever columns the frame has."""
     out = {}

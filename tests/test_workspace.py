@@ -4,8 +4,8 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from skeinwork.functions import text as t
-from skeinwork.operators import workspace
-from skeinwork.sources import sinks
+from skeinwork.operators import blocking, features, workspace
+from skeinwork.sources import normalize, sinks
 
 PRODUCTS = [("P1", "Blue Kettle Deluxe 2L", "Nordwell", "KD2", "77"), ("P2", "Blue kettle", "Other", "", ""), ("P3", "Garden hose", "Nordwell", "", "88"), ("P4", "Blue lamp", "Third", "KD2", ""), ("P5", "Steel pan", None, None, "77")]
 
@@ -72,3 +72,21 @@ def test_terms_and_limits(spark):
     got = sorted(r.token for r in workspace.search_terms(d, "k", F.col("name"), 3, 12).collect())
     assert got == sorted(["deep", "fryer", "pan", "don", "t", "3000"] + [f"w{i:02d}" for i in range(7)])
     assert workspace.history(spark.range(30).withColumn("at", F.col("id")), "at", "id").count() == 20
+
+
+def test_candidates_of_every_product(spark):
+    left = spark.createDataFrame([("a#0", ["red", "kettle", "steel"], ["111"]), ("a#1", ["toaster"], ["222"]), ("b#0", [], [])], "left_id string, tokens array<string>, keys array<string>")
+    rows = [("x", "home", ["red", "kettle"], ""), ("y", "home", ["red", "pan"], ""), ("z", None, ["steel", "kettle"], ""), ("w", "toys", [], "222"), ("v", "home", ["red", "red", "kettle", "steel"], "111")]
+    right = spark.createDataFrame(rows, "right_id string, category string, tokens array<string>, key string")
+    got = {(r.left_id, r.right_id): (r.blocking_sources, r.exact_upc, r.shared_product_token_count, round(r.product_token_jaccard, 3)) for r in blocking.category_candidates(left, right, most=2).collect()}
+    rare, exact = "two_tokens_plus_category_rare_token", "exact_upc"
+    assert got == {("a#0", "x"): ([rare], 0, 2, 0.667), ("a#0", "z"): ([rare], 0, 2, 0.667), ("a#0", "v"): ([exact, rare], 1, 3, 1.0), ("a#1", "w"): ([exact], 1, 0, 0.0)}
+
+
+def test_views_of_artifacts(spark):
+    rows = spark.createDataFrame([("B1", " Kettle ", "1.0", "x", ["h"]), (None, None, "", "0.5", None)], "asin string, amazon_title string, exact_upc string, product_token_jaccard string, hazards array<string>")
+    got = [(r.parent_asin, r.title, r.brand, r.exact_upc, r.product_token_jaccard) for r in normalize.view(rows, "candidate").collect()]
+    assert got == [("B1", "Kettle", "", 1, 0.0), ("", "", "", 0, 0.5)]
+    assert [r.hazards for r in normalize.view(rows, "recall").collect()] == ['["h"]', ""]
+    best = features.shown(normalize.view(rows, "candidate")).collect()
+    assert (best[0].evidence_score, best[0].evidence) == (1.0, ["Exact UPC agreement"]) and best[1].evidence_score == 0.11
