@@ -198,12 +198,25 @@ def whole_runs(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[p
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared place that spark.checkpoint.dir names; set to /tmp/checkpoints only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder in the shared place that spark.checkpoint.dir names; it goes when the driver ends.
+
+    Where the setting is absent, a session on one machine uses /tmp/checkpoints, any other is refused."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = base.get() if base.isDefined() else "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/skein-{uuid.uuid4().hex}"
+        named = sc._jsc.sc().getCheckpointDir()
+        if named.isDefined():
+            base = named.get()
+        elif sc.master == "local" or sc.master.startswith("local["):
+            base = "/tmp/checkpoints"
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    path = f"{base.rstrip('/')}/skein-{uuid.uuid4().hex}"
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
 
 
 #: Spark's own setting by which a finished query's shuffle files go at once instead of with a later garbage collection.

@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 
-from skeinwork.llm import exact_dedup, mixing, secrets, sharding
+from skeinwork.llm import common, exact_dedup, mixing, secrets, sharding
 
 REAL_MD5 = exact_dedup.F.md5
 DOCS = "doc_id long, text string, source string, kept string, size long"
@@ -191,3 +193,14 @@ def test_a_group_larger_than_a_shard_is_cut(spark):
 def test_shards_of_awkward_rows(spark):
     got = sharding.shard(docs(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD) and {r["size"] for r in got if r.doc_id == 2} == {1}
+
+
+def test_scratch_is_in_the_shared_folder_and_never_guessed_on_a_cluster(spark):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    path = common.scratch(spark)
+    assert path.startswith(shared) and Path(path).is_dir() and path != common.scratch(spark)
+    nothing = SimpleNamespace(get=lambda *_: None)
+    unset = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(getConf=lambda: nothing, master="local-cluster[3,2,3000]", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    with pytest.raises(RuntimeError):
+        common.scratch(SimpleNamespace(conf=nothing, sparkContext=context))
