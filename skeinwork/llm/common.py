@@ -133,14 +133,14 @@ _LOWER[65:91] += 32
 
 
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of a block after lower-casing A-Z; they never cross documents.
+    """Words `[^\\x20\\x09-\\x0D]+` of a block after lower-casing A-Z; they never cross documents. gap: other bytes between words.
 
     starts, ends: byte ranges; doc: row of each word; first: index of each row's first word."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
+    def __init__(self, data: np.ndarray, off: np.ndarray, gap: np.ndarray = _IS_SPACE):
         n = len(data)
         word = np.zeros(n + 2, dtype=bool)
-        np.logical_not(_IS_SPACE[data], out=word[1 : n + 1])
+        np.logical_not(gap[data], out=word[1 : n + 1])
         begin = word[1:] & ~word[:-1]
         end = word[:-1] & ~word[1:]
         inner = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < n)]
