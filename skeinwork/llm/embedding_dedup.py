@@ -12,7 +12,8 @@ tiles of bounded size; a tile gives counts for each vector and the edges of a sp
 A pair that meets in several tables counts in the first.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, nor do rows of null label or
-null id. Vectors of different lengths are never compared. Rows of one id are one node for the components. An empty
+null id. Vectors of different lengths are never compared. Rows of one id are one node for the components, while each
+row counts the links of its own vector. An empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -108,11 +109,10 @@ def fit(sample: np.ndarray, least: float = LEAST, seed: int = 3, width: int = KE
     return Quantiser(mean, whole, whole.shape[1] if exact else int(apart.max() + 3 * apart.std() + 1), width, exact)
 
 
-def _clean(rows: DataFrame) -> DataFrame:
-    """Rows (vec_id, label, v) that can link, with v as array<double>."""
+def _sound() -> Column:
+    """Whether a row (vec_id, label, v) can link."""
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
-    sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
-    return rows.where(fine).where(F.coalesce(sound, F.lit(False)))
+    return F.coalesce(fine & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -158,12 +158,11 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, id_col: str = "vec_id
     spark = vectors.sparkSession
     path = path or common.scratch(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
-    sound = _clean(rows)
-    # equal vectors stand for each other
-    classes = sound.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")).withColumn("dim", F.size("v"))
-    reps = common.stored(classes, path, "reps")
-    members = sound.join(reps.select("label", "v", "rep", "times"), ["label", "v"]).select("vec_id", "rep", "times", F.xxhash64("label", "v").alias("digest"))
-    members = common.stored(members, path, "members")
+    sound = rows.where(_sound())
+    # equal vectors of a label stand for each other; a class has a number of its own, since one id may be in several
+    classes = sound.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("times")).withColumn("dim", F.size("v"))
+    reps = common.stored(classes.withColumn("rep", F.monotonically_increasing_id()), path, "reps")
+    members = common.stored(sound.join(reps.select("label", "v", "rep", "times"), ["label", "v"]).select("vec_id", "rep", "times"), path, "members")
     dims = [r["dim"] for r in reps.groupBy("dim").agg(F.countDistinct("label").alias("n"), F.count("*").alias("c")).where("c > 1").orderBy("dim").collect()]
     parts = [_links(reps.where(F.col("dim") == d), d, least, f"{path}/dim{d}") for d in dims]
     if not parts:
@@ -172,21 +171,26 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, id_col: str = "vec_id
         found = parts[0]
         for p in parts[1:]:
             found = found.unionByName(p)
-    # a class is known by its label, vector and least id; ids are unique in sound input, and rows of one id are tied
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    counts = found.groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links"))
     edges = found.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    own = members.where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
-    comp = common.components(edges.union(own).distinct(), path)
-    per_id = members.groupBy("vec_id").agg(F.max("times").alias("times"), F.max("rep").alias("rep"))
-    linked = per_id.join(counts.withColumnRenamed("node", "rep"), "rep", "left").select("vec_id", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = rows.select("vec_id").join(linked, "vec_id", "left").join(comp.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"), F.coalesce(F.coalesce("root", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
+    # the classes of one id are tied by it
+    first = members.groupBy("vec_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b <> last").drop("last")
+    shared = members.join(first, "vec_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
+    comp = common.components(edges.union(shared).distinct(), path).select(F.col("node").alias("rep"), "root")
+    placed = members.join(comp, "rep", "left").join(counts, "rep", "left").select("vec_id", F.coalesce("root", "rep").alias("root"), (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    placed = common.stored(placed, path, "placed")
+    smallest = placed.groupBy("root").agg(F.min("vec_id").alias("component"))
+    per_id = placed.groupBy("vec_id").agg(F.min("root").alias("root")).join(smallest, "root").select("vec_id", "component")
+    every = placed.select("vec_id", "n_links").unionByName(rows.where(~_sound()).select("vec_id", F.lit(0).cast("long").alias("n_links")))
+    out = every.join(per_id, "vec_id", "left")
+    component = F.coalesce("component", "vec_id")
+    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
 def _links(reps: DataFrame, dim: int, least: float, path: str) -> DataFrame:
     """(node, links, root): for classes of one vector length, links to other classes' members and edges that span them."""
     spark = reps.sparkSession
-    picked = reps.orderBy(F.md5(F.concat_ws(":", "label", "rep")), "rep").select("v").limit(SAMPLE).collect()
+    picked = reps.orderBy(F.md5(F.concat_ws(":", "label", "least")), "label", "v").select("v").limit(SAMPLE).collect()
     largest = reps.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     q = fit(_unit(np.array([r["v"] for r in picked], dtype=np.float64)), least, width=key_bits(largest))
     shared = spark.sparkContext.broadcast(q)

@@ -70,6 +70,19 @@ def test_keys_grow_with_the_largest_label():
     assert [embedding_dedup.key_bits(n) for n in (0, 100, 1 << 17, 1 << 30)] == [12, 12, 14, 24]
 
 
+def test_an_id_with_two_vectors(spark):
+    """Each row counts the links of its own vector; the id ties what it links with into one component."""
+    rng = np.random.default_rng(2)
+    rows = [(10 + i, [float(x) for x in rng.standard_normal(16)], 0, "x") for i in range(30)]
+    a, b = rows[0][1], rows[1][1]
+    near = lambda v: [x * 1.001 for x in v[:-1]] + [v[-1] + 0.01]
+    rows += [(1, a, 0, "x"), (1, b, 0, "x"), (2, near(a), 0, "x"), (3, near(b), 0, "x"), (1, None, 0, "x")]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect() if r.vec_id < 12)
+    assert got == [(1, 0, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (10, 2, 1, False), (11, 2, 1, False)]
+    clash = spark.createDataFrame([(1, a, 0, 5, 6, 7), (2, a, 0, 5, 6, 7)], "vec_id long, embedding array<double>, label int, rep int, root int, v int")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_vectors(clash).collect()) == [(1, 1, 1), (2, 1, 1)]
+
+
 def test_no_vectors(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
