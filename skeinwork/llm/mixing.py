@@ -24,8 +24,9 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 #: Times that one document may be taken.
 REPEATS = 2
-#: Parts of each queue and of the merged queue in which running sums are taken apart from each other.
-PARTS = 4096
+#: Parts of each queue and of the merged queue in which running sums are taken apart from each other: as many as keep a part
+#: at so many rows on average, at least `LEAST_PARTS`.
+PART_ROWS, LEAST_PARTS = 50_000, 4096
 
 
 def word_count(text: Column) -> Column:
@@ -35,13 +36,14 @@ def word_count(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
-    """(source, source_size, target) from (source, size): shares by weight, capped at repeats * source size, the
-    excess given to the others by weight. A source is capped when the level, budget left per unit of weight left,
-    is above its cap per unit of weight. In order of that ratio the level rises with each capped source and falls
-    after, so the final level is the highest of the running levels."""
+    """(source, number, source_size, target) from (source, size): shares by weight, capped at repeats * source size, the
+    excess given to the others by weight; number: the source's place in order. A source is capped when the level, budget left per
+    unit of weight left, is above its cap per unit of weight. In order of that ratio the level rises with each capped source and
+    falls after, so the final level is the highest of the running levels."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    weighed = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1))
+    numbers = per.withColumn("number", F.row_number().over(order))
+    weighed = numbers.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("number") - 1, F.lit(len(weights))) + 1))
     ratio = weighed.withColumn("cap", F.col("source_size") * F.lit(float(repeats))).withColumn("ratio", F.col("cap") / F.col("weight"))
     by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
@@ -53,71 +55,57 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: in
         .withColumn("level", (F.col("budget") - F.col("capped")) / F.col("open_weight"))
         .withColumn("final", F.max("level").over(whole))
     )
-    return level.select("source", "source_size", F.when(F.col("ratio") < F.col("final"), F.col("cap")).otherwise(F.col("final") * F.col("weight")).alias("target"))
+    return level.select("source", "number", "source_size", F.when(F.col("ratio") < F.col("final"), F.col("cap")).otherwise(F.col("final") * F.col("weight")).alias("target"))
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, parts: int = PARTS, path: str | None = None) -> DataFrame:
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, parts: int | None = None, path: str | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken), one row per row of docs; reruns agree.
 
-    Texts are read once: ids, sources and sizes are written and used from there.
-
-    Queue order is md5 of the id and the copy's number. Running sums go by (source, part of the hash range) and
-    by part of the virtual time, so that no task holds a whole source and the sums joined back are
-    sources * parts rows."""
+    Texts are read once: ids, sources and sizes are written and used from there. Queue order is by the first 60 bits of md5 of the
+    id and the copy's number. A queue's rows are numbers only and are written once; running sums go by (source, part of the hash
+    range), so that no task holds a whole source. Of the merged queue a part of the virtual time that ends within the budget is
+    taken as a whole, and only the one part in which the budget ends is put in order."""
     path = path or common.scratch(docs.sparkSession)
     rows = common.stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), path, "sizes")
     goal = common.stored(targets(rows, weights, share, repeats), path, "targets")
-    same = lambda a, b, *keys: [a[k].eqNullSafe(b[k]) for k in keys]
+    parts = parts or max(LEAST_PARTS, rows.count() * repeats // PART_ROWS)
+    named = goal.select(F.col("source").alias("__source"), "number", "target")
     digest = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("copy").cast("string")))
     queue = (
-        rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("key", digest)
-        .groupBy("source", "copy", "key", "doc_id").agg(F.sum("size").alias("size"))
-        .withColumn("part", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(parts) / F.lit(1 << 32))
-        .withColumn("part", F.floor("part"))
-    )
-    in_order = ["source", "copy", "part"]
-    part_sums = queue.groupBy(*in_order).agg(F.sum("size").alias("part_size"))
-    up_to = Window.partitionBy("source").orderBy("copy", "part")
-    starts = part_sums.withColumn("start", F.sum("part_size").over(up_to) - F.col("part_size")).drop("part_size").alias("s")
-    q = queue.withColumn("inside", F.sum("size").over(Window.partitionBy(*in_order).orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))).alias("q")
-    placed = q.join(starts, same(F_cols(q, "q"), F_cols(starts, "s"), *in_order)).select("q.*", (F.col("inside") + F.col("start")).alias("finish_words"))
-    g = goal.alias("g")
-    timed = (
-        placed.alias("p").join(g, F.col("p.source").eqNullSafe(F.col("g.source")))
-        .select("p.source", "p.copy", "p.key", "p.doc_id", "p.size", "target", F.when(F.col("target") > 0, F.col("finish_words") / F.col("target")).otherwise(F.lit(0.0)).alias("finish"))
-        .withColumn("slice", F.floor(F.col("finish") * F.lit(parts)))
+        rows.join(named, F.col("source").eqNullSafe(F.col("__source"))).groupBy("number", "target", "doc_id").agg(F.sum("size").alias("size"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("key", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+        .withColumn("part", F.floor(F.col("key") / F.lit(float(1 << 60)) * parts).cast("int"))
     )
-    slices = timed.groupBy("slice").agg(F.sum("size").alias("slice_size"))
-    budget = goal.agg(F.sum("target")).first()[0] or 0.0
-    edge = slices.withColumn("before", F.sum("slice_size").over(Window.orderBy("slice")) - F.col("slice_size"))
-    merged = Window.partitionBy("slice").orderBy("finish", F.col("source").asc_nulls_last(), "copy", "key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    taken = (
-        timed.join(edge, "slice").withColumn("upto", F.col("before") + F.sum("size").over(merged))
-        .where(F.col("upto") <= F.lit(float(budget)))
-        .groupBy("source", "doc_id").agg(F.count("*").alias("copies")).alias("t")
-    )
-    r = rows.alias("r")
-    out = r.join(goal.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).join(taken, same(F_cols(rows, "r"), F_cols(taken, "t"), "source", "doc_id"), "left")
-    copies = F.coalesce(F.col("t.copies"), F.lit(0))
-    return out.select("r.doc_id", "r.source", "r.size", "g.source_size", "g.target", copies.cast("int").alias("copies"), (F.col("r.size") * copies).alias("taken"))
-
-
-class F_cols:
-    """Columns of an aliased frame by name."""
-
-    def __init__(self, df: DataFrame, alias: str):
-        self.alias = alias
-
-    def __getitem__(self, name: str) -> Column:
-        return F.col(f"{self.alias}.{name}")
+    queue = common.stored(queue, path, "queue", drop_shuffle=True)
+    in_order = ["number", "copy", "part"]
+    sums = queue.groupBy(*in_order).agg(F.sum("size").alias("part_size"))
+    starts = sums.withColumn("start", F.sum("part_size").over(Window.partitionBy("number").orderBy("copy", "part")) - F.col("part_size")).drop("part_size")
+    inside = F.sum("size").over(Window.partitionBy(*in_order).orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    placed = queue.withColumn("inside", inside).join(starts, in_order)
+    finish = F.when(F.col("target") > 0, (F.col("inside") + F.col("start")) / F.col("target")).otherwise(F.lit(0.0))
+    timed = placed.select("number", "copy", "key", "doc_id", "size", finish.alias("finish")).withColumn("slice", F.floor(F.col("finish") * F.lit(parts)))
+    timed = common.stored(timed, path, "timed", drop_shuffle=True)
+    budget = F.lit(float(goal.agg(F.sum("target")).first()[0] or 0.0))
+    slices = timed.groupBy("slice").agg(F.sum("size").alias("slice_size")).withColumn("after", F.sum("slice_size").over(Window.orderBy("slice")))
+    slices = common.stored(slices.select("slice", (F.col("after") - F.col("slice_size")).alias("before"), "after").where(F.col("before") <= budget), path, "slices")
+    whole = timed.join(slices.where(F.col("after") <= budget).select("slice"), "slice", "left_semi").select("number", "doc_id")
+    merged = Window.partitionBy("slice").orderBy("finish", "number", "copy", "key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    cut = timed.join(slices.where(F.col("after") > budget), "slice").withColumn("upto", F.col("before") + F.sum("size").over(merged)).where(F.col("upto") <= budget)
+    taken = whole.unionByName(cut.select("number", "doc_id")).groupBy("number", "doc_id").agg(F.count("*").alias("copies")).select(F.col("number").alias("__n"), F.col("doc_id").alias("__id"), "copies")
+    described = rows.join(goal.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
+    out = described.join(taken, (F.col("number") == F.col("__n")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    copies = F.coalesce(F.col("copies"), F.lit(0))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """docs as the mix takes them: a row taken twice is there twice, a row not taken is gone; columns as in docs."""
+    own = [common.free_name(docs, n) for n in ("id", "of_source", "copies", "copy")]
+    i, s, n, copy = own
     plan = mix_plan(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.max("copies").alias("__copies"))
-    hit = docs.join(plan, docs[id_col].eqNullSafe(plan["__id"]) & docs[source_col].eqNullSafe(plan["__source"]))
-    return hit.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    plan = plan.groupBy(F.col("doc_id").alias(i), F.col("source").alias(s)).agg(F.max("copies").alias(n))
+    hit = docs.join(plan, docs[id_col].eqNullSafe(plan[i]) & docs[source_col].eqNullSafe(plan[s]))
+    return hit.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), plan[n])).alias(copy)).drop(copy)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +130,7 @@ WITH d AS (
 ), goal AS (
   SELECT source, source_size, CASE WHEN ratio < final THEN cap ELSE final * weight END AS target FROM f
 ), q AS (
-  SELECT d.source, d.doc_id, d.size, c.copy, md5(concat_ws(':', d.doc_id::VARCHAR, c.copy::VARCHAR)) AS key FROM d, (VALUES (0), (1)) c(copy)
+  SELECT d.source, d.doc_id, d.size, c.copy, substr(md5(concat_ws(':', d.doc_id::VARCHAR, c.copy::VARCHAR)), 1, 15) AS key FROM d, (VALUES (0), (1)) c(copy)
 ), p AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY copy, key, doc_id ROWS UNBOUNDED PRECEDING) AS words FROM q
 ), t AS (

@@ -204,3 +204,21 @@ def test_scratch_is_in_the_shared_folder_and_never_guessed_on_a_cluster(spark):
     context = SimpleNamespace(getConf=lambda: nothing, master="local-cluster[3,2,3000]", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
     with pytest.raises(RuntimeError):
         common.scratch(SimpleNamespace(conf=nothing, sparkContext=context))
+
+
+def test_mix_with_clashing_columns(spark):
+    """Columns named as those that the mix works with come out as they went in."""
+    rows = [(i, f"{'w ' * (i % 5)}", f"s{i % 3}", i, i + 1, i + 2) for i in range(40)] + [(None, "a b", None, 1, 2, 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, copy int, copies int, number int")
+    out = mixing.mix(d)
+    assert out.columns == d.columns
+    taken = {(r.doc_id, r.source): r.copies for r in mixing.mix_plan(d).collect()}
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([r for r in rows for _ in range(taken[(r[0], r[2])])], key=str)
+
+
+def test_mix_in_many_parts(spark):
+    """The number of parts changes nothing."""
+    d = docs(spark, [(i, "w " * (i * i % 17), f"s{i % 4}" if i % 9 else None, "", 0) for i in range(300)] + [(5, "w", "s1", "", 0), (5, "w w", "s1", "", 0)])
+    plans = [sorted((tuple(r) for r in mixing.mix_plan(d, parts=p).collect()), key=str) for p in (1, 7, 5000)]
+    assert plans[0] == plans[1] == plans[2] and sum(r[6] for r in plans[0]) > 0
