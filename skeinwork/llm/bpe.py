@@ -321,13 +321,13 @@ def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", keep:
     spark = docs.sparkSession
     with open(vocabulary_path, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
-    fields = [docs.schema[c] for c in keep]
+    fields, text_name = [docs.schema[c] for c in keep], common.free_name(docs, "text")
     schema = T.StructType(fields + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _vocabulary(definition.value)
         for batch in batches:
-            for lo, hi, data, off in common.text_blocks(batch, "__text"):
+            for lo, hi, data, off in common.text_blocks(batch, text_name):
                 ids, counts = bpe.encode_block(data, off)
                 out, out_off = bpe.decode_block(ids, counts)
                 id_off = np.concatenate([[0], np.cumsum(counts)])
@@ -339,7 +339,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", keep:
                     cols.append(pa.ListArray.from_arrays(pa.array(id_off, pa.int32()), pa.array(ids.astype(np.int32), pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return common.map_batches(docs.select(*keep, F.col(text_col).alias("__text")), run, schema)
+    return common.map_batches(docs.select(*keep, F.col(text_col).alias(text_name)), run, schema)
 
 
 def default_vocabulary() -> str:
