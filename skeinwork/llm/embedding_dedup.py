@@ -1,6 +1,6 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
-A bounded sample of unit vectors is centred and rotated; alternating sign codes and the best rotation towards them gives
+A bounded sample of unit vectors (those of the least hashes) is centred and rotated; alternating sign codes and the best rotation towards them gives
 balanced bits of small quantisation error. Several such rotations, from different starts, make one long code, which is
 cut into substrings, one table for each. Vectors of one label that agree in a whole substring meet in its table; those
 close enough in the whole code are compared by their original components in double precision.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST = 0.93
-#: Vectors that the rotations are learnt from, at most.
+#: Vectors that the rotations are learnt from, about; twice as many at most.
 SAMPLE = 4096
 #: Least and most bits of a table's key, vectors of a label that a key is to have on average.
 KEY_BITS, MOST_KEY_BITS, PER_KEY = 12, 24, 16
@@ -190,8 +190,9 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, id_col: str = "vec_id
 def _links(reps: DataFrame, dim: int, least: float, path: str) -> DataFrame:
     """(node, links, root): for classes of one vector length, links to other classes' members and edges that span them."""
     spark = reps.sparkSession
-    picked = reps.orderBy(F.md5(F.concat_ws(":", "label", "least")), "label", "v").select("v").limit(SAMPLE).collect()
-    largest = reps.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    count, largest = reps.groupBy("label").agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    hashed = F.pmod(F.xxhash64("label", "least", "v"), F.lit(count))
+    picked = sorted(reps.where(hashed < SAMPLE).select(hashed.alias("h"), "v").limit(2 * SAMPLE).collect())
     q = fit(_unit(np.array([r["v"] for r in picked], dtype=np.float64)), least, width=key_bits(largest))
     shared = spark.sparkContext.broadcast(q)
     words = -(-q.projection.shape[1] // 64)

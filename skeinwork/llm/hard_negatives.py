@@ -1,6 +1,6 @@
 """Hard negatives by exact inner products, with an orthogonal rotation that lets most pairs go early.
 
-The axes are the principal components of a bounded sample (at most `SAMPLE` rows; it affects time, never results), so a
+The axes are the principal components of a bounded sample (some `SAMPLE` rows, at most twice as many; it affects time, never results), so a
 vector's leading components hold most of it. Anchors and rows meet in tiles of bounded size. In a tile the products of
 the leading components are added up in stages; what is left is at most the product of the two remainders' norms, and a
 slack covers rounding. A pair that can no longer reach what its anchor needs is dropped; the rest is verified with
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows that the axes are learnt from, at most.
+#: Rows that the axes are learnt from, about.
 SAMPLE = 4096
 #: Anchors and rows in a tile, on average; pairs that are looked at together.
 ANCHORS, ROWS, PAIRS = 4096, 8192, 1 << 19
@@ -200,9 +200,9 @@ def _labelled(label: pa.ChunkedArray) -> list[tuple[object, int, int]]:
     return [(codes.dictionary[int(at[x])].as_py(), int(x), int(y)) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _axes(rows: DataFrame) -> dict[int, np.ndarray]:
-    """Principal axes for each length that the sample holds enough of."""
-    picked = rows.orderBy(F.md5(F.col("id").cast("string")), "id").select("q").limit(SAMPLE).collect()
+def _axes(rows: DataFrame, count: int) -> dict[int, np.ndarray]:
+    """Principal axes for each length that the sample holds enough of; the sample is the rows of the least hashes, some SAMPLE of them."""
+    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, count))) < SAMPLE).select("q").limit(2 * SAMPLE).collect()
     by: dict[int, list] = {}
     for r in picked:
         by.setdefault(len(r["q"]), []).append(r["q"])
@@ -224,7 +224,7 @@ def mine(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 3
     rows = common.stored(rows.select("id", "label", "q", anchor.alias("anchor")), path, "rows")
     n, m = rows.agg(F.count("*"), F.count(F.when(F.col("anchor"), 1))).first()
     row_parts, anchor_parts = max(1, -(-n // ROWS)), max(1, -(-m // ANCHORS))
-    axes = spark.sparkContext.broadcast(_axes(rows))
+    axes = spark.sparkContext.broadcast(_axes(rows, n))
     part = lambda count, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count)).cast("int")
 
     def tiles(anchors: DataFrame) -> DataFrame:
