@@ -50,6 +50,12 @@ def searched(records: DataFrame, key: str, name: Column, docs: DataFrame, id_col
     return best.select(F.col("query_id").alias(key), F.col("doc_id").alias(id_col), "rank")
 
 
+def searched_index(records: DataFrame, key: str, name: Column, index, id_col: str, terms: tuple[int, int], most: int) -> DataFrame:
+    """The same from a stored index (sources.search_index.Index), of which only what can enter the answer is read."""
+    best = index.best(search_terms(records, key, name, *terms), most)
+    return best.select(F.col("query_id").alias(key), F.col("doc_id").alias(id_col), "rank")
+
+
 def hit_rows(hits: DataFrame, base: DataFrame, id_col: str) -> DataFrame:
     """Hits with the rows that they stand for."""
     return hits.join(base, id_col)

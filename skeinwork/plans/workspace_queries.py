@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import blocking, features, review, workspace
-from ..sources import normalize
+from ..sources import normalize, search_index, sinks
 from .registry import _BM, _CANDIDATES, _IDX, _INCIDENTS, _POSTINGS, _STATUS, _status, incidents, left_postings, left_side, query, right_postings, right_side, table
 
 _OWNED = f"{_INCIDENTS}, own AS (SELECT o_custkey AS recall_id, inc.recall_id * 10 + line AS id, publication_date, incident_date FROM inc JOIN orders ON o_orderkey = inc.recall_id)"
@@ -78,10 +78,22 @@ def incident_lookup(spark, sf):
 def product_hits(spark, sf):
     p = table(spark, sf, "part")
     names = p.select(F.concat_ws(" ", "p_brand", "p_name").alias("name")).distinct()
-    hits = workspace.searched(names, "name", F.col("name"), p, "p_partkey", ["p_name", "p_brand"], workspace.PRODUCT_TERMS, 5)
+    root = sinks.scratch(spark)
+    search_index.write(p.select("p_partkey", "p_name", "p_brand"), root, "p_partkey", ["p_name", "p_brand"], "1")
+    hits = workspace.searched_index(names, "name", F.col("name"), search_index.Index(spark, root), "p_partkey", workspace.PRODUCT_TERMS, 5)
     return workspace.hit_rows(hits, p.select("p_partkey", "p_type"), "p_partkey").select("name", "p_partkey", "rank", "p_type")
 
 
+@query("indexed_search", f"""WITH q0 AS ({_TERMS}), q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(term, '[a-z0-9]+')) AS token FROM q0), {_IDX}, {_BM},
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM sc) SELECT query_id, doc_id, rank, round(score, 6) AS score FROM k WHERE rank <= 20""")
+def indexed_search(spark, sf):
+    """The best 20 documents of each benchmark item from a stored index with block maxima."""
+    root = sinks.scratch(spark)
+    search_index.write(table(spark, sf, "documents").select("doc_id", "text"), root, "doc_id", ["text"], "1")
+    terms = workspace.search_terms(table(spark, sf, "benchmark"), "item_id", F.col("text"), *workspace.INCIDENT_TERMS)
+    return search_index.Index(spark, root).best(terms, 20).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("two_stage_candidates")
 def two_stage_candidates(spark, sf):
     """Suppliers of even number have supplied candidates; for the others parts are searched by a name like theirs."""

@@ -1,112 +1,16 @@
-"""Paged services landed as tables: windows are fetched in parallel, pages stay as they came, and a run goes on where
-the last one stopped. The transport is a function that the caller gives: request parameters in, decoded answer out."""
+"""Snapshots of what came in, columns and inventory of files. Paged services: paged.py; the search index: search_index.py."""
 
 from __future__ import annotations
 
 import io
 import json
-from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ranking, search
 from . import readers, sinks
 
-Fetch = Callable[[dict], object]
-PAGES = "window_start date, page long, skip long, n_records long, total long, body string"
-# Names of the services' request parameters and the order in which incidents are asked for.
-RECALL_PARAMETERS = {"start_date": "RecallDateStart", "end_date": "RecallDateEnd", "product_name": "ProductName", "hazard": "Hazard"}
-INCIDENT_ORDER = "IncidentDate asc,IncidentReportNumber asc"
-
-
-def recall_request(**filters: str | None) -> dict:
-    """Parameters of a recall scan; filters that are given go to the service."""
-    unknown = set(filters) - set(RECALL_PARAMETERS)
-    if unknown:
-        raise ValueError(f"no such filter: {sorted(unknown)}")
-    return {"format": "json"} | {RECALL_PARAMETERS[k]: v for k, v in filters.items() if v}
-
-
-def recall_records(payload: object) -> list[dict]:
-    """Records of a recall answer: a list, the list or the one record in a known container, or the answer itself."""
-    if payload is None:
-        return []
-    if isinstance(payload, list):
-        return payload
-    if not isinstance(payload, dict):
-        raise ValueError(f"unexpected answer: {type(payload).__name__}")
-    held = next((payload[c] for c in readers.SERVICE_CONTAINERS if isinstance(payload.get(c), (list, dict))), payload)
-    return held if isinstance(held, list) else [held]
-
-
-def scan_recalls(spark: SparkSession, fetch: Fetch, **filters: str | None) -> DataFrame:
-    """(body): one JSON text for each recall that the service gives for the filters."""
-    rows = [(json.dumps(r, ensure_ascii=False),) for r in recall_records(fetch(recall_request(**filters)))]
-    return spark.createDataFrame(rows, "body string")
-
-
-def page_request(top: int, skip: int = 0, filter_expression: str | None = None, order_by: str | None = None, inline_count: bool = False) -> dict:
-    """Parameters of one page of incidents."""
-    if top <= 0:
-        raise ValueError("top must be positive")
-    if skip < 0:
-        raise ValueError("skip cannot be negative")
-    given = {"$format": "json", "$top": top, "$skip": skip, "$filter": filter_expression, "$orderby": order_by, "$inlinecount": "allpages" if inline_count else None}
-    return {k: v for k, v in given.items() if v is not None}
-
-
-def _page(payload: dict) -> tuple[int, int | None]:
-    """Records and total count of an answer."""
-    d = payload.get("d", payload)
-    records = d if isinstance(d, list) else d.get("results", d.get("value", []))
-    total = None if isinstance(d, list) else d.get("__count", payload.get("odata.count"))
-    return sum(isinstance(r, dict) for r in records), int(total) if total is not None else None
-
-
-def landed(pages: DataFrame) -> DataFrame:
-    """(window_start, records, total, last_page): what is there of each window; the first total that was told holds."""
-    told = F.min_by("total", F.when(F.col("total").isNotNull(), F.col("page")))
-    return pages.groupBy("window_start").agg(F.sum("n_records").alias("records"), told.alias("total"), F.max("page").alias("last_page"), F.min("n_records").alias("least"))
-
-
-def unfinished(windows: DataFrame, state: DataFrame) -> DataFrame:
-    """Windows (window_start, filter) that are not wholly there, with how far they are."""
-    out = windows.join(state, "window_start", "left")
-    done = F.coalesce(F.col("records") >= F.col("total"), F.lit(False)) | F.coalesce(F.col("least") == 0, F.lit(False))
-    return out.where(~done).select("window_start", "filter", F.coalesce("records", F.lit(0)).alias("skip"), "total", F.coalesce("last_page", F.lit(0)).alias("last_page"))
-
-
-def fetch_windows(todo: DataFrame, fetch: Fetch, top: int = 100) -> DataFrame:
-    """Pages of the windows, one task for each window; skips go by the records that came, since services cap `top`."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for w in batch.itertuples(index=False):
-                skip, page, total = int(w.skip), int(w.last_page), None if pd.isna(w.total) else int(w.total)
-                while True:
-                    payload = fetch(page_request(top, skip, w.filter, INCIDENT_ORDER, inline_count=skip == 0))
-                    n, told = _page(payload)
-                    page, total = page + 1, told if total is None else total
-                    yield pd.DataFrame({"window_start": [w.window_start], "page": [page], "skip": [skip], "n_records": [n], "total": pd.array([told], dtype="Int64"), "body": [json.dumps(payload, ensure_ascii=False)]})
-                    skip += n
-                    if not n or (total is not None and skip >= total):
-                        break
-
-    return todo.repartition("window_start").mapInPandas(run, PAGES)
-
-
-def ingest(spark: SparkSession, windows: DataFrame, root: str, fetch: Fetch, top: int = 100) -> DataFrame:
-    """All pages under root after fetching what was missing; a window that is wholly there asks the service nothing."""
-    target = f"{root}/pages"
-    if sinks.exists(spark, target):
-        todo = unfinished(windows, landed(spark.read.schema(PAGES).parquet(target)))
-    else:
-        todo = unfinished(windows, spark.createDataFrame([], "window_start date, records long, total long, last_page long, least long"))
-    fetch_windows(todo, fetch, top).write.mode("append").parquet(target)
-    return spark.read.schema(PAGES).parquet(target)
-
 
 def snapshot(raw: DataFrame, canonical: DataFrame, root: str, key: list[str]) -> DataFrame:
     """Write the answers as they came, the valid rows and the rejected ones; the counts of the three."""
@@ -137,18 +41,3 @@ def inventory(columns_of: dict[str, list[str]]) -> tuple[dict[str, list[str]], d
         except ValueError:
             continue
     return found, {s: files[0] for s, files in found.items() if len(files) == 1}
-
-
-def write_index(docs: DataFrame, root: str, fields: list[str]) -> None:
-    """Write search documents, the last of each `_id`, with their postings and lengths; a second run gives the same."""
-    spark = docs.sparkSession
-    every = docs.withColumn("__seq", F.monotonically_increasing_id())
-    sinks.publish(ranking.keep_last(every, ["_id"], ["__seq"]).drop("__seq"), f"{root}/docs", f"{_next(spark, root):09d}")
-    posts, lengths = search.index(sinks.current(spark, f"{root}/docs"), "_id", fields)
-    posts.write.mode("overwrite").parquet(f"{root}/postings")
-    lengths.write.mode("overwrite").parquet(f"{root}/lengths")
-
-
-def _next(spark: SparkSession, root: str) -> int:
-    last = sinks._last_pointer(spark, f"{root}/docs")
-    return 1 + (last["number"] if last else 0)

@@ -1,52 +1,4 @@
-import json
-
-import pytest
-
-from skeinwork.sources import ingest, sinks
-
-
-def service(log):
-    """40 incidents a month, 15 at most a page; says how many only on the first page."""
-
-    def fetch(params):
-        with open(log, "a") as f:
-            f.write(json.dumps(params) + "\n")
-        n = 0 if params["$filter"] == "none" else 40
-        rows = [{"IncidentReportNumber": f"{params['$filter']}-{i}"} for i in range(params["$skip"], min(n, params["$skip"] + min(15, params["$top"])))]
-        return {"d": {"results": rows} | ({"__count": str(n)} if "$inlinecount" in params else {})}
-
-    return fetch
-
-
-def test_pages_of_windows_and_going_on(spark, tmp_path):
-    log, root = str(tmp_path / "log"), str(tmp_path / "in")
-    windows = spark.sql("select date'2020-01-01' as window_start, 'a' as filter union all select date'2020-02-01', 'b' union all select date'2020-03-01', 'none'")
-    pages = ingest.ingest(spark, windows.where("filter <> 'b'"), root, service(log))
-    assert sorted((r.page, r.skip, r.n_records) for r in pages.where("window_start = '2020-01-01'").collect()) == [(1, 0, 15), (2, 15, 15), (3, 30, 10)]
-    asked = len(open(log).readlines())
-    ingest.ingest(spark, windows.where("filter <> 'b'"), root, service(log))
-    assert len(open(log).readlines()) == asked  # all there: nothing is asked
-    assert ingest.ingest(spark, windows, root, service(log)).where("window_start = '2020-02-01'").count() == 3
-    cut = spark.read.schema(ingest.PAGES).parquet(f"{root}/pages").where("not (window_start = '2020-01-01' and page = 3)")
-    sinks_root = str(tmp_path / "cut")
-    cut.write.parquet(f"{sinks_root}/pages")
-    again = ingest.ingest(spark, windows, sinks_root, service(log)).where("window_start = '2020-01-01'").collect()
-    assert sorted((r.page, r.skip, r.n_records) for r in again) == [(1, 0, 15), (2, 15, 15), (3, 30, 10)]
-
-
-def test_requests():
-    assert ingest.page_request(5, 0, None, None) == {"$format": "json", "$top": 5, "$skip": 0}
-    for bad in ((0, 0), (1, -1)):
-        with pytest.raises(ValueError):
-            ingest.page_request(*bad)
-    assert ingest.recall_request(start_date="2020-01-01", hazard=None) == {"format": "json", "RecallDateStart": "2020-01-01"}
-
-
-def test_recall_answers(spark):
-    for payload, n in ((None, 0), ([{"a": 1}, {"a": 2}], 2), ({"Recalls": [{"a": 1}]}, 1), ({"recall": {"a": 1}}, 1), ({"a": 1}, 1)):
-        assert ingest.scan_recalls(spark, lambda _, p=payload: p).count() == n
-    with pytest.raises(ValueError):
-        ingest.recall_records("text")
+from skeinwork.sources import ingest
 
 
 def test_snapshot_and_rejects(spark, tmp_path):
@@ -63,11 +15,3 @@ def test_columns_and_inventory(spark, tmp_path):
     columns = {str(p): ingest.sniff_columns(spark, str(p)) for p in sorted(tmp_path.iterdir())}
     found, only = ingest.inventory(columns)
     assert {k: len(v) for k, v in found.items()} == {"cpsc": 1, "amazon_products": 2} and list(only) == ["cpsc"]
-
-
-def test_index_is_the_same_after_a_second_run(spark, tmp_path):
-    d = spark.createDataFrame([("p:1", "red red lamp"), ("p:2", "lamp")], "_id string, text string")
-    for _ in range(2):
-        ingest.write_index(d, str(tmp_path / "i"), ["text"])
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "i" / "postings")).collect()) == [("p:1", "lamp", 1), ("p:1", "red", 2), ("p:2", "lamp", 1)]
-    assert sinks.current(spark, str(tmp_path / "i" / "docs")).count() == 2
