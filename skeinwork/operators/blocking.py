@@ -35,12 +35,54 @@ def composite_key(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFra
     return cond(left).join(cond(right), keys).select("left_id", "right_id").distinct()
 
 
-def token_overlap(left: DataFrame, right: DataFrame, least: int = 2) -> DataFrame:
+#: Left rows that a right posting meets on average, beyond which pairs are made from the rarest tokens alone.
+MEETINGS = 1_000
+#: Right postings of a token that meet the left side in one part; a token with more is met in several parts.
+PART_POSTINGS = 100_000
+
+
+def overlapping(left: DataFrame, right: DataFrame, least: int, most: int | None = None) -> DataFrame:
+    """(left_id, right_id, shared, rarest): pairs with at least `least` common tokens, the rarest of them of frequency at most
+    `most`, if given; sides are postings.
+
+    Tokens are put in order of frequency on the right. Of n tokens that a row has in common with the other side as a whole,
+    only the n - least + 1 rarest make pairs: two rows with `least` common tokens have their rarest common one among those
+    on both sides. Common tokens are only looked at in the sets of the pairs that are left. A token that is frequent all the
+    same is dealt out over parts of the right side, and its left postings go to each."""
+    own = relevant(right, left)
+    df = document_frequency(own)
+    # tokens with their frequency in front, so that text order is order of frequency
+    word = F.concat(F.lpad(F.col("df").cast("string"), 12, "0"), "token")
+    ordered = lambda side, i, name: side.join(df, "token").groupBy(i).agg(F.sort_array(F.collect_set(word)).alias(name)).where(F.size(name) >= least)
+    lefts, rights = ordered(left, "left_id", "lt"), ordered(own, "right_id", "rt")
+    often = F.substring("word", 1, 12).cast("long")
+    parts = F.ceil(often / PART_POSTINGS).cast("int")
+
+    def rarest(side: DataFrame, i: str, name: str) -> DataFrame:
+        out = side.select(i, F.explode(F.slice(name, 1, F.size(name) - (least - 1))).alias("word"))
+        return out if most is None else out.where(often <= most)
+
+    some = rarest(lefts, "left_id", "lt").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    pairs = some.join(rarest(rights, "right_id", "rt").withColumn("part", F.pmod(F.xxhash64("right_id"), parts).cast("int")), ["word", "part"]).select("left_id", "right_id").distinct()
+    both = pairs.join(lefts, "left_id").join(rights, "right_id").select("left_id", "right_id", F.array_intersect("lt", "rt").alias("both"))
+    return both.where(F.size("both") >= least).select("left_id", "right_id", F.size("both").cast("long").alias("shared"), F.substring(F.array_min("both"), 1, 12).cast("long").alias("rarest"))
+
+
+def crowded(left: DataFrame, right: DataFrame) -> bool:
+    """Whether a right posting meets many left rows on average, by the frequencies of the tokens on both sides."""
+    both = left.groupBy("token").agg(F.count("*").alias("l")).join(right.groupBy("token").agg(F.count("*").alias("r")), "token")
+    met, there = both.agg(F.sum(F.col("l").cast("double") * F.col("r")), F.sum("r")).first()
+    return (met or 0) > MEETINGS * (there or 0)
+
+
+def token_overlap(left: DataFrame, right: DataFrame, least: int = 2, rarest_only: bool | None = None) -> DataFrame:
     """(left_id, right_id, shared) of rows with at least `least` common tokens; sides are postings.
 
-    One shuffle by token, then counts are combined before the second one by pair."""
-    met = relevant(right, left).join(left, "token")
-    counts = met.groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
+    Where a token meets few rows, every common token makes its pair and counts are combined before the shuffle by pair; where it
+    meets many, pairs come from the rarest tokens alone. Both ways give the same rows; rarest_only chooses one."""
+    if least > 1 and (crowded(left, right) if rarest_only is None else rarest_only):
+        return overlapping(left, right, least).select("left_id", "right_id", "shared")
+    counts = right.join(left, "token").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
     return counts.where(F.col("shared") >= least)
 
 
@@ -151,14 +193,16 @@ def category_candidates(left: DataFrame, right: DataFrame, most: int = 250, leas
     )
 
 
-def sensitivity(left: DataFrame, right: DataFrame, limits: list[int], least: int = 2) -> DataFrame:
+def sensitivity(left: DataFrame, right: DataFrame, limits: list[int], least: int = 2, rarest_only: bool | None = None) -> DataFrame:
     """(df_limit, left_rows, pairs, largest): pairs with `least` shared tokens, one of them of frequency at most the limit.
 
-    One pass: each pair is counted once with its rarest shared token, and limits are compared afterwards. Frequencies join
-    the short side of the postings before they meet."""
-    own = relevant(right, left)
-    asked = left.join(document_frequency(own), "token")
-    pairs = own.join(asked, "token").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"), F.min("df").alias("rarest")).where((F.col("shared") >= least) & (F.col("rarest") <= max(limits)))
+    One pass: each pair comes once with its rarest shared token, and limits are compared afterwards. Pairs are made as in
+    token_overlap; where frequencies join the postings, they join the short side before the sides meet."""
+    if crowded(left, right) if rarest_only is None else rarest_only:
+        pairs = overlapping(left, right, least, max(limits)).where(F.col("rarest") <= max(limits))
+    else:
+        asked = left.join(document_frequency(relevant(right, left)), "token")
+        pairs = right.join(asked, "token").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"), F.min("df").alias("rarest")).where((F.col("shared") >= least) & (F.col("rarest") <= max(limits)))
     at = pairs.select("left_id", F.explode(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: F.col("rarest") <= x)).alias("df_limit"))
     per = at.groupBy("df_limit", "left_id").agg(F.count("*").alias("n"))
     return per.groupBy("df_limit").agg(F.count("*").alias("left_rows"), F.sum("n").alias("pairs"), F.max("n").alias("largest"))
