@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import tables
+
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """First k rows of each group; the order must be total for a stable answer."""
@@ -35,10 +37,27 @@ def keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return _kept(df, key, order, F.max_by)
 
 
+#: Bits of monotonically_increasing_id that count the rows of a partition.
+_ROW_BITS = 33
+
+
+def in_parts(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df in order, written, with `__part` and `__at`: parts follow each other in order, and so do the rows of a part.
+
+    The parts are the ranges into which a sort deals the rows, so none holds more than its share unless values are equal."""
+    placed = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id())
+    out = tables.stored(placed, f"{tables.scratch(df.sparkSession)}/sorted")
+    return out.withColumn("__part", F.shiftright("__at", _ROW_BITS))
+
+
 def numbered(df: DataFrame, order: list[Column], prefix: str, name: str, width: int = 4) -> DataFrame:
-    """Sequential ids such as ER-0001; for reviewer-sized frames, since the numbers run over the whole frame."""
-    n = F.row_number().over(Window.orderBy(*order))
-    return df.withColumn(name, F.concat(F.lit(prefix), F.when(F.length(n.cast("string")) < width, F.lpad(n.cast("string"), width, "0")).otherwise(n.cast("string"))))
+    """Sequential ids such as ER-0001 in a total order. Rows are numbered inside parts; a window runs over the parts' counts alone."""
+    parts = in_parts(df, order)
+    before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")
+    starts = parts.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", before.alias("__before"))
+    n = (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1).cast("string")
+    out = parts.join(starts, "__part").withColumn(name, F.concat(F.lit(prefix), F.when(F.length(n) < width, F.lpad(n, width, "0")).otherwise(n)))
+    return out.drop("__part", "__at", "__before")
 
 
 def _place(n: Column, p: float, convention: str) -> Column:
@@ -56,29 +75,62 @@ def quantile(sorted_values: Column, p: float, convention: str) -> Column:
     return F.try_element_at(sorted_values, _place(F.size(sorted_values), p, convention).cast("int"))
 
 
+def _counts_in_parts(df: DataFrame, value: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(by, value, n, __part) of distinct values, and (by, __part, before, inside, total): how many rows lie before a part, in it and in all.
+
+    Windows run over the parts of each group, which are as many as a sort has partitions."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    placed = in_parts(counts, [*map(F.col, by), F.col("value")])
+    whole = Window.partitionBy(*(by or [F.lit(1)]))
+    sums = placed.groupBy(*by, "__part").agg(F.sum("n").alias("inside"))
+    return placed, sums.withColumn("before", F.sum("inside").over(whole.orderBy("__part")) - F.col("inside")).withColumn("total", F.sum("inside").over(whole))
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Join in which null keys are equal too."""
+    b = b.select([F.col(c).alias(f"__b_{c}") if c in keys else F.col(c) for c in b.columns])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__b_{k}"))
+    return a.join(b, cond).drop(*[f"__b_{k}" for k in keys])
+
+
 def value_counts(df: DataFrame, value: str, by: list[str] = []) -> DataFrame:
     """(by, value, n, upto, total): how often each value occurs, how many are up to it, and how many there are.
 
-    Windows run over distinct values, not over rows."""
-    c = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*(by or [F.lit(1)]))
-    return c.withColumn("upto", F.sum("n").over(w.orderBy("value"))).withColumn("total", F.sum("n").over(w))
+    Running counts are taken inside parts of the order, so no task holds a group's values."""
+    placed, parts = _counts_in_parts(df, value, by)
+    inside = F.sum("n").over(Window.partitionBy(*by, "__part").orderBy("value"))
+    out = _same(placed.withColumn("__inside", inside), parts.drop("inside"), [*by, "__part"])
+    return out.select(*by, "value", "n", (F.col("before") + F.col("__inside")).alias("upto"), "total")
+
 
+def order_statistics(df: DataFrame, value: str, places: dict[str, Column], by: list[str] = []) -> DataFrame:
+    """(by, and a column of each name): the values at places (from 1, as an expression of `total`) among each group's sorted values.
 
-def _at(p: float, convention: str) -> Column:
-    return F.min(F.when(F.col("upto") >= _place(F.col("total"), p, convention), F.col("value")))
+    Two passes: counts of parts tell in which part a place lies, and only that part is put in order."""
+    placed, parts = _counts_in_parts(df, value, by)
+    asked = parts.select(*by, "__part", "before", "inside", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), p.cast("long").alias("place")) for n, p in places.items()])).alias("a")).select(*by, "__part", "before", "inside", "a.*")
+    hit = asked.where((F.col("place") > F.col("before")) & (F.col("place") <= F.col("before") + F.col("inside")))
+    needed = _same(placed, hit.select(*by, "__part").distinct(), [*by, "__part"])
+    ordered = needed.withColumn("__inside", F.sum("n").over(Window.partitionBy(*by, "__part").orderBy("value"))).select(*by, "__part", "value", "n", "__inside")
+    found = _same(ordered, hit, [*by, "__part"]).where((F.col("before") + F.col("__inside") >= F.col("place")) & (F.col("before") + F.col("__inside") - F.col("n") < F.col("place")))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in places])
 
 
 def quantiles(df: DataFrame, value: str, ps: list[float], convention: str, by: list[str] = []) -> DataFrame:
     """(by, p, v): quantiles of a column by one of the conventions."""
-    one = value_counts(df, value, by).groupBy(*by).agg(F.array(*[F.struct(F.lit(p).alias("p"), _at(p, convention).alias("v")) for p in ps]).alias("q"))
-    return one.select(*by, F.explode("q").alias("q")).select(*by, "q.p", "q.v")
+    one = order_statistics(df, value, {f"q{i}": _place(F.col("total"), p, convention) for i, p in enumerate(ps)}, by)
+    return one.select(*by, F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"q{i}").alias("v")) for i, p in enumerate(ps)])).alias("q")).select(*by, "q.p", "q.v")
 
 
 def distribution(counts: DataFrame, value: str, by: list[str] = [], convention: str = "nearest") -> DataFrame:
     """least, median, mean, p90, largest and number of groups with any, over one count for each group."""
-    n, v = F.col("n"), F.col("value")
-    return value_counts(counts, value, by).groupBy(*by).agg(
-        F.sum("n").alias("groups"), F.coalesce(F.sum(F.when(v > 0, n)), F.lit(0)).alias("with_any"), F.min("value").alias("least"),
-        F.percentile("value", F.lit(0.5), F.col("n")).alias("median"), (F.sum(v * n) / F.sum("n")).alias("mean"), F.max("value").alias("largest"), _at(0.9, convention).alias("p90"),
+    total = F.col("total")
+    at = order_statistics(counts, value, {"lower": F.floor((total + 1) / 2), "upper": F.floor(total / 2) + 1, "p90": _place(total, 0.9, convention)}, by)
+    v = F.col(value)
+    sums = counts.where(v.isNotNull()).groupBy(*by).agg(
+        F.count("*").alias("groups"), F.count_if(v > 0).alias("with_any"), F.min(v).alias("least"), (F.sum(v) / F.count("*")).alias("mean"), F.max(v).alias("largest"),
     )
+    both = _same(sums, at, by) if by else sums.where("groups > 0").join(at)
+    return both.select(*by, "groups", "with_any", "least", ((F.col("lower") + F.col("upper")) / 2).alias("median"), "mean", "largest", "p90")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ranking
+from .tables import scratch, stored  # noqa: F401
 
 
 def upserted(current: DataFrame | None, new: DataFrame, key: list[str], seq: str) -> DataFrame:
@@ -49,30 +49,6 @@ def new_files(found: DataFrame, registry: DataFrame) -> DataFrame:
     return found.dropDuplicates(["sha256"]).join(registry, "sha256", "left_anti")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the place that spark.checkpoint.dir names, which all machines share; it goes when the driver ends.
-
-    Where the setting is absent, a session on one machine uses /tmp/checkpoints, any other is refused."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        base = "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/skeinwork-{uuid.uuid4().hex}"
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
-    fs.mkdirs(p)
-    fs.deleteOnExit(p)
-    return path
-
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write df as Parquet and read it back: what several later steps use is made once, and lineage ends there."""
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 _POINTER = "version string, number long"
 
 
