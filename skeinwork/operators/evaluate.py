@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import tables
+from . import ranking
+
 
 def _safe(n: Column, d: Column, otherwise=0.0) -> Column:
     return F.when(d > 0, n / d).otherwise(F.lit(otherwise))
@@ -87,6 +90,55 @@ def group_folds(df: DataFrame, group: str, target: str, k: int = 5) -> DataFrame
     return df.join(folds, group)
 
 
+#: Rounds of a signature's groups that are not dealt in bulk, so that there is something to even out with.
+SPARE_ROUNDS = 8
+
+
+def dealt_signatures(signatures: list[tuple[int, int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """(negatives, positives, whole rounds, folds of the rest) for signatures (negatives, positives, groups): of groups that are
+    alike most go round the folds in whole rounds, which leaves the folds even, and each of the rest to the fold where it leaves
+    the classes spread most evenly.
+
+    Signatures come in order of the difference between their classes, since a group of one class is the hardest to balance."""
+    total = [max(1, sum(n * x[c] for *x, n in signatures)) for c in (0, 1)]
+    folds, out = [[0, 0] for _ in range(k)], []
+
+    def unevenness(at: int, group: tuple[int, int]) -> tuple[float, int, int]:
+        shares = [[(f[c] + (group[c] if i == at else 0)) / total[c] for i, f in enumerate(folds)] for c in (0, 1)]
+        return round(sum(sum((x - sum(s) / k) ** 2 for x in s) ** 0.5 for s in shares), 12), sum(folds[at]), at
+
+    for neg, pos, n in sorted(signatures, key=lambda x: (-abs(x[0] - x[1]), -x[0] - x[1], x)):
+        rounds, chosen = max(0, n // k - SPARE_ROUNDS), []
+        for _ in range(n - rounds * k):
+            best = min(range(k), key=lambda i: unevenness(i, (neg, pos)))
+            folds[best][0] += neg
+            folds[best][1] += pos
+            chosen.append(best)
+        out.append((neg, pos, rounds, chosen))
+    return out
+
+
+def balanced_folds(df: DataFrame, group: str, target: str, k: int = 5) -> DataFrame:
+    """df with a fold for each row: groups stay whole, and folds have near equal numbers of rows of both classes.
+
+    Only the signatures of groups (how many rows of each class) and their numbers go to the driver; groups of one signature are
+    interchangeable and are dealt by their place in an order by digest. Rows of null group are a group of their own."""
+    positive = F.coalesce(F.col(target).cast("int"), F.lit(0)) == 1
+    per = df.groupBy(F.col(group).alias("__group")).agg(F.count_if(~positive).alias("__neg"), F.count_if(positive).alias("__pos"))
+    per = tables.stored(per, f"{tables.scratch(df.sparkSession)}/groups")
+    found = [tuple(r) for r in per.groupBy("__neg", "__pos").agg(F.count("*")).orderBy("__neg", "__pos").collect()]
+    starts, at = {}, 0
+    for neg, pos, n in found:
+        starts[neg, pos], at = at, at + n
+    rows = [(neg, pos, starts[neg, pos], rounds * k, rest) for neg, pos, rounds, rest in dealt_signatures(found, k)]
+    plan = df.sparkSession.createDataFrame(rows, "__neg long, __pos long, __start long, __whole long, __rest array<int>")
+    placed = ranking.row_numbers(per, [F.col("__neg"), F.col("__pos"), F.md5(F.coalesce(F.col("__group").cast("string"), F.lit(""))), F.col("__group")], "__place")
+    nth = F.col("__place") - F.col("__start") - 1
+    fold = F.when(nth < F.col("__whole"), F.pmod(nth, F.lit(k)).cast("int")).otherwise(F.get("__rest", (nth - F.col("__whole")).cast("int")))
+    folds = placed.join(plan, ["__neg", "__pos"]).select("__group", fold.alias("fold"))
+    return df.join(folds, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
+
+
 # Rounds and step of the boosted trees.
 BOOSTING_ROUNDS, BOOSTING_STEP = 150, 0.05
 
@@ -117,3 +169,16 @@ def out_of_fold(df: DataFrame, features: list[str], target: str, kind: str = "lo
         got = model.transform(test).withColumn("oof_probability", vector_to_array("probability")[1]).select(*df.columns, "oof_probability")
         out = got if out is None else out.unionByName(got)
     return out
+
+
+# The two rules that learned models are compared with.
+RULE_SHARED, RULE_JACCARD = 3, 0.20
+
+
+def rule_models(pairs: DataFrame, target: str, exact: str = "exact_key", shared: str = "shared_count", jaccard: str = "jaccard", by: list[str] = []) -> DataFrame:
+    """Confusion and its measures of the rules `upc_only` and `token_and_similarity` (enough shared tokens and similarity, or the same code)."""
+    same = F.coalesce(F.col(exact).cast("int"), F.lit(0)) == 1
+    alike = F.coalesce((F.col(shared) >= RULE_SHARED) & (F.col(jaccard) >= RULE_JACCARD), F.lit(False))
+    cells = F.array(F.struct(F.lit("upc_only").alias("rule"), same.cast("int").alias("hit")), F.struct(F.lit("token_and_similarity").alias("rule"), (same | alike).cast("int").alias("hit")))
+    at = pairs.select(*by, target, F.explode(cells).alias("c")).select(*by, target, "c.rule", "c.hit")
+    return confusion(at, target, F.col("hit"), ["rule", *by])

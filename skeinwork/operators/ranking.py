@@ -50,14 +50,20 @@ def in_parts(df: DataFrame, order: list[Column]) -> DataFrame:
     return out.withColumn("__part", F.shiftright("__at", _ROW_BITS))
 
 
-def numbered(df: DataFrame, order: list[Column], prefix: str, name: str, width: int = 4) -> DataFrame:
-    """Sequential ids such as ER-0001 in a total order. Rows are numbered inside parts; a window runs over the parts' counts alone."""
+def row_numbers(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
+    """df with the place of each row, from 1, in a total order. Rows are numbered inside parts; a window runs over the parts' counts alone."""
     parts = in_parts(df, order)
     before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")
     starts = parts.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", before.alias("__before"))
-    n = (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1).cast("string")
-    out = parts.join(starts, "__part").withColumn(name, F.concat(F.lit(prefix), F.when(F.length(n) < width, F.lpad(n, width, "0")).otherwise(n)))
-    return out.drop("__part", "__at", "__before")
+    number = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1
+    return parts.join(starts, "__part").withColumn(name, number).drop("__part", "__at", "__before")
+
+
+def numbered(df: DataFrame, order: list[Column], prefix: str, name: str, width: int = 4) -> DataFrame:
+    """Sequential ids such as ER-0001 in a total order."""
+    n = F.col("__number").cast("string")
+    out = row_numbers(df, order, "__number").withColumn(name, F.concat(F.lit(prefix), F.when(F.length(n) < width, F.lpad(n, width, "0")).otherwise(n)))
+    return out.drop("__number")
 
 
 def _place(n: Column, p: float, convention: str) -> Column:

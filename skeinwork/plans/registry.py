@@ -736,6 +736,20 @@ def group_folds(spark, sf):
     return evaluate.group_folds(_scored(spark, sf), "source", "target").select("doc_id", "source", "fold")
 
 
+@query("balanced_folds")
+def balanced_folds(spark, sf):
+    """Customers are the groups; an order is positive if it is finished."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderstatus") == "F").cast("int").alias("target"))
+    return evaluate.balanced_folds(o, "o_custkey", "target").select("o_orderkey", "o_custkey", "target", "fold")
+
+
+@query("rule_models", f"WITH {_POSTINGS}, {_CANDIDATES}, y AS (SELECT doc_id, quality AS target FROM labels), x AS (SELECT target, exact_key AS upc_only, exact_key OR (shared_count >= 3 AND jaccard >= 0.2) AS token_and_similarity FROM cand JOIN y ON right_id = doc_id), r AS (SELECT target, 'upc_only' AS rule, upc_only AS hit FROM x UNION ALL SELECT target, 'token_and_similarity', token_and_similarity FROM x) SELECT rule, count(*) FILTER (target = 1 AND hit) AS tp, count(*) FILTER (target = 0 AND hit) AS fp, count(*) FILTER (target = 0 AND NOT hit) AS tn, count(*) FILTER (target = 1 AND NOT hit) AS fn FROM r GROUP BY 1")
+def rule_models(spark, sf):
+    """The published baselines on the candidates; a pair is right if its document is of good quality."""
+    y = table(spark, sf, "labels").select(F.col("doc_id").alias("right_id"), F.col("quality").alias("target"))
+    return evaluate.rule_models(candidates(spark, sf).join(y, "right_id"), "target").select("rule", "tp", "fp", "tn", "fn")
+
+
 @query("logistic_out_of_fold")
 def logistic_out_of_fold(spark, sf):
     folds = evaluate.group_folds(_scored(spark, sf), "source", "target")
