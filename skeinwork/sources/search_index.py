@@ -53,7 +53,7 @@ def write(docs: DataFrame, root: str, id_col: str, fields: list[str], version: s
     blocks.repartition("bucket", "span").sortWithinPartitions("bucket", "span", "token", "range").write.partitionBy("bucket", "span").parquet(f"{place}/blocks")
     heads = spark.read.schema(_blocks(kind)).parquet(f"{place}/blocks").select("token", "range", "span", "best", F.size("posts").alias("n"), "bucket")
     heads.repartition("bucket").sortWithinPartitions("token", "range").write.partitionBy("bucket").parquet(f"{place}/heads")
-    sinks.point_to(spark, root, version, 1 + (last["number"] if (last := sinks._last_pointer(spark, root)) else 0))
+    sinks.point_to_next(spark, root, version)
 
 
 def current(spark: SparkSession, root: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ranking
-from .tables import scratch, stored  # noqa: F401
+from .tables import claim, exists, scratch, stored  # noqa: F401
 
 
 def upserted(current: DataFrame | None, new: DataFrame, key: list[str], seq: str) -> DataFrame:
@@ -52,11 +52,6 @@ def new_files(found: DataFrame, registry: DataFrame) -> DataFrame:
 _POINTER = "version string, number long"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def point_to(spark: SparkSession, root: str, version: str, number: int) -> None:
     """Name a written version as the one of this number; the greatest number is the current one."""
     spark.createDataFrame([(version, number)], _POINTER).coalesce(1).write.mode("append").json(f"{root}/_pointers")
@@ -76,10 +71,18 @@ def publish(df: DataFrame, root: str, version: str) -> None:
     """Write an immutable version, then name it as the current one; readers see either the old or the new.
 
     Pointers are numbered, since the names of versions need not sort by age."""
-    spark = df.sparkSession
     df.write.mode("errorifexists").parquet(f"{root}/version={version}")
+    point_to_next(df.sparkSession, root, version)
+
+
+def point_to_next(spark: SparkSession, root: str, version: str) -> int:
+    """Name a version under the next number; of two writers that want the same number one takes the one after."""
     last = _last_pointer(spark, root)
-    point_to(spark, root, version, 1 + (last["number"] if last else 0))
+    number = 1 + (last["number"] if last else 0)
+    while not claim(spark, f"{root}/_numbers/{number:012d}", version):
+        number += 1
+    point_to(spark, root, version, number)
+    return number
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:

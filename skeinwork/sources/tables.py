@@ -29,3 +29,48 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     """Write df as Parquet and read it back: what several later steps use is made once, and lineage ends there."""
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it is missing."""
+    p, fs = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def claim(spark: SparkSession, path: str, word: str) -> bool:
+    """Create a small file if no one has; of several writers one succeeds."""
+    p, fs = _fs(spark, path)
+    fs.mkdirs(p.getParent())
+    try:
+        out = fs.create(p, False)
+    except Exception as e:
+        if fs.exists(p):
+            return False
+        raise e
+    out.write(bytearray(word.encode()))
+    out.close()
+    return True
+
+
+def word_of(spark: SparkSession, path: str) -> str:
+    p, fs = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()

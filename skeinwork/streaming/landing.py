@@ -2,31 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources import sinks
+from ..sources import bucketed
 
 
 def stream(spark: SparkSession, path: str, schema: T.StructType | str, files_per_trigger: int = 64) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def upsert_into(target: str, key: list[str], seq: str):
-    """A foreachBatch function that keeps the last row of each key under target.
+def upsert_into(target: str, key: list[str], seq: str, buckets: int = bucketed.BUCKETS):
+    """A foreachBatch function that keeps the last row of each key under target (read it with bucketed.read).
 
-    Each batch writes a whole new version under a name of its own and then points to it by the batch's number. A batch that
-    is run again starts from the version of the batches before it, so it changes nothing and writes over nothing."""
+    A batch writes the hash buckets that its keys fall into and commits them under its number; one that is run again finds its
+    number taken and changes nothing."""
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        before = sinks.version_before(spark, target, number)
-        version = f"{number:012d}-{uuid.uuid4().hex}"
-        sinks.upserted(before, df, key, seq).write.mode("errorifexists").parquet(f"{target}/version={version}")
-        sinks.point_to(spark, target, version, number)
+        bucketed.upsert(df, target, key, seq, number, buckets)
 
     return batch
 

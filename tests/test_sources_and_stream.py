@@ -4,7 +4,7 @@ import zipfile
 
 import pytest
 
-from skeinwork.sources import readers, sinks
+from skeinwork.sources import bucketed, readers, sinks
 from skeinwork.streaming import landing
 
 
@@ -51,7 +51,7 @@ def test_landing_stream(spark, tmp_path):
     start()
     rows([("a", 1, "z"), ("b", 1, "w")])
     start()
-    assert {(r.key, r.v) for r in sinks.current(spark, out).collect()} == {("a", "z"), ("b", "w")}
+    assert {(r.key, r.v) for r in bucketed.read(spark, out).collect()} == {("a", "z"), ("b", "w")}
 
 
 def test_a_batch_run_again_changes_nothing(spark, tmp_path):
@@ -62,4 +62,4 @@ def test_a_batch_run_again_changes_nothing(spark, tmp_path):
     batch(rows(("a", 1, "y"), ("b", 1, "w")), 1)
     batch(rows(("a", 1, "y"), ("b", 1, "w")), 1)
     batch(rows(("a", 1, "z")), 2)
-    assert {(r.key, r.v) for r in sinks.current(spark, out).collect()} == {("a", "z"), ("b", "w")}
+    assert {(r.key, r.v) for r in bucketed.read(spark, out).collect()} == {("a", "z"), ("b", "w")}
