@@ -15,14 +15,35 @@ from pyspark.sql import types as T
 
 # Stop words of the tokenizers, by tokenizer.
 STOP_WORDS = {
-    "linkage": "the and for with from due risk serious injury death hazard sold recalls recall product products model number this that inc llc corp corporation company manufactured unit units including included new used",
-    "catalogue": "a an and at by for from in of on or the to with this that new pack set model item product black white inch inches",
-    "workspace": "the and for with from due to of a an in on new product products model number",
-    "artifact": "the and for with due to of a an in on model number recall sold including online new inc llc co company brand product products",
-    "identity": "the and for with from due risk serious injury death hazard sold recalls recall product products model number brand",
-    "benchmark": "the and for with from new set pack of to in on a an by up x inch inches pcs piece pieces size model item product style color colour",
-    "blocking": "the and for with from due risk serious injury death hazard sold recalls recall product products model number this that inc llc corp corporation company manufactured",
-    "plain": "",
+    "linkage": (
+        "the", "and", "for", "with", "from", "due", "risk", "serious", "injury", "death", "hazard", "sold", "recalls", "recall", "product", "products",
+        "model", "number", "this", "that", "inc", "llc", "corp", "corporation", "company", "manufactured", "unit", "units", "including", "included", "new",
+        "used",
+    ),
+    "catalogue": (
+        "a", "an", "and", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with", "this", "that", "new", "pack", "set", "model", "item",
+        "product", "black", "white", "inch", "inches",
+    ),
+    "workspace": (
+        "the", "and", "for", "with", "from", "due", "to", "of", "a", "an", "in", "on", "new", "product", "products", "model", "number",
+    ),
+    "artifact": (
+        "the", "and", "for", "with", "due", "to", "of", "a", "an", "in", "on", "model", "number", "recall", "sold", "including", "online", "new", "inc",
+        "llc", "co", "company", "brand", "product", "products",
+    ),
+    "identity": (
+        "the", "and", "for", "with", "from", "due", "risk", "serious", "injury", "death", "hazard", "sold", "recalls", "recall", "product", "products",
+        "model", "number", "brand",
+    ),
+    "benchmark": (
+        "the", "and", "for", "with", "from", "new", "set", "pack", "of", "to", "in", "on", "a", "an", "by", "up", "x", "inch", "inches", "pcs", "piece",
+        "pieces", "size", "model", "item", "product", "style", "color", "colour",
+    ),
+    "blocking": (
+        "the", "and", "for", "with", "from", "due", "risk", "serious", "injury", "death", "hazard", "sold", "recalls", "recall", "product", "products",
+        "model", "number", "this", "that", "inc", "llc", "corp", "corporation", "company", "manufactured",
+    ),
+    "plain": (),
 }
 # Least length of a token, by tokenizer.
 LEAST_LENGTH = {"linkage": 3, "catalogue": 2, "workspace": 3, "artifact": 2, "identity": 2, "benchmark": 1, "blocking": 3, "plain": 1}
@@ -102,7 +123,7 @@ def tokens(text: Column, tokenizer: str = "linkage", distinct: bool = True) -> C
     base = {"fold": fold, "unmark": unmarked, "compat": compat_lower}.get(how, lambda c: F.lower(F.coalesce(c, F.lit(""))))(text)
     least = LEAST_LENGTH[tokenizer]
     found = F.regexp_extract_all(base, F.lit("[a-z0-9]{%d,}" % least if least > 1 else "[a-z0-9]+"), F.lit(0))
-    stops = STOP_WORDS[tokenizer].split()
+    stops = STOP_WORDS[tokenizer]
     if stops:
         found = F.filter(found, lambda t: ~t.isin(*stops))
     return F.array_distinct(found) if distinct else found

@@ -17,14 +17,24 @@ def confusion(df: DataFrame, target: str, predicted: Column, by: list[str] = [])
     """tp, fp, tn, fn, precision, recall, f1, false positive rate; divisions by zero give 0."""
     p, y = predicted.cast("int"), F.col(target).cast("int")
     counts = df.groupBy(*by).agg(*[F.count_if((y == a) & (p == b)).alias(n) for n, a, b in (("tp", 1, 1), ("fp", 0, 1), ("tn", 0, 0), ("fn", 1, 0))])
+    return _measured(counts)
+
+
+def _measured(counts: DataFrame) -> DataFrame:
     out = counts.withColumn("precision", _safe(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", _safe(F.col("tp"), F.col("tp") + F.col("fn")))
     return out.withColumn("f1", _safe(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).withColumn("fpr", _safe(F.col("fp"), F.col("fp") + F.col("tn")))
 
 
 def threshold_sweep(df: DataFrame, target: str, score: str, percents: list[int], by: list[str] = []) -> DataFrame:
-    """Confusion at each threshold (in hundredths). Scores are counted by the thresholds they pass, once."""
-    at = df.select(*by, target, score, F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent"))
-    return confusion(at.withColumn("hit", F.col(score) >= F.col("percent") / 100), target, F.col("hit"), [*by, "percent"])
+    """Confusion at each threshold (in hundredths). Rows are counted by the number of thresholds that they pass, once; the counts,
+    as few as there are thresholds, are added up for each threshold."""
+    limits = sorted(percents)
+    passed = F.size(F.filter(F.array(*[F.lit(p) for p in limits]), lambda p: F.col(score) >= p / 100))
+    counts = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(target).cast("int").alias("__y"), passed.alias("__passed")).agg(F.count("*").alias("__n"))
+    at = counts.select(*by, "__y", "__passed", "__n", F.posexplode(F.array(*[F.lit(p) for p in limits])).alias("__i", "percent"))
+    hit = F.col("__passed") > F.col("__i")
+    cell = lambda y, h: F.coalesce(F.sum(F.when((F.col("__y") == y) & (hit == h), F.col("__n"))), F.lit(0))
+    return _measured(at.groupBy(*by, "percent").agg(cell(1, True).alias("tp"), cell(0, True).alias("fp"), cell(0, False).alias("tn"), cell(1, False).alias("fn")))
 
 
 def best_f1(sweep: DataFrame, by: list[str]) -> DataFrame:

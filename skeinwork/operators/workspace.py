@@ -37,6 +37,11 @@ def by_date_then_id(rows: DataFrame, at: str, tie: str) -> DataFrame:
     return rows.orderBy(F.col(at).asc_nulls_last(), tie)
 
 
+def places_by_date(rows: DataFrame, at: str, tie: str) -> DataFrame:
+    """rows with their place in that order, over all of them."""
+    return ranking.row_numbers(rows, [F.col(at).asc_nulls_last(), F.col(tie)], "place")
+
+
 def search_terms(records: DataFrame, key: str, name: Column, least: int, most: int) -> DataFrame:
     """(query_id, token): tokens of the first `most` terms of `least` characters."""
     terms = records.select(F.col(key).alias("query_id"), F.explode(t.query_terms(name, least, most)).alias("term"))

@@ -45,7 +45,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- shared pieces
 
 TOKENIZER = "workspace"
-_STOPS = ", ".join(f"'{w}'" for w in t.STOP_WORDS[TOKENIZER].split())
+_STOPS = ", ".join(f"'{w}'" for w in t.STOP_WORDS[TOKENIZER])
 _POSTINGS = f"""
   lp AS (SELECT left_id, token FROM (SELECT DISTINCT item_id AS left_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS token FROM benchmark) WHERE token NOT IN ({_STOPS})),
   rp AS (SELECT right_id, lang, token FROM (SELECT DISTINCT doc_id AS right_id, lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS token FROM documents) WHERE token NOT IN ({_STOPS})),
@@ -789,9 +789,12 @@ def feature_ranges(spark, sf):
     return profile.feature_ranges(table(spark, sf, "part"), ["p_size", "p_retailprice"])
 
 
-@query("content_manifest", "SELECT 'part' AS name, count(*) AS n_rows FROM part")
+_PART_CELLS = ", ".join(f"coalesce('=' || {c}::VARCHAR, '')" for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"))
+
+
+@query("content_manifest", f"SELECT 'part' AS name, count(*) AS n_rows, sum(('0x' || substr(md5(concat_ws(chr(31), {_PART_CELLS})), 1, 15))::BIGINT)::VARCHAR AS content_sum FROM part")
 def content_manifest(spark, sf):
-    return sinks.manifest(table(spark, sf, "part"), name="part").select("name", "n_rows")
+    return sinks.manifest(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"), name="part")
 
 
 # ---------------------------------------------------------------- flagship

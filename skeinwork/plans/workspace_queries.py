@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import blocking, features, review, workspace
-from ..sources import normalize, search_index, sinks
+from ..sources import bucketed, keyed_state, normalize, search_index, sinks
 from .registry import _BM, _CANDIDATES, _IDX, _INCIDENTS, _POSTINGS, _STATUS, _status, incidents, left_postings, left_side, query, right_postings, right_side, table
 
 _OWNED = f"{_INCIDENTS}, own AS (SELECT o_custkey AS recall_id, inc.recall_id * 10 + line AS id, publication_date, incident_date FROM inc JOIN orders ON o_orderkey = inc.recall_id)"
@@ -43,13 +43,35 @@ def newest_records(spark, sf):
     return workspace.newest(o, "dated", "o_orderkey", 25)
 
 
-@query("benchmark_order", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate::DATE END NULLS LAST, o_orderkey) AS place FROM orders ORDER BY 2 LIMIT 1000")
+@query("benchmark_order", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate::DATE END NULLS LAST, o_orderkey) AS place FROM orders")
 def benchmark_order(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate").cast("date")).alias("at"))
-    first = workspace.by_date_then_id(o, "at", "o_orderkey").limit(1000)
-    from pyspark.sql import Window
+    return workspace.places_by_date(o, "at", "o_orderkey").select("o_orderkey", "place")
 
-    return first.select("o_orderkey", F.row_number().over(Window.orderBy(F.col("at").asc_nulls_last(), "o_orderkey")).alias("place"))
+
+_BATCHED = "SELECT client_id, change_id, change_id % 2 AS batch FROM client_changes"
+
+
+@query("bucketed_upsert", f"WITH x AS ({_BATCHED}), k AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY batch DESC, change_id DESC) AS i FROM x) SELECT client_id, change_id FROM k WHERE i = 1")
+def bucketed_upsert(spark, sf):
+    """Changes of even number are one batch, those of odd number the next; the last change of each client stays."""
+    root, c = sinks.scratch(spark), table(spark, sf, "client_changes").select("client_id", "change_id")
+    for number in (0, 1):
+        bucketed.upsert(c.where(F.col("change_id") % 2 == number), root, ["client_id"], "change_id", number)
+    return bucketed.read(spark, root).select("client_id", "change_id")
+
+
+@query("state_after_two_writers", """WITH a AS (SELECT client_id, change_id, row_number() OVER (PARTITION BY client_id ORDER BY change_id) AS i FROM client_changes WHERE client_id IS NOT NULL AND change_id % 2 = 0),
+  b AS (SELECT client_id, change_id, row_number() OVER (PARTITION BY client_id ORDER BY change_id) AS i FROM client_changes WHERE client_id IS NOT NULL AND change_id % 2 = 1 AND client_id NOT IN (SELECT client_id FROM a))
+  SELECT client_id::VARCHAR AS key, 1::BIGINT AS version, change_id::VARCHAR AS value FROM a WHERE i = 1 UNION ALL SELECT client_id::VARCHAR, 1, change_id::VARCHAR FROM b WHERE i = 1""")
+def state_after_two_writers(spark, sf):
+    """Two writers that have seen no entry of any client: what the first has written refuses the second's."""
+    root = sinks.scratch(spark)
+    c = table(spark, sf, "client_changes").where("client_id is not null and change_id is not null")
+    for writer in (0, 1):
+        mine = c.where(F.col("change_id") % 2 == writer)
+        keyed_state.put(mine.select(F.col("client_id").alias("key"), F.lit(0).alias("expected"), F.col("change_id").alias("value"), F.timestamp_seconds(F.col("change_id")).alias("at")), root)
+    return keyed_state.state(spark, root).select("key", "version", "value")
 
 
 @query("user_history", "WITH k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id) AS rank FROM events) SELECT * FROM k WHERE rank <= 20")

@@ -11,39 +11,75 @@ from ..functions import text as t
 # Aliases of the canonical fields, by source, in order of trial.
 ALIASES = {
     "cpsc": {
-        "source_record_id": "source_record_id cpsc_source_record_id id record_id", "recall_number": "recall_number cpsc_recall_number recallnumber",
-        "recall_date": "recall_date cpsc_recall_date date", "product_name": "product_name cpsc_product_name product", "title": "title cpsc_title description",
-        "hazards": "hazards cpsc_hazards hazard", "description": "description cpsc_description", "url": "url cpsc_url recall_url", "brand": "brand product_brand",
-        "model": "model product_model model_number", "upc": "upc product_upc", "category": "category product_category category_id",
+        "source_record_id": ("source_record_id", "cpsc_source_record_id", "id", "record_id"),
+        "recall_number": ("recall_number", "cpsc_recall_number", "recallnumber"),
+        "recall_date": ("recall_date", "cpsc_recall_date", "date"),
+        "product_name": ("product_name", "cpsc_product_name", "product"),
+        "title": ("title", "cpsc_title", "description"),
+        "hazards": ("hazards", "cpsc_hazards", "hazard"),
+        "description": ("description", "cpsc_description"),
+        "url": ("url", "cpsc_url", "recall_url"),
+        "brand": ("brand", "product_brand"),
+        "model": ("model", "product_model", "model_number"),
+        "upc": ("upc", "product_upc"),
+        "category": ("category", "product_category", "category_id"),
     },
     "saferproducts": {
-        "source_record_id": "source_record_id saferproducts_source_record_id incident_id id", "incident_date": "incident_date date_of_incident",
-        "publication_date": "publication_date published_date date_published", "brand": "product_brand brand incident_brand", "model": "product_model model incident_model",
-        "upc": "product_upc upc incident_upc", "product_description": "product_description product incident_product_description", "description": "incident_description description comments",
-        "manufacturer": "manufacturer_name manufacturer incident_manufacturer", "retailer": "retailer_name retailer incident_retailer", "recall_number": "cpsc_recall_number recall_number recallnumber",
+        "source_record_id": ("source_record_id", "saferproducts_source_record_id", "incident_id", "id"),
+        "incident_date": ("incident_date", "date_of_incident"),
+        "publication_date": ("publication_date", "published_date", "date_published"),
+        "brand": ("product_brand", "brand", "incident_brand"),
+        "model": ("product_model", "model", "incident_model"),
+        "upc": ("product_upc", "upc", "incident_upc"),
+        "product_description": ("product_description", "product", "incident_product_description"),
+        "description": ("incident_description", "description", "comments"),
+        "manufacturer": ("manufacturer_name", "manufacturer", "incident_manufacturer"),
+        "retailer": ("retailer_name", "retailer", "incident_retailer"),
+        "recall_number": ("cpsc_recall_number", "recall_number", "recallnumber"),
     },
     "amazon_products": {
-        "parent_asin": "parent_asin amazon_parent_asin parentAsin asin", "title": "title amazon_title product_title", "brand": "brand amazon_brand", "model": "model model_number modelNumber amazon_model",
-        "upc": "upc product_upc barcode gtin", "manufacturer": "manufacturer amazon_manufacturer", "category": "category main_category category_name amazon_category",
+        "parent_asin": ("parent_asin", "amazon_parent_asin", "parentAsin", "asin"),
+        "title": ("title", "amazon_title", "product_title"),
+        "brand": ("brand", "amazon_brand"),
+        "model": ("model", "model_number", "modelNumber", "amazon_model"),
+        "upc": ("upc", "product_upc", "barcode", "gtin"),
+        "manufacturer": ("manufacturer", "amazon_manufacturer"),
+        "category": ("category", "main_category", "category_name", "amazon_category"),
     },
     "amazon_reviews": {
-        "review_id": "review_id id", "asin": "asin parent_asin parentAsin", "parent_asin": "parent_asin parentAsin asin", "rating": "rating stars score", "review_title": "title review_title",
-        "review_text": "text review_text review_body", "review_date": "timestamp review_date date", "verified_purchase": "verified_purchase verified verifiedPurchase",
+        "review_id": ("review_id", "id"),
+        "asin": ("asin", "parent_asin", "parentAsin"),
+        "parent_asin": ("parent_asin", "parentAsin", "asin"),
+        "rating": ("rating", "stars", "score"),
+        "review_title": ("title", "review_title"),
+        "review_text": ("text", "review_text", "review_body"),
+        "review_date": ("timestamp", "review_date", "date"),
+        "verified_purchase": ("verified_purchase", "verified", "verifiedPurchase"),
     },
     "linkage": {
-        "recall_number": "cpsc_recall_number recall_number", "parent_asin": "amazon_parent_asin parent_asin asin", "title": "amazon_title title", "brand": "amazon_brand brand", "model": "amazon_model model",
-        "upc": "amazon_upc upc", "exact_upc": "exact_upc", "shared_product_token_count": "shared_product_token_count", "product_token_jaccard": "product_token_jaccard",
-        "product_name_sequence_similarity": "product_name_sequence_similarity", "brand_relation": "brand_relation", "blocking_sources": "blocking_sources", "review_label": "review_label label",
+        "recall_number": ("cpsc_recall_number", "recall_number"),
+        "parent_asin": ("amazon_parent_asin", "parent_asin", "asin"),
+        "title": ("amazon_title", "title"),
+        "brand": ("amazon_brand", "brand"),
+        "model": ("amazon_model", "model"),
+        "upc": ("amazon_upc", "upc"),
+        "exact_upc": ("exact_upc",),
+        "shared_product_token_count": ("shared_product_token_count",),
+        "product_token_jaccard": ("product_token_jaccard",),
+        "product_name_sequence_similarity": ("product_name_sequence_similarity",),
+        "brand_relation": ("brand_relation",),
+        "blocking_sources": ("blocking_sources",),
+        "review_label": ("review_label", "label"),
     },
 }
 REQUIRED = {"cpsc": [], "saferproducts": ["source_record_id"], "amazon_products": ["parent_asin"], "amazon_reviews": ["asin"], "linkage": ["recall_number", "parent_asin"]}
 WHOLE, REAL = ("exact_upc", "shared_product_token_count"), ("product_token_jaccard", "product_name_sequence_similarity")
 
 
-def _first(df: DataFrame, names: str) -> Column:
+def _first(df: DataFrame, names: tuple[str, ...]) -> Column:
     """The first alias, in any case, that is neither null nor empty."""
     have = {c.lower(): c for c in df.columns}
-    found = [F.nullif(F.col(f"`{have[n.lower()]}`").cast("string"), F.lit("")) for n in names.split() if n.lower() in have]
+    found = [F.nullif(F.col(f"`{have[n.lower()]}`").cast("string"), F.lit("")) for n in names if n.lower() in have]
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
@@ -76,7 +112,7 @@ def view(df: DataFrame, kind: str) -> DataFrame:
     flat = df.select([F.to_json(f"`{c}`").alias(c) if k.startswith(("array", "struct", "map")) else F.col(f"`{c}`") for c, k in df.dtypes])
     out = []
     for field, names in VIEWS[kind].items():
-        c = _first(flat, " ".join(names))
+        c = _first(flat, names)
         if field in (*WHOLE, "candidate_bucket_size"):
             c = F.coalesce(c.try_cast("double").try_cast("int"), F.lit(0))
         elif field in REAL:

@@ -11,7 +11,7 @@ PRODUCTS = [("P1", "Blue Kettle Deluxe 2L", "Nordwell", "KD2", "77"), ("P2", "Bl
 
 
 def words(x):
-    return {w for w in re.findall("[a-z0-9]{3,}", x.lower()) if w not in t.STOP_WORDS["workspace"].split()}
+    return {w for w in re.findall("[a-z0-9]{3,}", x.lower()) if w not in t.STOP_WORDS["workspace"]}
 
 
 def plain(x):
