@@ -120,18 +120,35 @@ def rarest_overlap(left: DataFrame, right: DataFrame, k: int = 2) -> DataFrame:
     return met.join(wanted, "left_id").where("n = wanted").select("left_id", "right_id")
 
 
-def phrase_containment(left: DataFrame, right: DataFrame, gram: int = 3) -> DataFrame:
+#: Characters of the grams on which phrases meet texts.
+GRAM = 4
+
+
+def phrase_grams(left: DataFrame, right: DataFrame, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """(left_id, gram, df): the gram of each phrase that the fewest texts have, and (right_id, gram): the texts that have one of these.
+
+    A shorter phrase is its own gram. Frequencies are counted for the grams of all phrases, which combines before the shuffle; only the
+    chosen grams are then looked up again. A phrase of which some gram is in no text is in none and goes."""
+    pieces = lambda c, k: F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substr(F.col(c), i, F.lit(k)))
+    phrases = left.where("phrase <> ''").select("left_id", F.explode(F.array_distinct(F.when(F.length("phrase") >= gram, pieces("phrase", gram)).otherwise(F.array("phrase")))).alias("gram"))
+    lengths = sorted(r[0] for r in left.where("phrase <> ''").select(F.least(F.length("phrase"), F.lit(gram))).distinct().collect())
+    found = [F.when(F.length("text") >= k, pieces("text", k)).otherwise(F.array().cast("array<string>")) for k in lengths] or [F.array().cast("array<string>")]
+    texts = right.select("right_id", F.explode(F.array_distinct(F.concat(*found))).alias("gram"))
+    df = texts.join(phrases.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    chosen = phrases.join(df, "gram", "left").groupBy("left_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("g"))
+    chosen = chosen.select("left_id", "g.gram", "g.df").where("df > 0")
+    return chosen, texts.join(chosen.select("gram").distinct(), "gram", "left_semi")
+
+
+def phrase_containment(left: DataFrame, right: DataFrame, gram: int = GRAM) -> DataFrame:
     """(left_id, right_id) where the right `text` has the left `phrase`, which is not empty.
 
-    Instead of looking at all pairs, a phrase's first characters are joined with the distinct substrings of that
-    length of each text. Substrings travel with ids alone and only if some phrase begins so; texts are fetched for the
-    pairs that are left, and only those are compared whole."""
-    head = left.where("phrase <> ''").withColumn("gram", F.substring("phrase", 1, gram))
-    lengths = F.sequence(F.lit(1), F.lit(gram))
-    pieces = F.flatten(F.transform(lengths, lambda k: F.when(F.length("text") >= k, F.transform(F.sequence(F.lit(1), F.length("text") - k + 1), lambda i: F.substr("text", i, k))).otherwise(F.array().cast("array<string>"))))
-    grams = right.select("right_id", F.explode(F.array_distinct(pieces)).alias("gram")).join(head.select("gram").distinct(), "gram", "left_semi")
-    pairs = grams.join(head.select("left_id", "gram", "phrase"), "gram").select("left_id", "right_id", "phrase").distinct()
-    return pairs.join(right.select("right_id", "text"), "right_id").where(F.contains("text", F.col("phrase"))).select("left_id", "right_id").distinct()
+    Instead of looking at all pairs, each phrase meets the texts that have its least frequent gram; texts are fetched for the pairs
+    that are left, and only those are compared whole."""
+    chosen, having = phrase_grams(left, right, gram)
+    pairs = having.join(chosen, "gram").select("left_id", "right_id").distinct()
+    both = pairs.join(left.select("left_id", "phrase"), "left_id").join(right.select("right_id", "text"), "right_id")
+    return both.where(F.contains("text", F.col("phrase"))).select("left_id", "right_id").distinct()
 
 
 def union_with_provenance(**sources: DataFrame) -> DataFrame:

@@ -180,19 +180,33 @@ def recalls(raw: DataFrame, body: str = "body") -> DataFrame:
 
 # Names of incident fields at the source, in order of trial.
 INCIDENT_FIELDS = {
-    "source_record_id": "IncidentReportNumber IncidentReportNo ReportNumber ReportId IncidentID Id", "incident_date": "IncidentDate IncidentDateTime",
-    "publication_date": "IncidentReportPublicationDate ReportFirstPublicationDate PublicationDate", "incident_description": "IncidentDescription Description", "incident_location": "IncidentLocation", "locale": "Locale",
-    "product_brand": "ProductBrandName ProductBrand", "product_model": "ProductModelName ProductModel", "product_description": "IncidentProductDescription ProductDescription", "product_category": "ProductCategory",
-    "product_upc": "ProductUPCCode ProductUPC", "product_serial_number": "ProductSerialNumber", "product_manufactured_date": "ProductManufacturedDate", "product_purchased_date": "ProductPurchasedDate",
-    "manufacturer_name": "ProductManufacturerName ManufacturerName Manufacturer", "manufacturer_location": "ManufacturerLocation", "manufacturer_notification_date": "ManufacturerNotificationDate",
-    "manufacturer_comments": "CompanyComments ManufacturerComments", "retailer_name": "ProductRetailCompanyName RetailCompanyName RetailerName RetailCompany", "retailer_location": "RetailCompanyLocation RetailerLocation",
+    "source_record_id": ("IncidentReportNumber", "IncidentReportNo", "ReportNumber", "ReportId", "IncidentID", "Id"),
+    "incident_date": ("IncidentDate", "IncidentDateTime"),
+    "publication_date": ("IncidentReportPublicationDate", "ReportFirstPublicationDate", "PublicationDate"),
+    "incident_description": ("IncidentDescription", "Description"),
+    "incident_location": ("IncidentLocation",),
+    "locale": ("Locale",),
+    "product_brand": ("ProductBrandName", "ProductBrand"),
+    "product_model": ("ProductModelName", "ProductModel"),
+    "product_description": ("IncidentProductDescription", "ProductDescription"),
+    "product_category": ("ProductCategory",),
+    "product_upc": ("ProductUPCCode", "ProductUPC"),
+    "product_serial_number": ("ProductSerialNumber",),
+    "product_manufactured_date": ("ProductManufacturedDate",),
+    "product_purchased_date": ("ProductPurchasedDate",),
+    "manufacturer_name": ("ProductManufacturerName", "ManufacturerName", "Manufacturer"),
+    "manufacturer_location": ("ManufacturerLocation",),
+    "manufacturer_notification_date": ("ManufacturerNotificationDate",),
+    "manufacturer_comments": ("CompanyComments", "ManufacturerComments"),
+    "retailer_name": ("ProductRetailCompanyName", "RetailCompanyName", "RetailerName", "RetailCompany"),
+    "retailer_location": ("RetailCompanyLocation", "RetailerLocation"),
 }
 
 
 def incidents(raw: DataFrame, body: str = "body") -> DataFrame:
     """Incident records of JSON text; nested values count as missing, dates in any of the source's forms."""
-    def value(names: str) -> Column:
-        found = [F.expr(_text(body, n)) for n in names.split()]
+    def value(names: tuple[str, ...]) -> Column:
+        found = [F.expr(_text(body, n)) for n in names]
         return F.coalesce(*[F.when(~v.rlike(r"^[\[{]"), v) for v in found])
 
     out = {k: dates.source_date(value(v)) if k.endswith("_date") else value(v) for k, v in INCIDENT_FIELDS.items()}
