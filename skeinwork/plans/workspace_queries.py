@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import blocking, features, review, workspace
-from ..sources import bucketed, keyed_state, normalize, search_index, sinks
+from ..sources import bucketed, keyed_state, normalize, search_index, sinks, uploads
 from .registry import _BM, _CANDIDATES, _IDX, _INCIDENTS, _POSTINGS, _STATUS, _status, incidents, left_postings, left_side, query, right_postings, right_side, table
 
 _OWNED = f"{_INCIDENTS}, own AS (SELECT o_custkey AS recall_id, inc.recall_id * 10 + line AS id, publication_date, incident_date FROM inc JOIN orders ON o_orderkey = inc.recall_id)"
@@ -49,6 +49,32 @@ def benchmark_order(spark, sf):
     return workspace.places_by_date(o, "at", "o_orderkey").select("o_orderkey", "place")
 
 
+_UPLOADS = "u AS (SELECT doc_id AS upload_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n, ceil(octet_length(encode(coalesce(text, ''))) / 1000)::BIGINT AS k FROM documents)"
+
+
+def _uploads(spark, sf):
+    """Documents as uploads in chunks of 1,000 bytes: of each seventh the second chunk has not come, of each eleventh the last has a byte too many."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("upload_id"), F.coalesce("text", F.lit("")).cast("binary").alias("b"))
+    sessions = d.select("upload_id", F.octet_length("b").cast("long").alias("size_bytes"), F.lit(1000).alias("chunk_size"))
+    last = F.ceil(F.octet_length("b") / 1000).cast("int") - 1
+    cut = d.where(F.octet_length("b") > 0).withColumn("last", last).select("upload_id", "b", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("chunk_index"))
+    data = F.substring("b", F.col("chunk_index") * 1000 + 1, F.lit(1000))
+    longer = F.when((F.col("upload_id") % 11 == 0) & (F.col("chunk_index") == F.col("last")), F.concat(data, F.lit("x").cast("binary"))).otherwise(data)
+    return sessions, cut.where(~((F.col("upload_id") % 7 == 0) & (F.col("chunk_index") == 1))).select("upload_id", "chunk_index", longer.alias("data"))
+
+
+@query("upload_faults", f"""WITH {_UPLOADS} SELECT upload_id, 1::BIGINT AS chunk_index, 1::BIGINT AS last_index, 'missing' AS fault, NULL::BIGINT AS found, 1::BIGINT AS expected FROM u WHERE upload_id % 7 = 0 AND k >= 2
+  UNION ALL SELECT upload_id, k - 1, k - 1, 'wrong size', n - 1000 * (k - 1) + 1, n - 1000 * (k - 1) FROM u WHERE upload_id % 11 = 0 AND k >= 1 AND NOT (upload_id % 7 = 0 AND k = 2)""")
+def upload_faults(spark, sf):
+    return uploads.faults(*_uploads(spark, sf))
+
+
+@query("upload_pieces", f"""WITH {_UPLOADS}, p AS (SELECT upload_id, b, unnest(range(0, greatest(1, ceil(n / 4000)::BIGINT))) AS piece FROM u WHERE NOT (upload_id % 7 = 0 AND k >= 2) AND NOT (upload_id % 11 = 0 AND k >= 1))
+  SELECT upload_id, piece, piece * 4000 AS "offset", sha256(b[piece * 4000 + 1:piece * 4000 + 4000]) AS digest FROM p""")
+def upload_pieces(spark, sf):
+    return uploads.assembled(*_uploads(spark, sf), 4000).select("upload_id", "piece", "offset", F.sha2("data", 256).alias("digest"))
+
+
 _BATCHED = "SELECT client_id, change_id, change_id % 2 AS batch FROM client_changes"
 
 
