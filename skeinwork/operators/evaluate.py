@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import tables
-from . import ranking
+from . import boosting, ranking
 
 
 def _safe(n: Column, d: Column, otherwise=0.0) -> Column:
@@ -192,3 +192,19 @@ def rule_models(pairs: DataFrame, target: str, exact: str = "exact_key", shared:
     cells = F.array(F.struct(F.lit("upc_only").alias("rule"), same.cast("int").alias("hit")), F.struct(F.lit("token_and_similarity").alias("rule"), (same | alike).cast("int").alias("hit")))
     at = pairs.select(*by, target, F.explode(cells).alias("c")).select(*by, target, "c.rule", "c.hit")
     return confusion(at, target, F.col("hit"), ["rule", *by])
+
+
+def model_comparison(rows: DataFrame, target: str, features: list[str], lexical: list[str], k: int = 5, rounds: int | None = None) -> DataFrame:
+    """One row for each of three models, with the measures of their out-of-fold probabilities: logistic over all features, logistic
+    over the lexical ones, and boosted trees over all. rows have a fold; rows of null target take no part."""
+    known = rows.where(F.col(target).isNotNull())
+    learned = {
+        "logistic_all": out_of_fold(known, features, target, "logistic", k), "logistic_lexical": out_of_fold(known, lexical, target, "logistic", k),
+        "hist_gradient_boosting": boosting.out_of_fold(known, features, target, k, rounds=rounds or boosting.ROUNDS),
+    }
+    out, path = None, tables.scratch(rows.sparkSession)
+    for name, df in learned.items():
+        p = tables.stored(df.select(target, "oof_probability"), f"{path}/{name}")
+        one = confusion(p, target, F.col("oof_probability") >= 0.5).join(roc_auc(p, target, "oof_probability")).join(average_precision(p, target, "oof_probability")).withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out

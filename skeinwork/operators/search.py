@@ -13,21 +13,15 @@ BOOSTS = {"recall_number": 8.0, "parent_asin": 6.0, "product_name": 5.0, "title"
 KEYWORDS = ("recall_number", "parent_asin")
 
 
-def index(docs: DataFrame, id_col: str, fields: list[str], pattern: str = "[a-z0-9]+") -> tuple[DataFrame, DataFrame]:
-    """(postings (doc_id, token, tf), lengths (doc_id, len)); lengths run over all indexed fields."""
-    body = F.concat_ws(" ", *[F.col(f) for f in fields])
-    words = docs.select(F.col(id_col).alias("doc_id"), F.regexp_extract_all(F.lower(body), F.lit(pattern), F.lit(0)).alias("w"))
-    posts = words.select("doc_id", F.explode("w").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
-    return posts, words.select("doc_id", F.size("w").cast("long").alias("len"))
-
-
 def bm25(queries: DataFrame, docs: DataFrame, id_col: str, fields: list[str], pattern: str = "[a-z0-9]+") -> DataFrame:
     """(query_id, doc_id, score) for queries (query_id, token): any term may match; higher is better.
 
-    Only postings of query terms leave the map side; document frequencies and lengths join in small."""
-    posts, lengths = index(docs, id_col, fields, pattern)
+    Words that no query has go before they are counted; document frequencies and lengths join in small. For many searches of the
+    same documents write an index (sources.search_index)."""
+    words = docs.select(F.col(id_col).alias("doc_id"), F.regexp_extract_all(F.lower(F.concat_ws(" ", *fields)), F.lit(pattern), F.lit(0)).alias("w"))
+    lengths = words.select("doc_id", F.size("w").cast("long").alias("len"))
     asked = queries.select("query_id", "token").distinct()
-    hit = posts.join(asked.select("token").distinct(), "token", "left_semi")
+    hit = words.select("doc_id", F.explode("w").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
     total = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     df = hit.groupBy("token").agg(F.count("*").alias("n"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))

@@ -750,6 +750,26 @@ def rule_models(spark, sf):
     return evaluate.rule_models(candidates(spark, sf).join(y, "right_id"), "target").select("rule", "tp", "fp", "tn", "fn")
 
 
+LEXICAL = ["shared_product_token_count", "product_token_jaccard", "left_name_token_coverage", "right_name_token_coverage"]
+
+
+def _labelled_pairs(spark, sf) -> DataFrame:
+    """Candidate pairs with features, folds by item, and as target whether the document is of good quality."""
+    y = table(spark, sf, "labels").select(F.col("doc_id").alias("right_id"), F.col("quality").alias("target"))
+    left = table(spark, sf, "benchmark").select(F.col("item_id").alias("left_id"), F.col("text").alias("left_name"), F.array(F.md5("text")).alias("left_keys"))
+    right = table(spark, sf, "documents").select(F.col("doc_id").alias("right_id"), F.col("text").alias("right_description"), F.md5("text").alias("right_key"), F.col("source").alias("right_brand"), F.lit("").alias("right_model"), F.col("source").alias("manufacturer"), F.col("lang").alias("retailer"))
+    pairs = candidates(spark, sf).select("left_id", "right_id").join(y, "right_id").join(left, "left_id").join(right, "right_id")
+    return evaluate.balanced_folds(features.pair_features(pairs, TOKENIZER, with_sequence=False), "left_id", "target")
+
+
+@query("model_comparison")
+def model_comparison(spark, sf):
+    """The three published models on one table of pairs, out of fold; ten rounds of the trees."""
+    path = sinks.scratch(spark)
+    rows = sinks.stored(_labelled_pairs(spark, sf).select("left_id", "right_id", "target", "fold", "exact_upc", *LEXICAL, "brand_in_left_name", "manufacturer_in_left_name"), f"{path}/pairs")
+    return evaluate.model_comparison(rows, "target", ["exact_upc", *LEXICAL, "brand_in_left_name", "manufacturer_in_left_name"], LEXICAL, rounds=10)
+
+
 @query("logistic_out_of_fold")
 def logistic_out_of_fold(spark, sf):
     folds = evaluate.group_folds(_scored(spark, sf), "source", "target")

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import io
-import json
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import readers, sinks
+from . import lines, readers, sinks
 
 
 def snapshot(raw: DataFrame, canonical: DataFrame, root: str, key: list[str]) -> DataFrame:
@@ -20,24 +16,29 @@ def snapshot(raw: DataFrame, canonical: DataFrame, root: str, key: list[str]) ->
     return sinks.counted(canonical, key)
 
 
-def sniff_columns(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file, or keys of the first record of a JSON lines file, from its first line."""
-    first = spark.read.text(path).where("trim(value) <> ''").first()
-    line = (first[0] if first else "").lstrip("﻿").strip()
-    if line.startswith("{"):
-        try:
-            return list(json.loads(line))
-        except ValueError:
-            return []
-    return pd.read_csv(io.StringIO(line), header=None, dtype=str).iloc[0].tolist() if line else []
-
-
-def inventory(columns_of: dict[str, list[str]]) -> tuple[dict[str, list[str]], dict[str, str]]:
-    """(source -> its files, source -> its only file) of files with known columns; unknown files are left out."""
-    found: dict[str, list[str]] = {}
-    for path, columns in columns_of.items():
-        try:
-            found.setdefault(readers.detect_source(columns, path.rsplit("/", 1)[-1]), []).append(path)
-        except ValueError:
-            continue
-    return found, {s: files[0] for s, files in found.items() if len(files) == 1}
+def sniffed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, columns, source): of each file of a folder the column names of a CSV header or the keys of the first JSON line, and the
+    source that these or the file's name tell, null if none does. One job reads all files; a file without a line has no row."""
+    first = lines.numbered_lines(spark, paths).withColumn("text", F.regexp_replace(F.trim("text"), "^\ufeff", "")).where(F.col("text") != "").groupBy("file").agg(F.min_by("text", "line").alias("text"))
+    cells = F.transform(F.regexp_extract_all("text", F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda c: F.when(c.startswith('"'), F.regexp_replace(F.substring(c, 2, F.length(c) - 2), '""', '"')).otherwise(c))
+    names = F.when(F.startswith("text", F.lit("{")), F.coalesce(F.json_object_keys("text"), F.array().cast("array<string>"))).otherwise(cells)
+    return first.select("file", names.alias("columns")).withColumn("source", source_of(F.col("columns"), F.element_at(F.split("file", "/"), -1)))
+
+
+def source_of(columns: Column, name: Column) -> Column:
+    """The source that a header or a file name tells, in the order of the signs."""
+    have, out = F.transform(columns, lambda c: F.lower(c)), F.lit(None).cast("string")
+    for kind, headers, parts in reversed(readers.SIGNS):
+        told = F.lit(False)
+        for h in headers:
+            told = told | (F.size(F.array_except(F.array(*[F.lit(x) for x in sorted(h)]), have)) == 0)
+        for p in parts:
+            told = told | F.contains(F.lower(name), F.lit(p))
+        out = F.when(told, kind).otherwise(out)
+    return out
+
+
+def inventory(found: DataFrame) -> DataFrame:
+    """(source, files, only): the files of each source that sniffed() has told, and its only file if it has one."""
+    per = found.where("source is not null").groupBy("source").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return per.withColumn("only", F.when(F.size("files") == 1, F.col("files")[0]))

@@ -8,10 +8,14 @@ def test_snapshot_and_rejects(spark, tmp_path):
 
 
 def test_columns_and_inventory(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("﻿recall_number,recall_date\n1,2\n", encoding="utf-8")
-    (tmp_path / "b.jsonl").write_text('{"parent_asin": "x", "title": "t"}\n')
+    (tmp_path / "a.csv").write_text("\ufeffrecall_number,recall_date,\"a, \"\"b\"\"\"\n1,2,3\n", encoding="utf-8")
+    (tmp_path / "b.jsonl").write_text('\n{"parent_asin": "x", "title": "t"}\n{"other": 1}\n')
     (tmp_path / "c.jsonl").write_text('{"parent_asin": "y"}\n')
     (tmp_path / "d.csv").write_text("k\n")
-    columns = {str(p): ingest.sniff_columns(spark, str(p)) for p in sorted(tmp_path.iterdir())}
-    found, only = ingest.inventory(columns)
-    assert {k: len(v) for k, v in found.items()} == {"cpsc": 1, "amazon_products": 2} and list(only) == ["cpsc"]
+    (tmp_path / "candidate_rows.csv").write_text("k\n")
+    (tmp_path / "empty.csv").write_text("")
+    found = ingest.sniffed(spark, str(tmp_path))
+    got = {r.file.rsplit("/", 1)[1]: (r["columns"], r.source) for r in found.collect()}
+    assert got == {"a.csv": (["recall_number", "recall_date", 'a, "b"'], "cpsc"), "b.jsonl": (["parent_asin", "title"], "amazon_products"), "c.jsonl": (["parent_asin"], "amazon_products"), "d.csv": (["k"], None), "candidate_rows.csv": (["k"], "linkage")}
+    only = {r.source: (len(r.files), r.only and r.only.rsplit("/", 1)[1]) for r in ingest.inventory(found).collect()}
+    assert only == {"cpsc": (1, "a.csv"), "amazon_products": (2, None), "linkage": (1, "candidate_rows.csv")}
