@@ -30,12 +30,14 @@ NUMBERED = 256
 LARGE = 1 / 640
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int = RANGES_PER_SHARD, samples_per_range: int = SAMPLES_PER_RANGE, pieces: int = PIECES, large: float = LARGE) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard), one row per row of docs."""
+def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int = RANGES_PER_SHARD, samples_per_range: int = SAMPLES_PER_RANGE, pieces: int = PIECES, large: float = LARGE, path: str | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard), one row per row of docs. Texts are read once; ids, sizes and digests are
+    written and used from there."""
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (F.length(raw) + 1).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32"), F.md5(raw).alias("key"),
     )
+    rows = common.stored(rows, path or common.scratch(docs.sparkSession), "rows")
     groups = rows.groupBy("key").agg(F.sum("size").alias("group_size"))
     total = groups.agg(F.sum("group_size").alias("total"), F.count("*").alias("n")).first()
     if not total["total"]:
