@@ -135,6 +135,19 @@ def has_data(**frames: DataFrame) -> DataFrame:
     return every.agg((F.count("*") > 0).alias("has_data"))
 
 
+# Candidates of a case whose product reviews are counted, and how far they are counted.
+REVIEWED_CANDIDATES, COUNTED_REVIEWS = 10, 100
+
+
+def review_counts(candidates: DataFrame, reviews: DataFrame, key: str, product: str = "parent_asin", score: str = "evidence_score") -> DataFrame:
+    """(key, product, rank, reviews): for the best candidates of each case how many product reviews there are, 0 where there is none.
+
+    Reviews are counted by product before they meet the candidates."""
+    counts = reviews.groupBy(product).agg(F.count("*").alias("reviews"))
+    best = ranked(candidates, key, REVIEWED_CANDIDATES, score, product).select(key, product, "rank")
+    return best.join(counts, product, "left").select(key, product, "rank", F.least(F.coalesce("reviews", F.lit(0)), F.lit(COUNTED_REVIEWS)).cast("long").alias("reviews"))
+
+
 def valid_reviews(reviews: DataFrame, candidates: DataFrame, key: str, product: str = "parent_asin") -> DataFrame:
     """Reviews of products that are candidates of their case."""
     return reviews.join(candidates.select(key, product).distinct(), [key, product], "left_semi")

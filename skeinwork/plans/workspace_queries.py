@@ -172,6 +172,13 @@ def valid_reviews(spark, sf):
     return workspace.valid_reviews(r, _supplied(spark, sf), "recall_id").select("parent_asin", F.col("recall_id").cast("int").alias("recall_id"))
 
 
+@query("case_review_counts", f"WITH {_CAND}, k AS (SELECT *, row_number() OVER (PARTITION BY recall_id ORDER BY evidence_score DESC, parent_asin) AS rank FROM cand), r AS (SELECT l_partkey AS parent_asin, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT recall_id, k.parent_asin, rank, least(coalesce(n, 0), 100)::BIGINT AS reviews FROM k LEFT JOIN r USING (parent_asin) WHERE rank <= 10")
+def case_review_counts(spark, sf):
+    """Returned line items as reviews of their part."""
+    reviews = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("parent_asin"))
+    return workspace.review_counts(_supplied(spark, sf), reviews, "recall_id")
+
+
 @query("provider_chain", "SELECT doc_id, 'labels' AS provider FROM labels UNION ALL SELECT doc_id, 'english' FROM documents WHERE lang = 'en' AND doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'documents' FROM documents WHERE coalesce(lang <> 'en', true) AND doc_id NOT IN (SELECT doc_id FROM labels)")
 def provider_chain(spark, sf):
     d = table(spark, sf, "documents")

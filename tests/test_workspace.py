@@ -90,3 +90,10 @@ def test_views_of_artifacts(spark):
     assert [r.hazards for r in normalize.view(rows, "recall").collect()] == ['["h"]', ""]
     best = features.shown(normalize.view(rows, "candidate")).collect()
     assert (best[0].evidence_score, best[0].evidence) == (1.0, ["Exact UPC agreement"]) and best[1].evidence_score == 0.11
+
+
+def test_review_counts_of_the_best_candidates(spark):
+    c = spark.createDataFrame([(k, f"A{i:02d}", i / 20) for k in (1, 2) for i in range(14)], "k int, parent_asin string, evidence_score double")
+    r = spark.createDataFrame([("A13", i) for i in range(130)] + [("A05", 1), ("A05", 2), ("A00", 1), (None, 1)], "parent_asin string, n int")
+    got = {(x.k, x.parent_asin): (x["rank"], x.reviews) for x in workspace.review_counts(c, r, "k").collect()}
+    assert len(got) == 20 and got[1, "A13"] == (1, 100) and got[2, "A05"] == (9, 2) and got[1, "A12"] == (2, 0) and (1, "A00") not in got
