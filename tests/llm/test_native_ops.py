@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 from pathlib import Path
 from types import SimpleNamespace
 
@@ -123,24 +124,49 @@ def tail(z):
     return max(1e-300, 0.5 * math.erfc(z / math.sqrt(2)))
 
 
-def plain_battery(x):
+def plain_model(texts):
+    """The corpus's model from plain loops over its words."""
+    words = Counter(w for t in texts for w in re.findall("[A-Za-z0-9]+", t or "") if len(w) < secrets.LONG)
+    counts = Counter()
+    for w, n in words.items():
+        mixed = len(w) >= secrets.MIXED and bool(re.search("[0-9][A-Za-z]|[A-Za-z][0-9]|[a-z][A-Z]", w))
+        for a, b in zip(w, w[1:]):
+            counts[mixed, a + b] += n
+    model = secrets.model_of(counts)
+    z = [plain_serial(w, model) for w in words if len(w) >= secrets.MIXED and w.isalpha()]
+    n = len(z) + secrets.PRIOR_WORDS
+    model["mean"] = sum(z) / n
+    model["spread"] = max(1.0, math.sqrt((sum(v * v for v in z) + secrets.PRIOR_WORDS * secrets.SPREAD ** 2) / n - model["mean"] ** 2))
+    return counts, model
+
+
+def plain_serial(x, model):
+    low = secrets.DIGITS + secrets.LOWER
+    at = [low.index(a) * 36 + low.index(b) for a, b in zip(x.lower(), x.lower()[1:]) if a in low and b in low]
+    var = sum(model["var"][i] for i in at)
+    return sum(model["cost"][i] for i in at) / math.sqrt(var) if var else 0.0
+
+
+def plain_battery(x, model):
     """-ln p of an ordinary token by Fisher's sum of three tests, and whether symbols may be random; one candidate at a time."""
     x = x.rstrip("=")
-    digits, low, up = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    alphabet = next((a for a in (digits + "abcdef", digits + "ABCDEF", up + "234567", digits + low, digits + up + low) if set(x) <= set(a)), up + low + digits + "+/-_")
+    at = next(i for i, (_, a, _) in enumerate(secrets.ENCODINGS) if set(x) <= set(a))
+    _, alphabet, rule = secrets.ENCODINGS[at]
     n, size = len(x), len(alphabet)
     chi = size / n * sum(x.count(c) ** 2 for c in alphabet) - n
     df = size - 1
     z_chi = ((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
     v = [alphabet.index(c) - df / 2 for c in x]
-    z_serial = sum(a * b for a, b in zip(v, v[1:])) / (n * (size * size - 1) / 12) * math.sqrt(n)
-    kind = [("0" if c in digits else "a" if c in low else "A" if c in up else c) for c in x]
-    w = secrets.WORDLIKE_CHANGE
-    z_runs = (sum(a != b and a in "aA0" and b in "aA0" and (a, b) != ("A", "a") for a, b in zip(kind, kind[1:])) - 0.5 - (n - 1) * w) / math.sqrt((n - 1) * w * (1 - w))
-    uneven = max(0.5, secrets.WORDLIKE_EQUAL * size - 1)
+    z_place = sum(a * b for a, b in zip(v, v[1:])) / (n * (size * size - 1) / 12) * math.sqrt(n)
+    known = set(secrets.SYMBOLS)
+    changes = sum(secrets.changes_kind(rule, a, b) for a, b in zip(x, x[1:]) if a in known and b in known)
+    w = model["rate"][at]
+    z_runs = (model["side"][at] * (changes - (n - 1) * w) - 0.5) / math.sqrt((n - 1) * w * (1 - w))
+    uneven = model["uneven"][at]
     z_even = (df + n * uneven - chi) / math.sqrt(2 * df + 4 * n * uneven)
-    y = -math.log(tail(z_even)) - math.log(tail(z_runs)) - math.log(max(1e-6, 1 - 2 * tail(abs(z_serial))))
-    return y - math.log(1 + y + y * y / 2), 2 * min(tail(z_chi), 2 * tail(abs(z_serial))) >= secrets.ALPHA
+    z_serial = (plain_serial(x, model) - model["mean"]) / model["spread"]
+    y = -math.log(tail(z_even)) - math.log(tail(z_runs)) - math.log(tail(z_serial))
+    return y - math.log(1 + y + y * y / 2), 2 * min(tail(z_chi), 2 * tail(abs(z_place))) >= secrets.ALPHA
 
 
 def planted(rng):
@@ -156,7 +182,11 @@ def planted(rng):
 def test_battery_agrees_with_a_plain_one(spark):
     plain, keys = planted(random.Random(7))
     d = spark.createDataFrame(list(enumerate(plain + keys)), "doc_id long, text string")
-    scores = {x: plain_battery(x) for x in plain + keys}
+    counts, model = plain_model(plain + keys)
+    fitted = secrets.fit(d.selectExpr("text AS t"))
+    assert fitted["cost"] == model["cost"] and fitted["rate"] == model["rate"]
+    assert abs(fitted["spread"] - model["spread"]) < 0.01 and abs(fitted["mean"] - model["mean"]) < 0.01
+    scores = {x: plain_battery(x, model) for x in plain + keys}
     cls = lambda x: sum(len(x) >= lo for lo in secrets.LENGTH_CLASSES)
     want = set()
     for k in range(1, len(secrets.LENGTH_CLASSES) + 1):
@@ -168,6 +198,26 @@ def test_battery_agrees_with_a_plain_one(spark):
     assert len(got & set(keys)) >= 0.95 * len(keys) and len(got & set(plain)) <= 2 * secrets.Q * len(got), got & set(plain)
 
 
+def test_keys_of_every_encoding_are_found_among_ordinary_texts(spark):
+    """Keys of 24 characters and more; at least 0.9 of each encoding are found (digits and lower-case hexadecimal as base spans)."""
+    rng = random.Random(11)
+    texts = [r.text for r in common.read_table(spark, "/root/testdata/sf0.001", "documents").select("text").collect()]
+    keys = {name: {"".join(rng.choice(a) for _ in range(rng.choice([24, 28, 32, 40, 52]))) for _ in range(60)} for name, a, _ in secrets.ENCODINGS}
+    rows = [(i, t) for i, t in enumerate(texts)] + [(-1 - i, f"see {k} there") for i, k in enumerate(k for own in keys.values() for k in sorted(own))]
+    got = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.scan(got).select("doc_id", secrets.F.size("base").alias("b"), "found").collect()
+    hit = Counter()
+    by_id = {r.doc_id: r for r in found}
+    for i, text in rows[len(texts):]:
+        r = by_id[i]
+        assert r.b or not r.found or text[r.found[0].s:r.found[0].e] == text.split()[1]
+        hit[next(n for n, own in keys.items() if text.split()[1] in own)] += bool(r.found or r.b)
+    wrong = sum(len(r.found) for r in found if r.doc_id >= 0)
+    shares = {n: hit[n] / len(own) for n, own in keys.items()}
+    assert all(s >= 0.9 for n, s in shares.items()), shares
+    assert wrong <= 2 * secrets.Q * sum(hit.values()) + 1, (wrong, shares)
+
+
 def test_secrets_of_awkward_rows(spark):
     d = docs(spark, [(None, "token=abcdefgh", "s", "x", 1), (1, "token=abcdefgh", "s", "x", 1), (1, "token=abcdefgh", "s", "x", 1), (2, None, "s", "x", 1), (3, "x1" * 50000, "s", "x", 1)])
     got = sorted((r.doc_id or 0, len(r.base), len(r.found)) for r in secrets.scan(d).collect())
