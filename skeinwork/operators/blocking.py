@@ -210,8 +210,8 @@ def category_candidates(left: DataFrame, right: DataFrame, most: int = 250, leas
     )
 
 
-def sensitivity(left: DataFrame, right: DataFrame, limits: list[int], least: int = 2, rarest_only: bool | None = None) -> DataFrame:
-    """(df_limit, left_rows, pairs, largest): pairs with `least` shared tokens, one of them of frequency at most the limit.
+def candidates_by_limit(left: DataFrame, right: DataFrame, limits: list[int], least: int = 2, rarest_only: bool | None = None) -> DataFrame:
+    """(df_limit, left_id, n): pairs with `least` shared tokens, one of them of frequency at most the limit; no row for none.
 
     One pass: each pair comes once with its rarest shared token, and limits are compared afterwards. Pairs are made as in
     token_overlap; where frequencies join the postings, they join the short side before the sides meet."""
@@ -221,5 +221,22 @@ def sensitivity(left: DataFrame, right: DataFrame, limits: list[int], least: int
         asked = left.join(document_frequency(relevant(right, left)), "token")
         pairs = right.join(asked, "token").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"), F.min("df").alias("rarest")).where((F.col("shared") >= least) & (F.col("rarest") <= max(limits)))
     at = pairs.select("left_id", F.explode(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: F.col("rarest") <= x)).alias("df_limit"))
-    per = at.groupBy("df_limit", "left_id").agg(F.count("*").alias("n"))
+    return at.groupBy("df_limit", "left_id").agg(F.count("*").alias("n"))
+
+
+def sensitivity(left: DataFrame, right: DataFrame, limits: list[int], least: int = 2, rarest_only: bool | None = None) -> DataFrame:
+    """(df_limit, left_rows, pairs, largest) of the pairs that each limit leaves."""
+    per = candidates_by_limit(left, right, limits, least, rarest_only)
     return per.groupBy("df_limit").agg(F.count("*").alias("left_rows"), F.sum("n").alias("pairs"), F.max("n").alias("largest"))
+
+
+def with_none(per: DataFrame, ids: DataFrame, limits: list[int]) -> DataFrame:
+    """candidates_by_limit with a row of 0 for each of ids (left_id) that a limit leaves nothing."""
+    every = ids.select("left_id", F.explode(F.array(*[F.lit(x) for x in limits])).alias("df_limit"))
+    return every.join(per, ["df_limit", "left_id"], "left").select("df_limit", "left_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def crowded_rows(per: DataFrame, least: int = 500, most: int = 10) -> DataFrame:
+    """(df_limit, left_id, n, rank): of each limit the `most` rows with `least` candidates or more, most first (ties by id)."""
+    w = Window.partitionBy("df_limit").orderBy(F.col("n").desc(), "left_id")
+    return per.where(F.col("n") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)

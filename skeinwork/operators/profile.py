@@ -82,3 +82,39 @@ def feature_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
     one = df.agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("least", F.min), ("median", F.median), ("largest", F.max))])
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"{c}_{n}").cast("double").alias(n) for n in ("least", "median", "largest")]) for c in columns])
     return one.select(F.explode(cells).alias("c")).select("c.*")
+
+
+def nested_completeness(df: DataFrame, items: str, columns: list[str], fields: list[str]) -> DataFrame:
+    """(level, field, n, present): populated counts of df's columns and of the fields of its array of structs `items`, each in one pass."""
+    out = None
+    inner = df.select(F.explode(items).alias("__i")).select("__i.*")
+    for level, d, names in (("row", df, columns), ("item", inner, fields)):
+        one = d.agg(F.count("*").alias("n"), *[F.count_if(populated(d, c)).alias(c) for c in names])
+        cells = F.array(*[F.struct(F.lit(level).alias("level"), F.lit(c).alias("field"), F.col("n"), F.col(c).alias("present")) for c in names])
+        part = one.select(F.explode(cells).alias("c")).select("c.*")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def failure_audit(df: DataFrame, key: str, checks: dict[str, Column], dated: list[str], most: int = 20) -> DataFrame:
+    """(part, name, n, example): rows by the first check that they fail (a null check counts as failed), with the least failing key as
+    an example; observed, accepted and failed rows; distinct keys, keys with several rows and the `most` commonest of them, and rows without
+    each date among the accepted. Failing rows are folded by reason, accepted ones by key; nothing else is shuffled."""
+    reason = F.coalesce(*[F.when(~F.coalesce(c, F.lit(False)), n) for n, c in checks.items()])
+    rows = df.withColumn("__reason", reason)
+    k = F.col(key).cast("string")
+    shape = lambda d, part, name, n, example=None: d.select(F.lit(part).alias("part"), name.cast("string").alias("name"), n.cast("long").alias("n"), (F.lit(None).cast("string") if example is None else example).alias("example"))
+    failures = rows.where(F.col("__reason").isNotNull()).groupBy("__reason").agg(F.count("*").alias("n"), F.min(k).alias("least"))
+    good = rows.where(F.col("__reason").isNull())
+    per_key = good.groupBy(key).agg(F.count("*").alias("n"))
+    totals = rows.agg(
+        F.count("*").alias("observed"), F.count_if(F.col("__reason").isNull()).alias("accepted"), F.count_if(F.col("__reason").isNotNull()).alias("failed"),
+        *[F.count_if(F.col("__reason").isNull() & F.col(c).isNull()).alias(f"missing {c}") for c in dated],
+    )
+    keys = per_key.agg(F.count("*").alias("distinct keys"), F.count_if(F.col("n") > 1).alias("repeated keys"))
+    spread = lambda d: d.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in d.columns])).alias("c")).select("c.*")
+    common = per_key.where("n > 1").orderBy(F.col("n").desc(), key).limit(most)
+    out = shape(spread(totals), "total", F.col("name"), F.col("n"))
+    out = out.union(shape(spread(keys), "total", F.col("name"), F.col("n")))
+    out = out.union(shape(failures, "failure", F.col("__reason"), F.col("n"), F.col("least")))
+    return out.union(shape(common, "repeated", k, F.col("n")))

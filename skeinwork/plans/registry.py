@@ -833,3 +833,4 @@ def ranked_candidates(spark, sf):
 
 
 from . import workspace_queries  # noqa: E402, F401 - registers its queries here
+from . import review_queries  # noqa: E402, F401 - registers its queries here
