@@ -4,11 +4,14 @@ import hashlib
 import math
 import random
 import re
+import struct
+import zlib
 from collections import Counter
 from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
+import xxhash
 
 from skeinwork.llm import common, exact_dedup, mixing, secrets, sharding
 
@@ -233,6 +236,48 @@ def test_shards_are_near_equal_and_keep_equal_texts(spark):
     assert got.groupby("text_crc32").shard.nunique().max() == 1
 
 
+def plain_shards(rows, shards):
+    """The law `bytes` in one loop over all groups in key order; rows as (doc_id, text)."""
+    full = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), hashlib.md5((t or "").encode()).hexdigest()) for i, t in rows]
+    group = Counter()
+    for _, n, _, key in full:
+        group[key] += n
+    per = sum(group.values()) / shards
+    load, at, cut = [0.0] * shards, {}, set()
+    for n, key in sorted(((n, k) for k, n in group.items() if n > per * sharding.LARGE), key=lambda x: (-x[0], x[1])):
+        k = min(range(shards), key=lambda i: (load[i], i))
+        if load[k] + n > per * 1.01:
+            cut.add(key)
+        else:
+            load[k] += n
+            at[key] = k
+    room = [max(0.0, per - x) for x in load]
+    bounds = [sum(room[:i + 1]) for i in range(shards - 1)]
+    units = {}
+    for r in full:
+        m = sharding.PIECES if r[3] in cut else sharding.NUMBERED if r[3] in at else 1
+        h = xxhash.xxh64_intdigest(struct.pack("<q", -1 if r[0] is None else r[0]), seed=42)
+        units.setdefault((r[3], (h - (1 << 64) if h >> 63 else h) % m), []).append(r)
+    laid, slots, out = 0, [0] * shards, []
+    for (key, _), own in sorted(units.items()):
+        n = sum(r[1] for r in own)
+        k = at[key] if key in at else sum(b <= laid + n / 2 for b in bounds)
+        laid += 0 if key in at else n
+        for r in sorted(own, key=lambda r: (r[0] is not None, r[0] or 0)):
+            out.append((r[0], r[1], r[2], k, slots[k]))
+            slots[k] += 1
+    return out
+
+
+@pytest.mark.parametrize("shards", [3, 16])
+def test_shards_and_slots_agree_with_a_plain_loop(spark, shards):
+    rows = [(i, "t%d " % (i % 900) + "z" * (i % 90)) for i in range(3000)] + [(9000 + i, "copy " * 30) for i in range(800)] + [(5, None), (5, None), (None, "x"), (None, "é"), (6, "")]
+    rows += [(20000 + i, "mid %d " % (i % 3) + "y" * 400) for i in range(90)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shards)
+    key = lambda r: tuple((v is not None, v or 0) for v in r)
+    assert sorted((tuple(r) for r in got.select("doc_id", "size", "text_crc32", "shard", "slot").collect()), key=key) == sorted(plain_shards(rows, shards), key=key)
+
+
 def test_a_group_larger_than_a_shard_is_cut(spark):
     rows = [(i, "hot text", "s", "x", 1) for i in range(3000)] + [(5000 + i, "doc %d" % i, "s", "x", 1) for i in range(3000)]
     got = sharding.shard(docs(spark, rows)).toPandas()

@@ -1,7 +1,12 @@
+import hashlib
+import re
+
+import duckdb
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
-from skeinwork.llm import embedding_dedup
+from skeinwork.llm import bpe, embedding_dedup, mixing
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SCHEMA = "vec_id long, embedding array<float>, label int, n_links string"
@@ -122,3 +127,57 @@ def test_pipeline_stages(spark):
             n = d.count()
     last = corpus_pipeline.STAGES[-1][1](spark, d, sf)
     assert last.count() == d.count() and {"ids", "n_tokens"} <= set(last.columns)
+
+
+def plain_stages(docs, good):
+    """Rows that the stages keep, from plain loops: docs as (doc_id, text), good the ids that the classifier keeps."""
+    rows = sorted((i, t or "") for i, t in docs if i in good)
+    first = {}
+    for i, t in rows:
+        first.setdefault(re.sub("[\\x20\\x09-\\x0D]+", " ", t), i)
+    exact = [(i, t) for i, t in rows if first[re.sub("[\\x20\\x09-\\x0D]+", " ", t)] == i]
+    sets = {}
+    for i, t in exact:
+        words = re.findall("[^\\x20\\x09-\\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets[i] = {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    root = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and sets[a]]
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return exact, [(i, t) for i, t in exact if root[i] == i]
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """Every stage's rows on a whole table with planted copies: exact and near copies by plain loops, the mix by the SQL of its
+    query, ids by the library; the classifier's rows by its own scores, which are tested against plain neighbours elsewhere."""
+    sf = "/root/testdata/sf0.001"
+    real = spark.read.parquet(f"{sf}/documents.parquet")
+    long = [r for r in real.orderBy("doc_id").collect() if len(r.text.split()) > 60][:12]
+    planted = [r.asDict() | {"doc_id": 10**6 + k, "text": r.text.replace(" ", "\t  ") if k % 2 else r.text + " tail"} for k, r in enumerate(long)]
+    real.unionByName(spark.createDataFrame(planted, real.schema)).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    d, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    whole = {r.doc_id: r.text for r in d.collect()}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, d, str(tmp_path)).write.parquet(str(tmp_path / f"{k}.parquet"))
+        d = spark.read.parquet(str(tmp_path / f"{k}.parquet"))
+        kept[name] = d.collect()
+    ids = {name: sorted(r.doc_id for r in rows) for name, rows in kept.items()}
+    assert all(r.text == whole[r.doc_id] for r in kept["mixing"])
+    exact, near = plain_stages(whole.items(), set(ids["quality"]))
+    assert ids["exact_dedup"] == [i for i, _ in exact] and ids["near_dedup"] == [i for i, _ in near]
+    assert len(ids["quality"]) > len(exact) > len(near)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/2.parquet/*.parquet'")
+    cur = con.execute(mixing.OP7_SQL)
+    at = {c[0]: k for k, c in enumerate(cur.description)}
+    want = sorted(i for r in cur.fetchall() for i in [r[at["doc_id"]]] * (r[at["taken"]] // r[at["size"]] if r[at["size"]] else 0))
+    assert [i for i in ids["mixing"] if whole[i] and whole[i].split()] == want
+    tokenizer = Tokenizer.from_file(str(bpe.default_vocabulary()))
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    assert ids["bpe"] == ids["mixing"]
+    for r in kept["bpe"]:
+        assert list(r.ids) == tokenizer.encode(whole[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest()
