@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -83,6 +83,24 @@ def first_backend(*backends: DataFrame | None) -> DataFrame:
     return next(b for b in backends if b is not None)
 
 
+#: Hits asked for at most, and products for each hit asked for and in all.
+MOST_HITS, PRODUCTS_PER_HIT, MOST_PRODUCTS = 50, 10, 200
+
+
+def dispatch(primary: DataFrame | None, records: DataFrame, products: DataFrame, limit: int = 12) -> DataFrame:
+    """(query_id, kind, place, id, score) of frames (query_id, id, score): the first backend's `limit` best hits for queries that it
+    has any for; for the others the `limit` best records, then the best products, 10 for each hit asked for but 200 at most. Ties go by id."""
+    if not 1 <= limit <= MOST_HITS:
+        raise ValueError(f"limit is 1 to {MOST_HITS}")
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+
+    def top(df: DataFrame, kind: str, most: int) -> DataFrame:
+        return df.select("query_id", F.lit(kind).alias("kind"), F.row_number().over(best).alias("place"), "id", "score").where(F.col("place") <= most)
+
+    rest = top(records, "record", limit).unionByName(top(products, "product", min(limit * PRODUCTS_PER_HIT, MOST_PRODUCTS)))
+    return rest if primary is None else gated(top(primary, "first", limit), rest, "query_id")
+
+
 def search_documents(**frames: DataFrame) -> DataFrame:
     """One frame (id, doc_type, title, brand, model, text, date) of several sources; missing fields are null."""
     out = None

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blocking, profile, ranking, review_rows
+from ..operators import blocking, profile, ranking, review_rows, search
 from .registry import _POSTINGS, left_postings, query, right_postings, table
 
 LIMITS = [50, 100, 250, 500, 1000, 2500, 5000, 10000]
@@ -122,3 +122,16 @@ def candidate_rows(spark, sf):
         F.col("l_linenumber").cast("string").alias("shared_product_token_count"), F.col("l_linestatus").alias("incident_model"), F.lit(1).alias("unused"),
     )
     return review_rows.candidate_rows(raw).withColumns({c: F.array_join(c, ",") for c in ("blocking_sources", "shared_product_tokens")})
+
+
+@query("dispatched_search", """WITH f AS (SELECT s_nationkey AS query_id, 'first' AS kind, s_suppkey AS id, s_acctbal AS score FROM supplier WHERE s_acctbal > 9000),
+  r AS (SELECT c_nationkey AS query_id, 'record' AS kind, c_custkey AS id, c_acctbal AS score FROM customer), p AS (SELECT c_nationkey AS query_id, 'product' AS kind, o_orderkey AS id, o_totalprice AS score FROM orders JOIN customer ON c_custkey = o_custkey),
+  k AS (SELECT query_id, kind, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, id)::INTEGER AS place, id, score FROM (SELECT * FROM f UNION ALL SELECT * FROM r UNION ALL SELECT * FROM p))
+  SELECT * FROM k WHERE (kind = 'first' AND place <= 12) OR (query_id NOT IN (SELECT query_id FROM f) AND ((kind = 'record' AND place <= 12) OR (kind = 'product' AND place <= 120)))""")
+def dispatched_search(spark, sf):
+    """A nation is a query; rich suppliers are the first backend's hits, customers the records and their orders the products."""
+    c = table(spark, sf, "customer")
+    first = table(spark, sf, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("query_id"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("score"))
+    records = c.select(F.col("c_nationkey").alias("query_id"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("score"))
+    orders = table(spark, sf, "orders").join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return search.dispatch(first, records, orders.select(F.col("c_nationkey").alias("query_id"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score")))

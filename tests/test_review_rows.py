@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from skeinwork.operators import blocking, profile, ranking, review_rows
+from skeinwork.operators import blocking, profile, ranking, review_rows, search
 
 SELECTED = "cpsc_source_record_id string, saferproducts_source_record_id string, incident_brand string, incident_date string, publication_date string, cpsc_recall_date string, product_token_jaccard double"
 ROWS = [("r1", "i1", "", None, "2020-01-05", "2020-02-01", 0.5), ("r1", "i2", "own", "2020-03-01", "2020-03-02", "2020-02-01", None), ("r2", "i3", None, "", None, "2020-02-01", 0.2), ("r3", "i9", None, "2020-01-01", "2020-02-01", "2020-02-01", 0.1)]
@@ -96,3 +96,15 @@ def test_sensitivity_counts_rows_that_a_limit_leaves_nothing(spark):
     least = sorted(want.values())[len(want) // 2]
     top = [(r.df_limit, r.left_id) for r in blocking.crowded_rows(per, least, 2).orderBy("df_limit", "rank").collect()]
     assert top == [(m, a) for m in limits for a, _ in sorted(((a, n) for (k, a), n in want.items() if k == m and n >= least), key=lambda x: (-x[1], x[0]))[:2]]
+
+
+def test_dispatch_falls_back_query_by_query(spark):
+    hits = lambda rows: spark.createDataFrame(rows, "query_id string, id long, score double")
+    first, records = hits([("a", 9, 1.0), ("a", 8, 1.0), ("a", 7, 0.5)]), hits([("a", 1, 1.0), ("b", 3, 0.2), ("b", 2, 0.2), ("b", 4, 0.1)])
+    products = hits([("b", i, float(i % 40)) for i in range(300)])
+    got = [(r.query_id, r.kind, r.id) for r in search.dispatch(first, records, products, 2).orderBy("query_id", F.col("kind").desc(), "place").collect()]
+    best = [i for i, _ in sorted(((i, i % 40) for i in range(300)), key=lambda x: (-x[1], x[0]))]
+    assert got == [("a", "first", 8), ("a", "first", 9), ("b", "record", 2), ("b", "record", 3)] + [("b", "product", i) for i in best[:20]]
+    assert search.dispatch(None, records, products, 50).where("kind = 'product'").count() == 200
+    with pytest.raises(ValueError, match="1 to 50"):
+        search.dispatch(None, records, products, 51)
