@@ -135,6 +135,12 @@ def query_terms(text: Column, least: int = 1, most: int = 1 << 30) -> Column:
     return F.slice(F.filter(parts, lambda t: F.length(t) >= least), 1, most)
 
 
+def raw_terms(text: Column) -> Column:
+    """Search terms of records and reviews: lower case, split at white space alone, double quotes removed, in order; empty ones go."""
+    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")
+    return F.filter(F.transform(parts, lambda x: F.translate(x, '"', "")), lambda x: x != "")
+
+
 def _ratio(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator > 0, numerator / denominator).otherwise(F.lit(0.0))
 

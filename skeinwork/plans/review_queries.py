@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as t
 from ..operators import blocking, profile, ranking, review_rows, search
 from .registry import _POSTINGS, left_postings, query, right_postings, table
 
@@ -135,3 +136,13 @@ def dispatched_search(spark, sf):
     records = c.select(F.col("c_nationkey").alias("query_id"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("score"))
     orders = table(spark, sf, "orders").join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     return search.dispatch(first, records, orders.select(F.col("c_nationkey").alias("query_id"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score")))
+
+
+@query("search_term_forms", """WITH w AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS x FROM conversations)
+  SELECT conv_id, turn, array_to_string(list_filter(string_split_regex(replace(x, '"', ''), '\\s+'), lambda y: y <> ''), ' ') AS raw,
+    array_to_string(list_slice(list_filter(string_split_regex(translate(x, '/-', '  '), '\\s+'), lambda y: length(y) >= 2), 1, 16), ' ') AS product,
+    array_to_string(list_slice(list_filter(string_split_regex(translate(x, '/-', '  '), '\\s+'), lambda y: length(y) >= 3), 1, 12), ' ') AS incident FROM w""")
+def search_term_forms(spark, sf):
+    """The three forms of search terms: of records and reviews, of products, of incidents."""
+    forms = {"raw": t.raw_terms(F.col("text")), "product": t.query_terms(F.col("text"), 2, 16), "incident": t.query_terms(F.col("text"), 3, 12)}
+    return table(spark, sf, "conversations").select("conv_id", "turn", *[F.array_join(c, " ").alias(n) for n, c in forms.items()])

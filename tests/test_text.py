@@ -61,3 +61,9 @@ def test_temporal_status(spark, recall, incident, publication, want):
     d = lambda x: F.lit(x).cast("date")
     r = one(spark, s=dates.temporal_status(d(incident), d(publication), d(recall)), p=dates.pre_recall_public(d(incident), d(publication), d(recall)))
     assert r.s == want and r.p == (want == "pre_recall_public")
+
+
+def test_raw_terms(spark):
+    rows = [("Red  \"Mill\" a/b",), (None,), ("",), ('"',), ("x-1\ty",)]
+    got = [r.x for r in spark.createDataFrame(rows, "s string").select(t.raw_terms(F.col("s")).alias("x")).collect()]
+    assert got == [["red", "mill", "a/b"], [], [], [], ["x-1", "y"]]
