@@ -48,16 +48,25 @@ def search_terms(records: DataFrame, key: str, name: Column, least: int, most: i
     return terms.select("query_id", F.explode(F.regexp_extract_all("term", F.lit("[a-z0-9]+"), F.lit(0))).alias("token")).distinct()
 
 
-def searched(records: DataFrame, key: str, name: Column, docs: DataFrame, id_col: str, fields: list[str], terms: tuple[int, int], most: int) -> DataFrame:
-    """(key, id_col, rank): the best hits of each record's name; scores count to the sixth place, ties by id."""
-    hits = search.bm25(search_terms(records, key, name, *terms), docs, id_col, fields)
-    best = ranking.top_k(hits, ["query_id"], [F.round("score", 6).desc(), F.col("doc_id")], most)
-    return best.select(F.col("query_id").alias(key), F.col("doc_id").alias(id_col), "rank")
-
-
-def searched_index(records: DataFrame, key: str, name: Column, index, id_col: str, terms: tuple[int, int], most: int) -> DataFrame:
-    """The same from a stored index (sources.search_index.Index), of which only what can enter the answer is read."""
+def searched(records: DataFrame, key: str, name: Column, docs: DataFrame, id_col: str, fields: list[str], terms: tuple[int, int], most: int, fold: bool = False) -> DataFrame:
+    """(key, id_col, rank): the best hits of each record's name; scores count to the sixth place, ties by id.
+
+    Records of one name are one search. fold: documents that read the same are met as one, which is for short texts."""
+    named = records.select(key, name.alias("query_id"))
+    asked = search_terms(named.select("query_id").distinct(), "query_id", F.col("query_id"), *terms)
+    if fold:
+        classes, members = search.alike(docs, id_col, fields)
+        best = search.of_members(search.best_scores(search.bm25(asked, classes, id_col, ["text"], copies="copies"), most), members, most)
+    else:
+        best = search.best_scores(search.bm25(asked, docs, id_col, fields), most)
+    return named.join(best, "query_id").select(key, F.col("doc_id").alias(id_col), "rank")
+
+
+def searched_index(records: DataFrame, key: str, name: Column, index, id_col: str, terms: tuple[int, int], most: int, members: DataFrame | None = None) -> DataFrame:
+    """The same from a stored index (sources.search_index.Index), of which only what can enter the answer is read; members: where it holds
+    classes of search.alike."""
     best = index.best(search_terms(records, key, name, *terms), most)
+    best = best if members is None else search.of_members(best, members, most)
     return best.select(F.col("query_id").alias(key), F.col("doc_id").alias(id_col), "rank")
 
 
@@ -93,7 +102,7 @@ def candidates_of(records: DataFrame, supplied: DataFrame, products: DataFrame,
     coded = rest.where(text("upc") != "").select(key, text("upc").alias("__upc")).join(p.select("parent_asin", "__upc"), "__upc")
     coded = ranking.top_k(coded, [key], [F.col("parent_asin")], CANDIDATES).select(key, "parent_asin").withColumn("exact", F.lit(True))
     named = rest.where(F.size("__lt") > 0)
-    found = searched(named, key, F.col("name"), products, "parent_asin", fields, PRODUCT_TERMS, SEARCHED).select(key, "parent_asin").join(coded.select(key, "parent_asin"), [key, "parent_asin"], "left_anti")
+    found = searched(named, key, F.col("name"), products, "parent_asin", fields, PRODUCT_TERMS, SEARCHED, fold=True).select(key, "parent_asin").join(coded.select(key, "parent_asin"), [key, "parent_asin"], "left_anti")
     pairs = coded.unionByName(found.withColumn("exact", F.lit(False))).join(rest, key).join(p, "parent_asin")
     norm = lambda c: t.normalize_lower(F.col(c))
     rt = t.tokens(F.col("title"), "workspace")

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blocking, features, review, workspace
+from ..operators import blocking, features, review, search, workspace
 from ..sources import bucketed, keyed_state, normalize, search_index, sinks, uploads
 from .registry import _BM, _CANDIDATES, _IDX, _INCIDENTS, _POSTINGS, _STATUS, _status, incidents, left_postings, left_side, query, right_postings, right_side, table
 
@@ -127,8 +127,9 @@ def product_hits(spark, sf):
     p = table(spark, sf, "part")
     names = p.select(F.concat_ws(" ", "p_brand", "p_name").alias("name")).distinct()
     root = sinks.scratch(spark)
-    search_index.write(p.select("p_partkey", "p_name", "p_brand"), root, "p_partkey", ["p_name", "p_brand"], "1")
-    hits = workspace.searched_index(names, "name", F.col("name"), search_index.Index(spark, root), "p_partkey", workspace.PRODUCT_TERMS, 5)
+    classes, members = search.alike(p, "p_partkey", ["p_name", "p_brand"])
+    search_index.write(classes, root, "p_partkey", ["text"], "1", copies="copies")
+    hits = workspace.searched_index(names, "name", F.col("name"), search_index.Index(spark, root), "p_partkey", workspace.PRODUCT_TERMS, 5, members)
     return workspace.hit_rows(hits, p.select("p_partkey", "p_type"), "p_partkey").select("name", "p_partkey", "rank", "p_type")
 
 

@@ -26,32 +26,35 @@ ROUNDING = 2e-6
 
 
 def _blocks(id_type: str) -> str:
-    return f"token string, range int, posts array<struct<doc_id:{id_type},tf:int,len:int>>, best double, bucket int, span int"
+    return f"token string, range int, posts array<struct<doc_id:{id_type},tf:int,len:int>>, best double, n long, bucket int, span int"
 
 
-def write(docs: DataFrame, root: str, id_col: str, fields: list[str], version: str, pattern: str = "[a-z0-9]+", range_docs: int = RANGE_DOCS, buckets: int | None = None, spans: int = SPANS) -> None:
-    """Write a version of the index: the last row of each id, its postings in blocks, heads and counts; then name it as the current one."""
+def write(docs: DataFrame, root: str, id_col: str, fields: list[str], version: str, pattern: str = "[a-z0-9]+", range_docs: int = RANGE_DOCS, buckets: int | None = None, spans: int = SPANS, copies: str | None = None) -> None:
+    """Write a version of the index: the last row of each id, its postings in blocks, heads and counts; then name it as the current one.
+
+    copies: a column with the number of documents that a row stands for (search.alike)."""
     spark = docs.sparkSession
     place = f"{root}/version={version}"
     every = docs.withColumn("__seq", F.monotonically_increasing_id())
     ranking.keep_last(every.where(F.col(id_col).isNotNull()), [id_col], ["__seq"]).drop("__seq").write.mode("errorifexists").parquet(f"{place}/docs")
     stored = spark.read.schema(docs.schema).parquet(f"{place}/docs")
-    words = stored.select(F.col(id_col).alias("doc_id"), F.regexp_extract_all(F.lower(F.concat_ws(" ", *fields)), F.lit(pattern), F.lit(0)).alias("w")).withColumn("len", F.size("w"))
-    n, total, most = words.agg(F.count("*"), F.sum("len").cast("long"), F.sum(F.size(F.array_distinct("w"))).cast("long")).first()
-    total, most = total or 0, most or 0
-    ranges = max(1, -(-n // range_docs))
+    weight = F.lit(1).cast("long") if copies is None else F.col(copies)
+    words = stored.select(F.col(id_col).alias("doc_id"), weight.alias("copies"), F.regexp_extract_all(F.lower(F.concat_ws(" ", *fields)), F.lit(pattern), F.lit(0)).alias("w")).withColumn("len", F.size("w"))
+    rows, n, total, most = words.agg(F.count("*"), F.sum("copies"), F.sum(F.col("len") * F.col("copies")).cast("long"), F.sum(F.size(F.array_distinct("w"))).cast("long")).first()
+    n, total, most = n or 0, total or 0, most or 0
+    ranges = max(1, -(-rows // range_docs))
     buckets = buckets or min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-most // BUCKET_POSTINGS)))
     kind = words.schema["doc_id"].dataType.simpleString()
     spark.createDataFrame([(n, total / n if n else 0.0, ranges, buckets, spans, kind)], "n_docs long, avg_len double, ranges int, buckets int, spans int, id_type string").write.parquet(f"{place}/counts")
     part = F.col("tf") * (search.K1 + 1) / (F.col("tf") + search.K1 * (1 - search.B + search.B * F.col("len") / F.lit(total / n if total else 1.0)))
-    posts = words.select("doc_id", "len", F.explode("w").alias("token")).groupBy("doc_id", "len", "token").agg(F.count("*").cast("int").alias("tf"))
+    posts = words.select("doc_id", "len", "copies", F.explode("w").alias("token")).groupBy("doc_id", "len", "copies", "token").agg(F.count("*").cast("int").alias("tf"))
     ranged = posts.withColumn("range", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int"))
     blocks = (
-        ranged.groupBy("token", "range").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("posts"), F.max(part).alias("best"))
+        ranged.groupBy("token", "range").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("posts"), F.max(part).alias("best"), F.sum("copies").alias("n"))
         .withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")).withColumn("span", F.pmod(F.col("range"), F.lit(spans)))
     )
     blocks.repartition("bucket", "span").sortWithinPartitions("bucket", "span", "token", "range").write.partitionBy("bucket", "span").parquet(f"{place}/blocks")
-    heads = spark.read.schema(_blocks(kind)).parquet(f"{place}/blocks").select("token", "range", "span", "best", F.size("posts").alias("n"), "bucket")
+    heads = spark.read.schema(_blocks(kind)).parquet(f"{place}/blocks").select("token", "range", "span", "best", "n", "bucket")
     heads.repartition("bucket").sortWithinPartitions("token", "range").write.partitionBy("bucket").parquet(f"{place}/heads")
     sinks.point_to_next(spark, root, version)
 
@@ -71,7 +74,7 @@ class Index:
         self.spark, self.place = spark, current(spark, root)
         self.n_docs, self.avg_len, self.ranges, self.buckets, self.spans, kind = spark.read.parquet(f"{self.place}/counts").first()
         self.blocks = spark.read.schema(_blocks(kind)).parquet(f"{self.place}/blocks")
-        self.heads = spark.read.schema("token string, range int, span int, best double, n int, bucket int").parquet(f"{self.place}/heads")
+        self.heads = spark.read.schema("token string, range int, span int, best double, n long, bucket int").parquet(f"{self.place}/heads")
 
     def docs(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.place}/docs")
