@@ -60,11 +60,11 @@ class Tree:
         return np.array(self.value)[self.leaves(bins)]
 
 
-def _columns(batch: pa.RecordBatch, features: int, folds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """fold (-1: none), target (-1: none), bins, scores."""
+def _columns(batch: pa.RecordBatch, features: int, folds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """fold (-1: none), target (-1: none), bins, scores, number of rows that the row stands for."""
     whole = lambda name: batch.column(batch.schema.get_field_index(name)).fill_null(-1).to_numpy(zero_copy_only=False)
     flat = lambda name, n: batch.column(batch.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
-    return whole("__fold"), whole("__y"), flat("__bins", features), flat("__scores", folds)
+    return whole("__fold"), whole("__y"), flat("__bins", features), flat("__scores", folds), whole("__copies")
 
 
 class Grower:
@@ -84,7 +84,7 @@ class Grower:
         def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((k, f, width, 3))
             for batch in batches:
-                fold, y, bins, scores = _columns(batch, f, k)
+                fold, y, bins, scores, copies = _columns(batch, f, k)
                 for m in range(k):
                     if asked[m] is None:
                         continue
@@ -93,8 +93,9 @@ class Grower:
                     here = growing[m].leaves(b) == asked[m]
                     mine, b = mine[here], b[here]
                     p = 1 / (1 + np.exp(-(scores[mine, m] + sum((t.scores(b) for t in recent[m]), np.zeros(len(b))))))
+                    n = copies[mine].astype(np.float64)
                     for j in range(f):
-                        for c, w in enumerate((p - y[mine], p * (1 - p), None)):
+                        for c, w in enumerate(((p - y[mine]) * n, p * (1 - p) * n, n)):
                             total[m, j, :, c] += np.bincount(b[:, j], weights=w, minlength=width)
             m, j, bin_ = np.nonzero(total[..., 2])
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (m, j, bin_)] + [pa.array(total[m, j, bin_, c]) for c in range(3)], names=["m", "j", "bin", "g", "h", "n"])
@@ -158,7 +159,7 @@ class Grower:
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                _, _, bins, scores = _columns(batch, f, k)
+                _, _, bins, scores, _ = _columns(batch, f, k)
                 now = np.stack([scores[:, m] + sum((t.scores(bins) for t in recent[m]), np.zeros(len(bins))) for m in range(k)], axis=1)
                 at = batch.schema.get_field_index("__scores")
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(now) + 1, dtype=np.int32) * k), pa.array(now.ravel()))
@@ -168,7 +169,7 @@ class Grower:
         self.written = max(map(len, trees))
 
     def run(self) -> DataFrame:
-        counts = {(r["__fold"], r["__y"]): r["n"] for r in self.rows.where("__fold is not null and __y is not null").groupBy("__fold", "__y").agg(F.count("*").alias("n")).collect()}
+        counts = {(r["__fold"], r["__y"]): r["n"] for r in self.rows.where("__fold is not null and __y is not null").groupBy("__fold", "__y").agg(F.sum("__copies").alias("n")).collect()}
         self.starts: list[float | None] = []
         for m in range(self.folds):
             no, yes = (sum(n for (f, y), n in counts.items() if f != m and y == c) for c in (0, 1))
@@ -185,20 +186,22 @@ class Grower:
         return self.rows.withColumn("oof_probability", own)
 
 
-def edges_of(df: DataFrame, features: list[str], bins: int = BINS) -> list[np.ndarray]:
-    """Upper ends of the bins of each feature: its values where they are few, else quantiles."""
+def edges_of(df: DataFrame, features: list[str], bins: int = BINS, copies: str | None = None) -> list[np.ndarray]:
+    """Upper ends of the bins of each feature: its values where they are few, else quantiles of the rows that the rows stand for."""
+    if copies:
+        df = df.select(*features, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int"))).alias("__i")).drop("__i")
     asked = [F.percentile_approx(F.col(c).cast("double"), [(i + 1) / bins for i in range(bins - 1)], 10_000).alias(f"f{i}") for i, c in enumerate(features)]
     row = df.agg(*asked).first()
     return [np.unique(np.array(x if x is not None else [], dtype=np.float64)) for x in row]
 
 
-def out_of_fold(df: DataFrame, features: list[str], target: str, k: int = 5, fold: str = "fold", rounds: int = ROUNDS, step: float = STEP, leaves: int = LEAVES, penalty: float = PENALTY, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """df with oof_probability: what the model that has not seen the row's fold says."""
+def out_of_fold(df: DataFrame, features: list[str], target: str, k: int = 5, fold: str = "fold", rounds: int = ROUNDS, step: float = STEP, leaves: int = LEAVES, penalty: float = PENALTY, least_rows: int = LEAST_ROWS, copies: str | None = None) -> DataFrame:
+    """df with oof_probability: what the model that has not seen the row's fold says. copies: a column with the number of rows that a row stands for."""
     path = tables.scratch(df.sparkSession)
-    edges = edges_of(df.where(F.col(target).isNotNull()), features)
+    edges = edges_of(df.where(F.col(target).isNotNull()), features, copies=copies)
     number = lambda c, e: F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.lit(0)).otherwise(F.size(F.filter(F.array(*[F.lit(float(x)) for x in e]), lambda x: x < F.col(c).cast("double"))) + 1)
     binned = F.array(*[number(c, e) if len(e) else F.lit(0) for c, e in zip(features, edges, strict=True)]).cast("array<int>")
-    rows = df.withColumn("__fold", F.col(fold).cast("int")).withColumn("__y", F.col(target).cast("int")).withColumn("__bins", binned)
+    rows = df.withColumn("__fold", F.col(fold).cast("int")).withColumn("__y", F.col(target).cast("int")).withColumn("__bins", binned).withColumn("__copies", (F.lit(1) if copies is None else F.col(copies)).cast("long"))
     rows = tables.stored(rows, f"{path}/rows")
     grower = Grower(rows, [np.append(e, np.inf) for e in edges], k, path, rounds, step, leaves, penalty, least_rows)
     return grower.run().select(*df.columns, "oof_probability")
