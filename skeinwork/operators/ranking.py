@@ -14,11 +14,14 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, name: str =
 
 
 def review_rank(pairs: DataFrame, k: int = 5) -> DataFrame:
-    """Exact-key pairs all stay; of the others the k best of each left row."""
+    """Exact-key pairs all stay; of the others the k best of each left row. Pairs are there once.
+
+    An exact-key pair is a kind of its own, so that all kinds have k rows at most and tasks give away no more than that before pairs are
+    shuffled; ranks go over those that are left, since exact keys come first."""
     order = [F.col("exact_key").desc(), F.col("shared_count").desc(), F.col("jaccard").desc(), F.col("right_id").desc()]
-    w = Window.partitionBy("left_id").orderBy(*order)
-    ranked = pairs.withColumn("review_rank", F.row_number().over(w)).withColumn("rank_in_kind", F.row_number().over(Window.partitionBy("left_id", "exact_key").orderBy(*order)))
-    return ranked.where(F.col("exact_key") | (F.col("rank_in_kind") <= k)).drop("rank_in_kind")
+    kinds = pairs.withColumn("__own", F.when(F.col("exact_key"), F.col("right_id")))
+    few = top_k(kinds, ["left_id", "exact_key", "__own"], order, k, "rank_in_kind").drop("rank_in_kind", "__own")
+    return few.withColumn("review_rank", F.row_number().over(Window.partitionBy("left_id").orderBy(*order)))
 
 
 def _kept(df: DataFrame, key: list[str], order: list[str], pick) -> DataFrame:

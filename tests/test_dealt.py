@@ -21,3 +21,13 @@ def test_documents_of_one_text_are_met_once(spark, monkeypatch):
     score = {"oak table": [100, 100, 0, 0], "red chair": [1, 1, 1, 0]}
     assert got == sorted((q, i, s[i % 4]) for q, s in score.items() for i in range(40) if s[i % 4])
     assert met[0] <= 3
+
+
+def test_review_ranks_are_limited_before_the_shuffle(spark):
+    rows = [(f"L{i % 3}", i, i % 20 == 0, i % 7, (i % 5) / 5) for i in range(200)]
+    pairs = spark.createDataFrame(rows, "left_id string, right_id long, exact_key boolean, shared_count int, jaccard double").repartition(5, "right_id")
+    got = ranking.review_rank(pairs, 4)
+    order = [F.col(c).desc() for c in ("exact_key", "shared_count", "jaccard", "right_id")]
+    every = pairs.withColumn("review_rank", F.row_number().over(Window.partitionBy("left_id").orderBy(*order))).withColumn("k", F.row_number().over(Window.partitionBy("left_id", "exact_key").orderBy(*order)))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in every.where("exact_key or k <= 4").drop("k").select(*got.columns).collect()}
+    assert "WindowGroupLimit" in plan(got)
