@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import blocking, profile, ranking, review_rows, search
+from ..sources import tables
 from .registry import _POSTINGS, left_postings, query, right_postings, table
 
 LIMITS = [50, 100, 250, 500, 1000, 2500, 5000, 10000]
@@ -20,7 +21,9 @@ _BY_LIMIT = f"""{_POSTINGS}, df AS (SELECT token, count(*) AS df FROM rp GROUP B
   SELECT df_limit, count(*) FILTER (n > 0) AS left_rows, sum(n)::BIGINT AS pairs, min(n) AS least, (sum(n) FILTER (i = (m + 1) // 2) + sum(n) FILTER (i = m // 2 + 1))::BIGINT // 2 AS median, max(n) FILTER (i = 1 + round_even((m - 1) * 0.9::DOUBLE, 0)::BIGINT) AS p90, max(n) AS largest FROM s GROUP BY 1""")
 def blocking_sensitivity(spark, sf):
     ids = table(spark, sf, "benchmark").select(F.col("item_id").alias("left_id")).distinct()
-    per = blocking.with_none(blocking.candidates_by_limit(left_postings(spark, sf), right_postings(spark, sf), LIMITS), ids, LIMITS)
+    # several passes look at the few counts, so pairs are made once for all of them
+    per = tables.stored(blocking.candidates_by_limit(left_postings(spark, sf), right_postings(spark, sf), LIMITS), f"{tables.scratch(spark)}/by_limit")
+    per = blocking.with_none(per, ids, LIMITS)
     d = ranking.distribution(per, "n", ["df_limit"])
     sums = per.groupBy("df_limit").agg(F.sum("n").alias("pairs"))
     return d.join(sums, "df_limit").select("df_limit", F.col("with_any").alias("left_rows"), "pairs", "least", F.floor("median").alias("median"), "p90", "largest")
