@@ -6,10 +6,11 @@ greatest by its values in the order of its columns is used, so that no selected
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..sources import tables
 from . import features, ranking
 
 RECALL, INCIDENT = "cpsc_source_record_id", "saferproducts_source_record_id"
@@ -69,33 +70,54 @@ def is_empty(df: DataFrame, column: str) -> Column:
     return c.isNull() | (F.size(c) == 0) if kind.startswith(("array", "map")) else c.isNull()
 
 
-def _one(source: DataFrame, keys: list[str]) -> DataFrame:
-    """source with one row for each key; the aggregate combines before the shuffle."""
-    rest = [c for c in source.columns if c not in keys]
-    return source.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__row")).select(*keys, "__row.*")
-
-
-def filled(df: DataFrame, source: DataFrame, keys: list[str], fields: list[str], found: str) -> DataFrame:
-    """df with each of fields taken from source where its own is empty, and `found`: whether source has the row's keys."""
-    have = [f for f in fields if f in source.columns]
-    side = source.select(*keys, F.lit(True).alias(found), *[F.col(f).alias(f"__{f}") for f in have])
-    out = df.join(_one(side, keys), keys, "left").withColumn(found, F.coalesce(found, F.lit(False)))
-    values = {f: F.when(is_empty(df, f), F.col(f"__{f}")).otherwise(F.col(f)) if f in df.columns else F.col(f"__{f}") for f in have}
-    return out.withColumns(values).drop(*[f"__{f}" for f in have])
-
-
 def _taken(df: DataFrame, source: DataFrame, key: str, fields: tuple, found: str) -> DataFrame:
-    """df with the fields of source under their names in a review row; absent ones are null."""
-    cols = [(F.col(f) if f in source.columns else F.lit(None).cast("string")).alias(name) for name, f in fields]
-    side = source.select(F.col("source_record_id").alias(key), F.lit(True).alias(found), *cols)
-    return df.drop(*[name for name, _ in fields]).join(_one(side, [key]), key, "left").withColumn(found, F.coalesce(found, F.lit(False)))
-
-
-def join_evidence(selected: DataFrame, candidates: DataFrame, recalls: DataFrame, incidents: DataFrame) -> DataFrame:
-    """selected pairs with what their candidate, recall and incident say, and which of the three there are."""
-    out = filled(selected, candidates, [RECALL, INCIDENT], list(FILLED), "__candidate")
-    out = _taken(out, recalls, RECALL, FROM_RECALL, "__recall")
-    out = _taken(out, incidents, INCIDENT, FROM_INCIDENT, "__incident")
+    """df with the fields of source under their names in a review row, and `found`: whether source has the row's key."""
+    have = [(name, f) for name, f in fields if f in source.columns]
+    # one row for each key; the aggregate combines before the shuffle
+    one = source.groupBy(F.col("source_record_id").alias(key)).agg(F.max(F.struct(F.lit(True).alias("there"), *[F.col(f).alias(name) for name, f in have])).alias("__row"))
+    one = one.select(key, F.lit(True).alias(found), *[F.col(f"__row.{name}").alias(name) for name, _ in have])
+    out = df.drop(*[name for name, _ in fields]).join(one, key, "left").withColumn(found, F.coalesce(found, F.lit(False)))
+    return _absent(out, source, fields)
+
+
+def _absent(df: DataFrame, source: DataFrame, fields: tuple) -> DataFrame:
+    """df with nulls for the fields that source has not, as constants, which no shuffle carries."""
+    return df.withColumns({name: F.lit(None).cast("string") for name, f in fields if f not in source.columns})
+
+
+#: Rows of pairs, candidates and incidents that one task takes.
+TASK_ROWS = 500_000
+
+
+def _met(pairs: DataFrame, candidates: DataFrame, incidents: DataFrame, rows: int, in_order: bool) -> DataFrame:
+    """pairs with FILLED taken from their candidate where their own are empty, FROM_INCIDENT, and __candidate, __incident: whether these are there.
+
+    The three are shuffled once, as one table, by incident; where rows are asked for in order, by ranges of it, which a sort then finds in place."""
+    have = [f for f in FILLED if f in candidates.columns]
+    told = [(name, f) for name, f in FROM_INCIDENT if f in incidents.columns]
+    there = F.lit(True).alias("there")
+    own = pairs.drop(*[name for name, _ in FROM_INCIDENT]).withColumn("__kind", F.lit(0))
+    cs = candidates.where(F.col(RECALL).isNotNull() & F.col(INCIDENT).isNotNull()).select(RECALL, INCIDENT, F.lit(1).alias("__kind"), F.struct(there, *have).alias("__c"))
+    ins = incidents.where("source_record_id is not null").select(F.col("source_record_id").alias(INCIDENT), F.lit(2).alias("__kind"), F.struct(there, *[F.col(f).alias(name) for name, f in told]).alias("__i"))
+    every = own.unionByName(cs, allowMissingColumns=True).unionByName(ins, allowMissingColumns=True)
+    parts = max(-(-3 * rows // TASK_ROWS), int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    every = (every.repartitionByRange if in_order else every.repartition)(parts, INCIDENT)
+    pair, incident = Window.partitionBy(INCIDENT, RECALL), Window.partitionBy(INCIDENT)
+    out = every.withColumns({
+        "__c": F.max("__c").over(pair), "__candidate": F.max(F.col("__kind") == 1).over(pair), "__i": F.max("__i").over(incident), "__incident": F.max(F.col("__kind") == 2).over(incident),
+    }).where("__kind = 0")
+    values = {f: F.when(is_empty(pairs, f), F.col(f"__c.{f}")).otherwise(F.col(f)) if f in pairs.columns else F.col(f"__c.{f}") for f in have}
+    out = out.withColumns(values | {name: F.col(f"__i.{name}") for name, _ in told}).drop("__c", "__i", "__kind")
+    return _absent(out, incidents, FROM_INCIDENT)
+
+
+def join_evidence(selected: DataFrame, candidates: DataFrame, recalls: DataFrame, incidents: DataFrame, rows: int = 0, in_order: bool = False) -> DataFrame:
+    """selected pairs with what their candidate, recall and incident say, and which of the three there are.
+
+    rows: how many pairs there are, by which they are dealt over tasks; in_order: the rows lie in order of their incidents, for review_rows in
+    that order. Recalls come first, while rows are short."""
+    out = _taken(selected, tables.dealt(recalls, "source_record_id", rows), RECALL, FROM_RECALL, "__recall")
+    out = _met(out, candidates, incidents, rows, in_order)
     sides = ("candidate", "recall", "incident")
     return out.withColumn("evidence_join_status", F.struct(*[F.col(f"__{s}").alias(s) for s in sides])).drop(*[f"__{s}" for s in sides])
 

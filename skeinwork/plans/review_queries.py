@@ -72,24 +72,29 @@ def common_product_types(spark, sf):
     return profile.most_common(items, "type")
 
 
-def _evidence(spark, sf, incidents_from: str = "true"):
+def _evidence(spark, sf, incidents_from: str = "true", in_order: bool = False):
     """Pairs with empty fields, joined with the candidate, the recall and the incident; incidents_from: the lines there are incidents of."""
+    line = table(spark, sf, "lineitem")
+    rows = line.count()
     iid = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"))
-    line = table(spark, sf, "lineitem").withColumns({"rid": F.col("l_orderkey").cast("string"), "iid": iid})
-    ids = [F.col("rid").alias(review_rows.RECALL), F.col("iid").alias(review_rows.INCIDENT)]
-    dated = table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("cpsc_recall_date"))
-    selected = line.join(dated, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        *ids, "cpsc_recall_date", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).otherwise("").alias("incident_brand"), F.lit("by hand").alias("selection_reason"), F.lit(None).cast("string").alias("incident_date"),
+    ids = [F.col("l_orderkey").cast("string").alias(review_rows.RECALL), iid.alias(review_rows.INCIDENT)]
+    dated = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias(review_rows.RECALL), F.col("o_orderdate").cast("date").alias("cpsc_recall_date"))
+    pairs = line.select(*ids, F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).otherwise("").alias("incident_brand"), "l_quantity", "l_discount")
+    # dealt by the recall's id, so that recalls meet the pairs where orders have
+    selected = tables.dealt(pairs, review_rows.RECALL, rows).join(tables.dealt(dated, review_rows.RECALL, rows), review_rows.RECALL).select(
+        review_rows.RECALL, review_rows.INCIDENT, "cpsc_recall_date", "incident_brand", F.lit("by hand").alias("selection_reason"), F.lit(None).cast("date").alias("incident_date"),
         (F.col("l_quantity") / 50).alias("product_token_jaccard"), (F.col("l_discount") * 10).alias("product_name_sequence_similarity"),
     )
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
-    candidates = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+    shipped = line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.col("l_shipdate").cast("date").alias("shipped"))
+    # keys are numbers until the parts have joined, and texts after that
+    candidates = shipped.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         *ids, F.col("p_brand").alias("incident_brand"), F.col("p_name").alias("incident_product_description"), F.array(F.lit("brand")).alias("blocking_sources"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("incident_date"), F.date_format(F.date_add("l_shipdate", 30), "yyyy-MM-dd").alias("publication_date"),
+        F.col("shipped").alias("incident_date"), F.date_add("shipped", 30).alias("publication_date"),
     )
     recalls = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("source_record_id"), F.col("o_orderpriority").alias("title"), F.lit(None).cast("string").alias("url"))
-    incidents = line.where(incidents_from).select(F.col("iid").alias("source_record_id"), F.col("l_linestatus").alias("product_category"))
-    return review_rows.join_evidence(selected, candidates, recalls, incidents)
+    incidents = line.where(incidents_from).select(iid.alias("source_record_id"), F.col("l_linestatus").alias("product_category"))
+    return review_rows.join_evidence(selected, candidates, recalls, incidents, rows, in_order)
 
 
 _NULLS = {name: "NULL::VARCHAR" for name, _ in review_rows.FROM_RECALL + review_rows.FROM_INCIDENT}
@@ -107,7 +112,7 @@ _JOINED = "lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partke
 
 @query("review_rows", f"WITH k AS (SELECT row_number() OVER (ORDER BY concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INTEGER)) AS i, {', '.join(f'{e} AS {n}' for n, e in _REVIEW.items())} FROM {_JOINED}) SELECT 'ER-' || CASE WHEN i < 10000 THEN lpad(i::VARCHAR, 4, '0') ELSE i::VARCHAR END AS review_id, {', '.join(_REVIEW)} FROM k")
 def review_rows_query(spark, sf):
-    rows = review_rows.review_rows(review_rows.whole(_evidence(spark, sf)), [F.col(review_rows.INCIDENT)])
+    rows = review_rows.review_rows(review_rows.whole(_evidence(spark, sf, in_order=True)), [F.col(review_rows.INCIDENT)])
     return rows.withColumn("blocking_sources", F.array_join("blocking_sources", ","))
 
 

@@ -108,3 +108,21 @@ def test_dispatch_falls_back_query_by_query(spark):
     assert search.dispatch(None, records, products, 50).where("kind = 'product'").count() == 200
     with pytest.raises(ValueError, match="1 to 50"):
         search.dispatch(None, records, products, 51)
+
+
+def test_evidence_is_shuffled_once_and_lies_in_order(spark):
+    """Candidates, incidents and pairs meet in one shuffle by ranges of the incident, and sorting by it adds none."""
+    joined = review_rows.join_evidence(spark.createDataFrame(ROWS, SELECTED), *sources(spark), in_order=True)
+    plan = joined.orderBy(review_rows.INCIDENT)._jdf.queryExecution().executedPlan().toString()
+    ordered = plan.split("== Initial Plan ==")[-1]
+    assert ordered.count("Exchange rangepartitioning") == 1 and ordered.count("Exchange") <= 4
+    assert [r[0] for r in joined.orderBy(review_rows.INCIDENT).select(review_rows.INCIDENT).collect()] == ["i1", "i2", "i3", "i9"]
+
+
+def test_null_keys_have_no_evidence(spark):
+    candidates, recalls, incidents = sources(spark)
+    candidates = candidates.union(spark.createDataFrame([("r1", None, "x", None, None), (None, "i1", "y", None, None)], candidates.schema))
+    rows = spark.createDataFrame([("r1", None, None, None, None, None, None), (None, "i1", None, None, None, None, None)], SELECTED)
+    got = {r.cpsc_source_record_id: r for r in review_rows.join_evidence(rows, candidates, recalls, incidents).collect()}
+    assert tuple(got["r1"].evidence_join_status) == (False, True, False) and got["r1"].incident_brand is None
+    assert tuple(got[None].evidence_join_status) == (False, False, True) and got[None].incident_brand is None and got[None].incident_category == "toys"
