@@ -88,3 +88,20 @@ def test_a_version_is_whole_and_readers_keep_theirs(spark, tmp_path):
 def test_nothing_indexed(spark, tmp_path):
     search_index.write(spark.createDataFrame([], "id long, text string"), str(tmp_path / "i"), "id", ["text"], "1")
     assert search_index.Index(spark, str(tmp_path / "i")).best(asked(spark, QUERIES), 5).count() == 0
+
+
+def test_postings_and_pairs_are_never_shuffled_by_themselves(spark, tmp_path, monkeypatch):
+    """Scores come out of groups of whole ranges, also where searches are dealt over parts, and a trimmed range keeps all that can rank."""
+    docs = [(i, " ".join(f"w{(i * j) % 7}" for j in range(1, 2 + i % 5))) for i in range(60)]
+    search_index.write(spark.createDataFrame(docs, "id long, text string"), str(tmp_path / "i"), "id", ["text"], "1", range_docs=8)
+    index = search_index.Index(spark, str(tmp_path / "i"))
+    q = spark.createDataFrame([(i, f"w{j}") for i in range(5) for j in (i, (i + 2) % 7)], "query_id long, token string")
+    wanted = index.heads_of(q).cache()
+    plan = index.scored(wanted)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "explode(posts" not in plan
+    rows = lambda d: sorted((r.query_id, r.doc_id, round(r.score, 9)) for r in d.collect())
+    whole, best = rows(index.scored(wanted)), [tuple(r) for r in index.best(q, 4).select("query_id", "doc_id", "rank").orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(search_index, "TASK_SEARCHES", 2)
+    assert rows(index.scored(wanted)) == whole
+    by = {i: sorted((-round(s, 6), d) for x, d, s in whole if x == i)[:4] for i in range(5)}
+    assert best == [(i, d, n + 1) for i in range(5) for n, (_, d) in enumerate(by[i])]
