@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import blocking, profile, ranking, review_rows, search
 from ..sources import tables
-from .registry import _POSTINGS, left_postings, query, right_postings, table
+from .registry import _POSTINGS, left_postings, query, right_texts, table
 
 LIMITS = [50, 100, 250, 500, 1000, 2500, 5000, 10000]
 _BY_LIMIT = f"""{_POSTINGS}, df AS (SELECT token, count(*) AS df FROM rp GROUP BY 1), r AS (SELECT left_id, right_id, min(df) AS rarest FROM met JOIN df USING (token) GROUP BY 1, 2 HAVING count(*) >= 2),
@@ -22,7 +22,7 @@ _BY_LIMIT = f"""{_POSTINGS}, df AS (SELECT token, count(*) AS df FROM rp GROUP B
 def blocking_sensitivity(spark, sf):
     ids = table(spark, sf, "benchmark").select(F.col("item_id").alias("left_id")).distinct()
     # several passes look at the few counts, so pairs are made once for all of them
-    per = tables.stored(blocking.candidates_by_limit(left_postings(spark, sf), right_postings(spark, sf), LIMITS), f"{tables.scratch(spark)}/by_limit")
+    per = tables.stored(blocking.candidates_by_limit(left_postings(spark, sf), right_texts(spark, sf), LIMITS), f"{tables.scratch(spark)}/by_limit")
     per = blocking.with_none(per, ids, LIMITS)
     d = ranking.distribution(per, "n", ["df_limit"])
     sums = per.groupBy("df_limit").agg(F.sum("n").alias("pairs"))
@@ -31,7 +31,7 @@ def blocking_sensitivity(spark, sf):
 
 @query("crowded_products", f"WITH {_BY_LIMIT}, k AS (SELECT *, row_number() OVER (PARTITION BY df_limit ORDER BY n DESC, left_id) AS rank FROM x WHERE n >= 500) SELECT df_limit, left_id, n, rank::INTEGER AS rank FROM k WHERE rank <= 10")
 def crowded_products(spark, sf):
-    return blocking.crowded_rows(blocking.candidates_by_limit(left_postings(spark, sf), right_postings(spark, sf), LIMITS))
+    return blocking.crowded_rows(blocking.candidates_by_limit(left_postings(spark, sf), right_texts(spark, sf), LIMITS))
 
 
 _FAILS = "CASE WHEN ts IS NULL THEN 'no time' WHEN client_id IS NULL THEN 'no client' WHEN coalesce(kind, '') = '' THEN 'no kind' WHEN props IS NULL OR NOT (starts_with(props, '{') AND ends_with(props, '}')) THEN 'props are no object' END"
