@@ -47,16 +47,29 @@ def keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 _ROW_BITS = 33
 
 
-def in_parts(df: DataFrame, order: list[Column]) -> DataFrame:
+def in_parts(df: DataFrame | list[DataFrame], order: list[Column]) -> DataFrame:
     """df in order, written, with `__part` and `__at`: parts follow each other in order, and so do the rows of a part.
 
-    The parts are the ranges into which a sort deals the rows, so none holds more than its share unless values are equal."""
-    placed = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id())
-    out = tables.stored(placed, f"{tables.scratch(df.sparkSession)}/sorted")
-    return out.withColumn("__part", F.shiftright("__at", _ROW_BITS))
+    The parts are the ranges into which a sort deals the rows, so none holds more than its share unless values are equal. df may be several
+    that follow each other in order; each is written, and its shuffles removed, before the next is looked at."""
+    ranges = df if isinstance(df, list) else [df]
+    path, out = tables.scratch(ranges[0].sparkSession), None
+    for i, one in enumerate(ranges):
+        placed = one.orderBy(*order).withColumn("__at", F.monotonically_increasing_id())
+        rows = tables.stored(placed, f"{path}/sorted{i}", cleared=len(ranges) > 1).withColumn("__part", F.shiftright("__at", _ROW_BITS) + F.lit(i << (64 - _ROW_BITS)))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-def row_numbers(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
+def cuts(df: DataFrame, column: str, n: int, rows: int, sampled: int = 10_000) -> list:
+    """Values that cut df into n ranges of like size, n - 1 at most, from a sample of about so many of its rows; which rows are sampled moves the
+    ranges only."""
+    values = df.where(F.col(column).isNotNull()).select(column).sample(min(1.0, sampled / max(1, rows)), seed=3).toArrow()[column].to_pylist()
+    values.sort()
+    return sorted({values[len(values) * i // n] for i in range(1, n)} if values else set())
+
+
+def row_numbers(df: DataFrame | list[DataFrame], order: list[Column], name: str = "number") -> DataFrame:
     """df with the place of each row, from 1, in a total order. Rows are numbered inside parts; a window runs over the parts' counts alone."""
     parts = in_parts(df, order)
     before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")
@@ -65,7 +78,7 @@ def row_numbers(df: DataFrame, order: list[Column], name: str = "number") -> Dat
     return parts.join(starts, "__part").withColumn(name, number).drop("__part", "__at", "__before")
 
 
-def numbered(df: DataFrame, order: list[Column], prefix: str, name: str, width: int = 4) -> DataFrame:
+def numbered(df: DataFrame | list[DataFrame], order: list[Column], prefix: str, name: str, width: int = 4) -> DataFrame:
     """Sequential ids such as ER-0001 in a total order."""
     n = F.col("__number").cast("string")
     out = row_numbers(df, order, "__number").withColumn(name, F.concat(F.lit(prefix), F.when(F.length(n) < width, F.lpad(n, width, "0")).otherwise(n)))

@@ -116,12 +116,45 @@ def join_evidence(selected: DataFrame, candidates: DataFrame, recalls: DataFrame
 
     rows: how many pairs there are, by which they are dealt over tasks; in_order: the rows lie in order of their incidents, for review_rows in
     that order. Recalls come first, while rows are short."""
-    out = _taken(selected, tables.dealt(recalls, "source_record_id", rows), RECALL, FROM_RECALL, "__recall")
-    out = _met(out, candidates, incidents, rows, in_order)
+    return _joined(_recalled(selected, recalls, rows), candidates, incidents, rows, in_order)
+
+
+def _recalled(selected: DataFrame, recalls: DataFrame, rows: int) -> DataFrame:
+    return _taken(selected, tables.dealt(recalls, "source_record_id", rows), RECALL, FROM_RECALL, "__recall")
+
+
+def _joined(recalled: DataFrame, candidates: DataFrame, incidents: DataFrame, rows: int, in_order: bool) -> DataFrame:
+    out = _met(recalled, candidates, incidents, rows, in_order)
     sides = ("candidate", "recall", "incident")
     return out.withColumn("evidence_join_status", F.struct(*[F.col(f"__{s}").alias(s) for s in sides])).drop(*[f"__{s}" for s in sides])
 
 
+#: Pairs that meet their candidates and incidents at a time.
+PASS_ROWS = 40_000_000
+
+
+def join_in_ranges(selected: DataFrame, candidates: DataFrame, recalls: DataFrame, incidents: DataFrame, rows: int) -> list[DataFrame]:
+    """join_evidence by ranges of the incident that follow each other, each of PASS_ROWS pairs or so, for review_rows in order of the incident.
+
+    The shuffle of pairs, candidates and incidents is several times as large as what is kept of it, so only that of one range lies on disk at a time.
+    Pairs with their recalls are written once; candidates and incidents are read again for each range."""
+    n = -(-rows // PASS_ROWS)
+    if n < 2:
+        return [join_evidence(selected, candidates, recalls, incidents, rows, in_order=True)]
+    pairs = tables.stored(_recalled(selected, recalls, rows), f"{tables.scratch(selected.sparkSession)}/recalled", cleared=True)
+    ends = ranking.cuts(pairs, INCIDENT, n, rows)
+
+    def within(df: DataFrame, column: str, low, high) -> DataFrame:
+        c = F.col(column)
+        df = df if low is None else df.where(c >= F.lit(low))
+        return df if high is None else df.where(c < F.lit(high) if low is not None else (c < F.lit(high)) | c.isNull())
+
+    return [
+        _joined(within(pairs, INCIDENT, *r), within(candidates, INCIDENT, *r), within(incidents, "source_record_id", *r), -(-rows // (len(ends) + 1)), True)
+        for r in zip([None, *ends], [*ends, None], strict=True)
+    ]
+
+
 def gaps(joined: DataFrame) -> DataFrame:
     """One row: rows, and how many lack their candidate, recall or incident."""
     s = "evidence_join_status"
@@ -135,14 +168,15 @@ def whole(joined: DataFrame) -> DataFrame:
     return joined.where(F.when(ok, True).otherwise(F.raise_error(F.concat(F.lit("no whole evidence for "), F.to_json(F.struct(RECALL, INCIDENT)))).cast("boolean")))
 
 
-def review_rows(joined: DataFrame, order: list[Column]) -> DataFrame:
-    """The 45 columns of a review row, numbered ER-0001 and so on in a total order.
+def review_rows(joined: DataFrame | list[DataFrame], order: list[Column]) -> DataFrame:
+    """The 45 columns of a review row, numbered ER-0001 and so on in a total order; joined may be several that follow each other in it.
 
     Dates are compared as ISO texts; the temporal status is `unknown` where one is missing or empty."""
+    every, joined = joined, joined[0] if isinstance(joined, list) else joined
     text = lambda c: _typed(joined, c, "string", None)
     date = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
     similarity, jaccard = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in joined.columns else F.lit(0.0) for c in ("product_name_sequence_similarity", "product_token_jaccard"))
-    out = ranking.numbered(joined, order, "ER-", "review_id")
+    out = ranking.numbered(every, order, "ER-", "review_id")
     return out.select(
         "review_id", *map(text, (RECALL, "cpsc_recall_number", "cpsc_recall_date", "cpsc_product_name")), *[F.col(n) for n, _ in FROM_RECALL],
         *map(text, (INCIDENT, "incident_date", "publication_date", "incident_brand", "incident_model", "incident_upc", "incident_product_description")),

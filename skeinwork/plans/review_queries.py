@@ -72,8 +72,8 @@ def common_product_types(spark, sf):
     return profile.most_common(items, "type")
 
 
-def _evidence(spark, sf, incidents_from: str = "true", in_order: bool = False):
-    """Pairs with empty fields, joined with the candidate, the recall and the incident; incidents_from: the lines there are incidents of."""
+def _evidence(spark, sf, incidents_from: str = "true"):
+    """Pairs with empty fields, their candidates, recalls and incidents, and how many pairs there are; incidents_from: the lines there are incidents of."""
     line = table(spark, sf, "lineitem")
     rows = line.count()
     iid = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"))
@@ -94,7 +94,7 @@ def _evidence(spark, sf, incidents_from: str = "true", in_order: bool = False):
     )
     recalls = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("source_record_id"), F.col("o_orderpriority").alias("title"), F.lit(None).cast("string").alias("url"))
     incidents = line.where(incidents_from).select(iid.alias("source_record_id"), F.col("l_linestatus").alias("product_category"))
-    return review_rows.join_evidence(selected, candidates, recalls, incidents, rows, in_order)
+    return selected, candidates, recalls, incidents, rows
 
 
 _NULLS = {name: "NULL::VARCHAR" for name, _ in review_rows.FROM_RECALL + review_rows.FROM_INCIDENT}
@@ -112,13 +112,14 @@ _JOINED = "lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partke
 
 @query("review_rows", f"WITH k AS (SELECT row_number() OVER (ORDER BY concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INTEGER)) AS i, {', '.join(f'{e} AS {n}' for n, e in _REVIEW.items())} FROM {_JOINED}) SELECT 'ER-' || CASE WHEN i < 10000 THEN lpad(i::VARCHAR, 4, '0') ELSE i::VARCHAR END AS review_id, {', '.join(_REVIEW)} FROM k")
 def review_rows_query(spark, sf):
-    rows = review_rows.review_rows(review_rows.whole(_evidence(spark, sf, in_order=True)), [F.col(review_rows.INCIDENT)])
+    joined = review_rows.join_in_ranges(*_evidence(spark, sf))
+    rows = review_rows.review_rows([review_rows.whole(j) for j in joined], [F.col(review_rows.INCIDENT)])
     return rows.withColumn("blocking_sources", F.array_join("blocking_sources", ","))
 
 
 @query("evidence_gaps", f"SELECT count(*) AS n_rows, 0::BIGINT AS missing_candidate, 0::BIGINT AS missing_recall, count(*) FILTER (l_quantity <= 5) AS missing_incident FROM {_JOINED}")
 def evidence_gaps(spark, sf):
-    return review_rows.gaps(_evidence(spark, sf, "l_quantity > 5"))
+    return review_rows.gaps(review_rows.join_evidence(*_evidence(spark, sf, "l_quantity > 5")))
 
 
 _REQUIRED = "l_orderkey::VARCHAR AS cpsc_source_record_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INTEGER) AS saferproducts_source_record_id"

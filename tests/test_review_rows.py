@@ -126,3 +126,51 @@ def test_null_keys_have_no_evidence(spark):
     got = {r.cpsc_source_record_id: r for r in review_rows.join_evidence(rows, candidates, recalls, incidents).collect()}
     assert tuple(got["r1"].evidence_join_status) == (False, True, False) and got["r1"].incident_brand is None
     assert tuple(got[None].evidence_join_status) == (False, False, True) and got[None].incident_brand is None and got[None].incident_category == "toys"
+
+
+def _shuffled(spark) -> int:
+    """Bytes of shuffles that lie on disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+
+def test_review_rows_of_many_ranges_are_those_of_the_sql(spark, monkeypatch):
+    """Only one range's shuffles lie on disk at a time, and ids go on from range to range."""
+    import duckdb
+
+    from skeinwork.plans import registry
+    from skeinwork.sources import tables
+
+    sf, seen, stored = "/root/testdata/sf0.001", [], tables.stored
+    monkeypatch.setattr(review_rows, "PASS_ROWS", 1_000)
+
+    def watched(df, path, *a, **k):
+        out = stored(df, path, *a, **k)
+        if "sorted" in path:
+            seen.append((out.count(), _shuffled(spark)))
+        return out
+
+    before = _shuffled(spark)
+    monkeypatch.setattr(tables, "stored", watched)
+    got = registry.queries()["review_rows"](spark, sf)
+    con = duckdb.connect()
+    for name in ("lineitem", "orders", "part"):
+        con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
+    cols = sorted(got.columns)
+    want = con.execute(f"select {', '.join(cols)} from ({registry.oracle_sql()['review_rows']})").fetchall()
+    cell = lambda v: f"{v:.9g}" if isinstance(v, float) else v
+    assert sorted(map(str, (tuple(map(cell, r)) for r in got.select(cols).collect()))) == sorted(map(str, (tuple(map(cell, r)) for r in want)))
+    assert len(seen) == 6 and sum(n for n, _ in seen) == len(want) and max(n for n, _ in seen) < 1_200
+    # a range alone shuffles over 100,000 bytes
+    assert max(size for _, size in seen) < before + 20_000
+
+
+def test_ranges_keep_null_ids_and_gaps(spark, monkeypatch):
+    monkeypatch.setattr(review_rows, "PASS_ROWS", 2)
+    rows = spark.createDataFrame([*ROWS, ("r1", None, None, None, None, None, None)], SELECTED)
+    parts = review_rows.join_in_ranges(rows, *sources(spark), 5)
+    got = {r.saferproducts_source_record_id: r for p in parts for r in p.collect()}
+    want = {r.saferproducts_source_record_id: r for r in review_rows.join_evidence(rows, *sources(spark)).collect()}
+    assert len(parts) > 1 and {k: r.asDict() for k, r in got.items()} == {k: r.asDict() for k, r in want.items()}
+    ids = [(r.review_id, r.saferproducts_source_record_id) for r in review_rows.review_rows(parts, [F.col(review_rows.INCIDENT)]).orderBy("review_id").collect()]
+    assert ids == [("ER-0001", None), ("ER-0002", "i1"), ("ER-0003", "i2"), ("ER-0004", "i3"), ("ER-0005", "i9")]
