@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
@@ -15,8 +15,6 @@ REFERENCE_TYPES = {"id": "amazon_asin", "url": "marketplace_url"}
 CATALOGUE_ID = r"(?i)(?:/dp/|/gp/product/)([A-Z0-9]{10})"
 ADDRESS = r"""(?i)https?://[^\s\]")>]+"""
 CATALOGUE_ADDRESS = "https://www.amazon.com/dp/"
-#: Incidents and candidates of a case, at most.
-MOST_INCIDENTS, MOST_CANDIDATES = 40, 20
 
 
 def mentions(recalls: DataFrame) -> DataFrame:
@@ -63,21 +61,24 @@ def identity_status(label: Column, present: Column) -> Column:
     return F.when(~present, "not_available").when(u == "MATCH", "working_match").when(u == "UNCERTAIN", "human_review_required").when(u == "NON_MATCH", "no_confirmed_match").otherwise("ranked_candidate_only")
 
 
-def cases(recalls: DataFrame, incidents: DataFrame, candidates: DataFrame, key: str = "recall_id", shown: int = 5) -> DataFrame:
+#: Candidates of a case that are evidence.
+SHOWN = 5
+
+
+def cases(recalls: DataFrame, incidents: DataFrame, candidates: DataFrame, key: str = "recall_id", shown: int = SHOWN) -> DataFrame:
     """One nested row for each record: incidents, candidates, evidence, timeline, findings and derived signals.
 
     incidents: (key, source_record_id, incident_date, publication_date, title); candidates: (key, parent_asin, title,
-    evidence_score, review_label). A case has its earliest incidents and its best candidates, so that what is collected for
-    it is bounded; both sides are aggregated before they are joined."""
-    from . import ranking
-
-    incidents = ranking.top_k(incidents, [key], [F.col("publication_date").asc_nulls_first(), F.col("source_record_id")], MOST_INCIDENTS, "__n").drop("__n")
-    candidates = ranking.top_k(candidates, [key], [F.col("evidence_score").desc(), F.col("parent_asin")], MOST_CANDIDATES, "__n").drop("__n")
+    evidence_score, review_label). A case has all its incidents and candidates in one row; export_rows gives them as rows of their own.
+    Findings and signals come from counts and the best candidate, so they need no lists. Both sides are aggregated before they are joined."""
+    last = lambda *cs: F.struct(*[x for i, c in enumerate(cs) for x in (c.isNull().alias(f"m{i}"), c.alias(f"v{i}"))]).alias("order")
     inc = incidents.join(recalls.select(key, "recall_date"), key).withColumn("pre_recall", dates.pre_recall_public(F.col("incident_date"), F.col("publication_date"), F.col("recall_date")))
-    inc_rows = F.array_sort(F.collect_list(F.struct("publication_date", "incident_date", "source_record_id", "title", "pre_recall")))
+    inc_order = last(*map(F.col, ("publication_date", "incident_date", "source_record_id")))
+    inc_rows = F.array_sort(F.collect_list(F.struct(inc_order, "publication_date", "incident_date", "source_record_id", "title", "pre_recall")))
+    inc_rows = F.transform(inc_rows, lambda x: x.dropFields("order"))
     per_inc = inc.groupBy(key).agg(inc_rows.alias("incidents"), F.count_if("pre_recall").alias("n_pre"), F.min(F.when(F.col("pre_recall"), F.col("publication_date"))).alias("earliest_publication_date"))
-    cand_rows = F.array_sort(F.collect_list(F.struct((-F.col("evidence_score")).alias("order"), "parent_asin", "title", "evidence_score", "review_label")))
-    per_cand = candidates.groupBy(key).agg(cand_rows.alias("candidates"))
+    cand = F.struct(last(-F.col("evidence_score"), F.col("parent_asin")), "parent_asin", "title", "evidence_score", "review_label")
+    per_cand = candidates.groupBy(key).agg(F.array_sort(F.collect_list(cand)).alias("candidates"), F.min(cand).alias("best"))
     joined = recalls.join(per_inc, key, "left").join(per_cand, key, "left").withColumn("n_pre", F.coalesce("n_pre", F.lit(0)))
     joined = joined.withColumn("incidents", F.coalesce("incidents", F.array().cast(dict(joined.dtypes)["incidents"]))).withColumn("candidates", F.coalesce("candidates", F.array().cast(dict(joined.dtypes)["candidates"])))
     rid = F.col(key).cast("string")
@@ -92,13 +93,13 @@ def cases(recalls: DataFrame, incidents: DataFrame, candidates: DataFrame, key:
         F.transform("incidents", lambda x, i: point(F.coalesce(x["publication_date"], x["incident_date"]), "consumer_incident", F.concat(F.lit(EVIDENCE_IDS["incident"]), rid, F.lit("-"), (i + 1).cast("string")), x["pre_recall"])),
         F.array(point(F.col("recall_date"), "official_recall", F.concat(F.lit(EVIDENCE_IDS["recall"]), rid), F.lit(False))),
     ))
-    top = F.try_element_at("candidates", F.lit(1))
+    top, some = F.col("best"), F.col("best").isNotNull()
     lead = dates.lead_days(F.col("recall_date"), F.col("earliest_publication_date"))
-    status = identity_status(top["review_label"], F.size("candidates") > 0)
+    status = identity_status(top["review_label"], some)
     temporal = F.when(
         F.col("n_pre") > 0, F.concat(F.col("n_pre").cast("string"), F.lit(" incident record(s) were published before the recall; the earliest precedes it by "), lead.cast("string"), F.lit(" days.")),
     ).otherwise(F.lit("The linked records do not establish a signal before the recall."))
-    identity = F.when(F.size("candidates") == 0, F.lit(None)).when(
+    identity = F.when(~some, F.lit(None)).when(
         top["evidence_score"] > 0, F.concat(F.coalesce(top["title"], top["parent_asin"].cast("string")), F.lit(" is the best available candidate (linkage score "), F.format_number(top["evidence_score"], 3), F.lit("); the score is no probability.")),
     ).otherwise(F.lit("The evidence does not support confirming a product; human review is required."))
     finding = lambda k, body: F.struct(F.lit(k).alias("type"), body.alias("text"))
@@ -120,11 +121,30 @@ def evidence_by_id(case_rows: DataFrame, evidence_id: str) -> DataFrame:
     return case_rows.select(F.explode("evidence").alias("e")).select("e.*").where(F.col("evidence_id") == evidence_id)
 
 
-def export_rows(case_rows: DataFrame, key: str = "recall_id") -> DataFrame:
-    """Flat rows (section, id, source, title, date, status, details) of evidence and candidates."""
-    ev = case_rows.select(key, F.posexplode("evidence").alias("n", "e")).select(key, F.lit("evidence").alias("section"), F.col("e.evidence_id").alias("id"), F.col("e.source").alias("source"), F.col("e.title").alias("title"), F.col("e.date").alias("date"), F.lit("").alias("status"), F.col("e.kind").alias("details"))
-    ca = case_rows.select(key, F.posexplode("candidates").alias("n", "c")).select(key, F.lit("candidate"), F.col("c.parent_asin").cast("string"), F.lit("catalogue"), F.col("c.title"), F.lit(""), F.coalesce("c.review_label", F.lit("")), F.concat(F.lit("score="), F.col("c.evidence_score").cast("string")))
-    return ev.union(ca)
+def _placed_incidents(recalls: DataFrame, incidents: DataFrame, key: str) -> DataFrame:
+    """Incidents of the records with recall_date and `number`, the place in their case. A window's rows are spilled where they are many."""
+    placed = incidents.join(recalls.select(key, "recall_date"), key)
+    order = [F.col(c).asc_nulls_last() for c in ("publication_date", "incident_date", "source_record_id")]
+    return placed.withColumn("number", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def _evidence_id(kind: str, key: str, number: Column | None = None) -> Column:
+    return F.concat(F.lit(EVIDENCE_IDS[kind]), F.col(key).cast("string"), *([] if number is None else [F.lit("-"), number.cast("string")]))
+
+
+def export_rows(recalls: DataFrame, incidents: DataFrame, candidates: DataFrame, key: str = "recall_id", shown: int = SHOWN) -> DataFrame:
+    """Flat rows (section, id, source, title, date, status, details) of the evidence that `cases` has and of all candidates, without a case
+    being put together: no row grows with a case. Candidates of unknown records are there too."""
+    row = lambda section, i, source, title, date, status, details: F.struct(F.lit(section).alias("section"), i.alias("id"), F.lit(source).alias("source"), title.alias("title"), date.cast("string").alias("date"), status.alias("status"), details.alias("details"))
+    item = lambda kind, i, title, date, details: row("evidence", i, SOURCES[kind], title, date, F.lit(""), F.lit(details))
+    own = item("recall", _evidence_id("recall", key), F.col("title"), F.col("recall_date"), "official_recall")
+    told = item("incident", _evidence_id("incident", key, F.col("number")), F.col("title"), F.coalesce("publication_date", "incident_date"), "consumer_incident")
+    placed = candidates.withColumn("number", F.row_number().over(Window.partitionBy(key).orderBy(F.col("evidence_score").desc_nulls_last(), F.col("parent_asin").asc_nulls_last())))
+    seen = item("candidate", _evidence_id("candidate", key, F.col("number")), F.col("title"), F.lit(None), "marketplace_identity")
+    listed = row("candidate", F.col("parent_asin").cast("string"), "catalogue", F.col("title"), F.lit(""), F.coalesce("review_label", F.lit("")), F.concat(F.lit("score="), F.col("evidence_score").cast("string")))
+    both = F.when(F.col("number") <= shown, F.array(listed, seen)).otherwise(F.array(listed))
+    parts = recalls.select(key, own.alias("r")), _placed_incidents(recalls, incidents, key).select(key, told.alias("r")), placed.select(key, F.explode(both).alias("r"))
+    return parts[0].union(parts[1]).union(parts[2]).select(key, "r.*")
 
 
 def narrative_references(incidents: DataFrame, id_col: str, text: Column, host: str = "amazon.") -> DataFrame:
