@@ -69,7 +69,7 @@ def cases(recalls: DataFrame, incidents: DataFrame, candidates: DataFrame, key:
     """One nested row for each record: incidents, candidates, evidence, timeline, findings and derived signals.
 
     incidents: (key, source_record_id, incident_date, publication_date, title); candidates: (key, parent_asin, title,
-    evidence_score, review_label). A case has all its incidents and candidates in one row; export_rows gives them as rows of their own.
+    evidence_score, review_label). A case has all its incidents and candidates in one row; export_rows and timeline_rows give them as rows of their own.
     Findings and signals come from counts and the best candidate, so they need no lists. Both sides are aggregated before they are joined."""
     last = lambda *cs: F.struct(*[x for i, c in enumerate(cs) for x in (c.isNull().alias(f"m{i}"), c.alias(f"v{i}"))]).alias("order")
     inc = incidents.join(recalls.select(key, "recall_date"), key).withColumn("pre_recall", dates.pre_recall_public(F.col("incident_date"), F.col("publication_date"), F.col("recall_date")))
@@ -132,6 +132,20 @@ def _evidence_id(kind: str, key: str, number: Column | None = None) -> Column:
     return F.concat(F.lit(EVIDENCE_IDS[kind]), F.col(key).cast("string"), *([] if number is None else [F.lit("-"), number.cast("string")]))
 
 
+def timeline_rows(recalls: DataFrame, incidents: DataFrame, key: str = "recall_id") -> DataFrame:
+    """Flat rows (key, n, type, date, evidence_id, pre_recall) of the timeline that `cases` has, n from 0, without a case being put together.
+    pre_recall is null where dates are missing that decide it."""
+    at = _placed_incidents(recalls, incidents, key)
+    before = (F.col("incident_date") < F.col("recall_date")) & (F.col("publication_date") < F.col("recall_date"))
+    told = at.select(key, F.lit("consumer_incident").alias("type"), F.coalesce("publication_date", "incident_date").alias("date"), "number", before.alias("pre_recall"))
+    own = recalls.select(key, F.lit("official_recall").alias("type"), F.col("recall_date").alias("date"), F.lit(None).cast("int").alias("number"), F.lit(False).alias("pre_recall"))
+    # ids are compared as texts; within a case and type they differ by their number alone, so they are made afterwards
+    order = [F.col("date").asc_nulls_last(), F.col("type"), F.col("number").cast("string")]
+    n = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    ids = F.when(F.col("number").isNull(), _evidence_id("recall", key)).otherwise(_evidence_id("incident", key, F.col("number")))
+    return told.union(own).withColumn("n", n).select(key, "n", "type", F.col("date").cast("string").alias("date"), ids.alias("evidence_id"), "pre_recall")
+
+
 def export_rows(recalls: DataFrame, incidents: DataFrame, candidates: DataFrame, key: str = "recall_id", shown: int = SHOWN) -> DataFrame:
     """Flat rows (section, id, source, title, date, status, details) of the evidence that `cases` has and of all candidates, without a case
     being put together: no row grows with a case. Candidates of unknown records are there too."""
