@@ -153,8 +153,9 @@ def balanced_folds(df: DataFrame, group: str, target: str, k: int = 5, copies: s
     return df.join(folds, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
 
 
-# Rounds and step of the boosted trees.
+# Rounds and step of the boosted trees; rounds of the logistic model at most, which ends when it has converged.
 BOOSTING_ROUNDS, BOOSTING_STEP = 150, 0.05
+LOGISTIC_ROUNDS = 2000
 
 
 def _standard(train: DataFrame, features: list[str], copies: str) -> list[Column]:
@@ -186,7 +187,7 @@ def out_of_fold(df: DataFrame, features: list[str], target: str, kind: str = "lo
         if share is None:
             continue
         weigh = F.when(F.col(target) == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)) * number
-        names, learner = features, LogisticRegression(featuresCol="__x", labelCol=target, weightCol="__w", maxIter=100, regParam=1 / n)
+        names, learner = features, LogisticRegression(featuresCol="__x", labelCol=target, weightCol="__w", maxIter=LOGISTIC_ROUNDS, regParam=1 / n)
         if copies:
             # the scaler of the library has no weights
             names = [f"__{c}" for c in features]

@@ -98,3 +98,31 @@ def test_learns(spark):
     rows = [(*r[:5], int((r[2] > 0.5) != (r[3] > 0.5))) for r in rows]
     got = boosting.out_of_fold(spark.createDataFrame(rows, SCHEMA), ["a", "b"], "y", 2, rounds=12, step=0.3).collect()
     assert sum((r.oof_probability >= 0.5) == (r.y == 1) for r in got) > 0.9 * len(got)
+
+
+def test_the_registered_comparison_has_all_rounds(spark, monkeypatch):
+    from skeinwork.operators import evaluate
+    from skeinwork.plans import registry
+
+    asked, grown = [], boosting.out_of_fold
+    # what is asked for is looked at; two rounds of it are grown
+    monkeypatch.setattr(evaluate.boosting, "out_of_fold", lambda *a, **k: asked.append(k.get("rounds")) or grown(*a, **k | {"rounds": 2}))
+    pairs = spark.createDataFrame([(i % 3, i % 2, *([i % 5] * 3), *([i % 7] * 4)) for i in range(60)], "fold int, target int, " + ", ".join(f"{c} int" for c in registry.COMPARED))
+    monkeypatch.setattr(registry, "_labelled_pairs", lambda *_: pairs.selectExpr("*", "1L AS copies"))
+    assert registry.queries()["model_comparison"](spark, "none").count() == 3
+    assert asked == [boosting.ROUNDS] and boosting.ROUNDS == 150
+
+
+def test_alike_rows_are_one_and_several_splits_come_from_one_job(spark, monkeypatch):
+    """Fewer jobs than splits, on rows of one fold and bins with their numbers."""
+    jobs, rows, sums, run = [], [], boosting.Grower.sums, boosting.Grower.run
+    monkeypatch.setattr(boosting.Grower, "sums", lambda self, *a: jobs.append(1) or sums(self, *a))
+    monkeypatch.setattr(boosting.Grower, "run", lambda self: rows.append(self.rows.count()) or run(self))
+    data = table(600)
+    got = boosting.out_of_fold(spark.createDataFrame(data, SCHEMA), ["a", "b", "c"], "y", 3, rounds=4, leaves=7, least_rows=8, step=0.3)
+    assert got.count() == 600 and rows[0] == len({r[1:5] for r in data}) < 600
+    assert len(jobs) <= 4 * 6
+    monkeypatch.setattr(boosting, "FEW_TASKS", 0)
+    again = boosting.out_of_fold(spark.createDataFrame(data, SCHEMA), ["a", "b", "c"], "y", 3, rounds=4, leaves=7, least_rows=8, step=0.3)
+    near = lambda df: {r.i: round(r.oof_probability, 9) for r in df.collect()}
+    assert near(got) == near(again)
